@@ -4,7 +4,7 @@
 (``user_id`` modulo ``n_series`` — a grouping key, every row is kept):
 
 * ``cnt``      events in the hour (count role)
-* ``reading``  mean event value (continuous role)
+* ``reading``  peak event value of the hour (continuous role)
 * ``code``     ordered severity of the hour's latest event (code role)
 * ``is_weekend``, ``is_holiday`` day attributes (constant role)
 
@@ -47,7 +47,7 @@ def hourly_log(events: DataFrame, n_series: int = 4) -> DataFrame:
         "ts", "event_id", "value", event_code().alias("__code"))
     h = e.groupBy("series", "timestamp").agg(
         F.count(F.lit(1)).alias("cnt"),
-        F.avg("value").alias("reading"),
+        F.max("value").alias("reading"),
         F.max_by(F.col("__code"), F.struct("ts", "event_id")).alias("code"))
     dow = F.dayofweek(F.col("timestamp"))
     return (h.withColumn("is_weekend", dow.isin(1, 7).cast("double"))

@@ -14,7 +14,7 @@ SQL_HOURLY = """
   SELECT CAST(((user_id % 4) + 4) % 4 AS INTEGER) AS series,
          date_trunc('hour', ts) AS timestamp,
          CAST(count(*) AS BIGINT) AS cnt,
-         avg(value) AS reading,
+         max(value) AS reading,
          arg_max(CASE event_type WHEN 'error' THEN 7.0 WHEN 'purchase' THEN 7.0
                    WHEN 'signup' THEN 3.0 ELSE 1.0 END, (ts, event_id)) AS code
   FROM events GROUP BY 1, 2"""
