@@ -92,9 +92,16 @@ def holdout(df_train: DataFrame, df_test: DataFrame, spec: M.ModelSpec, target:
     return fm, regression_metrics(both, target, "prediction", keys=("split",))
 
 
-def comparison_row(spec: M.ModelSpec, cv: DataFrame, hold: DataFrame) -> DataFrame:
-    """CV mean/std beside holdout metrics and the over-fit gap, one row per model."""
-    s = fold_summary(cv)
+def comparison_row(spec: M.ModelSpec, cv: DataFrame | None, hold: DataFrame) -> DataFrame:
+    """CV mean/std beside holdout metrics and the over-fit gap, one row per model.
+
+    ``cv`` holds per-fold metrics (M12) or is None when no CV was run."""
+    if cv is None:
+        spark = hold.sparkSession
+        cols = [f"CV_{m}_{s}" for m in ("R2", "RMSE", "MAE") for s in ("mean", "std")]
+        s = spark.createDataFrame([tuple([None] * len(cols))], ", ".join(f"{c} double" for c in cols))
+    else:
+        s = fold_summary(cv)
     h = hold.groupBy().agg(
         *[F.max(F.when(F.col("split") == "test", F.col(m))).alias(f"holdout_{m}") for m in ("R2", "RMSE", "MAE")],
         F.max(F.when(F.col("split") == "train", F.col("R2"))).alias("train_R2"))

@@ -261,8 +261,9 @@ def random_search(df: DataFrame, kind: str, features, target: str, space: dict,
         maps.append({est.getParam(k): v for k, v in sp.items()})
     data = assemble(df, list(features)).withColumn("label", F.col(target).cast("double")) \
         .select("features", "label", F.col(fold_col).cast("int").alias("__fold")).cache()
+    n_folds = data.agg(F.max("__fold")).first()[0] + 1
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="r2"),
-                        foldCol="__fold", parallelism=parallelism, seed=seed)
+                        foldCol="__fold", numFolds=n_folds, parallelism=parallelism, seed=seed)
     model = cv.fit(data)
     rows = [(i, json.dumps(d, sort_keys=True), float(m), float(s))
             for i, (d, m, s) in enumerate(zip(draws, model.avgMetrics, model.stdMetrics))]
