@@ -15,6 +15,11 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def qcol(name: str) -> Column:
+    """Column by exact name, even when it contains dots (``weather_code_26.0``)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def sentinel_to_null(c, sentinel) -> Column:
     """P5: a sentinel value means missing."""
     c = col_(c)

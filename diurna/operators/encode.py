@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import weekday_name_to_ordinal
+from ..functions.scalar import qcol, weekday_name_to_ordinal
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def one_hot(df: DataFrame, cols, level_map: dict | None = None, drop_first: bool
             lv = lv[1:]
         for v in lv:
             name = f"{c}_{level_label(v)}"
-            out = out.withColumn(name, F.when(F.col(c) == F.lit(v), 1.0).otherwise(0.0))
+            out = out.withColumn(name, F.when(qcol(c) == F.lit(v), 1.0).otherwise(0.0))
             names.append(name)
         if not keep_source:
             out = out.drop(c)
@@ -76,7 +76,7 @@ def ordinal_weekday(df: DataFrame, col: str = "weekday", out: str = "weekday_ord
 
 def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
     """Feature vector for pyspark.ml estimators (NULLs are an error, not a silent drop)."""
-    cast = df.select("*", *[F.col(f).cast(T.DoubleType()).alias(f"__f_{i}") for i, f in enumerate(features)])
+    cast = df.select("*", *[qcol(f).cast(T.DoubleType()).alias(f"__f_{i}") for i, f in enumerate(features)])
     va = VectorAssembler(inputCols=[f"__f_{i}" for i in range(len(features))], outputCol=out,
                          handleInvalid="error")
     return va.transform(cast).drop(*[f"__f_{i}" for i in range(len(features))])

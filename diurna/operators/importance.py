@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import qcol
+
 from ..functions.hashing import hash_int
 from .evaluate import regression_metrics
 from .models import FittedModel, OLSModel
@@ -34,19 +36,24 @@ def _strata(spark, groups: dict, n_repeats: int) -> DataFrame:
 
 
 def permuted_scores(df: DataFrame, fitted: FittedModel, target: str, groups: dict, key: str,
-                    n_repeats: int = 30, salt: str = "perm", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    n_repeats: int = 30, salt: str = "perm", block_rows: int = BLOCK_ROWS,
+                    assignment: DataFrame | None = None) -> DataFrame:
     """Predictions for every (variable, repeat) stratum with that variable's columns shuffled.
 
-    Output: variable, repeat, target, prediction.
+    ``assignment`` (variable, repeat, <key>, donor_key) supplies the permutation
+    explicitly, e.g. to reproduce a published random stream; by default it is
+    derived from salted hashes. Output: variable, repeat, target, prediction.
     """
     spark = df.sparkSession
+    if assignment is not None:
+        return _supplied_scores(df, fitted, target, groups, key, assignment)
     st = F.broadcast(_strata(spark, groups, n_repeats))
     base = df.crossJoin(st)  # strata count is fixed (variables x repeats); rows x strata is the work
-    hkey = hash_int(F.concat_ws("|", F.col(key).cast("string"), F.col("variable"), F.col("repeat").cast("string")),
+    hkey = hash_int(F.concat_ws("|", qcol(key).cast("string"), F.col("variable"), F.col("repeat").cast("string")),
                     salt)
     n = df.count()
     blocks = max(1, n // block_rows)
-    tag = F.concat_ws("|", F.col(key).cast("string"), F.col("variable"), F.col("repeat").cast("string"))
+    tag = F.concat_ws("|", qcol(key).cast("string"), F.col("variable"), F.col("repeat").cast("string"))
     blk = F.pmod(hash_int(tag, salt + "-block"), F.lit(blocks))
     strata = ["variable", "repeat", "__b"]
     w_key = Window.partitionBy(*strata).orderBy(key)
@@ -57,8 +64,8 @@ def permuted_scores(df: DataFrame, fitted: FittedModel, target: str, groups: dic
         coef = dict(zip(m.features, m.coef))
         contrib = None
         for v, cols in groups.items():
-            e = sum((F.lit(float(coef[c])) * F.col(c).cast("double") for c in cols[1:]),
-                    F.lit(float(coef[cols[0]])) * F.col(cols[0]).cast("double"))
+            e = sum((F.lit(float(coef[c])) * qcol(c).cast("double") for c in cols[1:]),
+                    F.lit(float(coef[cols[0]])) * qcol(cols[0]).cast("double"))
             contrib = F.when(F.col("variable") == v, e) if contrib is None else contrib.when(F.col("variable") == v, e)
         scored = base.withColumn("__pred", m.prediction()).withColumn("__c", contrib)
         receiver = scored.select(key, "variable", "repeat", target, "__pred", "__c", blk.alias("__b")) \
@@ -72,24 +79,37 @@ def permuted_scores(df: DataFrame, fitted: FittedModel, target: str, groups: dic
     all_cols = sorted({c for cols in groups.values() for c in cols})
     receiver = base.withColumn("__b", blk).withColumn("pos", F.row_number().over(w_key))
     donor = base.select("variable", "repeat", key, hkey.alias("__h"), blk.alias("__b"),
-                        *[F.col(c).alias(f"__new_{c}") for c in all_cols]) \
+                        *[qcol(c).alias(f"__new_{c}") for c in all_cols]) \
         .withColumn("pos", F.row_number().over(w_hash)).drop("__h", key)
     j = receiver.join(donor, ["variable", "repeat", "__b", "pos"]).drop("__b", "pos")
     for c in all_cols:
         owners = [v for v, cols in groups.items() if c in cols]
-        j = j.withColumn(c, F.when(F.col("variable").isin(owners), F.col(f"__new_{c}")).otherwise(F.col(c)))
+        j = j.withColumn(c, F.when(F.col("variable").isin(owners), qcol(f"__new_{c}")).otherwise(qcol(c)))
     j = j.drop(*[f"__new_{c}" for c in all_cols])
     return fitted.transform(j).select("variable", "repeat", target, "prediction")
 
 
+def _supplied_scores(df, fitted, target, groups, key, assignment):
+    all_cols = sorted({c for cols in groups.values() for c in cols})
+    recv = df.join(assignment, on=key)
+    donors = df.select(qcol(key).alias("donor_key"), *[qcol(c).alias(f"__new_{c}") for c in all_cols])
+    j = recv.join(donors, on="donor_key")
+    for c in all_cols:
+        owners = [v for v, cols in groups.items() if c in cols]
+        j = j.withColumn(c, F.when(F.col("variable").isin(owners), qcol(f"__new_{c}")).otherwise(qcol(c)))
+    j = j.drop(*[f"__new_{c}" for c in all_cols], "donor_key")
+    return fitted.transform(j).select("variable", "repeat", target, "prediction")
+
+
 def permutation_importance(df: DataFrame, fitted: FittedModel, target: str, groups: dict, key: str,
-                           n_repeats: int = 30, salt: str = "perm") -> DataFrame:
+                           n_repeats: int = 30, salt: str = "perm",
+                           assignment: DataFrame | None = None) -> DataFrame:
     """Mean and population std of the R² drop per variable (group of columns).
 
     For plain importance pass ``{c: [c] for c in features}``.
     """
     base = regression_metrics(fitted.transform(df), target, "prediction").select(F.col("R2").alias("__base"))
-    sc = permuted_scores(df, fitted, target, groups, key, n_repeats, salt)
+    sc = permuted_scores(df, fitted, target, groups, key, n_repeats, salt, assignment=assignment)
     per = regression_metrics(sc, target, "prediction", keys=("variable", "repeat"))
     drops = per.crossJoin(base).withColumn("drop", F.col("__base") - F.col("R2"))
     sizes = df.sparkSession.createDataFrame([(v, len(c)) for v, c in groups.items()], "variable string, n_cols int")

@@ -23,6 +23,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import qcol
+
 from .encode import assemble
 
 
@@ -36,7 +38,7 @@ class OLSModel:
     def prediction(self) -> Column:
         e = F.lit(float(self.intercept))
         for f, b in zip(self.features, self.coef):
-            e = e + F.lit(float(b)) * F.col(f).cast("double")
+            e = e + F.lit(float(b)) * qcol(f).cast("double")
         return e
 
     def coefficients(self, spark) -> DataFrame:
@@ -66,8 +68,8 @@ def _solve(n, sx, sy, sxx, sxy) -> tuple[np.ndarray, float]:
 
 def _moment_aggs(features, target):
     k = len(features)
-    x = [F.col(f).cast("double") for f in features]
-    y = F.col(target).cast("double")
+    x = [qcol(f).cast("double") for f in features]
+    y = qcol(target).cast("double")
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy")]
     aggs += [F.sum(x[i]).alias(f"sx{i}") for i in range(k)]
     aggs += [F.sum(x[i] * y).alias(f"sxy{i}") for i in range(k)]
@@ -87,9 +89,9 @@ def _moments_from_row(r, k):
 
 def _centred(df, features, target):
     """Shift by (cheap, one-pass) means so raw sums do not cancel catastrophically."""
-    m = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate([*features, target])]).first()
+    m = df.agg(*[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate([*features, target])]).first()
     shift = [float(m[f"m{i}"] or 0.0) for i in range(len(features) + 1)]
-    cols = [(F.col(c).cast("double") - F.lit(s)).alias(c) for c, s in zip([*features, target], shift)]
+    cols = [(qcol(c).cast("double") - F.lit(s)).alias(c) for c, s in zip([*features, target], shift)]
     return cols, np.array(shift[:-1]), shift[-1]
 
 
@@ -178,7 +180,7 @@ def fit(spec: ModelSpec, df: DataFrame, target: str) -> FittedModel:
     if spec.kind == "ols":
         return FittedModel(spec, fit_ols(df, spec.features, target))
     est = forest(spec.params) if spec.kind == "forest" else boosted(spec.params)
-    data = assemble(df, list(spec.features)).withColumn("label", F.col(target).cast("double"))
+    data = assemble(df, list(spec.features)).withColumn("label", qcol(target).cast("double"))
     return FittedModel(spec, est.fit(data.select("features", "label")))
 
 
@@ -259,7 +261,7 @@ def random_search(df: DataFrame, kind: str, features, target: str, space: dict,
     for d in draws:
         sp = to_spark_params(kind, d)
         maps.append({est.getParam(k): v for k, v in sp.items()})
-    data = assemble(df, list(features)).withColumn("label", F.col(target).cast("double")) \
+    data = assemble(df, list(features)).withColumn("label", qcol(target).cast("double")) \
         .select("features", "label", F.col(fold_col).cast("int").alias("__fold")).cache()
     n_folds = data.agg(F.max("__fold")).first()[0] + 1
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="r2"),
