@@ -57,67 +57,65 @@ class OLSModel:
         return OLSModel(d["features"], np.array(d["coef"]), d["intercept"], d.get("n", 0))
 
 
-def _solve(n, sx, sy, sxx, sxy) -> tuple[np.ndarray, float]:
-    """Minimum-norm OLS from raw sums (inputs already centred near the mean)."""
-    mx, my = sx / n, sy / n
-    cxx = sxx - n * np.outer(mx, mx)
-    cxy = sxy - n * mx * my
+def _solve(mean: np.ndarray, com: np.ndarray) -> tuple[np.ndarray, float]:
+    """Minimum-norm OLS from the means and co-moment matrix of (x_1..x_k, y)."""
+    k = len(mean) - 1
+    cxx, cxy = com[:k, :k], com[:k, k]
     b = np.linalg.pinv(cxx, rcond=1e-10, hermitian=True) @ cxy
-    return b, float(my - mx @ b)
+    return b, float(mean[k] - mean[:k] @ b)
 
 
 def _moment_aggs(features, target):
-    k = len(features)
-    x = [qcol(f).cast("double") for f in features]
-    y = qcol(target).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy")]
-    aggs += [F.sum(x[i]).alias(f"sx{i}") for i in range(k)]
-    aggs += [F.sum(x[i] * y).alias(f"sxy{i}") for i in range(k)]
-    aggs += [F.sum(x[i] * x[j]).alias(f"sxx{i}_{j}") for i in range(k) for j in range(i, k)]
+    """n, means and population covariances of (features, target): Spark merges
+    these partial aggregates with its numerically stable pairwise update."""
+    z = [qcol(c).cast("double") for c in [*features, target]]
+    m = len(z)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(z[i]).alias(f"m{i}") for i in range(m)]
+    aggs += [F.covar_pop(z[i], z[j]).alias(f"c{i}_{j}") for i in range(m) for j in range(i, m)]
     return aggs
 
 
-def _moments_from_row(r, k):
-    sx = np.array([r[f"sx{i}"] for i in range(k)], dtype=float)
-    sxy = np.array([r[f"sxy{i}"] for i in range(k)], dtype=float)
-    sxx = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            sxx[i, j] = sxx[j, i] = r[f"sxx{i}_{j}"]
-    return int(r["n"]), sx, float(r["sy"]), sxx, sxy
+def _moments_from_row(r, m):
+    n = int(r["n"])
+    mean = np.array([r[f"m{i}"] for i in range(m)], dtype=float)
+    com = np.zeros((m, m))
+    for i in range(m):
+        for j in range(i, m):
+            com[i, j] = com[j, i] = r[f"c{i}_{j}"] * n
+    return n, mean, com
 
 
-def _centred(df, features, target):
-    """Shift by (cheap, one-pass) means so raw sums do not cancel catastrophically."""
-    m = df.agg(*[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate([*features, target])]).first()
-    shift = [float(m[f"m{i}"] or 0.0) for i in range(len(features) + 1)]
-    cols = [(qcol(c).cast("double") - F.lit(s)).alias(c) for c, s in zip([*features, target], shift)]
-    return cols, np.array(shift[:-1]), shift[-1]
+def _merge(a, b):
+    """Combine (n, mean, co-moment) of two disjoint row sets (Chan et al.)."""
+    na, ma, ca = a
+    nb, mb, cb = b
+    n = na + nb
+    d = mb - ma
+    return n, ma + d * (nb / n), ca + cb + np.outer(d, d) * (na * nb / n)
 
 
 def fit_ols(df: DataFrame, features, target: str) -> OLSModel:
-    """M4: OLS with intercept, minimum-norm coefficients."""
+    """M4: OLS with intercept, minimum-norm coefficients; one aggregate pass."""
     features = list(features)
-    cols, mx, my = _centred(df, features, target)
-    r = df.select(*cols).agg(*_moment_aggs(features, target)).first()
-    n, sx, sy, sxx, sxy = _moments_from_row(r, len(features))
-    b, a = _solve(n, sx, sy, sxx, sxy)
-    return OLSModel(features, b, a + my - float(mx @ b), n)
+    r = df.agg(*_moment_aggs(features, target)).first()
+    n, mean, com = _moments_from_row(r, len(features) + 1)
+    b, a = _solve(mean, com)
+    return OLSModel(features, b, a, n)
 
 
 def fit_ols_folds(df: DataFrame, features, target: str, fold_col: str = "fold") -> dict:
-    """One pass, k fits: per-fold sums, training sums = total - fold. {fold: OLSModel}."""
+    """One pass, k fits: per-fold moments, training moments = merge of the other folds."""
     features = list(features)
-    cols, mx, my = _centred(df, features, target)
-    rows = df.select(F.col(fold_col), *cols).groupBy(fold_col).agg(*_moment_aggs(features, target)).collect()
-    k = len(features)
-    per = {r[fold_col]: _moments_from_row(r, k) for r in rows}
-    tot = [sum(p[i] for p in per.values()) for i in range(5)]
+    rows = df.groupBy(fold_col).agg(*_moment_aggs(features, target)).collect()
+    per = {r[fold_col]: _moments_from_row(r, len(features) + 1) for r in rows}
     models = {}
-    for f, p in per.items():
-        n, sx, sy, sxx, sxy = (tot[i] - p[i] for i in range(5))
-        b, a = _solve(n, sx, sy, sxx, sxy)
-        models[f] = OLSModel(features, b, a + my - float(mx @ b), int(n))
+    for f in per:
+        acc = None
+        for g, mom in per.items():
+            if g != f:
+                acc = mom if acc is None else _merge(acc, mom)
+        b, a = _solve(acc[1], acc[2])
+        models[f] = OLSModel(features, b, a, int(acc[0]))
     return models
 
 
