@@ -140,11 +140,13 @@ def sample_for_trees(df: DataFrame, features, key, n_trees: int, sample_size: in
         cand = base.select("*", F.explode(trees).alias("tree")) \
             .withColumn("__h", F.xxhash64(F.col("__key"), F.col("tree"), F.lit(seed + 1)))
         w = Window.partitionBy("tree").orderBy("__h", "__key")
-        s = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi)
-        counts = s.groupBy("tree").count()
-        short = counts.where(F.col("count") < psi).count() + (n_trees - counts.count())
+        # the sample is small (trees x sample_size rows): keep it for the build step
+        s = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi).drop("__r", "__h").cache()
+        got = {r["tree"]: r["count"] for r in s.groupBy("tree").count().collect()}
+        short = sum(1 for t in range(n_trees) if got.get(t, 0) < psi)
         if short == 0 or rate >= 1.0:
-            return s.drop("__r", "__h"), psi
+            return s, psi
+        s.unpersist()
         rate = min(1.0, rate * 2)
 
 
@@ -164,6 +166,7 @@ def fit_isolation_forest(df: DataFrame, features, key, n_trees: int = 100, sampl
                              "threshold": t, "left": l, "right": r, "size": s, "depth": d})
 
     nodes = sample.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
+    sample.unpersist()
     return IsolationForestModel(features, n_trees, psi, nodes)
 
 
@@ -206,13 +209,23 @@ def medians(df: DataFrame, features) -> dict:
     return {c: float(r[c]) for c in features}
 
 
+def forest_scorer(model: IsolationForestModel):
+    """The forest as a scorer — a function adding a decision value column."""
+    def scorer(df: DataFrame, features, out: str) -> DataFrame:
+        s = score(df, model, "__s", features=features)
+        return s.withColumn(out, F.col("__s") - F.lit(model.offset)).drop("__s")
+    return scorer
+
+
 def attribute_causes(detected: DataFrame, model: IsolationForestModel, key: str,
-                     med: dict | None = None) -> DataFrame:
+                     med: dict | None = None, scorer=None) -> DataFrame:
     """Median ablation per outlier and feature, in one scoring pass.
 
-    Output per outlier: key, anomaly_score, cause, second_cause, cause value and
-    median, and ``recover_<feature>`` for every feature.
+    ``scorer(df, feature_columns, out)`` adds a decision value (U3); by default the
+    forest's own. Output per outlier: key, anomaly_score, cause, second_cause,
+    cause value and median, and ``recover_<feature>`` for every feature.
     """
+    scorer = scorer or forest_scorer(model)
     feats = model.features
     med = med or medians(detected, feats)
     out = detected.where("is_outlier")
@@ -222,8 +235,8 @@ def attribute_causes(detected: DataFrame, model: IsolationForestModel, key: str,
     for f in feats:
         copies = copies.withColumn(f"__x_{f}", F.when(F.col("fname") == f, F.lit(med[f]))
                                    .otherwise(F.col(f).cast("double")))
-    rescored = score(copies, model, "__new", features=[f"__x_{f}" for f in feats])
-    rescored = rescored.withColumn("delta", F.col("__new") - F.lit(model.offset) - F.col("anomaly_score"))
+    rescored = scorer(copies, [f"__x_{f}" for f in feats], "__new")
+    rescored = rescored.withColumn("delta", F.col("__new") - F.col("anomaly_score"))
     w = Window.partitionBy(key).orderBy(F.col("delta").desc(), F.col("fi"))
     ranked = rescored.withColumn("__rk", F.row_number().over(w))
     piv = ranked.groupBy(key).agg(

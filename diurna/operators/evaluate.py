@@ -129,3 +129,13 @@ def overfit_table(spec_name: str, hold: DataFrame) -> DataFrame:
         F.max(F.when(F.col("split") == "train", F.col("R2"))).alias("train_R2"),
         F.max(F.when(F.col("split") == "test", F.col("R2"))).alias("test_R2")) \
         .select(F.lit(spec_name).alias("model"), "*").withColumn("overfit_gap", F.col("train_R2") - F.col("test_R2"))
+
+
+def metric_record(spec: M.ModelSpec, target: str, metrics: DataFrame, n_train: int, n_test: int,
+                  test_size: float, seed: int) -> DataFrame:
+    """One-row record of a fit: model, target, features, sizes, seed and test metrics."""
+    t = metrics.where(F.col("split") == "test").select("R2", "RMSE", "MAE")
+    return t.select(F.lit(spec.name).alias("model"), F.lit(target).alias("target"),
+                    F.lit(",".join(spec.features)).alias("features"), F.lit(float(test_size)).alias("test_size"),
+                    F.lit(int(seed)).alias("random_state"), F.lit(int(n_train)).cast("long").alias("n_train"),
+                    F.lit(int(n_test)).cast("long").alias("n_test"), "R2", "RMSE", "MAE")

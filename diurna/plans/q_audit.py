@@ -161,3 +161,20 @@ def q_temporal_split(spark, base):
     o = split.temporal_split(read_table(spark, base, "orders"), "o_orderdate", "1999-01-01")
     return o.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderdate").alias("first_date"),
                                   F.max("o_orderdate").alias("last_date"))
+
+
+@register("calendar_keys", covers=("P9", "P10", "P11", "P14", "P6"), sql="""
+SELECT o_orderkey, strftime(make_date(CAST(year(o_orderdate) AS BIGINT), CAST(month(o_orderdate) AS BIGINT),
+         CAST(day(o_orderdate) AS BIGINT)), '%Y-%m-%d') AS iso_date,
+       dayname(o_orderdate) AS weekday, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday_ord,
+       CAST(trunc(o_totalprice) AS BIGINT) AS price_floor
+FROM orders""")
+def q_calendar_keys(spark, base):
+    from ..functions.scalar import iso_date, weekday_name, weekday_name_to_ordinal
+    o = read_table(spark, base, "orders")
+    o = o.select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"),
+                 F.dayofmonth("o_orderdate").alias("d"), weekday_name("o_orderdate").alias("weekday"),
+                 "o_totalprice")
+    return o.select("o_orderkey", iso_date("y", "m", "d").alias("iso_date"), "weekday",
+                    weekday_name_to_ordinal("weekday").cast("int").alias("weekday_ord"),
+                    F.col("o_totalprice").cast("long").alias("price_floor"))

@@ -169,3 +169,24 @@ def q_permutation_importance(spark, base):
     imp = I.permutation_importance(S.part(d, "test"), fm, "revenue", groups, "li_key", N_PERM)
     return imp.select("variable", F.bround("importance_mean", 6).alias("importance_mean"),
                       F.bround("importance_std", 6).alias("importance_std"), "n_cols")
+
+
+@register("metric_record", covers=("M10", "M9", "J8"), sql=f"""
+{SQL_BASE}
+SELECT 'ols_quantity_discount' AS model, 'revenue' AS target, 'l_quantity,l_discount' AS features,
+       0.2 AS test_size, 42 AS random_state,
+       (SELECT CAST(count(*) AS BIGINT) FROM d WHERE split = 'train') AS n_train,
+       CAST(count(*) AS BIGINT) AS n_test,
+       round_even(1 - sum((revenue - prediction) * (revenue - prediction)) / (var_pop(revenue) * count(*)), 6) AS "R2",
+       round_even(sqrt(avg((revenue - prediction) * (revenue - prediction))), 4) AS "RMSE",
+       round_even(avg(abs(revenue - prediction)), 4) AS "MAE"
+FROM p WHERE split = 'test'""")
+def q_metric_record(spark, base):
+    d = _frame(spark, base)
+    train, test = S.part(d, "train"), S.part(d, "test")
+    fm, met = E.holdout(train, test, OLS2, "revenue")
+    counts = {r["split"]: r["n"] for r in met.select("split", "n").collect()}
+    rec = E.metric_record(OLS2, "revenue", met, counts["train"], counts["test"], 0.2, 42)
+    return rec.select("model", "target", "features", "test_size", "random_state", "n_train", "n_test",
+                      F.bround("R2", 6).alias("R2"), F.bround("RMSE", 4).alias("RMSE"),
+                      F.bround("MAE", 4).alias("MAE"))

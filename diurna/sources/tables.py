@@ -105,7 +105,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", source_paths=(),
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        (w.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
     else:
         w.format(fmt).save(path)
 
