@@ -24,6 +24,13 @@ class FeatureSet:
     columns: tuple
 
 
+def check_features(features, diagnostics=()) -> None:
+    """diagnostic columns (quality flags, coverage counts) are never features."""
+    bad = sorted(set(features) & set(diagnostics))
+    if bad:
+        raise ValueError(f"diagnostic columns used as features: {bad}")
+
+
 def level_label(v) -> str:
     """Dummy-name text of a level: floats keep their '.0' (``weather_code_26.0``)."""
     return repr(float(v)) if isinstance(v, float) else str(v)

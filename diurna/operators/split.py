@@ -21,11 +21,21 @@ def hash_split(df: DataFrame, key, test_fraction: float = 0.2, salt: str = "spli
 
 
 def temporal_split(df: DataFrame, time_col: str, cut, col: str = "split") -> DataFrame:
-    """M2: rows before ``cut`` train, the rest test (pushes down as a range filter)."""
+    """M2: tag rows before ``cut`` train, the rest test (use :func:`temporal_train_test`
+    when only one side is needed: its filters reach the scan)."""
     return df.withColumn(col, F.when(F.col(time_col) < F.lit(cut).cast(df.schema[time_col].dataType),
                                      F.lit("train")).otherwise(F.lit("test")))
 
 
+def temporal_train_test(df: DataFrame, time_col: str, cut) -> tuple[DataFrame, DataFrame]:
+    """M2 as two filtered frames whose predicates reach the Parquet scan
+    (``PushedFilters``), so each side reads only its own row groups.
+    Rows with a NULL time go to the test side, as with :func:`temporal_split`."""
+    c = F.col(time_col)
+    lit = F.lit(cut).cast(df.schema[time_col].dataType)
+    return df.where(c < lit), df.where((c >= lit) | c.isNull())
+
+
 def kfold(df: DataFrame, key, k: int = 5, salt: str = "fold", col: str = "fold") -> DataFrame:
     """M3: fold id in [0, k) from the key hash."""
     return df.withColumn(col, hash_bucket(key, k, salt))

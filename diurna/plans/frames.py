@@ -37,8 +37,11 @@ def line_key():
 N_FOLDS = 5
 
 
-def line_frame(spark, base: str) -> DataFrame:
+def line_frame(spark, base: str, where=None) -> DataFrame:
+    """``where`` is applied on the raw table so it is pushed into the scan."""
     li = read_table(spark, base, "lineitem")
+    if where is not None:
+        li = li.where(where)
     return li.select(
         line_key().alias("li_key"),
         F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice"),

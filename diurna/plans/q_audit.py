@@ -104,9 +104,9 @@ SELECT li_key, CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END AS "l_returnfl
 FROM d, lv WHERE ship_year >= 2000""")
 def q_one_hot_union(spark, base):
     """Levels from train (before 2000) ∪ test: the test-only years keep their dummies."""
-    d = line_frame(spark, base)
-    train = d.where(F.col("ship_year") < 2000)
-    test = d.where(F.col("ship_year") >= 2000)
+    cut = F.lit("2000-01-01").cast("timestamp_ntz")
+    train = line_frame(spark, base, F.col("l_shipdate") < cut)
+    test = line_frame(spark, base, F.col("l_shipdate") >= cut)
     lv = encode.union_levels([train, test], ["l_returnflag", "ship_year"])
     out, names = encode.one_hot(test, ["l_returnflag", "ship_year"], level_map=lv)
     years = [n for n in names if n.startswith("ship_year_")]

@@ -45,8 +45,13 @@ def _onehot(d):
     return out, (*ONEHOT_NUMS, *names)
 
 
+DIAGNOSTIC = ("n_returned",)         # F10: kept in the frame, never a feature
+
+
 def _specs(d):
     d1, onehot_feats = _onehot(d)
+    for feats in (ORDINAL, TREE, onehot_feats):
+        EN.check_features(feats, DIAGNOSTIC)
     return d1, [M.ModelSpec("ols_ordinal", "ols", ORDINAL), M.ModelSpec("ols_onehot", "ols", onehot_feats),
                 M.ModelSpec("forest", "forest", TREE, FOREST_CHECK),
                 M.ModelSpec("boosted", "boosted", TREE, BOOSTED_CHECK)]
@@ -148,7 +153,7 @@ def q_isolation_forest(spark, base):
     return out.select("li_key", "anomaly_score", "is_outlier")
 
 
-@register("anomaly_causes", covers=("N4", "K4", "A16"))
+@register("anomaly_causes", covers=("N4", "K4", "A16", "U3"))
 def q_anomaly_causes(spark, base):
     """Daily demand: anomalies and the feature whose median restores them most."""
     d = daily_demand(spark, base)
@@ -169,7 +174,7 @@ def q_anomalies_by_period(spark, base):
     return out.select("year", "date", "anomaly_score", "is_outlier")
 
 
-@register("anomaly_error_overlap", covers=("N7", "J4", "J5", "P17", "M25"))
+@register("anomaly_error_overlap", covers=("N7", "J4", "J5", "P8", "P17", "M25"))
 def q_anomaly_error_overlap(spark, base):
     """Worst 10 holdout errors of the ordinal OLS, flagged when the day is an anomaly
     of its own year or a low-coverage day (fewer lines than a tenth of the median)."""

@@ -63,7 +63,8 @@ def q_hourly_log(spark, base):
                     "is_weekend", "is_holiday")
 
 
-@register("daily_rollup", covers=("A10", "A15", "W2", "W4", "P9", "P10", "P12", "S6"), sql=SQL_DAILY)
+@register("daily_rollup", covers=("A10", "A15", "W2", "W4", "P7", "P9", "P10", "P12", "S6", "F10", "U1"),
+          sql=SQL_DAILY)
 def q_daily_rollup(spark, base):
     return events_daily(_events(spark, base))
 
@@ -117,7 +118,7 @@ def q_hour_coverage_summary(spark, base):
     return rollup.coverage_summary(cov, keys=("series",))
 
 
-@register("reconcile_totals", covers=("A25",), sql=f"""
+@register("reconcile_totals", covers=("A25", "J1"), sql=f"""
 WITH hs AS (SELECT series, CAST(sum(cnt) AS BIGINT) AS hourly_cnt FROM ({SQL_HOURLY}) GROUP BY series),
  ds AS (SELECT series, CAST(sum(cnt) AS BIGINT) AS daily_cnt FROM ({SQL_DAILY}) GROUP BY series),
  es AS (SELECT CAST(((user_id % 4) + 4) % 4 AS INTEGER) AS series, CAST(count(*) AS BIGINT) AS raw_cnt
@@ -137,7 +138,7 @@ def q_reconcile_totals(spark, base):
         ((F.col("hourly_cnt") == F.col("daily_cnt")) & (F.col("daily_cnt") == F.col("raw_cnt"))).alias("totals_match"))
 
 
-@register("rollup_rule_discovery", covers=("A26",), sql=f"""
+@register("rollup_rule_discovery", covers=("A26", "J1"), sql=f"""
 WITH h AS (SELECT *, count(*) OVER (PARTITION BY series, date, cnt) AS n_cnt,
                      count(*) OVER (PARTITION BY series, date, code) AS n_code
            FROM ({SQL_HOURLY_FLAGS})),
