@@ -188,8 +188,9 @@ def score(df: DataFrame, model: IsolationForestModel, out: str = "score_samples"
 
 
 def threshold(scored: DataFrame, contamination: float = 0.05, col: str = "score_samples") -> float:
-    """Score at the contamination quantile (linear interpolation)."""
-    return float(scored.agg(F.percentile(col, F.lit(contamination))).first()[0])
+    """Score at the contamination quantile (linear interpolation), exact at any size."""
+    from .profile import exact_quantile
+    return float(exact_quantile(scored, col, contamination))
 
 
 def detect(df: DataFrame, features, key, n_trees: int = 100, contamination: float = 0.05,
@@ -204,9 +205,9 @@ def detect(df: DataFrame, features, key, n_trees: int = 100, contamination: floa
 
 
 def medians(df: DataFrame, features) -> dict:
-    """Per-feature median (linear interpolation), one aggregate."""
-    r = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features]).first()
-    return {c: float(r[c]) for c in features}
+    """Per-feature median (linear interpolation), exact at any size."""
+    from .profile import exact_quantile
+    return {c: float(exact_quantile(df, c, 0.5)) for c in features}
 
 
 def forest_scorer(model: IsolationForestModel):

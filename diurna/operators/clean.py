@@ -9,7 +9,7 @@ from ..functions.scalar import sentinel_to_null
 
 
 def interpolate_linear(df: DataFrame, col: str, order_by: str, keys=(), sentinel=None,
-                       out_col: str | None = None) -> DataFrame:
+                       out_col: str | None = None, bucket=None) -> DataFrame:
     """Linear interpolation in row order, equally spaced by *position*.
 
     A leading gap stays missing, a trailing gap takes the last value, an interior
@@ -17,8 +17,12 @@ def interpolate_linear(df: DataFrame, col: str, order_by: str, keys=(), sentinel
     (e.g. 0 for an impossible humidity) is turned into NULL first (P5).
 
     Each series is one window partition ordered by ``order_by``: supply a series
-    key so the work spreads over tasks.
+    key so the work spreads over tasks. For a series too long for one task pass
+    ``bucket`` (a column non-decreasing in ``order_by``, e.g. the day): see
+    :func:`interpolate_linear_bucketed`.
     """
+    if bucket is not None:
+        return interpolate_linear_bucketed(df, col, order_by, bucket, keys, sentinel, out_col)
     out_col = out_col or col
     v = sentinel_to_null(col, sentinel) if sentinel is not None else F.col(col)
     d = df.withColumn("__v", v)
@@ -38,3 +42,56 @@ def interpolate_linear(df: DataFrame, col: str, order_by: str, keys=(), sentinel
                          * (F.col("__pos") - F.col("__p0")) / (F.col("__p1") - F.col("__p0"))))
     d = d.withColumn(out_col, filled.cast("double"))
     return d.drop("__v", "__pos", "__p0", "__v0", "__p1", "__v1")
+
+
+def interpolate_linear_bucketed(df: DataFrame, col: str, order_by: str, bucket, keys=(), sentinel=None,
+                                out_col: str | None = None) -> DataFrame:
+    """W1 for arbitrarily long series: same result, no window grows with the series.
+
+    Pass 1 works inside (series, bucket) windows: local positions and the nearest
+    known values on both sides within the bucket, plus per-bucket summaries (row
+    count, first and last known value). Pass 2 carries those summaries across the
+    buckets of a series (one small row per bucket) to give global position
+    offsets and the neighbours for gaps that cross bucket borders. Pass 3 joins
+    them back and fills.
+    """
+    out_col = out_col or col
+    v = sentinel_to_null(col, sentinel) if sentinel is not None else F.col(col)
+    b = F.col(bucket) if isinstance(bucket, str) else bucket
+    d = df.withColumn("__v", v).withColumn("__bk", b)
+    g = [*keys, "__bk"]
+    w = Window.partitionBy(*g).orderBy(order_by)
+    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fwd = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    d = d.withColumn("__lp", F.row_number().over(w))
+    known = F.when(F.col("__v").isNotNull(), F.col("__lp"))
+    d = (d.withColumn("__lp0", F.last(known, ignorenulls=True).over(back))
+         .withColumn("__lv0", F.last("__v", ignorenulls=True).over(back))
+         .withColumn("__lp1", F.first(known, ignorenulls=True).over(fwd))
+         .withColumn("__lv1", F.first("__v", ignorenulls=True).over(fwd)))
+    # one row per bucket: size, first/last known (local position, value)
+    kp = F.when(F.col("__v").isNotNull(), F.col("__lp"))
+    bk = d.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.min(kp).alias("__fp"), F.max(kp).alias("__lpk"),
+                           F.min_by("__v", kp).alias("__fv"), F.max_by("__v", kp).alias("__lvk"))
+    wb = Window.partitionBy(*keys).orderBy("__bk") if keys else Window.orderBy("__bk")
+    bk = bk.withColumn("__off", F.coalesce(F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                                           F.lit(0)))
+    first_g = F.col("__off") + F.col("__fp")
+    last_g = F.col("__off") + F.col("__lpk")
+    bk = (bk.withColumn("__cp0", F.last(last_g, ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)))
+          .withColumn("__cv0", F.last("__lvk", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)))
+          .withColumn("__cp1", F.first(first_g, ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)))
+          .withColumn("__cv1", F.first("__fv", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))))
+    d = d.join(bk.select(*g, "__off", "__cp0", "__cv0", "__cp1", "__cv1"), on=g, how="left")
+    pos = F.col("__off") + F.col("__lp")
+    p0 = F.coalesce(F.col("__off") + F.col("__lp0"), F.col("__cp0"))
+    v0 = F.when(F.col("__lp0").isNotNull(), F.col("__lv0")).otherwise(F.col("__cv0"))
+    p1 = F.coalesce(F.col("__off") + F.col("__lp1"), F.col("__cp1"))
+    v1 = F.when(F.col("__lp1").isNotNull(), F.col("__lv1")).otherwise(F.col("__cv1"))
+    filled = (F.when(F.col("__v").isNotNull(), F.col("__v"))
+              .when(p0.isNull(), F.lit(None))
+              .when(p1.isNull(), v0)
+              .otherwise(v0 + (v1 - v0) * (pos - p0) / (p1 - p0)))
+    d = d.withColumn(out_col, filled.cast("double"))
+    return d.drop("__v", "__bk", "__lp", "__lp0", "__lv0", "__lp1", "__lv1", "__off", "__cp0", "__cv0",
+                  "__cp1", "__cv1")

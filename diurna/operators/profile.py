@@ -6,8 +6,9 @@ final merge) and unpivoted afterwards, instead of one job per column.
 
 Quantiles: ``percentile`` is exact and equals linear interpolation (pandas'
 default); it keeps a value->count map per group, which is fine for counts, codes
-and grouped data. For a continuous column of a very large table pass
-``accuracy=`` to switch to ``percentile_approx``.
+and grouped data of bounded size. For one continuous column of a very large
+table use :func:`exact_quantile` (sketch-bracketed, exact, bounded memory), or
+pass ``accuracy=`` to the grouped functions to switch to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -269,3 +270,48 @@ def welch_contrast(df: DataFrame, measure: str, group: str, a, b, by: str | None
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     """Distinct values with their sort position."""
     return df.select(col).distinct().withColumn("position", F.row_number().over(Window.orderBy(col)))
+
+
+def exact_quantile(df: DataFrame, col: str, p: float, max_collect: int = 1_000_000,
+                   accuracy: int = 10_000) -> float | None:
+    """Exact quantile (linear interpolation, as ``percentile``) for any table size.
+
+    ``percentile`` keeps every distinct value of the group in one aggregation
+    buffer, which does not survive a continuous column of billions of rows. Here a
+    sketch (``percentile_approx``, rank error <= n/accuracy) brackets the wanted
+    ranks, rows below the bracket are counted, and the bracket is refined the same
+    way until it holds at most ``max_collect`` rows, which are then ordered on
+    the driver. Each pass is one scan; every step is exact, so the result is too.
+    """
+    v = F.col(col).cast("double")
+    d = df.select(v.alias("__q")).where(F.col("__q").isNotNull() & ~F.isnan("__q"))
+    n = d.count()
+    if n == 0:
+        return None
+    pos = p * (n - 1)
+    k_lo, k_hi = int(math.floor(pos)), int(math.ceil(pos))      # 0-based ranks needed
+    below, lo, hi = 0, None, None                                 # rows strictly below the bracket
+    cur = d
+    while True:
+        m = cur.count() if lo is not None else n
+        if m <= max_collect:
+            vals = sorted(r[0] for r in cur.collect())
+            a, b = vals[k_lo - below], vals[k_hi - below]
+            return a + (b - a) * (pos - k_lo)
+        # ranks inside the current bracket, widened by twice the sketch error
+        eps = 2.0 / accuracy
+        q_lo = max(0.0, (k_lo - below) / max(m - 1, 1) - eps)
+        q_hi = min(1.0, (k_hi - below) / max(m - 1, 1) + eps)
+        r = cur.agg(F.percentile_approx("__q", F.array(F.lit(q_lo), F.lit(q_hi)), accuracy).alias("b"),
+                    ).first()["b"]
+        new_lo, new_hi = float(r[0]), float(r[1])
+        c = cur.agg(F.count_if(F.col("__q") < new_lo).alias("lt"),
+                    F.count_if(F.col("__q") <= new_hi).alias("le")).first()
+        if not (below + c["lt"] <= k_lo and k_hi < below + c["le"]):
+            # the sketch missed (should not happen): fall back to the full bracket
+            new_lo, new_hi, c = lo, hi, {"lt": 0}
+            max_collect = max(max_collect, m)
+            continue
+        below += c["lt"]
+        lo, hi = new_lo, new_hi
+        cur = cur.where((F.col("__q") >= lo) & (F.col("__q") <= hi))

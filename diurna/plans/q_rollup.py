@@ -223,7 +223,8 @@ def q_interpolate_hours(spark, base):
     span = h.groupBy("series").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
     grid = span.select("series", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("timestamp"))
     g = grid.join(h, ["series", "timestamp"], "left")
+    # bucketed by day: no window holds a whole series, however long it is
     out = clean.interpolate_linear(g, "reading", order_by="timestamp", keys=("series",),
-                                   out_col="reading_filled")
+                                   out_col="reading_filled", bucket=F.to_date("timestamp"))
     return out.select("series", "timestamp", F.bround("reading", 6).alias("reading_raw"),
                       F.bround("reading_filled", 6).alias("reading"))

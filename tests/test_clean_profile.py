@@ -66,3 +66,30 @@ def test_kde_integrates_to_one(spark):
     k = profile.gaussian_kde(df, "x", "g", grid_size=400).orderBy("point").collect()
     step = k[1]["grid_x"] - k[0]["grid_x"]
     assert sum(r["density"] for r in k) * step == pytest.approx(1.0, abs=0.01)
+
+
+def test_bucketed_interpolation_equals_single_window(spark):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for s in ("a", "b"):
+        for k in range(300):
+            rows.append((s, k, None if rnd.random() < 0.4 else float(rnd.randint(0, 100))))
+    rows += [("c", k, None) for k in range(10)]          # a series with no value at all
+    df = spark.createDataFrame(rows, "s string, k int, v double")
+    one = clean.interpolate_linear(df, "v", "k", keys=("s",), out_col="f")
+    many = clean.interpolate_linear(df, "v", "k", keys=("s",), out_col="f", bucket=(F.col("k") / 7).cast("int"))
+    a = {(r["s"], r["k"]): r["f"] for r in one.collect()}
+    b = {(r["s"], r["k"]): r["f"] for r in many.collect()}
+    assert a.keys() == b.keys()
+    for key in a:
+        assert (a[key] is None and b[key] is None) or a[key] == pytest.approx(b[key], abs=1e-9)
+
+
+def test_exact_quantile_matches_numpy(spark):
+    import numpy as np
+    x = np.random.default_rng(5).normal(size=20000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for p in (0.05, 0.5, 0.75):
+        assert profile.exact_quantile(df, "x", p, max_collect=500, accuracy=200) == pytest.approx(
+            float(np.quantile(x, p)), abs=1e-12)
