@@ -206,8 +206,9 @@ def detect(df: DataFrame, features, key, n_trees: int = 100, contamination: floa
 
 def medians(df: DataFrame, features) -> dict:
     """Per-feature median (linear interpolation), exact at any size."""
-    from .profile import exact_quantile
-    return {c: float(exact_quantile(df, c, 0.5)) for c in features}
+    from .profile import exact_quantiles, long_format
+    rows = exact_quantiles(long_format(df, features), "value", [0.5], keys=["column"]).collect()
+    return {r["column"]: float(r["value"]) for r in rows}
 
 
 def forest_scorer(model: IsolationForestModel):

@@ -65,22 +65,28 @@ def missing_counts(df: DataFrame, cols=None, total: bool = True) -> DataFrame:
 
 
 def describe(df: DataFrame, cols, accuracy: int | None = None, digits: int | None = None) -> DataFrame:
-    """Count, mean, std (ddof 1), min, 25/50/75 %, max per column, one pass."""
+    """Count, mean, std (ddof 1), min, 25/50/75 %, max per column.
+
+    Moments in one aggregate for all columns; quartiles exact with bounded memory
+    (``accuracy=`` switches to a sketch)."""
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
                  F.stddev_samp(c).alias(f"{c}__std"), F.min(F.col(c).cast("double")).alias(f"{c}__min"),
-                 _q(c, .25, accuracy).alias(f"{c}__q25"), _q(c, .5, accuracy).alias(f"{c}__q50"),
-                 _q(c, .75, accuracy).alias(f"{c}__q75"), F.max(F.col(c).cast("double")).alias(f"{c}__max")]
-    stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    out = _unpivot(df.agg(*aggs), cols, stats)
+                 F.max(F.col(c).cast("double")).alias(f"{c}__max")]
+    mom = _unpivot(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
+    out = mom.join(_quartile_table(df, cols, QUARTILES, accuracy), "column").select(
+        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
     if digits is not None:
-        out = out.select("column", "count", *[F.bround(s, digits).alias(s) for s in stats[1:]])
+        out = out.select("column", "count", *[F.bround(s, digits).alias(s)
+                                              for s in ("mean", "std", "min", "q25", "q50", "q75", "max")])
     return out
 
 
 def quantiles(df: DataFrame, col: str, probs, keys=(), accuracy: int | None = None) -> DataFrame:
     """A5: quantiles of one column, optionally per group, as rows (p, value)."""
+    if not accuracy:
+        return exact_quantiles(df, col, probs, keys=keys)
     g = df.groupBy(*keys) if keys else df.groupBy()
     wide = g.agg(*[_q(col, p, accuracy).alias(f"q{i}") for i, p in enumerate(probs)])
     return wide.select(*keys, F.explode(F.array(*[
@@ -95,9 +101,9 @@ def iqr_outliers(df: DataFrame, cols, k: float = 1.5, accuracy: int | None = Non
     Pass 1 computes all quartiles in one aggregate; pass 2 counts outside rows for
     all columns at once against that one-row result (a broadcast of fixed size).
     """
-    qs = df.agg(*[x for c in cols for x in (_q(c, .25, accuracy).alias(f"{c}__q1"),
-                                             _q(c, .75, accuracy).alias(f"{c}__q3"))])
-    b = qs
+    qt = _quartile_table(df, cols, (0.25, 0.75), accuracy)
+    b = qt.agg(*[F.max(F.when(F.col("column") == c, F.col(q))).alias(f"{c}__{n}")
+                 for c in cols for q, n in (("q25", "q1"), ("q75", "q3"))])
     for c in cols:
         iqr = F.col(f"{c}__q3") - F.col(f"{c}__q1")
         b = (b.withColumn(f"{c}__lo", F.col(f"{c}__q1") - k * iqr)
@@ -185,6 +191,18 @@ def trend_points(trend: DataFrame, n_points: int = 100) -> DataFrame:
             .select(i.alias("point"), x.alias("x"), (F.col("slope") * x + F.col("intercept")).alias("y")))
 
 
+def _group_quartiles(df: DataFrame, group: str, measure: str, accuracy):
+    n = df.groupBy(group).agg(F.count(measure).alias("n"))
+    if accuracy:
+        q = df.groupBy(group).agg(_q(measure, .25, accuracy).alias("q1"), _q(measure, .5, accuracy).alias("median"),
+                                  _q(measure, .75, accuracy).alias("q3"))
+    else:
+        e = exact_quantiles(df, measure, QUARTILES, keys=[group])
+        q = e.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a)
+                                   for p, a in zip(QUARTILES, ("q1", "median", "q3"))])
+    return q.join(n, group)
+
+
 def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
               accuracy: int | None = None) -> DataFrame:
     """Quartiles, whiskers at the last data point within whis·IQR, flier count.
@@ -192,8 +210,7 @@ def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
     Pass 1: quartiles per group. Pass 2: join them back (one row per group, a
     broadcast of group-count size) and take conditional min/max/counts.
     """
-    q = df.groupBy(group).agg(_q(measure, .25, accuracy).alias("q1"), _q(measure, .5, accuracy).alias("median"),
-                              _q(measure, .75, accuracy).alias("q3"), F.count(measure).alias("n"))
+    q = _group_quartiles(df, group, measure, accuracy)
     q = (q.withColumn("lo_fence", F.col("q1") - whis * (F.col("q3") - F.col("q1")))
           .withColumn("hi_fence", F.col("q3") + whis * (F.col("q3") - F.col("q1"))))
     v = F.col(measure)
@@ -207,7 +224,7 @@ def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
 
 def box_fliers(df: DataFrame, group: str, measure: str, whis: float = 1.5) -> DataFrame:
     """The flier rows themselves (outside the whiskers' fences)."""
-    q = df.groupBy(group).agg(_q(measure, .25).alias("q1"), _q(measure, .75).alias("q3"))
+    q = _group_quartiles(df, group, measure, None).select(group, "q1", "q3")
     j = df.join(q, on=group)
     iqr = F.col("q3") - F.col("q1")
     v = F.col(measure)
@@ -215,14 +232,21 @@ def box_fliers(df: DataFrame, group: str, measure: str, whis: float = 1.5) -> Da
 
 
 def gaussian_kde(df: DataFrame, measure: str, group: str, grid_size: int = 200, cut: float = 3.0,
-                 bin_width: float | None = None) -> DataFrame:
+                 bin_width: float | None = None, max_bins: int = 100_000) -> DataFrame:
     """Gaussian kernel density per group on a regular grid (Scott's factor).
 
     The sample is first reduced to (value, count) pairs — exact for repeated
     values, or snapped to ``bin_width`` bins for continuous data — so the density
     costs O(bins x grid) instead of O(rows x grid). The grid spans each group's
-    [min - cut·bw, max + cut·bw].
+    [min - cut·bw, max + cut·bw]. Without ``bin_width``, values are kept exact
+    unless there are more than ``max_bins`` distinct ones; then the range is cut
+    into ``max_bins`` bins (bin width far below any bandwidth at that size).
     """
+    if bin_width is None:
+        r = df.agg(F.approx_count_distinct(measure).alias("k"), F.min(measure).alias("lo"),
+                   F.max(measure).alias("hi")).first()
+        if r["k"] and r["k"] > max_bins and r["hi"] > r["lo"]:
+            bin_width = (float(r["hi"]) - float(r["lo"])) / max_bins
     v = F.col(measure).cast("double")
     if bin_width:
         v = (F.floor(v / bin_width) + 0.5) * bin_width
@@ -272,46 +296,122 @@ def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct().withColumn("position", F.row_number().over(Window.orderBy(col)))
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, max_collect: int = 1_000_000,
+def exact_quantile(df: DataFrame, col: str, p: float, max_rows: int = 1_000_000,
                    accuracy: int = 10_000) -> float | None:
-    """Exact quantile (linear interpolation, as ``percentile``) for any table size.
-
-    ``percentile`` keeps every distinct value of the group in one aggregation
-    buffer, which does not survive a continuous column of billions of rows. Here a
-    sketch (``percentile_approx``, rank error <= n/accuracy) brackets the wanted
-    ranks, rows below the bracket are counted, and the bracket is refined the same
-    way until it holds at most ``max_collect`` rows, which are then ordered on
-    the driver. Each pass is one scan; every step is exact, so the result is too.
+    """One exact quantile of one column (see :func:`exact_quantiles`)."""
+    r = exact_quantiles(df, col, [p], max_rows=max_rows, accuracy=accuracy).first()
+    return None if r is None else float(r["value"])
+
+
+def long_format(df: DataFrame, cols, key: str = "column", value: str = "value") -> DataFrame:
+    """Stack columns into (column, value) rows so one grouped pass serves them all."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias(key), F.col(c).cast("double").alias(value)) for c in cols])).alias("__s")) \
+        .select(f"__s.{key}", f"__s.{value}")
+
+
+def _quartile_table(df: DataFrame, cols, probs, accuracy):
+    """(column, q<pct>...) for several columns: exact (bounded memory) or sketch."""
+    names = {p: f"q{int(round(p * 100))}" for p in probs}
+    if accuracy:
+        wide = df.agg(*[F.percentile_approx(F.col(c), F.lit(p), accuracy).alias(f"{c}__{names[p]}")
+                        for c in cols for p in probs])
+        return _unpivot(wide, cols, [names[p] for p in probs])
+    q = exact_quantiles(long_format(df, cols), "value", probs, keys=["column"])
+    return q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(names[p])
+                                     for p in probs])
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, keys=(), max_rows: int = 1_000_000,
+                    accuracy: int = 10_000, grid: int = 1000, max_targets: int = 100_000) -> DataFrame:
+    """Exact quantiles (linear interpolation) per group with bounded memory: (keys, p, value).
+
+    Every (group, p) target starts with its whole group as the bracket. While a
+    bracket holds more than ``max_rows`` rows, one sketch pass (``percentile_approx``
+    at a fixed grid of probabilities) proposes a narrower bracket around the wanted
+    ranks and one counting pass verifies it exactly (rows below it, rows inside).
+    Finally the rows of each bracket — at most ``max_rows`` — are ordered in their
+    own window partition and the two order statistics are read off. A hot group
+    therefore never sends all of its values to one task; small groups take no
+    refinement pass at all. The number of groups x probabilities is bounded by
+    ``max_targets`` (their state lives on the driver).
     """
-    v = F.col(col).cast("double")
-    d = df.select(v.alias("__q")).where(F.col("__q").isNotNull() & ~F.isnan("__q"))
-    n = d.count()
-    if n == 0:
-        return None
-    pos = p * (n - 1)
-    k_lo, k_hi = int(math.floor(pos)), int(math.ceil(pos))      # 0-based ranks needed
-    below, lo, hi = 0, None, None                                 # rows strictly below the bracket
-    cur = d
+    spark = df.sparkSession
+    keys = list(keys)
+    d = df.select(*keys, F.col(col).cast("double").alias("__q")).where(
+        F.col("__q").isNotNull() & ~F.isnan("__q"))
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).limit(max_targets + 1).collect()
+    if len(sizes) * len(probs) > max_targets:
+        raise ValueError("too many groups for exact quantiles; pass accuracy= to the caller instead")
+    targets = []
+    for r in sizes:
+        n = r["__n"]
+        for p in probs:
+            pos = float(p) * (n - 1)
+            targets.append({"g": tuple(r[k] for k in keys), "p": float(p), "k_lo": int(math.floor(pos)),
+                            "k_hi": int(math.ceil(pos)), "frac": pos - math.floor(pos), "below": 0,
+                            "lo": None, "hi": None, "m": n})
+    if not targets:
+        return spark.createDataFrame([], ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+                                                   + ["p double", "value double"]))
+    key_schema = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+
+    def bracket_frame(ids):
+        rows = [(i, *targets[i]["g"], targets[i]["lo"], targets[i]["hi"]) for i in ids]
+        return spark.createDataFrame(rows, ", ".join(["__tid int", *key_schema, "__lo double", "__hi double"]))
+
+    def in_bracket(frame):
+        # the bracket table is bounded by max_targets rows: broadcast it
+        j = d.join(F.broadcast(frame), on=keys) if keys else d.crossJoin(F.broadcast(frame))
+        return j.where((F.col("__lo").isNull() | (F.col("__q") >= F.col("__lo")))
+                       & (F.col("__hi").isNull() | (F.col("__q") <= F.col("__hi"))))
+
+    eps = 2.0 / accuracy
+    grid_p = [i / grid for i in range(grid + 1)]
     while True:
-        m = cur.count() if lo is not None else n
-        if m <= max_collect:
-            vals = sorted(r[0] for r in cur.collect())
-            a, b = vals[k_lo - below], vals[k_hi - below]
-            return a + (b - a) * (pos - k_lo)
-        # ranks inside the current bracket, widened by twice the sketch error
-        eps = 2.0 / accuracy
-        q_lo = max(0.0, (k_lo - below) / max(m - 1, 1) - eps)
-        q_hi = min(1.0, (k_hi - below) / max(m - 1, 1) + eps)
-        r = cur.agg(F.percentile_approx("__q", F.array(F.lit(q_lo), F.lit(q_hi)), accuracy).alias("b"),
-                    ).first()["b"]
-        new_lo, new_hi = float(r[0]), float(r[1])
-        c = cur.agg(F.count_if(F.col("__q") < new_lo).alias("lt"),
-                    F.count_if(F.col("__q") <= new_hi).alias("le")).first()
-        if not (below + c["lt"] <= k_lo and k_hi < below + c["le"]):
-            # the sketch missed (should not happen): fall back to the full bracket
-            new_lo, new_hi, c = lo, hi, {"lt": 0}
-            max_collect = max(max_collect, m)
-            continue
-        below += c["lt"]
-        lo, hi = new_lo, new_hi
-        cur = cur.where((F.col("__q") >= lo) & (F.col("__q") <= hi))
+        open_ids = [i for i, t in enumerate(targets) if t["m"] > max_rows and not t.get("final")]
+        if not open_ids:
+            break
+        j = in_bracket(bracket_frame(open_ids))
+        sk = {r["__tid"]: r["s"] for r in j.groupBy("__tid").agg(
+            F.percentile_approx("__q", F.array(*[F.lit(x) for x in grid_p]), accuracy).alias("s")).collect()}
+        proposal = {}
+        for i in open_ids:
+            t, s = targets[i], sk[i]
+            m = t["m"]
+            ql = (t["k_lo"] - t["below"]) / max(m - 1, 1)
+            qh = (t["k_hi"] - t["below"]) / max(m - 1, 1)
+            i_lo = max([a for a, x in enumerate(grid_p) if x + eps <= ql], default=None)
+            i_hi = min([a for a, x in enumerate(grid_p) if x - eps >= qh], default=None)
+            proposal[i] = (float(s[i_lo]) if i_lo is not None else t["lo"],
+                           float(s[i_hi]) if i_hi is not None else t["hi"])
+        j = in_bracket(bracket_frame(open_ids))
+        lo_of = F.create_map(*[x for i in open_ids for x in (F.lit(i), F.lit(proposal[i][0]))])
+        hi_of = F.create_map(*[x for i in open_ids for x in (F.lit(i), F.lit(proposal[i][1]))])
+        nlo, nhi = lo_of[F.col("__tid")], hi_of[F.col("__tid")]
+        cnt = {r["__tid"]: (r["lt"], r["le"]) for r in j.groupBy("__tid").agg(
+            F.count_if(nlo.isNotNull() & (F.col("__q") < nlo)).alias("lt"),
+            F.count_if(nhi.isNull() | (F.col("__q") <= nhi)).alias("le")).collect()}
+        for i in open_ids:
+            t = targets[i]
+            lt, le = cnt[i]
+            if t["below"] + lt <= t["k_lo"] and t["k_hi"] < t["below"] + le and le - lt < t["m"]:
+                t["below"] += lt
+                t["lo"], t["hi"] = proposal[i]
+                t["m"] = le - lt
+            else:
+                t["final"] = True   # sketch did not narrow it (ties): order the bracket as it is
+    rows = [(i, *t["g"], t["lo"], t["hi"], t["below"], t["k_lo"], t["k_hi"], t["frac"], t["p"])
+            for i, t in enumerate(targets)]
+    frame = spark.createDataFrame(rows, ", ".join(["__tid int", *key_schema, "__lo double", "__hi double",
+                                                  "__below long", "__klo long", "__khi long", "__frac double",
+                                                  "p double"]))
+    j = in_bracket(frame)
+    w = Window.partitionBy("__tid").orderBy("__q")
+    j = j.withColumn("__r", F.row_number().over(w) - 1 + F.col("__below"))
+    picked = j.where((F.col("__r") == F.col("__klo")) | (F.col("__r") == F.col("__khi")))
+    out = picked.groupBy("__tid", *keys, "p").agg(
+        F.max(F.when(F.col("__r") == F.col("__klo"), F.col("__q"))).alias("__a"),
+        F.max(F.when(F.col("__r") == F.col("__khi"), F.col("__q"))).alias("__b"),
+        F.first("__frac").alias("__frac"))
+    return out.select(*keys, "p", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("value"))

@@ -91,5 +91,20 @@ def test_exact_quantile_matches_numpy(spark):
     x = np.random.default_rng(5).normal(size=20000)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     for p in (0.05, 0.5, 0.75):
-        assert profile.exact_quantile(df, "x", p, max_collect=500, accuracy=200) == pytest.approx(
+        assert profile.exact_quantile(df, "x", p, max_rows=500, accuracy=200) == pytest.approx(
             float(np.quantile(x, p)), abs=1e-12)
+
+
+def test_grouped_exact_quantiles_with_ties_and_refinement(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=20000)
+    g = rng.integers(0, 3, size=20000)
+    x[g == 2] = np.round(x[g == 2])   # heavy ties in one group
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g int, x double")
+    probs = [0.0, 0.05, 0.5, 0.75, 1.0]
+    res = {(r["g"], r["p"]): r["value"]
+           for r in profile.exact_quantiles(df, "x", probs, keys=["g"], max_rows=300, accuracy=300, grid=50).collect()}
+    for k in range(3):
+        for p in probs:
+            assert res[(k, p)] == pytest.approx(float(np.quantile(x[g == k], p)), abs=1e-12)
