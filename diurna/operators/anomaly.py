@@ -3,7 +3,8 @@
 * Sampling (N1): every tree sees ``sample_size`` rows. Each row joins tree ``t``
   when a per-(row, tree) hash falls under a rate sized to give a few times
   ``sample_size`` candidates; the tree keeps its ``sample_size`` smallest hashes.
-  One pass over the data, no n x trees explode (the tree list is filtered
+  One pass over the data with one hash per row (a gate); only the gated pool is
+  hashed per tree, and no rows x trees explode happens (the tree list is filtered
   per row). If some tree got too few candidates the rate is raised and the pass
   repeated, so every tree gets exactly ``min(sample_size, n)`` rows.
 * Building (N1): ``groupBy(tree).applyInPandas`` — each tree is built from its
@@ -134,10 +135,19 @@ def sample_for_trees(df: DataFrame, features, key, n_trees: int, sample_size: in
     keyc = F.col(key) if isinstance(key, str) else key
     base = df.select(keyc.alias("__key"), *[F.col(c).cast("double").alias(c) for c in features])
     while True:
-        thr = int(rate * _MASK53)
+        # A row first passes a gate with probability min(1, trees x rate) (one hash per
+        # row), then joins each tree with probability rate / gate: each tree still
+        # samples every row with probability ``rate``, but only the small gated pool
+        # pays the per-tree hashes.
+        gate = min(1.0, n_trees * rate)
+        g_thr = int(gate * _MASK53)
+        t_thr = int(min(1.0, rate / gate) * _MASK53)
+        pool = base.where(F.xxhash64(F.col("__key"), F.lit(seed), F.lit(-1)).bitwiseAND(F.lit(_MASK53))
+                          < F.lit(g_thr))
         trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: F.xxhash64(F.col("__key"), t, F.lit(seed)).bitwiseAND(F.lit(_MASK53)) < F.lit(thr))
-        cand = base.select("*", F.explode(trees).alias("tree")) \
+                         lambda t: F.xxhash64(F.col("__key"), t, F.lit(seed)).bitwiseAND(F.lit(_MASK53))
+                         < F.lit(t_thr))
+        cand = pool.select("*", F.explode(trees).alias("tree")) \
             .withColumn("__h", F.xxhash64(F.col("__key"), F.col("tree"), F.lit(seed + 1)))
         w = Window.partitionBy("tree").orderBy("__h", "__key")
         # the sample is small (trees x sample_size rows): keep it for the build step
