@@ -92,6 +92,14 @@ def holdout(df_train: DataFrame, df_test: DataFrame, spec: M.ModelSpec, target:
     return fm, regression_metrics(both, target, "prediction", keys=("split",))
 
 
+def holdout_tagged(df: DataFrame, spec: M.ModelSpec, target: str, split_col: str = "split",
+                   train: str = "train"):
+    """M18/M13 on a frame that carries its split tag: fit on the training rows,
+    then one scan scores every row and aggregates metrics per split."""
+    fm = M.fit(spec, df.where(F.col(split_col) == train), target)
+    return fm, regression_metrics(fm.transform(df), target, "prediction", keys=(split_col,))
+
+
 def comparison_row(spec: M.ModelSpec, cv: DataFrame | None, hold: DataFrame) -> DataFrame:
     """CV mean/std beside holdout metrics and the over-fit gap, one row per model.
 

@@ -22,6 +22,20 @@ from ..functions.hashing import hash_int
 from .evaluate import regression_metrics
 from .models import FittedModel, OLSModel
 
+# Per-stratum orders come from one md5 per row: the row hash (31 bits) times a
+# per-(variable, repeat) multiplier, modulo the prime 2^31 - 1 — a bijection on the
+# residues, so each stratum gets its own pseudo-random order without hashing every
+# (row, stratum) pair. Products stay below 2^62 (no overflow in any engine).
+PRIME31 = 2_147_483_647
+
+
+def stratum_multiplier(variable: str, repeat: int, salt: str) -> int:
+    """Deterministic multiplier in [1, 2^31 - 2] for one (variable, repeat)."""
+    import hashlib
+    h = int(hashlib.md5(f"{salt}|{variable}|{repeat}".encode()).hexdigest()[:15], 16)
+    return 1 + h % (PRIME31 - 2)
+
+
 # Rows per permutation block: the shuffle of one (variable, repeat) stratum is done
 # inside hash buckets of about this many rows, so no window partition grows with
 # the data. Bucket membership is itself random, so each row's donor is uniform
@@ -30,9 +44,10 @@ from .models import FittedModel, OLSModel
 BLOCK_ROWS = 1_000_000
 
 
-def _strata(spark, groups: dict, n_repeats: int) -> DataFrame:
-    rows = [(v, r) for v in groups for r in range(n_repeats)]
-    return spark.createDataFrame(rows, "variable string, repeat int")
+def _strata(spark, groups: dict, n_repeats: int, salt: str) -> DataFrame:
+    rows = [(v, r, stratum_multiplier(v, r, salt), stratum_multiplier(v, r, salt + "-block"))
+            for v in groups for r in range(n_repeats)]
+    return spark.createDataFrame(rows, "variable string, repeat int, __mul long, __bmul long")
 
 
 def permuted_scores(df: DataFrame, fitted: FittedModel, target: str, groups: dict, key: str,
@@ -47,14 +62,13 @@ def permuted_scores(df: DataFrame, fitted: FittedModel, target: str, groups: dic
     spark = df.sparkSession
     if assignment is not None:
         return _supplied_scores(df, fitted, target, groups, key, assignment)
-    st = F.broadcast(_strata(spark, groups, n_repeats))
-    base = df.crossJoin(st)  # strata count is fixed (variables x repeats); rows x strata is the work
-    hkey = hash_int(F.concat_ws("|", qcol(key).cast("string"), F.col("variable"), F.col("repeat").cast("string")),
-                    salt)
+    st = F.broadcast(_strata(spark, groups, n_repeats, salt))
+    # one md5 per row; strata only multiply it (rows x strata is the work)
+    base = df.withColumn("__rh", F.pmod(hash_int(qcol(key), salt), F.lit(PRIME31))).crossJoin(st)
+    hkey = F.pmod(F.col("__rh") * F.col("__mul"), F.lit(PRIME31))
     n = df.count()
     blocks = max(1, n // block_rows)
-    tag = F.concat_ws("|", qcol(key).cast("string"), F.col("variable"), F.col("repeat").cast("string"))
-    blk = F.pmod(hash_int(tag, salt + "-block"), F.lit(blocks))
+    blk = F.pmod(F.pmod(F.col("__rh") * F.col("__bmul"), F.lit(PRIME31)), F.lit(blocks))
     strata = ["variable", "repeat", "__b"]
     w_key = Window.partitionBy(*strata).orderBy(key)
     w_hash = Window.partitionBy(*strata).orderBy("__h", key)

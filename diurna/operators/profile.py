@@ -401,17 +401,25 @@ def exact_quantiles(df: DataFrame, col: str, probs, keys=(), max_rows: int = 1_0
                 t["m"] = le - lt
             else:
                 t["final"] = True   # sketch did not narrow it (ties): order the bracket as it is
-    rows = [(i, *t["g"], t["lo"], t["hi"], t["below"], t["k_lo"], t["k_hi"], t["frac"], t["p"])
-            for i, t in enumerate(targets)]
-    frame = spark.createDataFrame(rows, ", ".join(["__tid int", *key_schema, "__lo double", "__hi double",
-                                                  "__below long", "__klo long", "__khi long", "__frac double",
-                                                  "p double"]))
+    # Final pass. Targets sharing a bracket (e.g. all quartiles of a small group)
+    # share one window partition; each partition holds at most max_rows rows.
+    brackets, bid_of = {}, []
+    for t in targets:
+        b = (t["g"], t["lo"], t["hi"], t["below"])
+        bid_of.append(brackets.setdefault(b, len(brackets)))
+    frame = spark.createDataFrame([(bid, *g, lo, hi, below) for (g, lo, hi, below), bid in brackets.items()],
+                                  ", ".join(["__tid int", *key_schema, "__lo double", "__hi double", "__below long"]))
+    needs = spark.createDataFrame(
+        [(bid_of[i], r, i, role) for i, t in enumerate(targets) for r, role in ((t["k_lo"], 0), (t["k_hi"], 1))],
+        "__tid int, __r long, __target int, __role int")
+    info = spark.createDataFrame([(i, t["p"], t["frac"]) for i, t in enumerate(targets)],
+                                 "__target int, p double, __frac double")
     j = in_bracket(frame)
     w = Window.partitionBy("__tid").orderBy("__q")
     j = j.withColumn("__r", F.row_number().over(w) - 1 + F.col("__below"))
-    picked = j.where((F.col("__r") == F.col("__klo")) | (F.col("__r") == F.col("__khi")))
-    out = picked.groupBy("__tid", *keys, "p").agg(
-        F.max(F.when(F.col("__r") == F.col("__klo"), F.col("__q"))).alias("__a"),
-        F.max(F.when(F.col("__r") == F.col("__khi"), F.col("__q"))).alias("__b"),
+    picked = j.join(F.broadcast(needs), on=["__tid", "__r"]).join(F.broadcast(info), on="__target")
+    out = picked.groupBy("__target", *keys, "p").agg(
+        F.max(F.when(F.col("__role") == 0, F.col("__q"))).alias("__a"),
+        F.max(F.when(F.col("__role") == 1, F.col("__q"))).alias("__b"),
         F.first("__frac").alias("__frac"))
     return out.select(*keys, "p", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("value"))

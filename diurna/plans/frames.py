@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_bucket, hash_fraction, hash_int, sql_hash_int
+from ..functions.hashing import hash_int
 from ..sources.tables import read_table
 
 TEST_FRACTION = 0.2
@@ -26,49 +26,66 @@ SQL_KEY_TEXT = ("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber A
                 "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))")
 
 
-def line_key():
-    """Row key: salted md5 of the identifying columns (same value in SQL via SQL_KEY_TEXT)."""
-    text = F.concat_ws("|", *[F.col(c).cast("string") for c in KEY_COLUMNS],
+_SPACE = float(16 ** 15)
+
+
+def _key_text():
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in KEY_COLUMNS],
                        F.to_date("l_shipdate").cast("string"),
                        F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
-    return hash_int(text, "li")
+
+
+def line_key():
+    """Row key: salted md5 of the identifying columns (same value in SQL via SQL_KEY_TEXT)."""
+    return hash_int(_key_text(), "li")
 
 
 N_FOLDS = 5
 
 
 def line_frame(spark, base: str, where=None) -> DataFrame:
-    """``where`` is applied on the raw table so it is pushed into the scan."""
+    """One md5 per row gives the key (digits 1-15), the split (digits 16-30,
+    independent bits) and the fold (key mod 5). ``where`` is applied on the raw
+    table so it is pushed into the scan."""
     li = read_table(spark, base, "lineitem")
     if where is not None:
         li = li.where(where)
-    return li.select(
-        line_key().alias("li_key"),
+    d = li.select("*", F.md5(F.concat(F.lit("li|"), _key_text())).alias("__d"))
+    key = F.conv(F.substring("__d", 1, 15), 16, 10).cast("long")
+    frac = F.conv(F.substring("__d", 16, 15), 16, 10).cast("long") / F.lit(_SPACE)
+    return d.select(
+        key.alias("li_key"),
         F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice"),
         F.col("l_returnflag"), F.col("l_linestatus"),
         F.month("l_shipdate").alias("ship_month"), F.year("l_shipdate").alias("ship_year"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+        F.when(frac < TEST_FRACTION, "test").otherwise("train").alias("split"),
+        F.pmod(key, F.lit(N_FOLDS)).cast("int").alias("fold"))
 
 
 def with_split_and_fold(df: DataFrame, key: str = "li_key") -> DataFrame:
-    return df.withColumn("split", F.when(hash_fraction(key, "split") < TEST_FRACTION, "test").otherwise("train")) \
-             .withColumn("fold", hash_bucket(key, N_FOLDS, "fold"))
+    """Split and fold already come with :func:`line_frame` (kept for callers)."""
+    return df
+
+
+def _sql_digits(start: int) -> str:
+    return f"CAST(('0x' || substr(__d, {start}, 15))::UBIGINT AS BIGINT)"
 
 
-# SQL twin of line_frame + with_split_and_fold (oracle side).
+# SQL twin of line_frame (oracle side).
 SQL_LINE_FRAME = f"""
-SELECT {sql_hash_int(SQL_KEY_TEXT, "li")} AS li_key, l_quantity, l_discount, l_tax, l_extendedprice,
+SELECT {_sql_digits(1)} AS li_key, l_quantity, l_discount, l_tax, l_extendedprice,
        l_returnflag, l_linestatus, CAST(month(l_shipdate) AS INTEGER) AS ship_month,
-       CAST(year(l_shipdate) AS INTEGER) AS ship_year, l_extendedprice * (1 - l_discount) AS revenue
-FROM lineitem"""
+       CAST(year(l_shipdate) AS INTEGER) AS ship_year, l_extendedprice * (1 - l_discount) AS revenue,
+       CASE WHEN CAST({_sql_digits(16)} AS DOUBLE) / {_SPACE} < {TEST_FRACTION} THEN 'test' ELSE 'train' END
+         AS split,
+       CAST({_sql_digits(1)} % {N_FOLDS} AS INTEGER) AS fold
+FROM (SELECT *, md5('li|' || {SQL_KEY_TEXT}) AS __d FROM lineitem)"""
 
 
 def sql_split_fold(src: str = SQL_LINE_FRAME, key: str = "li_key") -> str:
-    from ..functions.hashing import sql_hash_int
-    frac = f"(CAST({sql_hash_int(key, 'split')} AS DOUBLE) / {float(16 ** 15)})"
-    fold = f"CAST({sql_hash_int(key, 'fold')} % {N_FOLDS} AS INTEGER)"
-    return f"""SELECT *, CASE WHEN {frac} < {TEST_FRACTION} THEN 'test' ELSE 'train' END AS split,
-       {fold} AS fold FROM ({src})"""
+    """The line frame already carries split and fold."""
+    return src
 
 
 def daily_demand(spark, base: str) -> DataFrame:

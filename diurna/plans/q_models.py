@@ -72,7 +72,7 @@ def q_ols_coefficients(spark, base):
 {_sql_metrics('p', 'split')}""")
 def q_ols_holdout(spark, base):
     d = _frame(spark, base)
-    _, met = E.holdout(S.part(d, "train"), S.part(d, "test"), OLS2, "revenue")
+    _, met = E.holdout_tagged(d, OLS2, "revenue")
     return _round_metrics(met, ["split"])
 
 
@@ -140,20 +140,26 @@ def q_worst_predictions(spark, base):
                     F.col("rank").cast("int").alias("rank"))
 
 
-_PERM_HASH = sql_hash_int("concat_ws('|', CAST(li_key AS VARCHAR), variable, CAST(repeat AS VARCHAR))", "perm")
+def _perm_strata_sql():
+    from ..operators.importance import stratum_multiplier
+    rows = ", ".join(f"('{v}', {r}, {stratum_multiplier(v, r, 'perm')})"
+                     for v in ("l_quantity", "l_discount") for r in range(N_PERM))
+    return f"(VALUES {rows}) v(variable, repeat, mul)"
+
+
+_ROW_HASH = f"({sql_hash_int('li_key', 'perm')} % 2147483647)"
 
 
 @register("permutation_importance", covers=("M22", "M23", "M24"), sql=f"""
 {SQL_BASE},
- t AS (SELECT p.*, c.b1, c.b2 FROM p, c WHERE split = 'test'),
- s AS (SELECT variable, CAST(r AS INTEGER) AS repeat
-       FROM (VALUES ('l_quantity'), ('l_discount')) v(variable), range({N_PERM}) x(r)),
- x AS (SELECT t.li_key, t.revenue, t.prediction, s.variable, s.repeat,
+ t AS (SELECT p.*, c.b1, c.b2, {_ROW_HASH} AS rh FROM p, c WHERE split = 'test'),
+ s AS (SELECT variable, CAST(repeat AS INTEGER) AS repeat, CAST(mul AS BIGINT) AS mul FROM {_perm_strata_sql()}),
+ x AS (SELECT t.li_key, t.revenue, t.prediction, s.variable, s.repeat, (t.rh * s.mul) % 2147483647 AS h,
               CASE WHEN s.variable = 'l_quantity' THEN b1 * l_quantity ELSE b2 * l_discount END AS contrib
        FROM t, s),
  recv AS (SELECT *, row_number() OVER (PARTITION BY variable, repeat ORDER BY li_key) AS pos FROM x),
  donor AS (SELECT variable, repeat, contrib AS c_new,
-                  row_number() OVER (PARTITION BY variable, repeat ORDER BY {_PERM_HASH}, li_key) AS pos FROM x),
+                  row_number() OVER (PARTITION BY variable, repeat ORDER BY h, li_key) AS pos FROM x),
  j AS (SELECT recv.variable, recv.repeat, revenue, prediction - contrib + c_new AS pp
        FROM recv JOIN donor USING (variable, repeat, pos)),
  r2 AS (SELECT variable, repeat, 1 - sum((revenue - pp) * (revenue - pp)) / (var_pop(revenue) * count(*)) AS r2
@@ -184,7 +190,7 @@ FROM p WHERE split = 'test'""")
 def q_metric_record(spark, base):
     d = _frame(spark, base)
     train, test = S.part(d, "train"), S.part(d, "test")
-    fm, met = E.holdout(train, test, OLS2, "revenue")
+    fm, met = E.holdout_tagged(d, OLS2, "revenue")
     counts = {r["split"]: r["n"] for r in met.select("split", "n").collect()}
     rec = E.metric_record(OLS2, "revenue", met, counts["train"], counts["test"], 0.2, 42)
     return rec.select("model", "target", "features", "test_size", "random_state", "n_train", "n_test",
