@@ -39,11 +39,16 @@ def event_code(col="event_type"):
     return F.coalesce(m[F.col(col)], F.lit(DEFAULT_CODE))
 
 
+def hour_start(ts):
+    """Start of the hour of a naive timestamp, independent of the session time zone."""
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
+
+
 def hourly_log(events: DataFrame, n_series: int = 4) -> DataFrame:
     """Events -> one row per (series, hour)."""
     e = events.select(
         F.pmod(F.col("user_id"), F.lit(n_series)).cast("int").alias("series"),
-        F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("timestamp"),
+        hour_start(F.col("ts")).alias("timestamp"),
         "ts", "event_id", "value", event_code().alias("__code"))
     h = e.groupBy("series", "timestamp").agg(
         F.count(F.lit(1)).alias("cnt"),
