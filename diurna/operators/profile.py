@@ -214,7 +214,9 @@ def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
     q = (q.withColumn("lo_fence", F.col("q1") - whis * (F.col("q3") - F.col("q1")))
           .withColumn("hi_fence", F.col("q3") + whis * (F.col("q3") - F.col("q1"))))
     v = F.col(measure)
-    j = df.select(group, measure).join(q, on=group)
+    # one row per group, bounded by exact_quantiles' target limit: broadcast, so a
+    # hot group is never shuffled to a single task
+    j = df.select(group, measure).join(F.broadcast(q), on=group)
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
     w = j.groupBy(group).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
@@ -225,7 +227,7 @@ def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
 def box_fliers(df: DataFrame, group: str, measure: str, whis: float = 1.5) -> DataFrame:
     """The flier rows themselves (outside the whiskers' fences)."""
     q = _group_quartiles(df, group, measure, None).select(group, "q1", "q3")
-    j = df.join(q, on=group)
+    j = df.join(F.broadcast(q), on=group)
     iqr = F.col("q3") - F.col("q1")
     v = F.col(measure)
     return j.where((v < F.col("q1") - whis * iqr) | (v > F.col("q3") + whis * iqr)).drop("q1", "q3")
