@@ -33,8 +33,14 @@ BOOSTED_CHECK = {"maxIter": 60, "maxDepth": 3, "stepSize": 0.1}
 ANOMALY_FEATURES = ["quantity", "discount", "tax", "price", "cnt"]
 
 
+def _days(spark, base):
+    """The daily frame has one row per calendar day whatever the table size, so
+    keeping it cached across the several passes of a query is cheap."""
+    return daily_demand(spark, base).cache()
+
+
 def _daily(spark, base):
-    d = daily_demand(spark, base)
+    d = _days(spark, base)
     d = S.temporal_split(d.withColumn("year", F.col("year")), "year", CUT_YEAR)
     return S.kfold(d, "date", 5)
 
@@ -156,7 +162,7 @@ def q_isolation_forest(spark, base):
 @register("anomaly_causes", covers=("N4", "K4", "A16", "U3"))
 def q_anomaly_causes(spark, base):
     """Daily demand: anomalies and the feature whose median restores them most."""
-    d = daily_demand(spark, base)
+    d = _days(spark, base)
     out, model = N.detect(d, ANOMALY_FEATURES, "date", n_trees=300, contamination=0.05)
     return N.attribute_causes(out, model, "date")
 
@@ -169,7 +175,7 @@ def q_anomaly_cause_counts(spark, base):
 @register("anomalies_by_period", covers=("N6",))
 def q_anomalies_by_period(spark, base):
     """Each year's days scored against that year's own distribution."""
-    d = daily_demand(spark, base)
+    d = _days(spark, base)
     out = N.detect_by_period(d, "year", ANOMALY_FEATURES, "date", n_trees=100, contamination=0.05)
     return out.select("year", "date", "anomaly_score", "is_outlier")
 
