@@ -194,7 +194,8 @@ def score(df: DataFrame, model: IsolationForestModel, out: str = "score_samples"
         e = path_lengths(bc.value, x)
         return pd.Series(-np.power(2.0, -e / cpsi))
 
-    return df.withColumn(out, _score(*[F.col(c).cast("double") for c in feats]))
+    from ..session import spread
+    return spread(df).withColumn(out, _score(*[F.col(c).cast("double") for c in feats]))
 
 
 def threshold(scored: DataFrame, contamination: float = 0.05, col: str = "score_samples") -> float:

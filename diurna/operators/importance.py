@@ -64,7 +64,8 @@ def permuted_scores(df: DataFrame, fitted: FittedModel, target: str, groups: dic
         return _supplied_scores(df, fitted, target, groups, key, assignment)
     st = F.broadcast(_strata(spark, groups, n_repeats, salt))
     # one md5 per row; strata only multiply it (rows x strata is the work)
-    base = df.withColumn("__rh", F.pmod(hash_int(qcol(key), salt), F.lit(PRIME31))).crossJoin(st)
+    from ..session import spread
+    base = spread(df.withColumn("__rh", F.pmod(hash_int(qcol(key), salt), F.lit(PRIME31)))).crossJoin(st)
     hkey = F.pmod(F.col("__rh") * F.col("__mul"), F.lit(PRIME31))
     n = df.count()
     blocks = max(1, n // block_rows)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
+from ..session import spread
 from ..sources.tables import read_table
 
 TEST_FRACTION = 0.2
@@ -27,6 +28,8 @@ SQL_KEY_TEXT = ("concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber A
 
 
 _SPACE = float(16 ** 15)
+LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
+                "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 def _key_text():
@@ -50,6 +53,7 @@ def line_frame(spark, base: str, where=None) -> DataFrame:
     li = read_table(spark, base, "lineitem")
     if where is not None:
         li = li.where(where)
+    li = spread(li.select(*LINE_COLUMNS))   # the md5 below is per-row CPU work
     d = li.select("*", F.md5(F.concat(F.lit("li|"), _key_text())).alias("__d"))
     key = F.conv(F.substring("__d", 1, 15), 16, 10).cast("long")
     frac = F.conv(F.substring("__d", 16, 15), 16, 10).cast("long") / F.lit(_SPACE)
