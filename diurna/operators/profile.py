@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -425,3 +426,64 @@ def exact_quantiles(df: DataFrame, col: str, probs, keys=(), max_rows: int = 1_0
         F.max(F.when(F.col("__role") == 1, F.col("__q"))).alias("__b"),
         F.first("__frac").alias("__frac"))
     return out.select(*keys, "p", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("value"))
+
+
+def _betacf(a, b, x, iters: int = 300, eps: float = 1e-15):
+    """Continued fraction of the regularized incomplete beta (modified Lentz)."""
+    import numpy as np
+    tiny = 1e-300
+    qab, qap, qam = a + b, a + 1.0, a - 1.0
+    c = np.ones_like(x)
+    d = 1.0 - qab * x / qap
+    d = np.where(np.abs(d) < tiny, tiny, d)
+    d = 1.0 / d
+    h = d.copy()
+    for m in range(1, iters + 1):
+        m2 = 2 * m
+        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
+        d = 1.0 + aa * d
+        d = np.where(np.abs(d) < tiny, tiny, d)
+        c = 1.0 + aa / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        d = 1.0 / d
+        h *= d * c
+        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
+        d = 1.0 + aa * d
+        d = np.where(np.abs(d) < tiny, tiny, d)
+        c = 1.0 + aa / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        d = 1.0 / d
+        delta = d * c
+        h *= delta
+        if np.all(np.abs(delta - 1.0) < eps):
+            break
+    return h
+
+
+def student_t_two_sided_p(t, df):
+    """Two-sided p-value of Student's t with (fractional) degrees of freedom.
+
+    p = I_x(df/2, 1/2) with x = df / (df + t²), the regularized incomplete beta.
+    Vectorised numpy; used on small result tables (a handful of contrasts)."""
+    import math
+    import numpy as np
+    t = np.asarray(t, dtype=float)
+    df = np.asarray(df, dtype=float)
+    x = df / (df + t * t)
+    a, b = df / 2.0, 0.5
+    lbeta = np.vectorize(lambda u, v: math.lgamma(u) + math.lgamma(v) - math.lgamma(u + v))(a, b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(a * np.log(x) + b * np.log1p(-x) - lbeta)
+    direct = front * _betacf(a, b, x) / a                     # valid for x < (a+1)/(a+b+2)
+    flipped = 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    return np.where(x < (a + 1.0) / (a + b + 2.0), direct, flipped)
+
+
+def welch_p_values(contrast: DataFrame) -> DataFrame:
+    """Adds the two-sided p-value of each Welch t (a pandas UDF over the
+    contrast table, whose size is the number of subsets)."""
+    @F.pandas_udf("double")
+    def _p(t: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(student_t_two_sided_p(t.to_numpy(), d.to_numpy()))
+
+    return contrast.withColumn("p_value", _p(F.col("welch_t"), F.col("welch_df")))

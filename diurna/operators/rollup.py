@@ -180,6 +180,16 @@ def coverage_summary(cov: DataFrame, keys=(), hours_per_day: int = 24) -> DataFr
         F.sum("hours_missing").cast("long").alias("hours_missing"))
 
 
+def worst_coverage_days(cov: DataFrame, keys=(), k: int = 10) -> DataFrame:
+    """The k days with the most missing hours (ties: earlier day first).
+
+    A top-k: each task keeps its own k rows, k rows per task reach the merge."""
+    from pyspark.sql import Window
+    order = [F.col("hours_missing").desc(), *[F.col(c) for c in keys], F.col("date")]
+    top = cov.where(F.col("hours_missing") > 0).orderBy(*order).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
+
+
 def reconcile_totals(hourly: DataFrame, daily: DataFrame, cols, keys=()) -> DataFrame:
     """Hourly total vs daily total per summed column (and per series)."""
     hs = hourly.groupBy(*keys).agg(*[F.sum(c).alias(f"hourly_{c}") for c in cols])

@@ -251,6 +251,14 @@ def q_two_sample_contrast(spark, base):
                     *[F.bround(x, 6).alias(x) for x in ("pct_change", "welch_t", "welch_df")])
 
 
+@register("welch_p_values", covers=("A28",))
+def q_welch_p_values(spark, base):
+    """The contrast table with two-sided p-values (t distribution has no SQL twin)."""
+    c = profile.welch_contrast(_t(spark, base, "orders"), "o_totalprice", "o_orderstatus", "F", "O",
+                               by="o_orderpriority")
+    return profile.welch_p_values(c)
+
+
 @register("distinct_sorted", covers=("A29",), sql="""
 SELECT l_linestatus, CAST(row_number() OVER (ORDER BY l_linestatus) AS INTEGER) AS position
 FROM (SELECT DISTINCT l_linestatus FROM lineitem)""")

@@ -118,6 +118,16 @@ def q_hour_coverage_summary(spark, base):
     return rollup.coverage_summary(cov, keys=("series",))
 
 
+@register("worst_coverage_days", covers=("A24", "K2"), sql=f"""
+SELECT series, date, n_hours_observed, hours_missing,
+       CAST(row_number() OVER (ORDER BY hours_missing DESC, series, date) AS INTEGER) AS rank
+FROM ({SQL_COVERAGE}) WHERE hours_missing > 0
+ORDER BY hours_missing DESC, series, date LIMIT 10""")
+def q_worst_coverage_days(spark, base):
+    cov = rollup.coverage(hourly_log(_events(spark, base)), EVENTS_SPEC)
+    return rollup.worst_coverage_days(cov, keys=("series",), k=10)
+
+
 @register("reconcile_totals", covers=("A25", "J1"), sql=f"""
 WITH hs AS (SELECT series, CAST(sum(cnt) AS BIGINT) AS hourly_cnt FROM ({SQL_HOURLY}) GROUP BY series),
  ds AS (SELECT series, CAST(sum(cnt) AS BIGINT) AS daily_cnt FROM ({SQL_DAILY}) GROUP BY series),

@@ -108,3 +108,11 @@ def test_grouped_exact_quantiles_with_ties_and_refinement(spark):
     for k in range(3):
         for p in probs:
             assert res[(k, p)] == pytest.approx(float(np.quantile(x[g == k], p)), abs=1e-12)
+
+
+def test_student_t_p_values():
+    import numpy as np
+    # reference values of the two-sided t test
+    got = profile.student_t_two_sided_p(np.array([2.0, 1.0, 3.5, 0.0, -2.0]), np.array([10.0, 5.0, 30.0, 7.0, 10.0]))
+    want = [0.07338803, 0.36321747, 0.00147681, 1.0, 0.07338803]   # checked by numeric integration
+    assert np.allclose(got, want, atol=2e-7)
