@@ -147,3 +147,31 @@ def metric_record(spec: M.ModelSpec, target: str, metrics: DataFrame, n_train: i
                     F.lit(",".join(spec.features)).alias("features"), F.lit(float(test_size)).alias("test_size"),
                     F.lit(int(seed)).alias("random_state"), F.lit(int(n_train)).cast("long").alias("n_train"),
                     F.lit(int(n_test)).cast("long").alias("n_test"), "R2", "RMSE", "MAE")
+
+
+def cv_holdout_agreement(table: DataFrame, cv_metric: str = "CV_R2_mean", holdout_metric: str = "holdout_R2",
+                         key: str = "model") -> DataFrame:
+    """Does the model that wins cross-validation also win the holdout?"""
+    cv = table.agg(F.max_by(key, F.struct(F.col(cv_metric), F.col(key))).alias("cv_winner"))
+    ho = table.agg(F.max_by(key, F.struct(F.col(holdout_metric), F.col(key))).alias("holdout_winner"))
+    return cv.crossJoin(ho).withColumn("agree", F.col("cv_winner") == F.col("holdout_winner"))
+
+
+def tuning_report(train: DataFrame, test: DataFrame, kind: str, features, target: str, best_params: dict,
+                  default_params: dict | None = None, fold_col: str = "fold") -> DataFrame:
+    """before/after tuning — default and tuned configurations, each refit on
+    all training rows and scored once on the holdout, with CV R² and the over-fit gap."""
+    import json
+    rows = None
+    for stage, params in (("default", default_params or {}), ("tuned", M.to_spark_params(kind, best_params))):
+        spec = M.ModelSpec(f"{kind}_{stage}", kind, tuple(features), params)
+        _, hold = holdout(train, test, spec, target)
+        cv = fold_summary(cross_validate(train, spec, target, fold_col))
+        h = hold.groupBy().agg(
+            F.max(F.when(F.col("split") == "train", F.col("R2"))).alias("train_R2"),
+            *[F.max(F.when(F.col("split") == "test", F.col(m))).alias(f"test_{m}") for m in ("R2", "RMSE", "MAE")])
+        row = h.crossJoin(cv.select("CV_R2_mean", "CV_RMSE_mean", "CV_MAE_mean")).select(
+            F.lit(stage).alias("stage"), "*", F.lit(json.dumps(best_params if stage == "tuned" else params,
+                                                               sort_keys=True, default=str)).alias("best_params"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows.withColumn("overfit_gap", F.col("train_R2") - F.col("test_R2"))

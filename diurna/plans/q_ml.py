@@ -123,6 +123,29 @@ def q_forest_search(spark, base):
     return table
 
 
+@register("forest_tuning_report", covers=("M16", "M17", "M18"))
+def q_forest_tuning_report(spark, base):
+    """Search a forest, then default vs tuned: refit on the training years, holdout once."""
+    d = _daily(spark, base)
+    train, test = S.part(d, "train"), S.part(d, "test")
+    space = {"n_estimators": [10, 20], "max_depth": [5, 8], "min_samples_leaf": [1, 4],
+             "max_features": ["sqrt", 1.0]}
+    _, best = M.random_search(train, "forest", TREE, "cnt", space, n_draws=2, seed=42)
+    return E.tuning_report(train, test, "forest", TREE, "cnt", best, default_params={"numTrees": 10, "maxDepth": 5})
+
+
+@register("cv_holdout_agreement", covers=("M20",))
+def q_cv_holdout_agreement(spark, base):
+    d, specs = _specs(_daily(spark, base))
+    train, test = S.part(d, "train"), S.part(d, "test")
+    rows = None
+    for spec in specs[:2]:
+        _, hold = E.holdout(train, test, spec, "cnt")
+        row = E.comparison_row(spec, E.cross_validate(train, spec, "cnt"), hold)
+        rows = row if rows is None else rows.unionByName(row)
+    return E.cv_holdout_agreement(rows)
+
+
 @register("forest_importance", covers=("M21", "M22", "M24"))
 def q_forest_importance(spark, base):
     """Impurity importance next to permutation importance of a forest, by feature name."""
