@@ -20,7 +20,7 @@ from ..operators import importance as I
 from ..operators import models as M
 from ..operators import report as R
 from ..operators import split as S
-from .frames import daily_demand, line_frame, with_split_and_fold
+from .frames import daily_demand, line_frame
 from .registry import register
 
 ORDINAL = ("month", "day", "weekday_ord", "season", "is_weekend", "quantity", "discount", "price")

@@ -1,7 +1,6 @@
 """Rows-only operators checked against brute force on small fixtures."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
