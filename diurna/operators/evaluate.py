@@ -88,7 +88,7 @@ def holdout(df_train: DataFrame, df_test: DataFrame, spec: M.ModelSpec, target:
     Returns (fitted model, metrics with a ``split`` column)."""
     fm = M.fit(spec, df_train, target)
     both = fm.transform(df_train.withColumn("split", F.lit("train"))).unionByName(
-        fm.transform(df_test.withColumn("split", F.lit("test"))))
+        fm.transform(df_test.withColumn("split", F.lit("test"))), allowMissingColumns=True)
     return fm, regression_metrics(both, target, "prediction", keys=("split",))
 
 

@@ -136,3 +136,34 @@ def test_isolation_forest_band(london):
     assert {"2015-07-01", "2015-07-09"} <= set(ours[:10])
     causes = N.attribute_causes(out, model, "instant")
     assert causes.count() == 19 and set(r["cause"] for r in causes.collect()) <= set(feats)
+
+
+def test_final_comparison_table(spark, london):
+    """Entry 2 end to end: the two OLS rows of the published final comparison."""
+    from diurna.plans.analysis import final_comparison
+    tr, te = (_prep(d) for d in london)
+    trf = S.with_assignment(tr, _fold_table(spark), "instant")
+    tr1, te1, feats = _onehot(trf, te)
+    specs = [M.ModelSpec("LinearRegression_onehot", "ols", tuple(feats)),
+             M.ModelSpec("LinearRegression_ordinal", "ols", tuple(LINEAR))]
+    t = {r["model"]: r for r in final_comparison(tr1, te1, specs, "cnt").collect()}
+    oh, od = t["LinearRegression_onehot"], t["LinearRegression_ordinal"]
+    assert oh["rank"] == 1 and od["rank"] == 2
+    assert oh["CV_R2_mean"] == pytest.approx(0.7617889910149874, abs=1e-9)
+    assert oh["CV_R2_std"] == pytest.approx(0.016409978615003817, abs=1e-9)
+    assert oh["holdout_R2"] == pytest.approx(0.7690425889211305, abs=1e-9)
+    assert od["holdout_RMSE"] == pytest.approx(4321.3993961547685, abs=1e-5)
+    assert od["holdout_MAE"] == pytest.approx(3295.1639741868953, abs=1e-5)
+
+
+def test_worst_error_and_anomaly_overlap_2016(spark, london):
+    """Entry 3: the largest 2016 error is Christmas day (published 24,245)."""
+    from diurna.plans.analysis import error_anomaly_overlap
+    tr, te = (_prep(d) for d in london)
+    tr1, te1, feats = _onehot(tr, te)
+    fm = M.fit(M.ModelSpec("onehot", "ols", tuple(feats)), tr1, "cnt")
+    te2 = te1.withColumn("date", F.make_date("year", "month", "day").cast("string"))
+    scored, _ = N.detect(te2, ["t1", "t2", "hum", "wind_speed", "weather_code", "cnt"], "date", n_trees=100)
+    w = error_anomaly_overlap(fm, te2, scored, "date", "cnt").orderBy("rank").collect()
+    assert w[0]["date"] == "2016-12-25" and w[0]["abs_error"] == pytest.approx(24245.43033396462, abs=1e-6)
+    assert len(w) == 10 and scored.where("is_outlier").count() == 19
