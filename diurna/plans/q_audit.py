@@ -80,9 +80,9 @@ def q_leverage(spark, base):
 
 
 def _onehot_sql():
-    pr = ",\n  ".join(f"CASE WHEN o_orderpriority = '{p}' THEN 1.0 ELSE 0.0 END AS \"o_orderpriority_{p}\""
+    pr = ",\n  ".join(f"CASE WHEN o_orderpriority = '{p}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"o_orderpriority_{p}\""
                       for p in PRIORITIES[1:])
-    st = ",\n  ".join(f"CASE WHEN o_orderstatus = '{s}' THEN 1.0 ELSE 0.0 END AS \"o_orderstatus_{s}\""
+    st = ",\n  ".join(f"CASE WHEN o_orderstatus = '{s}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"o_orderstatus_{s}\""
                       for s in ["O", "P"])
     return f"SELECT o_orderkey, o_totalprice,\n  {pr},\n  {st}\nFROM orders"
 
@@ -97,9 +97,9 @@ def q_one_hot(spark, base):
 @register("one_hot_union_levels", covers=("F2", "J6", "M2"), sql=f"""
 WITH d AS ({SQL_LINE_FRAME}),
  lv AS (SELECT min(ship_year) AS y0, count(DISTINCT ship_year) AS k FROM d)
-SELECT li_key, CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END AS "l_returnflag_N",
-       CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS "l_returnflag_R",
-       CASE WHEN ship_year > y0 THEN 1.0 ELSE 0.0 END AS year_dummy_sum,
+SELECT li_key, CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "l_returnflag_N",
+       CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "l_returnflag_R",
+       CASE WHEN ship_year > y0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS year_dummy_sum,
        CAST(k - 1 AS BIGINT) AS n_year_dummies
 FROM d, lv WHERE ship_year >= 2000""")
 def q_one_hot_union(spark, base):

@@ -180,7 +180,7 @@ def q_permutation_importance(spark, base):
 @register("metric_record", covers=("M10", "M9", "J8"), sql=f"""
 {SQL_BASE}
 SELECT 'ols_quantity_discount' AS model, 'revenue' AS target, 'l_quantity,l_discount' AS features,
-       0.2 AS test_size, 42 AS random_state,
+       0.2::DOUBLE AS test_size, 42 AS random_state,
        (SELECT CAST(count(*) AS BIGINT) FROM d WHERE split = 'train') AS n_train,
        CAST(count(*) AS BIGINT) AS n_test,
        round_even(1 - sum((revenue - prediction) * (revenue - prediction)) / (var_pop(revenue) * count(*)), 6) AS "R2",

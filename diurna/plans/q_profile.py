@@ -271,8 +271,8 @@ def q_distinct_sorted(spark, base):
 WITH h AS (
   SELECT date_trunc('hour', ts) AS timestamp, CAST(((user_id % 4) + 4) % 4 AS INTEGER) AS series,
          count(*) AS cnt, max(value) AS reading,
-         arg_max(CASE event_type WHEN 'error' THEN 7.0 WHEN 'purchase' THEN 7.0
-                   WHEN 'signup' THEN 3.0 ELSE 1.0 END, (ts, event_id)) AS code
+         arg_max(CASE event_type WHEN 'error' THEN 7.0::DOUBLE WHEN 'purchase' THEN 7.0::DOUBLE
+                   WHEN 'signup' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END, (ts, event_id)) AS code
   FROM events GROUP BY 1, 2),
  hh AS (SELECT *, CAST(hour(timestamp) AS INTEGER) AS hr FROM h),
  m AS (SELECT code, hr, count(*) AS k FROM hh GROUP BY 1, 2)

@@ -15,14 +15,14 @@ SQL_HOURLY = """
          date_trunc('hour', ts) AS timestamp,
          CAST(count(*) AS BIGINT) AS cnt,
          max(value) AS reading,
-         arg_max(CASE event_type WHEN 'error' THEN 7.0 WHEN 'purchase' THEN 7.0
-                   WHEN 'signup' THEN 3.0 ELSE 1.0 END, (ts, event_id)) AS code
+         arg_max(CASE event_type WHEN 'error' THEN 7.0::DOUBLE WHEN 'purchase' THEN 7.0::DOUBLE
+                   WHEN 'signup' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END, (ts, event_id)) AS code
   FROM events GROUP BY 1, 2"""
 
 SQL_HOURLY_FLAGS = f"""
   SELECT *, CAST(timestamp AS DATE) AS date, CAST(hour(timestamp) AS INTEGER) AS hour,
-         CASE WHEN dayofweek(timestamp) IN (0, 6) THEN 1.0 ELSE 0.0 END AS is_weekend,
-         0.0 AS is_holiday
+         CASE WHEN dayofweek(timestamp) IN (0, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_weekend,
+         0.0::DOUBLE AS is_holiday
   FROM ({SQL_HOURLY})"""
 
 SQL_SEVERITY_ROWS = f"""
@@ -163,8 +163,8 @@ WITH h AS (SELECT *, count(*) OVER (PARTITION BY series, date, cnt) AS n_cnt,
         round_even(CASE WHEN min(code) = max(code) THEN min(code) END, 6) AS code__constant
        FROM h GROUP BY series, date),
  d AS (SELECT series, date, CAST(count(*) AS DOUBLE) AS cnt__daily,
-              max(CASE event_type WHEN 'error' THEN 7.0 WHEN 'purchase' THEN 7.0
-                   WHEN 'signup' THEN 3.0 ELSE 1.0 END) AS code__daily
+              max(CASE event_type WHEN 'error' THEN 7.0::DOUBLE WHEN 'purchase' THEN 7.0::DOUBLE
+                   WHEN 'signup' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS code__daily
        FROM (SELECT CAST(((user_id % 4) + 4) % 4 AS INTEGER) AS series, CAST(ts AS DATE) AS date, event_type
              FROM events) GROUP BY series, date),
  j AS (SELECT * FROM c JOIN d USING (series, date))
