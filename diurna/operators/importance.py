@@ -135,8 +135,9 @@ def permutation_importance(df: DataFrame, fitted: FittedModel, target: str, grou
 
 def impurity_importance(fitted: FittedModel) -> DataFrame:
     """The tree ensemble's own (impurity gain) importance per feature."""
+    from pyspark.sql import SparkSession
     imp = fitted.model.featureImportances.toArray()
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     rows = [(f, float(v)) for f, v in zip(fitted.spec.features, imp)]
     return spark.createDataFrame(rows, "feature string, gain_importance double")
 

@@ -11,6 +11,7 @@ check short; the operators' defaults are the full configurations.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as N
@@ -77,7 +78,7 @@ def q_model_comparison(spark, base):
         row = E.comparison_row(spec, cv, hold)
         rows = row if rows is None else rows.unionByName(row)
     return rows.withColumn("rank", F.rank().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.col("holdout_R2").desc())))
+        Window.orderBy(F.col("holdout_R2").desc())))
 
 
 @register("forest_cv", covers=("M12", "M14", "A23"))
@@ -111,7 +112,7 @@ def q_boosted_search(spark, base):
              "subsample": [0.8, 1.0], "min_child_weight": [1, 3]}
     table, best = M.random_search(d, "boosted", TREE, "cnt", space, n_draws=3, seed=42)
     return table.withColumn("best", F.col("cv_R2_mean") == F.max("cv_R2_mean").over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy()))
+        Window.partitionBy()))
 
 
 @register("forest_search", covers=("M16", "M17"))
