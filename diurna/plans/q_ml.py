@@ -29,8 +29,8 @@ TREE = ("month", "day", "weekday_ord", "season", "is_weekend", "quantity", "disc
 ONEHOT_CATS = ("season", "weekday")
 ONEHOT_NUMS = ("month", "day", "is_weekend", "quantity", "discount", "price")
 CUT_YEAR = 2000                       # temporal holdout: train before, test from this year
-FOREST_CHECK = {"numTrees": 100, "maxDepth": 12}
-BOOSTED_CHECK = {"maxIter": 60, "maxDepth": 3, "stepSize": 0.1}
+FOREST_CHECK = {"numTrees": 50, "maxDepth": 10}
+BOOSTED_CHECK = {"maxIter": 30, "maxDepth": 3, "stepSize": 0.2}
 ANOMALY_FEATURES = ["quantity", "discount", "tax", "price", "cnt"]
 
 
@@ -108,9 +108,9 @@ def q_winner_per_metric(spark, base):
 def q_boosted_search(spark, base):
     """Random search for boosted trees, seeded draws, 5-fold CV R², best first."""
     d = S.part(_daily(spark, base), "train")
-    space = {"n_estimators": [20, 40], "max_depth": [2, 3], "learning_rate": [0.05, 0.1, 0.2],
+    space = {"n_estimators": [10, 20], "max_depth": [2, 3], "learning_rate": [0.1, 0.2],
              "subsample": [0.8, 1.0], "min_child_weight": [1, 3]}
-    table, best = M.random_search(d, "boosted", TREE, "cnt", space, n_draws=3, seed=42)
+    table, best = M.random_search(d, "boosted", TREE, "cnt", space, n_draws=2, seed=42)
     return table.withColumn("best", F.col("cv_R2_mean") == F.max("cv_R2_mean").over(
         Window.partitionBy()))
 
@@ -118,9 +118,9 @@ def q_boosted_search(spark, base):
 @register("forest_search", covers=("M16", "M17"))
 def q_forest_search(spark, base):
     d = S.part(_daily(spark, base), "train")
-    space = {"n_estimators": [20, 40], "max_depth": [None, 5, 8], "min_samples_leaf": [1, 2, 4],
+    space = {"n_estimators": [10, 20], "max_depth": [None, 5, 8], "min_samples_leaf": [1, 2, 4],
              "max_features": ["sqrt", "log2", 0.5, 1.0]}
-    table, _ = M.random_search(d, "forest", TREE, "cnt", space, n_draws=4, seed=42)
+    table, _ = M.random_search(d, "forest", TREE, "cnt", space, n_draws=3, seed=42)
     return table
 
 
