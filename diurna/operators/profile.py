@@ -299,6 +299,11 @@ def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct().withColumn("position", F.row_number().over(Window.orderBy(col)))
 
 
+def order_statistic(df: DataFrame, col: str, k: int, **kw) -> float:
+    """The k-th smallest value (0-based), exact, bounded memory."""
+    return float(exact_quantiles(df, col, [], ranks=[k], **kw).first()["value"])
+
+
 def exact_quantile(df: DataFrame, col: str, p: float, max_rows: int = 1_000_000,
                    accuracy: int = 10_000) -> float | None:
     """One exact quantile of one column (see :func:`exact_quantiles`)."""
@@ -326,7 +331,8 @@ def _quartile_table(df: DataFrame, cols, probs, accuracy):
 
 
 def exact_quantiles(df: DataFrame, col: str, probs, keys=(), max_rows: int = 1_000_000,
-                    accuracy: int = 10_000, grid: int = 1000, max_targets: int = 100_000) -> DataFrame:
+                    accuracy: int = 10_000, grid: int = 1000, max_targets: int = 100_000,
+                    ranks=None) -> DataFrame:
     """Exact quantiles (linear interpolation) per group with bounded memory: (keys, p, value).
 
     Every (group, p) target starts with its whole group as the bracket. While a
@@ -337,7 +343,8 @@ def exact_quantiles(df: DataFrame, col: str, probs, keys=(), max_rows: int = 1_0
     own window partition and the two order statistics are read off. A hot group
     therefore never sends all of its values to one task; small groups take no
     refinement pass at all. The number of groups x probabilities is bounded by
-    ``max_targets`` (their state lives on the driver).
+    ``max_targets`` (their state lives on the driver). With ``ranks`` (0-based,
+    global only) order statistics are returned instead, ``p`` holding the rank.
     """
     spark = df.sparkSession
     keys = list(keys)
@@ -347,6 +354,16 @@ def exact_quantiles(df: DataFrame, col: str, probs, keys=(), max_rows: int = 1_0
     if len(sizes) * len(probs) > max_targets:
         raise ValueError("too many groups for exact quantiles; pass accuracy= to the caller instead")
     targets = []
+    if ranks is not None:
+        if keys:
+            raise ValueError("ranks are supported for a global order statistic only")
+        n = sizes[0]["__n"] if sizes else 0
+        for k in ranks:
+            if not 0 <= k < n:
+                raise ValueError(f"rank {k} outside [0, {n})")
+            targets.append({"g": (), "p": float(k), "k_lo": int(k), "k_hi": int(k), "frac": 0.0, "below": 0,
+                            "lo": None, "hi": None, "m": n})
+        sizes = []
     for r in sizes:
         n = r["__n"]
         for p in probs:

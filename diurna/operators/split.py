@@ -10,14 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_bucket, hash_fraction
+from ..functions.hashing import hash_bucket, hash_fraction, hash_int
 
 
 def hash_split(df: DataFrame, key, test_fraction: float = 0.2, salt: str = "split",
-               col: str = "split") -> DataFrame:
-    """M1: 'test' for rows whose key hashes below ``test_fraction``, else 'train'."""
-    return df.withColumn(col, F.when(hash_fraction(key, salt) < F.lit(test_fraction), F.lit("test"))
-                         .otherwise(F.lit("train")))
+               col: str = "split", exact_size: bool = False) -> DataFrame:
+    """M1: 'test' for rows whose key hashes below ``test_fraction``, else 'train'.
+
+    With ``exact_size`` the test part has exactly ceil(test_fraction x n) rows (as
+    a shuffled 80/20 split does: 147 of 731): the rows with the smallest hashes,
+    cut at an exact order statistic computed with bounded memory.
+    """
+    if not exact_size:
+        return df.withColumn(col, F.when(hash_fraction(key, salt) < F.lit(test_fraction), F.lit("test"))
+                             .otherwise(F.lit("train")))
+    import math
+    from .profile import order_statistic
+    h = F.shiftright(hash_int(key, salt), 8).cast("double")    # 52 bits: exact as a double
+    d = df.withColumn("__sh", h)
+    n = d.count()
+    k = math.ceil(test_fraction * n - 1e-9)
+    if k <= 0:
+        return d.drop("__sh").withColumn(col, F.lit("train"))
+    cut = order_statistic(d, "__sh", k - 1)
+    return d.withColumn(col, F.when(F.col("__sh") <= F.lit(cut), F.lit("test")).otherwise(F.lit("train"))) \
+        .drop("__sh")
 
 
 def temporal_split(df: DataFrame, time_col: str, cut, col: str = "split") -> DataFrame:

@@ -145,6 +145,18 @@ def q_hash_split(spark, base):
     return with_split_and_fold(line_frame(spark, base)).select("li_key", "split")
 
 
+@register("exact_size_split", covers=("M1",), sql="""
+WITH h AS (SELECT o_orderkey,
+             CAST(('0x' || substr(md5('split|' || CAST(o_orderkey AS VARCHAR)), 1, 15))::UBIGINT AS BIGINT) >> 8 AS sh
+           FROM orders),
+ r AS (SELECT o_orderkey, row_number() OVER (ORDER BY sh) AS rn, count(*) OVER () AS n FROM h)
+SELECT o_orderkey, CASE WHEN rn <= ceil(0.2 * n - 1e-9) THEN 'test' ELSE 'train' END AS split FROM r""")
+def q_exact_size_split(spark, base):
+    """80/20 split of orders with an exact test size (ceil(0.2 n) rows)."""
+    o = read_table(spark, base, "orders").select("o_orderkey")
+    return split.hash_split(o, "o_orderkey", 0.2, exact_size=True)
+
+
 @register("kfold_sizes", covers=("M3", "J3"), sql=f"""
 SELECT fold, CAST(count(*) AS BIGINT) AS n, round_even(avg(revenue), 4) AS mean_revenue
 FROM ({sql_split_fold()}) WHERE split = 'train' GROUP BY fold""")

@@ -116,3 +116,9 @@ def test_student_t_p_values():
     got = profile.student_t_two_sided_p(np.array([2.0, 1.0, 3.5, 0.0, -2.0]), np.array([10.0, 5.0, 30.0, 7.0, 10.0]))
     want = [0.07338803, 0.36321747, 0.00147681, 1.0, 0.07338803]   # checked by numeric integration
     assert np.allclose(got, want, atol=2e-7)
+
+
+def test_exact_size_split(spark):
+    df = spark.range(731).withColumnRenamed("id", "k")
+    s = split.hash_split(df, "k", 0.2, exact_size=True)
+    assert s.where("split = 'test'").count() == 147 and s.count() == 731
