@@ -53,9 +53,29 @@ def temporal_train_test(df: DataFrame, time_col: str, cut) -> tuple[DataFrame, D
     return df.where(c < lit), df.where((c >= lit) | c.isNull())
 
 
-def kfold(df: DataFrame, key, k: int = 5, salt: str = "fold", col: str = "fold") -> DataFrame:
-    """M3: fold id in [0, k) from the key hash."""
-    return df.withColumn(col, hash_bucket(key, k, salt))
+def kfold(df: DataFrame, key, k: int = 5, salt: str = "fold", col: str = "fold",
+          exact_sizes: bool = False) -> DataFrame:
+    """M3: fold id in [0, k) from the key hash.
+
+    With ``exact_sizes`` folds are consecutive runs of the hash order with the sizes
+    of a shuffled k-fold (n // k, the first n % k folds one larger: 73, 73, 72, 72,
+    72 for 362 rows); the k - 1 cut points are exact order statistics found in one
+    bounded-memory pass.
+    """
+    if not exact_sizes:
+        return df.withColumn(col, hash_bucket(key, k, salt))
+    from .profile import exact_quantiles
+    d = df.withColumn("__sh", F.shiftright(hash_int(key, salt), 8).cast("double"))
+    n = d.count()
+    sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
+    ends, acc = [], 0
+    for s in sizes[:-1]:
+        acc += s
+        ends.append(acc - 1)                       # 0-based rank of each fold's last row
+    ends = [e for e in ends if e >= 0]
+    cuts = sorted(float(r["value"]) for r in exact_quantiles(d, "__sh", [], ranks=ends).collect()) if ends else []
+    fold = sum((F.col("__sh") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    return d.withColumn(col, fold.cast("int")).drop("__sh")
 
 
 def with_assignment(df: DataFrame, assignment: DataFrame, key: str) -> DataFrame:

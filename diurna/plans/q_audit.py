@@ -157,6 +157,22 @@ def q_exact_size_split(spark, base):
     return split.hash_split(o, "o_orderkey", 0.2, exact_size=True)
 
 
+@register("exact_size_folds", covers=("M3",), sql="""
+WITH h AS (SELECT o_orderkey,
+             CAST(('0x' || substr(md5('fold|' || CAST(o_orderkey AS VARCHAR)), 1, 15))::UBIGINT AS BIGINT) >> 8 AS sh
+           FROM orders),
+ r AS (SELECT o_orderkey, row_number() OVER (ORDER BY sh) - 1 AS rk, count(*) OVER () AS n FROM h),
+ f AS (SELECT o_orderkey, rk, n, n // 5 AS q, n % 5 AS rem FROM r)
+SELECT o_orderkey,
+       CAST(CASE WHEN rk < rem * (q + 1) THEN rk // (q + 1) ELSE rem + (rk - rem * (q + 1)) // q END AS INTEGER)
+         AS fold
+FROM f""")
+def q_exact_size_folds(spark, base):
+    """Five folds of orders with the exact sizes of a shuffled k-fold."""
+    o = read_table(spark, base, "orders").select("o_orderkey")
+    return split.kfold(o, "o_orderkey", 5, exact_sizes=True)
+
+
 @register("kfold_sizes", covers=("M3", "J3"), sql=f"""
 SELECT fold, CAST(count(*) AS BIGINT) AS n, round_even(avg(revenue), 4) AS mean_revenue
 FROM ({sql_split_fold()}) WHERE split = 'train' GROUP BY fold""")

@@ -122,3 +122,10 @@ def test_exact_size_split(spark):
     df = spark.range(731).withColumnRenamed("id", "k")
     s = split.hash_split(df, "k", 0.2, exact_size=True)
     assert s.where("split = 'test'").count() == 147 and s.count() == 731
+
+
+def test_exact_size_folds(spark):
+    df = spark.range(362).withColumnRenamed("id", "k")
+    sizes = sorted((r["fold"], r["n"]) for r in split.kfold(df, "k", 5, exact_sizes=True).groupBy("fold").count()
+                   .withColumnRenamed("count", "n").collect())
+    assert [n for _, n in sizes] == [73, 73, 72, 72, 72]
