@@ -60,21 +60,15 @@ def test_severity_native_equals_pandas_double(spark):
     h = hourly_log(read_table(spark, SMALL, "events"))
 
     def per_day(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.sort_values(["hour", "timestamp"])
-        codes, hours = g["code"].to_numpy(), g["hour"].to_numpy()
-        worst = codes.max()
-        best = cur = 0
-        for i in range(len(codes)):
-            if codes[i] != worst:
-                cur = 0
-                continue
-            cur = cur + 1 if i > 0 and codes[i - 1] == worst and hours[i] == hours[i - 1] + 1 else 1
-            best = max(best, cur)
-        if best >= 4:
-            sev = worst
-        else:
-            vc = g["code"].value_counts()
-            sev = max(vc[vc == vc.max()].index)
+        g = pdf.sort_values(["hour", "timestamp"]).reset_index(drop=True)
+        worst = g["code"].max()
+        hit = g["code"].eq(worst)
+        # a run starts at a worst row whose predecessor is not a worst row one hour earlier
+        starts = hit & ~(hit.shift(1, fill_value=False) & g["hour"].diff().eq(1))
+        longest = int(hit.groupby(starts.cumsum()).sum().max()) if hit.any() else 0
+        counts = g["code"].value_counts()
+        mode = counts[counts.eq(counts.max())].index.max()
+        sev = worst if longest >= 4 else mode
         return pd.DataFrame({"series": [g["series"].iloc[0]], "date": [g["date"].iloc[0]], "code": [float(sev)]})
 
     hh = h.withColumn("date", F.to_date("timestamp")).withColumn("hour", F.hour("timestamp"))
