@@ -45,16 +45,16 @@ def _onehot(train, test):
     return tr, te, ONEHOT_NUMS + names
 
 
-def test_vif(london):
-    tr, _ = london
+def test_vif(daily_tables):
+    tr, _ = daily_tables
     v = {r["feature"]: r["VIF"] for r in audit.vif(tr, ["t1", "t2", "hum", "wind_speed", "month", "day"]).collect()}
     for f, want in {"t1": 88.346, "t2": 91.343, "hum": 1.489, "wind_speed": 1.180, "month": 1.810,
                     "day": 1.005}.items():
         assert v[f] == pytest.approx(want, abs=0.002)
 
 
-def test_working_identity_and_weekend_dependency(london):
-    tr, te = london
+def test_working_identity_and_weekend_dependency(daily_tables):
+    tr, te = daily_tables
     from diurna.functions.scalar import working_flag
     r = audit.dependency_check(tr, "working", working_flag("is_holiday", "is_weekend")).first()
     assert r["n_rows"] == 362 and r["holds"]
@@ -63,8 +63,8 @@ def test_working_identity_and_weekend_dependency(london):
     assert audit.dependency_check(both, "is_weekend", wk).first()["n_violations"] == 0
 
 
-def test_holdout_onehot_and_ordinal(london):
-    tr, te = (_prep(d) for d in london)
+def test_holdout_onehot_and_ordinal(daily_tables):
+    tr, te = (_prep(d) for d in daily_tables)
     tr1, te1, feats = _onehot(tr, te)
     assert len(feats) == 21
     _, met = E.holdout(tr1, te1, M.ModelSpec("onehot", "ols", tuple(feats)), "cnt")
@@ -76,8 +76,8 @@ def test_holdout_onehot_and_ordinal(london):
     assert met.where("split = 'test'").first()["R2"] == pytest.approx(0.7542115291565363, abs=1e-9)
 
 
-def test_cv_goldens(spark, london):
-    tr, te = (_prep(d) for d in london)
+def test_cv_goldens(spark, daily_tables):
+    tr, te = (_prep(d) for d in daily_tables)
     folds = _fold_table(spark)
     trf = S.with_assignment(tr, folds, "instant")
     tr1, _, feats = _onehot(trf, te)
@@ -95,8 +95,8 @@ def test_cv_goldens(spark, london):
     assert g[1] == pytest.approx(0.7462172715400566, abs=1e-9)
 
 
-def test_grouped_permutation_importance(spark, london):
-    tr, te = (_prep(d) for d in london)
+def test_grouped_permutation_importance(spark, daily_tables):
+    tr, te = (_prep(d) for d in daily_tables)
     tr1, te1, feats = _onehot(tr, te)
     fm = M.fit(M.ModelSpec("onehot", "ols", tuple(feats)), tr1, "cnt")
     groups = {c: [c] for c in ONEHOT_NUMS}
@@ -119,8 +119,8 @@ def test_grouped_permutation_importance(spark, london):
     assert imp["month"]["importance_mean"] == pytest.approx(-0.003619505834325117, abs=1e-9)
 
 
-def test_isolation_forest_band(london):
-    tr, _ = london
+def test_isolation_forest_band(daily_tables):
+    tr, _ = daily_tables
     feats = ["t1", "t2", "hum", "wind_speed", "weather_code", "cnt"]
     d = tr.withColumn("date", F.make_date("year", "month", "day"))
     out, model = N.detect(d, feats, "instant", n_trees=100, contamination=0.05, seed=42)
@@ -138,10 +138,10 @@ def test_isolation_forest_band(london):
     assert causes.count() == 19 and set(r["cause"] for r in causes.collect()) <= set(feats)
 
 
-def test_final_comparison_table(spark, london):
+def test_final_comparison_table(spark, daily_tables):
     """Entry 2 end to end: the two OLS rows of the published final comparison."""
     from diurna.plans.analysis import final_comparison
-    tr, te = (_prep(d) for d in london)
+    tr, te = (_prep(d) for d in daily_tables)
     trf = S.with_assignment(tr, _fold_table(spark), "instant")
     tr1, te1, feats = _onehot(trf, te)
     specs = [M.ModelSpec("LinearRegression_onehot", "ols", tuple(feats)),
@@ -156,10 +156,10 @@ def test_final_comparison_table(spark, london):
     assert od["holdout_MAE"] == pytest.approx(3295.1639741868953, abs=1e-5)
 
 
-def test_worst_error_and_anomaly_overlap_2016(spark, london):
+def test_worst_error_and_anomaly_overlap_2016(spark, daily_tables):
     """Entry 3: the largest 2016 error is Christmas day (published 24,245)."""
     from diurna.plans.analysis import error_anomaly_overlap
-    tr, te = (_prep(d) for d in london)
+    tr, te = (_prep(d) for d in daily_tables)
     tr1, te1, feats = _onehot(tr, te)
     fm = M.fit(M.ModelSpec("onehot", "ols", tuple(feats)), tr1, "cnt")
     te2 = te1.withColumn("date", F.make_date("year", "month", "day").cast("string"))
