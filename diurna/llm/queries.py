@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules, url_filter
+from . import chat, quality_model, quality_rules, toxicity, url_filter
 from .common import read, written
 
 QUERIES: dict = {}
@@ -71,3 +71,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
            ELSE length('{chat.TURN}{chat.TEXT}{chat.END}') + length(erole) END)::BIGINT AS formatted_chars
 FROM esc GROUP BY conv_id
 """
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and verdict of every document by the classifier chain."""
+    docs = read(spark, sf_dir, "documents")
+    weights = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, weights, keep=["doc_id"])
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document; fitted without the held-out fifth."""
+    docs = read(spark, sf_dir, "documents")
+    weights = quality_model.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, weights, keep=["doc_id"])
+    return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
