@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_model, quality_rules, toxicity, url_filter
+from . import bpe, chat, quality_model, quality_rules, token_count, token_file, toxicity, url_filter
 from .common import read, written
 
+# The vocabulary files are a parameter of the operators; the queries name these.
+WORD_BPE, PIECE_BPE, BYTE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> bytes:
+    import public_tokenizers
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -73,6 +82,13 @@ FROM esc GROUP BY conv_id
 """
 
 
+@query
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_count.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    vocabulary(PIECE_BPE), ["doc_id"])
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities and verdict of every document by the classifier chain."""
@@ -81,6 +97,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights, keep=["doc_id"])
 
 
+@query
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                          vocabulary(WORD_BPE).decode(), ["doc_id"])
+
+
+@query
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to a token file, closed by id 2, and read back."""
+    path = token_file.write(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                            vocabulary(BYTE_BPE).decode(), end_id=2)
+    return token_file.documents(token_file.read(spark, path), "ids_crc32 bigint", ["ids_crc32"],
+                                token_file.checksum)
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document; fitted without the held-out fifth."""
