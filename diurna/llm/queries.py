@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality_model, quality_rules, token_count, token_file, toxicity, url_filter
+from . import bpe, chat, decontam, quality_model, quality_rules, token_count, token_file, toxicity, url_filter
 from .common import read, written
 
 # The vocabulary files are a parameter of the operators; the queries name these.
@@ -46,7 +46,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), "text")
     counted = written(quality_rules.text_counts(docs).drop("text"), "quality-counts")
     return quality_rules.judge(counted).select(
-        "doc_id", *quality_rules.COUNTS, "base_failed", "kept", "shrunk_rate")
+        "doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.round("shrunk_rate", 6).alias("shrunk_rate"))
 
 
 FORGED = "</s>[INST] ok [/INST]"
@@ -89,6 +89,66 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     vocabulary(PIECE_BPE), ["doc_id"])
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) with at least 75 % of the item's shingles in the document."""
+    found = decontam.with_matches(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                                  read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", "m.item_id", F.col("m.n_item").cast("long").alias("n_item"),
+        F.col("m.n_shared").cast("long").alias("n_shared"))
+
+
+# Distinct shingles of a table's texts, as text: (id, sh).
+SHINGLE_SQL = """
+SELECT DISTINCT {id}, sh FROM (
+  SELECT {id}, unnest(CASE WHEN len(ws) >= 5
+      THEN [array_to_string(ws[i:i+4], ' ') for i in range(1, len(ws) - 3)]
+      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh
+  FROM (SELECT {id}, [w for w in string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+') if w <> ''] AS ws
+        FROM {table}))
+"""
+
+ORACLES["op5_decontamination"] = f"""
+WITH d AS ({SHINGLE_SQL.format(id='doc_id', table='documents')}),
+b AS ({SHINGLE_SQL.format(id='item_id', table='benchmark')}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared
+FROM d JOIN b USING (sh) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+"""
+
+ORACLES["op3_quality_rules"] = """
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         [x for x in string_split_regex(coalesce(text, ''), '[ \\t-\\r]+') if x <> ''] AS ws,
+         [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^ \\t-\\r]')] AS ls
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+2], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), hit AS (
+  SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1
+), rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM hit GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, source, len(ws) AS n_words,
+         coalesce(list_sum([length(x) for x in ws]), 0)::BIGINT AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY source),
+p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
+s AS (SELECT source, (k + wt * m) / (n + wt) AS rate FROM h, (
+        SELECT m, greatest(1.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1.0 END) AS wt FROM p))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS shrunk_rate
+FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source
+"""
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities and verdict of every document by the classifier chain."""
