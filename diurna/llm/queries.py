@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, quality_model, quality_rules, token_count, token_file, toxicity, url_filter
+from . import bpe, chat, decontam, jaccard_join, quality_model, quality_rules, token_count, token_file, toxicity, url_filter
 from .common import read, written
 
 # The vocabulary files are a parameter of the operators; the queries name these.
@@ -31,6 +31,12 @@ URL_RULES = [url_filter.Rule("allow", "com/"), url_filter.Rule("block", "example
              url_filter.Rule("block", "net/fr/")]
 
 
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set size and the component of its links."""
+    return jaccard_join.components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL by rules, else by the model fitted on the URLs that rules decide."""
@@ -180,3 +186,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = quality_model.fit(docs, read(spark, sf_dir, "labels"))
     scored = quality_model.score(docs, weights, keep=["doc_id"])
     return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
+
+
+ORACLES["op1_jaccard_join"] = f"""
+WITH RECURSIVE s AS ({SHINGLE_SQL.format(id='doc_id', table='documents')}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (sh)
+                    WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) p
+  JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), reach AS (
+  SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.lowest, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+LEFT JOIN (SELECT x, min(y) AS lowest FROM reach GROUP BY x) r ON d.doc_id = r.x
+"""

@@ -33,7 +33,7 @@ CHUNK, BUCKET, RANKS, WORDS, PAYLOAD = "__chunk", "__bucket", "__ranks", "__word
 
 
 class Packer:
-    """Compact bytes for integer arrays (byte planes) and lists of byte strings."""
+    """Compact bytes for integer arrays (byte planes), ascending hashes and lists of byte strings."""
 
     def __init__(self):
         self._c, self._d = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -46,6 +46,14 @@ class Packer:
         planes = np.frombuffer(self._d.decompress(b), np.uint8).reshape(4, -1)
         return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
+    def ascending(self, a: np.ndarray) -> bytes:
+        steps = np.diff(np.ascontiguousarray(a, "<u8"), prepend=np.uint64(0))
+        return self._c.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+    def unascending(self, b: bytes) -> np.ndarray:
+        planes = np.frombuffer(self._d.decompress(b), np.uint8).reshape(8, -1)
+        return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
     def strings(self, items: list[bytes]) -> bytes:
         size = self.ints(np.fromiter(map(len, items), np.uint32, len(items)))
         return len(size).to_bytes(4, "little") + size + self._c.compress(b"".join(items))
