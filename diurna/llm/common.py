@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from diurna.session import checkpoint_dir
 
@@ -34,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:
+    """The schema of columns ``keep`` of ``df`` and further fields."""
+    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(ddl).fields])
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

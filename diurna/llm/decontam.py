@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, with_fields
 from .shingles import shingle_sets, shingles
 
 MATCHES = "array<struct<item_id:bigint,n_item:int,n_shared:int>>"
@@ -135,8 +135,7 @@ def with_matches(docs: DataFrame, items: DataFrame, cfg: Containment = Containme
     blocks = -(-words // cfg.shingles_per_block)
     need = list(dict.fromkeys([*keep, "text"]))
     found = docs.select(*need, F.array().cast(MATCHES).alias(name))
-    types = dict(found.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*need, name])
+    schema = with_fields(found, need, f"`{name}` {MATCHES}")
     for b in range(blocks):
         own = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
         rows = own.collect()          # one block of the test set, bounded by shingles_per_block

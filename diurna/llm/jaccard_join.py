@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import text_slices, with_fields, written
 from .components import connected
 from .shingles import shingle_sets
 from .wordtable import BUCKETS_PER_PARTITION, CHUNK_BYTES, Packer
@@ -338,19 +338,22 @@ def links(blocked: DataFrame, cfg: JaccardJoin) -> DataFrame:
 # ---- the whole ------------------------------------------------------------------------
 
 def class_components(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> tuple[DataFrame, DataFrame]:
-    """(documents (doc_id, n, key), classes (key, component_id)); the key of an empty text is null."""
+    """(documents (doc_id, n, key), classes (key, component_id, first)); the key of an empty text
+    is null; ``first`` marks the class of each component that has its smallest id."""
     rows = keyed(docs, cfg)
     classes = written(rows.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.max("open").alias("open")), "jaccard-classes")
     sets = open_sets(docs, classes, cfg)
     blocked = blocks(sets, families(short_lists(sets, cfg)), cfg)
     group = connected(links(blocked, cfg))
-    # the smallest document id of each component of classes
     member = group.join(sets.select("node", "key"), "node").join(classes.select("key", "doc_id"), "key")
-    smallest = member.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    linked = member.join(smallest, "component").select("key", "smallest")
-    named = classes.join(linked, "key", "left").select("key", F.coalesce("smallest", "doc_id").alias("component_id"))
-    return rows.select("doc_id", "n", "key"), written(named, "jaccard-components")
+    # of each component, the smallest document id and the class that has it (null ids last)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    named = member.groupBy("component").agg(F.min("doc_id").alias("smallest"), first.alias("f"))
+    linked = member.join(named, "component").select("key", "smallest", (F.col("key") == F.col("f.key")).alias("first"))
+    out = classes.join(linked, "key", "left").select(
+        "key", F.coalesce("smallest", "doc_id").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    return rows.select("doc_id", "n", "key"), written(out, "jaccard-components")
 
 
 def components(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -359,3 +362,28 @@ def components(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> DataFrame:
     return rows.join(classes, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: the one with the smallest id.
+
+    Copies are reduced in each task before the shuffle, so a text that a third of the
+    rows have sends one row per task. Texts without words all stay.
+    """
+    _, classes = class_components(docs, cfg)
+    cols = docs.columns
+    schema = with_fields(docs, cols, "__key string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text in text_slices(batch):
+                ptr, flat = shingle_sets(text, cfg.k)
+                keys = [set_key(flat[a:z]) if z > a else None for a, z in zip(ptr[:-1], ptr[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.string())], names=[*cols, "__key"])
+    keyed_docs = docs.mapInArrow(run, schema)
+    first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("text"))
+    one = (keyed_docs.where("__key is not null").groupBy("__key")
+           .agg(F.min_by(F.struct(*cols), first).alias("row")))
+    gone = classes.where("not first").select(F.col("key").alias("__key"))
+    return one.join(gone, "__key", "left_anti").select("row.*").unionByName(
+        keyed_docs.where("__key is null").select(*cols))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, with_fields
 
 
 @dataclass(frozen=True)
@@ -66,8 +66,7 @@ def sample_vectors(docs: DataFrame, labels: DataFrame, targets: list[str], featu
     known = known.select("doc_id", *targets).orderBy(*order, *targets).limit(max_rows)
     joined = docs.select("doc_id", "text", *extra).join(F.broadcast(known), "doc_id")
     keep = ["doc_id", *targets, *extra]
-    types = dict(joined.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", idx binary, val binary"
+    schema = with_fields(joined, keep, "idx binary, val binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,14 +98,14 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], np.ndarray], shape:
     return np.frombuffer(rows[0].w, "<f4").reshape(shape) if rows else np.zeros(shape, "<f4")
 
 
-def score_texts(docs: DataFrame, keep: list[str], schema: str, names: list[str], score: Callable) -> DataFrame:
+def score_texts(docs: DataFrame, keep: list[str], schema: str, score: Callable) -> DataFrame:
     """``score(texts) -> list of numpy columns`` over all rows, beside the columns ``keep``."""
-    types = dict(docs.dtypes)
-    full = ", ".join([*(f"`{c}` {types[c]}" for c in keep), schema])
+    full = with_fields(docs, keep, schema)
+    names = full.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in text_slices(batch):
                 cols = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x) for x in score(text))], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x) for x in score(text))], names=names)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, full)

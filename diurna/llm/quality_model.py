@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import linear
 from .common import words_of
+from .linear import fit_ftrl, sigmoid, unpack
 
 
 @dataclass(frozen=True)
@@ -90,14 +91,14 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityModelConfig = Quality
                                    lambda text: vectors(text, config), config.max_rows, salt=10)
 
     def train(t: pa.Table) -> np.ndarray:
-        return linear.fit_ftrl(linear.unpack(t), np.asarray(t.column(target).to_pylist(), float),
+        return fit_ftrl(unpack(t), np.asarray(t.column(target).to_pylist(), float),
                                config.dimensions, config.ftrl)
     return linear.fit_in_task(sample, train, (config.dimensions + 1,))
 
 
 def score(docs: DataFrame, weights: np.ndarray, config: QualityModelConfig = QualityModelConfig(),
-          keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) with score and predicted."""
+          keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Columns ``keep`` (default: all) with score and predicted, their names after ``prefix``."""
     keep = keep or docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -105,6 +106,6 @@ def score(docs: DataFrame, weights: np.ndarray, config: QualityModelConfig = Qua
         w = shared.value
         owner, slot, count = occurrences(text, config.dimensions)
         dot = np.bincount(owner, weights=w[slot].astype(np.float64), minlength=len(text))
-        p = linear.sigmoid(w[-1] + config.scale * dot / np.maximum(count, 1))
+        p = sigmoid(w[-1] + config.scale * dot / np.maximum(count, 1))
         return [p, (p >= config.threshold).astype(np.int32)]
-    return linear.score_texts(docs, keep, "score double, predicted int", ["score", "predicted"], run)
+    return linear.score_texts(docs, keep, f"{prefix}score double, {prefix}predicted int", run)

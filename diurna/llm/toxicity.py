@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 
 from . import linear
 from .common import words_of
+from .linear import fit_ftrl, sigmoid, unpack
 from .quality_model import hashes
 
 
@@ -96,11 +97,11 @@ def fit_chain(rows: list, labels: np.ndarray, size: int, folds: int, cfg: linear
         made = with_earlier(c)
         for k in range(folds):
             rest = np.flatnonzero(fold != k)
-            w = linear.fit_ftrl([made[r] for r in rest], labels[rest, c], size + many, cfg)
+            w = fit_ftrl([made[r] for r in rest], labels[rest, c], size + many, cfg)
             for r in np.flatnonzero(fold == k):
                 i, v = made[r]
-                earlier[r, c] = linear.sigmoid(w[i] @ v + w[-1])
-        out[c] = linear.fit_ftrl(made, labels[:, c], size + many, cfg)
+                earlier[r, c] = sigmoid(w[i] @ v + w[-1])
+        out[c] = fit_ftrl(made, labels[:, c], size + many, cfg)
     return out
 
 
@@ -113,13 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
         toxic = np.asarray(t.column("toxic").to_pylist(), float)
         lang = np.asarray([x or "" for x in t.column("lang").to_pylist()])
         columns = np.stack([*(toxic * (lang == c) for c in config.categories), toxic], axis=1)
-        return fit_chain(linear.unpack(t), columns, config.dimensions, config.folds, config.ftrl)
+        return fit_chain(unpack(t), columns, config.dimensions, config.folds, config.ftrl)
     return linear.fit_in_task(sample, train, (many, config.dimensions + many + 1))
 
 
 def score(docs: DataFrame, weights: np.ndarray, config: ToxicityConfig = ToxicityConfig(),
-          keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) with p_<category>..., p_toxic and toxic."""
+          keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Columns ``keep`` (default: all) with p_<category>..., p_toxic and toxic, their names after ``prefix``."""
     keep = keep or docs.columns
     many, size = len(config.categories) + 1, config.dimensions
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -132,8 +133,8 @@ def score(docs: DataFrame, weights: np.ndarray, config: ToxicityConfig = Toxicit
         p = np.zeros((len(text), many))
         for c in range(many):
             dot = np.bincount(owner, weights=w[c, slot] * value, minlength=len(text))
-            p[:, c] = linear.sigmoid(dot + p[:, :c] @ chain[c, :c] + chain[c, -1])
+            p[:, c] = sigmoid(dot + p[:, :c] @ chain[c, :c] + chain[c, -1])
         return [*(p[:, c] for c in range(many)), p[:, -1] > config.threshold]
     names = [*(f"p_{c}" for c in config.categories), "p_toxic"]
-    return linear.score_texts(docs, keep, ", ".join(f"{n} double" for n in names) + ", toxic boolean",
-                              [*names, "toxic"], run)
+    schema = ", ".join([*(f"{prefix}{n} double" for n in names), f"{prefix}toxic boolean"])
+    return linear.score_texts(docs, keep, schema, run)
