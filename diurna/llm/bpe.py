@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Texts are split into words at white space (which the tokenizer drops between its
-pre-tokens), each distinct word of the corpus is encoded once, its ids are joined back by
+pre-tokens) and before punctuation after a letter (where it always begins a pre-token), each distinct word of the corpus is encoded once, its ids are joined back by
 position, and the ids are decoded through the id-to-piece table of the vocabulary.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated
@@ -26,13 +26,31 @@ from .wordtable import gathered
 WHITE_SPACE = (r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
 
 
-def words_by_white_space(text: pa.Array):
+# A place where the tokenizer always cuts: a Latin letter before common punctuation.
+_CUT = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,!?;:%&*$#]+)"
+SPECIAL = "<|"   # with which the vocabulary's special strings begin
+
+
+def words(text: pa.Array):
+    """(owner, words). The tokenizer lower-cases and drops white space, so outside texts with
+    special strings A-Z are lower-cased and the certain cuts made first: fewer distinct words."""
+    plain = pc.replace_substring_regex(pc.ascii_lower(text), _CUT, r"\1 \2")
+    text = pc.if_else(pc.match_substring(text, SPECIAL), text, plain)
     parts = pc.split_pattern_regex(text, WHITE_SPACE)
     flat, owner = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
     full = pc.greater(pc.binary_length(flat), 0)
     return owner[full.to_numpy(zero_copy_only=False)], flat.filter(full)
 
 
+def check_words(definition: str) -> None:
+    """Whether this tokenizer lower-cases, drops white space and cuts where ``words`` does."""
+    tok, probe = load(definition), "Ab,c d\u00e9!\n\tE.F"
+    ids = [i for w in words(pa.array([probe]))[1].to_pylist() for i in tok.encode(w, add_special_tokens=False).ids]
+    if ids != tok.encode(probe, add_special_tokens=False).ids or any(
+            SPECIAL not in t.content for t in tok.get_added_tokens_decoder().values()):
+        raise ValueError("this tokenizer joins characters across the cuts that words() makes")
+
+
 def load(definition: str):
     """The library's tokenizer, without truncation or padding, on one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,8 +64,8 @@ def load(definition: str):
 def encoder(definition: str):
     tok = load(definition)
 
-    def ask(words: list) -> list:
-        got = tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def ask(new: list) -> list:
+        got = tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         return [np.array(g.ids, np.uint32) for g in got]
     return ask
 
@@ -64,9 +82,10 @@ def pieces(definition: str) -> list[bytes]:
 
 def encode(docs: DataFrame, definition: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """(documents as word numbers by position, answers with the ids of each word)."""
+    check_words(definition)
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    rows, words = wordtable.split_docs(docs, keep, words_by_white_space, lambda ranks: ranks, "bpe-words")
-    return rows, wordtable.lookup(words, lambda: encoder(shared.value))
+    rows, listed = wordtable.split_docs(docs, keep, words, lambda ranks: ranks, "bpe_words")
+    return rows, wordtable.lookup(listed, lambda: encoder(shared.value))
 
 
 def _joined(payloads, starts, sizes, flat):
@@ -80,7 +99,7 @@ def ids(docs: DataFrame, definition: str, keep: list[str]) -> DataFrame:
 
     def assemble(*a):
         return [[x.astype(np.int32) for x in _joined(*a)]]
-    return wordtable.rejoin(rows, answers, keep, "ids array<int>", ["ids"], assemble)
+    return wordtable.rejoin(rows, answers, keep, "ids array<int>", assemble)
 
 
 def round_trip(docs: DataFrame, definition: str, keep: list[str]) -> DataFrame:
@@ -105,4 +124,4 @@ def round_trip(docs: DataFrame, definition: str, keep: list[str]) -> DataFrame:
             text.append(hashlib.sha256(b" ".join([word[i] for i in p[sizes[p] > 0].tolist()])).hexdigest())
         return [np.array(count, np.int64), pa.array(hashed, pa.string()), pa.array(text, pa.string())]
     return wordtable.rejoin(rows, answers, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-                            ["n_tokens", "ids_sha256", "decoded_sha256"], assemble)
+                            assemble)

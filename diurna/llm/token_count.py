@@ -81,7 +81,7 @@ def count_tokens(docs: DataFrame, model: bytes, keep: list[str], limit: int = 40
     check_model(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sized = docs.withColumn("__bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    rows, words = wordtable.split_docs(sized, [*keep, "__bytes"], pre_tokens, frequencies, "token-counts")
+    rows, words = wordtable.split_docs(sized, [*keep, "__bytes"], pre_tokens, frequencies, "token_counts")
     answers = wordtable.lookup(words, lambda: counter(shared.value))
 
     def assemble(payloads, starts, sizes, flat):
@@ -91,6 +91,6 @@ def count_tokens(docs: DataFrame, model: bytes, keep: list[str], limit: int = 40
             half = len(p) // 2
             out[i] = per_word[np.cumsum(p[:half])] @ p[half:].astype(np.int64)
         return [out]
-    counted = wordtable.rejoin(rows, answers, [*keep, "__bytes"], "n_tokens bigint", ["n_tokens"], assemble)
+    counted = wordtable.rejoin(rows, answers, [*keep, "__bytes"], "n_tokens bigint", assemble)
     return counted.select(*keep, F.col("__bytes").alias("n_bytes"), "n_tokens",
                           (F.col("n_tokens") > limit).alias("over_limit"))

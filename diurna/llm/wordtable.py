@@ -10,11 +10,16 @@ A frequent word costs one entry per chunk, not one per document, so no word is a
 key, and what is shuffled is close to the size of the compressed text. A chunk holds
 about ``CHUNK_BYTES`` of text (or one longer text), a bucket's table holds the distinct words
 of one of ``BUCKETS_PER_PARTITION`` x shuffle-partitions buckets: memory in a task is
-bounded by both. The chunks are written once to the shared checkpoint folder.
+bounded by both.
+
+The coded corpus is written once, to a table in the shared checkpoint folder bucketed by
+chunk: a lost executor recomputes nothing of it, and the documents, the larger part, meet
+their answers without a shuffle of their own.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from diurna.session import checkpoint_dir
+
+from .common import text_slices, with_fields
 
 CHUNK_BYTES = 16_000_000
 BUCKETS_PER_PARTITION = 8
@@ -67,10 +74,11 @@ class Packer:
 
 def gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs flat[starts[i] : starts[i] + sizes[i]] for i in ``at``, one after another."""
-    n = sizes[at].astype(np.int64)
+    n = sizes[at]
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[at] - (ends - n), n) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((starts[at] - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind)]
 
 
 def _chunk_rows(part: pa.RecordBatch, text: pa.Array, keep, split, payload, buckets, packer, number):
@@ -99,7 +107,7 @@ def _chunk_rows(part: pa.RecordBatch, text: pa.Array, keep, split, payload, buck
     columns = [pa.concat_arrays([k, nulls(m, k.type)]) for k in kept]
     columns += [pa.array(np.full(n + m, number, np.int64)),
                 pa.concat_arrays([nulls(n, pa.int32()), pa.array(found.astype(np.int32))]),
-                pa.array([None] * n + [packer.ints(by[a:b]) for a, b in runs], pa.binary()),
+                pa.array([None] * n + [packer.ints(np.diff(by[a:b], prepend=0)) for a, b in runs], pa.binary()),
                 pa.array([None] * n + [packer.strings([vocabulary[i] for i in by[a:b]]) for a, b in runs], pa.binary()),
                 pa.array(docs + [None] * m, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=[*keep, CHUNK, BUCKET, RANKS, WORDS, PAYLOAD])
@@ -113,10 +121,10 @@ def split_docs(docs: DataFrame, keep: list[str], split: Callable, payload: Calla
     -> the integers kept for it.
     """
     spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{CHUNK}` bigint, `{BUCKET}` int, "
-                        f"`{RANKS}` binary, `{WORDS}` binary, `{PAYLOAD}` binary"])
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS_PER_PARTITION * partitions
+    schema = with_fields(docs, keep, f"`{CHUNK}` bigint, `{BUCKET}` int, `{RANKS}` binary, `{WORDS}` binary, "
+                         f"`{PAYLOAD}` binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, number = Packer(), TaskContext.get().partitionId() << 32
@@ -135,7 +143,10 @@ def split_docs(docs: DataFrame, keep: list[str], split: Callable, payload: Calla
                 size += text.nbytes
         if held:
             yield flush()
-    both = written(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema), name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    (docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema).write
+     .bucketBy(partitions, CHUNK).option("path", f"{checkpoint_dir(spark).rstrip('/')}/{table}").saveAsTable(table))
+    both = spark.table(table)
     return (both.where(F.col(BUCKET).isNull()).select(*keep, CHUNK, PAYLOAD),
             both.where(F.col(BUCKET).isNotNull()).select(CHUNK, BUCKET, RANKS, WORDS))
 
@@ -165,12 +176,11 @@ def lookup(words: DataFrame, make: Callable) -> DataFrame:
             .mapInArrow(run, f"`{CHUNK}` bigint, `{RANKS}` binary, sizes binary, answers binary"))
 
 
-def rejoin(docs: DataFrame, answers: DataFrame, keep: list[str], schema: str, names: list[str],
-           assemble: Callable) -> DataFrame:
+def rejoin(docs: DataFrame, answers: DataFrame, keep: list[str], schema: str, assemble: Callable) -> DataFrame:
     """Join documents and answers by chunk; ``assemble(payloads, starts, sizes, flat)`` returns
     the new columns: word number r has the answer flat[starts[r] : starts[r] + sizes[r]]."""
-    types = dict(docs.dtypes)
-    full = ", ".join([*(f"`{c}` {types[c]}" for c in keep), schema])
+    full = with_fields(docs, keep, schema)
+    names = full.fieldNames()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         packer = Packer()
@@ -178,7 +188,8 @@ def rejoin(docs: DataFrame, answers: DataFrame, keep: list[str], schema: str, na
             *(right.column(c).to_pylist() for c in (RANKS, "sizes", "answers")))]
         many = sum(len(p[0]) for p in parts)
         sizes, starts, base = np.zeros(many, np.int64), np.zeros(many, np.int64), 0
-        for r, s, a in parts:
+        for steps, s, a in parts:
+            r = np.cumsum(steps, dtype=np.int64)
             sizes[r] = s
             starts[r] = base + np.cumsum(s) - s
             base += len(a)
@@ -186,5 +197,5 @@ def rejoin(docs: DataFrame, answers: DataFrame, keep: list[str], schema: str, na
         payloads = [packer.unints(x) for x in left.column(PAYLOAD).to_pylist()]
         new = assemble(payloads, starts, sizes, flat)
         return pa.Table.from_arrays([*(left.column(c) for c in keep), *(pa.array(x) for x in new)],
-                                    names=[*keep, *names])
+                                    names=names)
     return docs.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(run, full)
