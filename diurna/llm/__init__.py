@@ -3,10 +3,3 @@
 Nothing else in the library imports this subpackage; its named queries are in
 ``queries.py`` and the filtering pipeline over them is ``corpus_pipeline.py``.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Task functions travel to the executors by value, so that these need no copy of the library.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from diurna.session import checkpoint_dir
 
@@ -36,8 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:
-    """The schema of columns ``keep`` of ``df`` and further fields."""
-    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(ddl).fields])
+    """The schema of columns ``keep`` of ``df`` (as nullable) and further fields."""
+    kept = [StructField(c, df.schema[c].dataType) for c in keep]
+    return StructType([*kept, *StructType.fromDDL(ddl).fields])
+
+
+def without(keep: list[str], ddl: str) -> list[str]:
+    """Columns of ``keep`` that no field of ``ddl`` replaces: a result's own columns go first."""
+    new = {n.lower() for n in StructType.fromDDL(ddl).fieldNames()}
+    return [c for c in keep if c.lower() not in new]
 
 
 def ascii_lower(col):

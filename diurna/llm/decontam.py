@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, with_fields
+from .common import text_slices, with_fields, without
 from .shingles import shingle_sets, shingles
 
 MATCHES = "array<struct<item_id:bigint,n_item:int,n_shared:int>>"
@@ -128,7 +128,7 @@ class ItemIndex:
 def with_matches(docs: DataFrame, items: DataFrame, cfg: Containment = Containment(),
                  keep: list[str] | None = None, name: str = "matches") -> DataFrame:
     """Columns ``keep`` (default: all) and the items found in each text."""
-    keep = keep or docs.columns
+    keep = without(keep or docs.columns, f"`{name}` int")
     spark = docs.sparkSession
     known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     words = known.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0

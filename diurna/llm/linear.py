@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, with_fields
+from .common import text_slices, with_fields, without
 
 
 @dataclass(frozen=True)
@@ -100,6 +100,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], np.ndarray], shape:
 
 def score_texts(docs: DataFrame, keep: list[str], schema: str, score: Callable) -> DataFrame:
     """``score(texts) -> list of numpy columns`` over all rows, beside the columns ``keep``."""
+    keep = without(keep, schema)
     full = with_fields(docs, keep, schema)
     names = full.fieldNames()
 

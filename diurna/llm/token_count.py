@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordtable
+from .common import without
 
 SPACE = "▁"   # how the pieces write a space
 
@@ -79,6 +80,7 @@ def check_model(model: bytes) -> None:
 def count_tokens(docs: DataFrame, model: bytes, keep: list[str], limit: int = 4096) -> DataFrame:
     """Columns ``keep`` with n_bytes, n_tokens and over_limit."""
     check_model(model)
+    keep = without(keep, "n_bytes bigint, n_tokens bigint, over_limit boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sized = docs.withColumn("__bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     rows, words = wordtable.split_docs(sized, [*keep, "__bytes"], pre_tokens, frequencies, "token_counts")

@@ -41,7 +41,7 @@ class ToxicityConfig:
     folds: int = 3
     most: int = 3             # of a slot's value
     scale: float = 8.0        # of the features, so that the step sizes suit them
-    threshold: float = 0.3
+    threshold: float = 0.2
     ftrl: linear.Ftrl = field(default_factory=lambda: linear.Ftrl(alpha=0.5, l1=1.0, l2=0.1, epochs=3))
 
 

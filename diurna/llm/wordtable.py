@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from diurna.session import checkpoint_dir
 
-from .common import text_slices, with_fields
+from .common import text_slices, with_fields, without
 
 CHUNK_BYTES = 16_000_000
 BUCKETS_PER_PARTITION = 8
@@ -179,6 +179,7 @@ def lookup(words: DataFrame, make: Callable) -> DataFrame:
 def rejoin(docs: DataFrame, answers: DataFrame, keep: list[str], schema: str, assemble: Callable) -> DataFrame:
     """Join documents and answers by chunk; ``assemble(payloads, starts, sizes, flat)`` returns
     the new columns: word number r has the answer flat[starts[r] : starts[r] + sizes[r]]."""
+    keep = without(keep, schema)
     full = with_fields(docs, keep, schema)
     names = full.fieldNames()
 
