@@ -19,7 +19,8 @@ def hash_split(df: DataFrame, key, test_fraction: float = 0.2, salt: str = "spli
 
     With ``exact_size`` the test part has exactly ceil(test_fraction x n) rows (as
     a shuffled 80/20 split does: 147 of 731): the rows with the smallest hashes,
-    cut at an exact order statistic computed with bounded memory.
+    cut at an exact order statistic computed with bounded memory. The key must then be
+    unique, which is checked.
     """
     if not exact_size:
         return df.withColumn(col, F.when(hash_fraction(key, salt) < F.lit(test_fraction), F.lit("test"))
@@ -33,10 +34,18 @@ def hash_split(df: DataFrame, key, test_fraction: float = 0.2, salt: str = "spli
     if k <= 0:
         return d.drop("__sh").withColumn(col, F.lit("train"))
     cut = order_statistic(d, "__sh", k - 1)
+    _check_size(d, cut, k, key)
     return d.withColumn(col, F.when(F.col("__sh") <= F.lit(cut), F.lit("test")).otherwise(F.lit("train"))) \
         .drop("__sh")
 
 
+def _check_size(d: DataFrame, cut: float, size: int, key) -> None:
+    """Exact sizes need a key of one row: rows of one key can't be parted."""
+    got = d.where(F.col("__sh") <= F.lit(cut)).count()
+    if got != size:
+        raise ValueError(f"{got} rows instead of {size}: the key {key} repeats; use a key of one row")
+
+
 def temporal_split(df: DataFrame, time_col: str, cut, col: str = "split") -> DataFrame:
     """M2: tag rows before ``cut`` train, the rest test (use :func:`temporal_train_test`
     when only one side is needed: its filters reach the scan)."""
@@ -74,6 +83,8 @@ def kfold(df: DataFrame, key, k: int = 5, salt: str = "fold", col: str = "fold",
         ends.append(acc - 1)                       # 0-based rank of each fold's last row
     ends = [e for e in ends if e >= 0]
     cuts = sorted(float(r["value"]) for r in exact_quantiles(d, "__sh", [], ranks=ends).collect()) if ends else []
+    for end, c in zip(ends, cuts):
+        _check_size(d, c, end + 1, key)
     fold = sum((F.col("__sh") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
     return d.withColumn(col, fold.cast("int")).drop("__sh")
 

@@ -2,8 +2,8 @@
 
 The original work is batch only; this is the same roll-up (A10/W4) driven by
 Structured Streaming for a log directory that grows. A day's severity needs all
-of its hours, so each micro-batch re-aggregates only the (series, day) groups it
-touched, from the full hourly store, and overwrites just those day partitions of
+of its hours, so each micro-batch re-aggregates the days it touched, of all series,
+from the full hourly store, and overwrites just those day partitions of
 the daily table (dynamic partition overwrite). Progress is tracked in the
 streaming checkpoint, so a restarted job neither skips nor double-counts files.
 """
@@ -18,17 +18,16 @@ from ..operators.rollup import RollupSpec, daily_rollup, with_day_hour
 
 
 def _touched_days(batch: DataFrame, spec: RollupSpec) -> DataFrame:
-    return batch.select(*spec.keys, F.to_date(F.col(spec.time_col)).alias(spec.day_col)).distinct()
+    return batch.select(F.to_date(F.col(spec.time_col)).alias(spec.day_col)).distinct()
 
 
 def refresh_days(spark: SparkSession, batch: DataFrame, hourly_store: DataFrame, spec: RollupSpec,
                  out_path: str) -> None:
     """Recompute and overwrite the daily rows of the days present in ``batch``."""
     days = _touched_days(batch, spec)
-    g = [*spec.keys, spec.day_col]
     # semi join: only the touched days' hours are re-read (pruned when the store is
-    # partitioned by day)
-    hours = with_day_hour(hourly_store, spec).join(days, on=g, how="left_semi").drop(spec.hour_col)
+    # partitioned by day), those of every series, as whole days are overwritten
+    hours = with_day_hour(hourly_store, spec).join(days, on=spec.day_col, how="left_semi").drop(spec.hour_col)
     daily = daily_rollup(hours.drop(spec.day_col), spec)
     (daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(spec.day_col).parquet(out_path))

@@ -1,6 +1,8 @@
-"""Session helpers: shared checkpoint folder, lineage cuts, spreading small inputs."""
+"""Session helpers: shared checkpoint folder and lineage cuts."""
 
-from diurna.session import checkpoint_dir, cut_lineage, spread
+import pytest
+
+from diurna.session import checkpoint_dir, cut_lineage
 
 
 def test_checkpoint_dir_is_reused(spark):
@@ -15,9 +17,18 @@ def test_cut_lineage_keeps_rows(spark):
     assert c.count() == 1000 and c.agg({"v": "sum"}).first()[0] == 999000
 
 
-def test_spread_only_when_needed(spark):
-    target = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == target
-    many = spark.range(100).repartition(target + 3)
-    assert spread(many).rdd.getNumPartitions() == target + 3
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())

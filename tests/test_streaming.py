@@ -31,3 +31,18 @@ def test_stream_matches_batch(spark):
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert streamed.count() == 3
     assert {r["date"].day: r["weather_code"] for r in streamed.collect()} == {5: 1.0, 6: 7.0, 7: 2.0}
+
+
+def test_a_batch_of_one_series_keeps_the_others(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from diurna.streaming.rollup_stream import refresh_days
+    spec = replace(SPEC, keys=("series",))
+    out = scratch_path(spark, f"stream-two-{uuid.uuid4().hex}")
+    day = spark.createDataFrame(_hours(5, range(0, 12), 1), HOURLY_LOG_SCHEMA)
+    store = day.withColumn("series", F.lit(0)).unionByName(day.withColumn("series", F.lit(1)))
+    refresh_days(spark, store, store, spec, out)
+    refresh_days(spark, store.where("series = 0"), store, spec, out)
+    assert {r["series"] for r in spark.read.parquet(out).collect()} == {0, 1}
