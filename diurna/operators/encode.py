@@ -1,7 +1,7 @@
 """Feature encoding.
 
-Levels of a categorical column are a small set (a distinct aggregate collected to
-the driver, guarded by ``max_levels``); the dummies themselves are plain
+Levels of a categorical column are the distinct values of that column (one distinct
+aggregate; a column is made of them, so they reach the driver however many); the dummies themselves are plain
 ``when`` expressions evaluated inside whole-stage codegen.
 """
 
@@ -19,9 +19,13 @@ from ..functions.scalar import qcol, weekday_name_to_ordinal
 
 @dataclass(frozen=True)
 class FeatureSet:
-    """a named list of feature columns for one model family."""
+    """a named list of feature columns for one model family; diagnostics are refused."""
     name: str
     columns: tuple
+    diagnostics: tuple = ()
+
+    def __post_init__(self):
+        check_features(self.columns, self.diagnostics)
 
 
 def check_features(features, diagnostics=()) -> None:
@@ -36,13 +40,9 @@ def level_label(v) -> str:
     return repr(float(v)) if isinstance(v, float) else str(v)
 
 
-def levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
+def levels(df: DataFrame, col: str) -> list:
     """Sorted distinct non-NULL values (numeric order for numbers)."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-            .limit(max_levels + 1).collect()]
-    if len(vals) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; not a categorical column")
-    return sorted(vals)
+    return sorted(r[0] for r in df.select(qcol(col)).where(qcol(col).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, cols, level_map: dict | None = None, drop_first: bool = True,
@@ -53,27 +53,22 @@ def one_hot(df: DataFrame, cols, level_map: dict | None = None, drop_first: bool
     only on one side still gets its column; otherwise levels come from ``df``.
     Returns the frame and the dummy column names in order.
     """
-    names = []
-    out = df
+    names, dummies = [], []
     for c in cols:
         lv = list(level_map[c]) if level_map and c in level_map else levels(df, c)
-        if drop_first:
-            lv = lv[1:]
-        for v in lv:
-            name = f"{c}_{level_label(v)}"
-            out = out.withColumn(name, F.when(qcol(c) == F.lit(v), 1.0).otherwise(0.0))
-            names.append(name)
-        if not keep_source:
-            out = out.drop(c)
-    return out, names
-
-
-def union_levels(frames, cols, max_levels: int = 1000) -> dict:
+        for v in lv[1:] if drop_first else lv:
+            names.append(f"{c}_{level_label(v)}")
+            dummies.append(F.when(qcol(c) == F.lit(v), 1.0).otherwise(0.0).alias(names[-1]))
+    kept = [qcol(c) for c in df.columns if keep_source or c not in cols]
+    return df.select(*kept, *dummies), names
+
+
+def union_levels(frames, cols) -> dict:
     """levels over several frames (train ∪ test) in one distinct pass per column."""
     u = frames[0].select(*cols)
     for f in frames[1:]:
         u = u.unionByName(f.select(*cols))
-    return {c: levels(u, c, max_levels) for c in cols}
+    return {c: levels(u, c) for c in cols}
 
 
 def ordinal_weekday(df: DataFrame, col: str = "weekday", out: str = "weekday_ord") -> DataFrame:

@@ -4,11 +4,9 @@ Each function is one or two aggregate passes: statistics for many columns are
 computed in a single ``agg`` (partial aggregation on every executor, one small
 final merge) and unpivoted afterwards, instead of one job per column.
 
-Quantiles: ``percentile`` is exact and equals linear interpolation (pandas'
-default); it keeps a value->count map per group, which is fine for counts, codes
-and grouped data of bounded size. For one continuous column of a very large
-table use :func:`exact_quantile` (sketch-bracketed, exact, bounded memory), or
-pass ``accuracy=`` to the grouped functions to switch to ``percentile_approx``.
+Quantiles are exact (linear interpolation, pandas' default) with bounded memory for any
+number of rows, ties and groups (:func:`exact_quantiles`); ``accuracy=`` asks for
+``percentile_approx`` instead.
 """
 
 from __future__ import annotations
@@ -19,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import qcol
+from .ranking import global_row_number
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -146,7 +147,7 @@ def value_counts(df: DataFrame, col: str, by: str = "count") -> DataFrame:
     """Counts per value with an explicit rank (by count desc or by key)."""
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     order = [F.col("count").desc(), F.col(col)] if by == "count" else [F.col(col)]
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return global_row_number(c, order, "rank", start=1).withColumn("rank", F.col("rank").cast("int"))
 
 
 def split_profile(df: DataFrame, col: str, split_col: str = "split",
@@ -209,15 +210,14 @@ def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
     """Quartiles, whiskers at the last data point within whis·IQR, flier count.
 
     Pass 1: quartiles per group. Pass 2: join them back (one row per group, a
-    broadcast of group-count size) and take conditional min/max/counts.
+    one row per group) and take conditional min/max/counts.
     """
     q = _group_quartiles(df, group, measure, accuracy)
     q = (q.withColumn("lo_fence", F.col("q1") - whis * (F.col("q3") - F.col("q1")))
           .withColumn("hi_fence", F.col("q3") + whis * (F.col("q3") - F.col("q1"))))
     v = F.col(measure)
-    # one row per group, bounded by exact_quantiles' target limit: broadcast, so a
-    # hot group is never shuffled to a single task
-    j = df.select(group, measure).join(F.broadcast(q), on=group)
+    # one row per group; adaptive planning broadcasts it when small and else splits a hot group
+    j = df.select(group, measure).join(q, on=group)
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
     w = j.groupBy(group).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
@@ -228,28 +228,21 @@ def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
 def box_fliers(df: DataFrame, group: str, measure: str, whis: float = 1.5) -> DataFrame:
     """The flier rows themselves (outside the whiskers' fences)."""
     q = _group_quartiles(df, group, measure, None).select(group, "q1", "q3")
-    j = df.join(F.broadcast(q), on=group)
+    j = df.join(q, on=group)
     iqr = F.col("q3") - F.col("q1")
     v = F.col(measure)
     return j.where((v < F.col("q1") - whis * iqr) | (v > F.col("q3") + whis * iqr)).drop("q1", "q3")
 
 
 def gaussian_kde(df: DataFrame, measure: str, group: str, grid_size: int = 200, cut: float = 3.0,
-                 bin_width: float | None = None, max_bins: int = 100_000) -> DataFrame:
+                 bin_width: float | None = None) -> DataFrame:
     """Gaussian kernel density per group on a regular grid (Scott's factor).
 
-    The sample is first reduced to (value, count) pairs — exact for repeated
-    values, or snapped to ``bin_width`` bins for continuous data — so the density
-    costs O(bins x grid) instead of O(rows x grid). The grid spans each group's
-    [min - cut·bw, max + cut·bw]. Without ``bin_width``, values are kept exact
-    unless there are more than ``max_bins`` distinct ones; then the range is cut
-    into ``max_bins`` bins (bin width far below any bandwidth at that size).
+    The sample is first reduced to (value, count) pairs, so the density costs
+    O(distinct values x grid) instead of O(rows x grid). It is exact at every size;
+    ``bin_width`` asks for values snapped to bins, for long continuous samples. The grid
+    spans each group's [min - cut·bw, max + cut·bw].
     """
-    if bin_width is None:
-        r = df.agg(F.approx_count_distinct(measure).alias("k"), F.min(measure).alias("lo"),
-                   F.max(measure).alias("hi")).first()
-        if r["k"] and r["k"] > max_bins and r["hi"] > r["lo"]:
-            bin_width = (float(r["hi"]) - float(r["lo"])) / max_bins
     v = F.col(measure).cast("double")
     if bin_width:
         v = (F.floor(v / bin_width) + 0.5) * bin_width
@@ -296,18 +289,18 @@ def welch_contrast(df: DataFrame, measure: str, group: str, a, b, by: str | None
 
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     """Distinct values with their sort position."""
-    return df.select(col).distinct().withColumn("position", F.row_number().over(Window.orderBy(col)))
+    return global_row_number(df.select(col).distinct(), [F.col(col)], "position", start=1).withColumn(
+        "position", F.col("position").cast("int"))
 
 
-def order_statistic(df: DataFrame, col: str, k: int, **kw) -> float:
+def order_statistic(df: DataFrame, col: str, k: int) -> float:
     """The k-th smallest value (0-based), exact, bounded memory."""
-    return float(exact_quantiles(df, col, [], ranks=[k], **kw).first()["value"])
+    return float(exact_quantiles(df, col, [], ranks=[k]).first()["value"])
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, max_rows: int = 1_000_000,
-                   accuracy: int = 10_000) -> float | None:
+def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
     """One exact quantile of one column (see :func:`exact_quantiles`)."""
-    r = exact_quantiles(df, col, [p], max_rows=max_rows, accuracy=accuracy).first()
+    r = exact_quantiles(df, col, [p]).first()
     return None if r is None else float(r["value"])
 
 
@@ -330,119 +323,86 @@ def _quartile_table(df: DataFrame, cols, probs, accuracy):
                                      for p in probs])
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, keys=(), max_rows: int = 1_000_000,
-                    accuracy: int = 10_000, grid: int = 1000, max_targets: int = 100_000,
-                    ranks=None) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group with bounded memory: (keys, p, value).
-
-    Every (group, p) target starts with its whole group as the bracket. While a
-    bracket holds more than ``max_rows`` rows, one sketch pass (``percentile_approx``
-    at a fixed grid of probabilities) proposes a narrower bracket around the wanted
-    ranks and one counting pass verifies it exactly (rows below it, rows inside).
-    Finally the rows of each bracket — at most ``max_rows`` — are ordered in their
-    own window partition and the two order statistics are read off. A hot group
-    therefore never sends all of its values to one task; small groups take no
-    refinement pass at all. The number of groups x probabilities is bounded by
-    ``max_targets`` (their state lives on the driver). With ``ranks`` (0-based,
-    global only) order statistics are returned instead, ``p`` holding the rank.
+def exact_quantiles(df: DataFrame, col: str, probs, keys=(), ranks=None, bins: int = 1024) -> DataFrame:
+    """Exact quantiles (linear interpolation) per group: (keys, p, value).
+
+    Every wanted order statistic starts with its group's [min, max] as the bracket. A
+    round cuts each open bracket into ``bins`` equal steps, counts the rows of each with
+    their smallest and largest value (combined in the tasks before the shuffle, so ties
+    and hot groups cost one row per task), and goes on with the step that holds the
+    rank. A bracket is done when its smallest and largest value agree; no rows are ever
+    sorted. Brackets live in a table, so the number of groups has no limit; rounds grow
+    with the logarithm of the range over the gap at the rank. The rule is the same at
+    every size. With ``ranks`` (0-based, global only) order statistics are returned,
+    ``p`` holding the rank. Values must be finite; NULL and NaN are left out.
     """
-    spark = df.sparkSession
+    from ..session import cut_lineage
     keys = list(keys)
-    d = df.select(*keys, F.col(col).cast("double").alias("__q")).where(
+    gk = [f"__k{i}" for i in range(len(keys))]
+    d = df.select(*[qcol(k).alias(g) for k, g in zip(keys, gk)], qcol(col).cast("double").alias("__q")).where(
         F.col("__q").isNotNull() & ~F.isnan("__q"))
-    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).limit(max_targets + 1).collect()
-    if len(sizes) * len(probs) > max_targets:
-        raise ValueError("too many groups for exact quantiles; pass accuracy= to the caller instead")
-    targets = []
+    span = d.groupBy(*gk).agg(F.count(F.lit(1)).alias("__n"), F.min("__q").alias("__lo"),
+                              F.max("__q").alias("__hi")).where("__n > 0")
+    span = cut_lineage(span)
     if ranks is not None:
         if keys:
             raise ValueError("ranks are supported for a global order statistic only")
-        n = sizes[0]["__n"] if sizes else 0
-        for k in ranks:
-            if not 0 <= k < n:
-                raise ValueError(f"rank {k} outside [0, {n})")
-            targets.append({"g": (), "p": float(k), "k_lo": int(k), "k_hi": int(k), "frac": 0.0, "below": 0,
-                            "lo": None, "hi": None, "m": n})
-        sizes = []
-    for r in sizes:
-        n = r["__n"]
-        for p in probs:
-            pos = float(p) * (n - 1)
-            targets.append({"g": tuple(r[k] for k in keys), "p": float(p), "k_lo": int(math.floor(pos)),
-                            "k_hi": int(math.ceil(pos)), "frac": pos - math.floor(pos), "below": 0,
-                            "lo": None, "hi": None, "m": n})
-    if not targets:
-        return spark.createDataFrame([], ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
-                                                   + ["p double", "value double"]))
-    key_schema = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
-
-    def bracket_frame(ids):
-        rows = [(i, *targets[i]["g"], targets[i]["lo"], targets[i]["hi"]) for i in ids]
-        return spark.createDataFrame(rows, ", ".join(["__tid int", *key_schema, "__lo double", "__hi double"]))
-
-    def in_bracket(frame):
-        # the bracket table is bounded by max_targets rows: broadcast it
-        j = d.join(F.broadcast(frame), on=keys) if keys else d.crossJoin(F.broadcast(frame))
-        return j.where((F.col("__lo").isNull() | (F.col("__q") >= F.col("__lo")))
-                       & (F.col("__hi").isNull() | (F.col("__q") <= F.col("__hi"))))
-
-    eps = 2.0 / accuracy
-    grid_p = [i / grid for i in range(grid + 1)]
-    while True:
-        open_ids = [i for i, t in enumerate(targets) if t["m"] > max_rows and not t.get("final")]
-        if not open_ids:
-            break
-        j = in_bracket(bracket_frame(open_ids))
-        sk = {r["__tid"]: r["s"] for r in j.groupBy("__tid").agg(
-            F.percentile_approx("__q", F.array(*[F.lit(x) for x in grid_p]), accuracy).alias("s")).collect()}
-        proposal = {}
-        for i in open_ids:
-            t, s = targets[i], sk[i]
-            m = t["m"]
-            ql = (t["k_lo"] - t["below"]) / max(m - 1, 1)
-            qh = (t["k_hi"] - t["below"]) / max(m - 1, 1)
-            i_lo = max([a for a, x in enumerate(grid_p) if x + eps <= ql], default=None)
-            i_hi = min([a for a, x in enumerate(grid_p) if x - eps >= qh], default=None)
-            proposal[i] = (float(s[i_lo]) if i_lo is not None else t["lo"],
-                           float(s[i_hi]) if i_hi is not None else t["hi"])
-        j = in_bracket(bracket_frame(open_ids))
-        lo_of = F.create_map(*[x for i in open_ids for x in (F.lit(i), F.lit(proposal[i][0]))])
-        hi_of = F.create_map(*[x for i in open_ids for x in (F.lit(i), F.lit(proposal[i][1]))])
-        nlo, nhi = lo_of[F.col("__tid")], hi_of[F.col("__tid")]
-        cnt = {r["__tid"]: (r["lt"], r["le"]) for r in j.groupBy("__tid").agg(
-            F.count_if(nlo.isNotNull() & (F.col("__q") < nlo)).alias("lt"),
-            F.count_if(nhi.isNull() | (F.col("__q") <= nhi)).alias("le")).collect()}
-        for i in open_ids:
-            t = targets[i]
-            lt, le = cnt[i]
-            if t["below"] + lt <= t["k_lo"] and t["k_hi"] < t["below"] + le and le - lt < t["m"]:
-                t["below"] += lt
-                t["lo"], t["hi"] = proposal[i]
-                t["m"] = le - lt
-            else:
-                t["final"] = True   # sketch did not narrow it (ties): order the bracket as it is
-    # Final pass. Targets sharing a bracket (e.g. all quartiles of a small group)
-    # share one window partition; each partition holds at most max_rows rows.
-    brackets, bid_of = {}, []
-    for t in targets:
-        b = (t["g"], t["lo"], t["hi"], t["below"])
-        bid_of.append(brackets.setdefault(b, len(brackets)))
-    frame = spark.createDataFrame([(bid, *g, lo, hi, below) for (g, lo, hi, below), bid in brackets.items()],
-                                  ", ".join(["__tid int", *key_schema, "__lo double", "__hi double", "__below long"]))
-    needs = spark.createDataFrame(
-        [(bid_of[i], r, i, role) for i, t in enumerate(targets) for r, role in ((t["k_lo"], 0), (t["k_hi"], 1))],
-        "__tid int, __r long, __target int, __role int")
-    info = spark.createDataFrame([(i, t["p"], t["frac"]) for i, t in enumerate(targets)],
-                                 "__target int, p double, __frac double")
-    j = in_bracket(frame)
-    w = Window.partitionBy("__tid").orderBy("__q")
-    j = j.withColumn("__r", F.row_number().over(w) - 1 + F.col("__below"))
-    picked = j.join(F.broadcast(needs), on=["__tid", "__r"]).join(F.broadcast(info), on="__target")
-    out = picked.groupBy("__target", *keys, "p").agg(
-        F.max(F.when(F.col("__role") == 0, F.col("__q"))).alias("__a"),
-        F.max(F.when(F.col("__role") == 1, F.col("__q"))).alias("__b"),
-        F.first("__frac").alias("__frac"))
-    return out.select(*keys, "p", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("value"))
+        n = (span.first() or {"__n": 0})["__n"]
+        bad = [k for k in ranks if not 0 <= k < n]
+        if bad:
+            raise ValueError(f"ranks {bad} outside [0, {n})")
+        wanted = [F.struct(F.lit(float(k)).alias("p"), F.lit(int(k)).cast("long").alias("__a"),
+                           F.lit(int(k)).cast("long").alias("__b"), F.lit(0.0).alias("__f")) for k in ranks]
+    else:
+        def at(p):
+            pos = F.lit(float(p)) * (F.col("__n") - 1)
+            return F.struct(F.lit(float(p)).alias("p"), F.floor(pos).alias("__a"), F.ceil(pos).alias("__b"),
+                            (pos - F.floor(pos)).alias("__f"))
+        wanted = [at(p) for p in probs]
+    targets = span.select(*gk, "__lo", "__hi", F.explode(F.array(*wanted)).alias("t")).select(
+        *gk, "__lo", "__hi", "t.*")
+    state = targets.select(*gk, F.explode(F.array("__a", "__b")).alias("__k"), "__lo", "__hi",
+                           F.lit(0).cast("long").alias("__below")).distinct()
+
+    bracket = [*gk, "__lo", "__hi", "__below"]
+    half = lambda c: F.col(c) / 2   # noqa: E731  so that no range overflows
+    step = F.least(F.floor((half("__q") - half("__lo")) / (half("__hi") - half("__lo")) * bins), F.lit(bins - 1))
+    state = cut_lineage(state)
+    while not state.where("__lo < __hi").isEmpty():
+        open_ = state.where("__lo < __hi")
+        named = open_.select(bracket).distinct()
+        for g in gk:
+            named = named.withColumnRenamed(g, g + "_")
+        if keys:
+            on = F.lit(True)
+            for g in gk:
+                on = on & d[g].eqNullSafe(named[g + "_"])
+            rows = d.join(named, on & (F.col("__q") >= F.col("__lo")) & (F.col("__q") <= F.col("__hi")))
+        else:   # at most two brackets for each wanted value
+            rows = d.join(F.broadcast(named), (F.col("__q") >= F.col("__lo")) & (F.col("__q") <= F.col("__hi")))
+        hist = rows.groupBy(*bracket, step.alias("__s")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__q").alias("__min"), F.max("__q").alias("__max"))
+        before = F.sum("__c").over(Window.partitionBy(*bracket).orderBy("__s")) - F.col("__c") + F.col("__below")
+        hist = hist.withColumn("__from", before)
+        h, o = hist.alias("h"), open_.alias("o")
+        on = (F.col("o.__k") >= F.col("h.__from")) & (F.col("o.__k") < F.col("h.__from") + F.col("h.__c"))
+        for c in bracket:
+            on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"h.{c}"))
+        closer = o.join(h, on).select(*[F.col(f"o.{g}").alias(g) for g in gk], F.col("o.__k").alias("__k"),
+                                      F.col("h.__min").alias("__lo"), F.col("h.__max").alias("__hi"),
+                                      F.col("h.__from").alias("__below"))
+        state = cut_lineage(state.where("__lo = __hi").unionByName(closer))
+    t, a, b = targets.alias("t"), state.alias("a"), state.alias("b")
+
+    def joined(left, side, place):
+        on = F.col(f"t.{place}") == F.col(f"{side}.__k")
+        for g in gk:
+            on = on & F.col(f"t.{g}").eqNullSafe(F.col(f"{side}.{g}"))
+        return left.join(a if side == "a" else b, on)
+    both = joined(joined(t, "a", "__a"), "b", "__b")
+    value = F.col("a.__lo") + (F.col("b.__lo") - F.col("a.__lo")) * F.col("t.__f")
+    return both.select(*[F.col(f"t.{g}").alias(k) for k, g in zip(keys, gk)], F.col("t.p").alias("p"),
+                       value.alias("value"))
 
 
 def _betacf(a, b, x, iters: int = 300, eps: float = 1e-15):

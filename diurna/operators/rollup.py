@@ -50,23 +50,29 @@ def _group_cols(spec: RollupSpec) -> list[str]:
 
 
 def day_constant_violations(hourly: DataFrame, spec: RollupSpec, cols=None,
-                            strict: bool = False) -> DataFrame:
-    """(keys, day, column, n_distinct) for every day where a day attribute varies.
+                            strict: bool = False, nulls: bool = False) -> DataFrame:
+    """(keys, day, column, lowest, highest) for every day where a day attribute varies.
 
-    NULL counts as a value of its own (pandas ``nunique`` ignores it; a day with
-    a NULL next to a value is reported here, which is the safer reading).
+    A day varies when its smallest and largest value differ (one partial aggregate for
+    all columns); NULL is not a value, as with a count of distinct values. ``nulls=True``
+    also reports days with NULL beside a value.
     """
     cols = list(cols if cols is not None else spec.const_cols)
     h = with_day_hour(hourly, spec)
     g = _group_cols(spec)
     aggs = []
     for c in cols:
-        aggs.append((F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(f"__nd_{c}"))
+        aggs += [F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}"),
+                 F.max(F.col(c).isNull()).alias(f"__null_{c}")]
     per_day = h.groupBy(*g).agg(*aggs)
     stacked = per_day.select(*g, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"__nd_{c}").cast("long").alias("n_distinct"))
-        for c in cols])).alias("v")).select(*g, "v.column", "v.n_distinct")
-    out = stacked.where(F.col("n_distinct") > 1)
+        F.struct(F.lit(c).alias("column"), F.col(f"__lo_{c}").cast("string").alias("lowest"),
+                 F.col(f"__hi_{c}").cast("string").alias("highest"), F.col(f"__null_{c}").alias("has_null"))
+        for c in cols])).alias("v")).select(*g, "v.*")
+    varies = F.col("lowest") != F.col("highest")
+    if nulls:
+        varies = varies | (F.col("has_null") & F.col("lowest").isNotNull())
+    out = stacked.where(varies).drop("has_null")
     if strict:
         bad = out.limit(1).collect()
         if bad:

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
-from ..session import spread
 from ..sources.tables import read_table
 
 TEST_FRACTION = 0.2
@@ -53,8 +52,7 @@ def line_frame(spark, base: str, where=None) -> DataFrame:
     li = read_table(spark, base, "lineitem")
     if where is not None:
         li = li.where(where)
-    li = spread(li.select(*LINE_COLUMNS))   # the md5 below is per-row CPU work
-    d = li.select("*", F.md5(F.concat(F.lit("li|"), _key_text())).alias("__d"))
+    d = li.select(*LINE_COLUMNS).select("*", F.md5(F.concat(F.lit("li|"), _key_text())).alias("__d"))
     key = F.conv(F.substring("__d", 1, 15), 16, 10).cast("long")
     frac = F.conv(F.substring("__d", 16, 15), 16, 10).cast("long") / F.lit(_SPACE)
     return d.select(
@@ -67,11 +65,6 @@ def line_frame(spark, base: str, where=None) -> DataFrame:
         F.pmod(key, F.lit(N_FOLDS)).cast("int").alias("fold"))
 
 
-def with_split_and_fold(df: DataFrame, key: str = "li_key") -> DataFrame:
-    """Split and fold already come with :func:`line_frame` (kept for callers)."""
-    return df
-
-
 def _sql_digits(start: int) -> str:
     return f"CAST(('0x' || substr(__d, {start}, 15))::UBIGINT AS BIGINT)"
 
@@ -87,11 +80,6 @@ SELECT {_sql_digits(1)} AS li_key, l_quantity, l_discount, l_tax, l_extendedpric
 FROM (SELECT *, md5('li|' || {SQL_KEY_TEXT}) AS __d FROM lineitem)"""
 
 
-def sql_split_fold(src: str = SQL_LINE_FRAME, key: str = "li_key") -> str:
-    """The line frame already carries split and fold."""
-    return src
-
-
 def daily_demand(spark, base: str) -> DataFrame:
     li = read_table(spark, base, "lineitem")
     d = li.groupBy(F.to_date("l_shipdate").alias("date")).agg(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, encode, split
+from ..operators import audit, encode, report, split
 from ..sources.tables import read_table
-from .frames import SQL_LINE_FRAME, line_frame, sql_split_fold, with_split_and_fold
+from .frames import SQL_LINE_FRAME, line_frame
 from .registry import register
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -97,20 +97,24 @@ def q_one_hot(spark, base):
 @register("one_hot_union_levels", covers=("F2", "J6", "M2"), sql=f"""
 WITH d AS ({SQL_LINE_FRAME}),
  lv AS (SELECT min(ship_year) AS y0, count(DISTINCT ship_year) AS k FROM d)
-SELECT li_key, CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "l_returnflag_N",
+SELECT li_key, CASE WHEN ship_year < 2000 THEN 'train' ELSE 'test' END AS split,
+       CASE WHEN l_returnflag = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "l_returnflag_N",
        CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "l_returnflag_R",
        CASE WHEN ship_year > y0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS year_dummy_sum,
        CAST(k - 1 AS BIGINT) AS n_year_dummies
-FROM d, lv WHERE ship_year >= 2000""")
+FROM d, lv""")
 def q_one_hot_union(spark, base):
-    """Levels from train (before 2000) ∪ test: the test-only years keep their dummies."""
+    """Train (before 2000) and test encoded alike, with levels from both: the test-only years
+    keep their dummies."""
     cut = F.lit("2000-01-01").cast("timestamp_ntz")
     train = line_frame(spark, base, F.col("l_shipdate") < cut)
     test = line_frame(spark, base, F.col("l_shipdate") >= cut)
     lv = encode.union_levels([train, test], ["l_returnflag", "ship_year"])
-    out, names = encode.one_hot(test, ["l_returnflag", "ship_year"], level_map=lv)
-    years = [n for n in names if n.startswith("ship_year_")]
-    return out.select("li_key", "l_returnflag_N", "l_returnflag_R",
+    cats = ["l_returnflag", "ship_year"]
+    parts = {name: encode.one_hot(d.drop("split"), cats, level_map=lv) for name, d in (("train", train), ("test", test))}
+    out = report.tag_union({name: p[0] for name, p in parts.items()})
+    years = [n for n in parts["test"][1] if n.startswith("ship_year_")]
+    return out.select("li_key", "split", "l_returnflag_N", "l_returnflag_R",
                       sum((F.col(y) for y in years[1:]), F.col(years[0])).alias("year_dummy_sum"),
                       F.lit(len(years)).cast("long").alias("n_year_dummies"))
 
@@ -140,9 +144,9 @@ def q_constant_in_split(spark, base):
 
 
 @register("hash_split", covers=("M1", "J9"), sql=f"""
-SELECT li_key, split FROM ({sql_split_fold()})""")
+SELECT li_key, split FROM ({SQL_LINE_FRAME})""")
 def q_hash_split(spark, base):
-    return with_split_and_fold(line_frame(spark, base)).select("li_key", "split")
+    return line_frame(spark, base).select("li_key", "split")
 
 
 @register("exact_size_split", covers=("M1",), sql="""
@@ -175,9 +179,9 @@ def q_exact_size_folds(spark, base):
 
 @register("kfold_sizes", covers=("M3", "J3"), sql=f"""
 SELECT fold, CAST(count(*) AS BIGINT) AS n, round_even(avg(revenue), 4) AS mean_revenue
-FROM ({sql_split_fold()}) WHERE split = 'train' GROUP BY fold""")
+FROM ({SQL_LINE_FRAME}) WHERE split = 'train' GROUP BY fold""")
 def q_kfold_sizes(spark, base):
-    d = split.part(with_split_and_fold(line_frame(spark, base)), "train")
+    d = split.part(line_frame(spark, base), "train")
     return d.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("revenue"), 4).alias("mean_revenue"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import profile
 from ..sources.tables import read_table
 from .daily import hourly_log
-from .registry import register
+from .registry import REGISTRY, register
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -25,7 +25,11 @@ def q_table_shape(spark, base):
         "n_rows", F.col("n_columns").cast("int").alias("n_columns"))
 
 
-@register("column_types", covers=("A2",))
+@register("column_types", covers=("A2",), sql="""
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS "column",
+       CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+            WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END AS dtype
+FROM (DESCRIBE lineitem)""")
 def q_column_types(spark, base):
     return profile.column_types(_t(spark, base, "lineitem"))
 
@@ -208,14 +212,14 @@ WITH s AS (SELECT l_linestatus, count(l_quantity) AS n, stddev_samp(l_quantity)
  s2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM s),
  b AS (SELECT l_linestatus, CAST(l_quantity AS DOUBLE) AS x, count(*) AS w FROM lineitem GROUP BY 1, 2),
  g AS (SELECT l_linestatus, n, bw, CAST(i AS INTEGER) AS point,
-              lo - 3.0 * bw + (hi - lo + 2 * 3.0 * bw) * i / 63.0 AS grid_x
-       FROM s2, range(64) r(i))
+              lo - 3.0 * bw + (hi - lo + 2 * 3.0 * bw) * i / 199.0 AS grid_x
+       FROM s2, range(200) r(i))
 SELECT g.l_linestatus, point, round_even(grid_x, 6) AS grid_x,
        round_even(sum(w * exp(-0.5 * ((grid_x - x) / bw) * ((grid_x - x) / bw))) / (n * bw * sqrt(2 * pi())), 6)
          AS density
 FROM g JOIN b ON g.l_linestatus = b.l_linestatus GROUP BY g.l_linestatus, point, grid_x, n, bw""")
 def q_kde_density(spark, base):
-    k = profile.gaussian_kde(_t(spark, base, "lineitem"), "l_quantity", "l_linestatus", grid_size=64)
+    k = profile.gaussian_kde(_t(spark, base, "lineitem"), "l_quantity", "l_linestatus")
     return k.select("l_linestatus", F.col("point").cast("int").alias("point"), F.bround("grid_x", 6).alias("grid_x"),
                     F.bround("density", 6).alias("density"))
 
@@ -251,12 +255,23 @@ def q_two_sample_contrast(spark, base):
                     *[F.bround(x, 6).alias(x) for x in ("pct_change", "welch_t", "welch_df")])
 
 
-@register("welch_p_values", covers=("A28",))
+# The t density integrated from 0 to |t| by Simpson's rule in 2000 steps.
+SQL_P = f"""
+SELECT c.*, round_even(1 - 2 * k.s, 6) AS p_value FROM ({REGISTRY['two_sample_contrast'].sql}) c
+JOIN (SELECT o_orderpriority,
+             sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                 * pow(1 + pow(abs(welch_t) * i / 2000, 2) / welch_df, -(welch_df + 1) / 2))
+             * max(exp(lgamma((welch_df + 1) / 2) - lgamma(welch_df / 2)) / sqrt(welch_df * pi())
+                   * abs(welch_t) / 6000) AS s
+      FROM ({REGISTRY['two_sample_contrast'].sql}), range(2001) r(i) GROUP BY o_orderpriority) k
+  ON c.o_orderpriority = k.o_orderpriority"""
+
+
+@register("welch_p_values", covers=("A28",), sql=SQL_P)
 def q_welch_p_values(spark, base):
-    """The contrast table with two-sided p-values (t distribution has no SQL twin)."""
-    c = profile.welch_contrast(_t(spark, base, "orders"), "o_totalprice", "o_orderstatus", "F", "O",
-                               by="o_orderpriority")
-    return profile.welch_p_values(c)
+    """The contrast table with two-sided p-values of Student's t."""
+    c = profile.welch_p_values(q_two_sample_contrast(spark, base))
+    return c.withColumn("p_value", F.bround("p_value", 6))
 
 
 @register("distinct_sorted", covers=("A29",), sql="""

@@ -80,12 +80,12 @@ def q_longest_code_run(spark, base):
 @register("day_constant_check", covers=("A11",), sql=f"""
 WITH h AS ({SQL_HOURLY_FLAGS}),
  per AS (SELECT series, date,
-           count(DISTINCT is_weekend) + max(CAST(is_weekend IS NULL AS INTEGER)) AS nd_w,
-           count(DISTINCT code) + max(CAST(code IS NULL AS INTEGER)) AS nd_c
+           min(is_weekend) AS w0, max(is_weekend) AS w1, min(code) AS c0, max(code) AS c1
          FROM h GROUP BY series, date)
-SELECT series, date, 'is_weekend' AS "column", CAST(nd_w AS BIGINT) AS n_distinct FROM per WHERE nd_w > 1
+SELECT series, date, 'is_weekend' AS "column", CAST(w0 AS VARCHAR) AS lowest, CAST(w1 AS VARCHAR) AS highest
+FROM per WHERE w0 <> w1
 UNION ALL
-SELECT series, date, 'code' AS "column", CAST(nd_c AS BIGINT) AS n_distinct FROM per WHERE nd_c > 1""")
+SELECT series, date, 'code' AS "column", CAST(c0 AS VARCHAR), CAST(c1 AS VARCHAR) FROM per WHERE c0 <> c1""")
 def q_day_constant_check(spark, base):
     # ``is_weekend`` is a true day attribute (no rows); ``code`` varies within days.
     return rollup.day_constant_violations(hourly_log(_events(spark, base)), EVENTS_SPEC,
@@ -107,7 +107,7 @@ def q_hour_coverage(spark, base):
     return rollup.coverage(hourly_log(_events(spark, base)), EVENTS_SPEC)
 
 
-@register("hour_coverage_summary", covers=("A24", "N7"), sql=f"""
+@register("hour_coverage_summary", covers=("A24",), sql=f"""
 SELECT series, CAST(count(*) AS BIGINT) AS n_days,
        CAST(count(*) FILTER (WHERE n_hours_observed > 0 AND n_hours_observed < 24) AS BIGINT) AS n_partial_days,
        CAST(count(*) FILTER (WHERE n_hours_observed = 0) AS BIGINT) AS n_empty_days,

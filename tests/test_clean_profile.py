@@ -91,7 +91,7 @@ def test_exact_quantile_matches_numpy(spark):
     x = np.random.default_rng(5).normal(size=20000)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     for p in (0.05, 0.5, 0.75):
-        assert profile.exact_quantile(df, "x", p, max_rows=500, accuracy=200) == pytest.approx(
+        assert profile.exact_quantile(df, "x", p) == pytest.approx(
             float(np.quantile(x, p)), abs=1e-12)
 
 
@@ -104,7 +104,7 @@ def test_grouped_exact_quantiles_with_ties_and_refinement(spark):
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g int, x double")
     probs = [0.0, 0.05, 0.5, 0.75, 1.0]
     res = {(r["g"], r["p"]): r["value"]
-           for r in profile.exact_quantiles(df, "x", probs, keys=["g"], max_rows=300, accuracy=300, grid=50).collect()}
+           for r in profile.exact_quantiles(df, "x", probs, keys=["g"], bins=50).collect()}
     for k in range(3):
         for p in probs:
             assert res[(k, p)] == pytest.approx(float(np.quantile(x[g == k], p)), abs=1e-12)
@@ -129,3 +129,54 @@ def test_exact_size_folds(spark):
     sizes = sorted((r["fold"], r["n"]) for r in split.kfold(df, "k", 5, exact_sizes=True).groupBy("fold").count()
                    .withColumnRenamed("count", "n").collect())
     assert [n for _, n in sizes] == [73, 73, 72, 72, 72]
+
+
+def test_exact_sizes_need_a_key_of_one_row(spark):
+    df = spark.range(100).selectExpr("id % 10 AS k")
+    with pytest.raises(ValueError):
+        split.hash_split(df, "k", 0.25, exact_size=True)
+    with pytest.raises(ValueError):
+        split.kfold(df, "k", 3, exact_sizes=True)
+
+
+def test_quantiles_of_many_groups_and_ties(spark):
+    # more groups than any list on the driver should hold, and one value of a third of all rows
+    df = spark.range(120_000).selectExpr("id % 40000 AS g", "CAST(id DIV 40000 AS double) AS x")
+    box = profile.box_stats(df, "g", "x")
+    assert box.count() == 40_000
+    assert box.where("q1 <> 0.5 OR median <> 1.0 OR q3 <> 1.5").count() == 0
+    tied = spark.range(30_000).selectExpr("IF(id % 3 = 0, 7.0D, CAST(id AS double)) AS x")
+    import numpy as np
+    x = np.array([7.0 if i % 3 == 0 else float(i) for i in range(30_000)])
+    for p in (0.1, 0.33, 0.34, 0.9):
+        assert profile.exact_quantile(tied, "x", p) == pytest.approx(float(np.quantile(x, p)), abs=1e-9)
+    wide = spark.createDataFrame([(v,) for v in (-1.7e308, -1.0, 5e-324, 1.7e308)], "x double")
+    assert profile.exact_quantile(wide, "x", 1 / 3) == -1.0
+    assert profile.exact_quantile(wide.where("false"), "x", 0.5) is None
+
+
+def test_kde_is_one_rule_at_every_size(spark):
+    import numpy as np
+    small = spark.range(50).selectExpr("1 AS g", "CAST(id AS double) AS x")
+    for n, df in ((50, small), (4000, spark.range(4000).selectExpr("1 AS g", "CAST(id AS double) / 80 AS x"))):
+        x = np.arange(50.0) if n == 50 else np.arange(4000) / 80
+        bw = x.std(ddof=1) * n ** -0.2
+        rows = profile.gaussian_kde(df, "x", "g", grid_size=5).orderBy("point").collect()
+        for r in rows:
+            want = np.exp(-0.5 * ((r["grid_x"] - x) / bw) ** 2).sum() / (n * bw * np.sqrt(2 * np.pi))
+            assert r["density"] == pytest.approx(want, rel=1e-9)
+
+
+def test_many_levels(spark):
+    from diurna.operators import encode
+    df = spark.range(1500).selectExpr("CAST(id AS int) AS c")
+    out, names = encode.one_hot(df, ["c"])
+    assert len(names) == 1499 and len(out.columns) == 1499
+
+
+def test_global_row_number(spark):
+    from pyspark.sql import functions as F
+    from diurna.operators.ranking import global_row_number
+    df = spark.range(5000).selectExpr("(id * 7919) % 5003 AS k").repartition(7)
+    got = [r["n"] for r in global_row_number(df, [F.col("k").desc()], "n").orderBy(F.col("k").desc()).collect()]
+    assert got == list(range(5000))

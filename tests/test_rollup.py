@@ -66,7 +66,7 @@ def test_half_even_mean(spark):
 def test_day_constant_violation_reported(spark):
     rows = _rows(5, {0: 1, 1: 1}) + _rows(5, {2: 1}, season=1.0) + _rows(6, {0: 1})
     bad = rollup.day_constant_violations(_hourly(spark, rows), SPEC).collect()
-    assert [(b["date"].day, b["column"], b["n_distinct"]) for b in bad] == [(5, "season", 2)]
+    assert [(b["date"].day, b["column"]) for b in bad] == [(5, "season")] and bad[0]["lowest"] < bad[0]["highest"]
     with pytest.raises(ValueError):
         rollup.day_constant_violations(_hourly(spark, rows), SPEC, strict=True)
 
