@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 EULER_GAMMA = 0.5772156649015329
 _MASK53 = (1 << 53) - 1
 
@@ -194,8 +196,7 @@ def score(df: DataFrame, model: IsolationForestModel, out: str = "score_samples"
         e = path_lengths(bc.value, x)
         return pd.Series(-np.power(2.0, -e / cpsi))
 
-    from ..session import spread
-    return spread(df).withColumn(out, _score(*[F.col(c).cast("double") for c in feats]))
+    return df.withColumn(out, _score(*[F.col(c).cast("double") for c in feats]))
 
 
 def threshold(scored: DataFrame, contamination: float = 0.05, col: str = "score_samples") -> float:
@@ -208,7 +209,8 @@ def detect(df: DataFrame, features, key, n_trees: int = 100, contamination: floa
            sample_size: int = 256, seed: int = 42) -> tuple[DataFrame, IsolationForestModel]:
     """Adds ``anomaly_score`` (decision value; negative = outlier) and ``is_outlier``."""
     model = fit_isolation_forest(df, features, key, n_trees, sample_size, seed)
-    scored = score(df, model).cache()
+    # read twice (threshold, result): written once to the shared checkpoint folder
+    scored = cut_lineage(score(df, model))
     model.offset = threshold(scored, contamination)
     out = scored.withColumn("anomaly_score", F.col("score_samples") - F.lit(model.offset)) \
         .withColumn("is_outlier", F.col("anomaly_score") < 0).drop("score_samples")

@@ -13,15 +13,24 @@ from . import models as M
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str = "prediction", keys=()) -> DataFrame:
-    """M9: n, R², RMSE, MAE per group (one aggregate)."""
+    """M9: n, R², RMSE, MAE per group (one aggregate). A NULL or NaN label or prediction is an
+    error when the table is computed: a metric over the other rows would look like one over all."""
     y = F.col(label).cast("double")
-    e = y - F.col(pred)
+    p = F.col(pred).cast("double")
+    e = y - p
     g = df.groupBy(*keys) if keys else df.groupBy()
-    out = g.agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("__sse"),
-                (F.var_pop(y) * F.count(F.lit(1))).alias("__sst"),
-                F.avg(F.abs(e)).alias("MAE"))
-    return out.select(*keys, "n", (F.lit(1.0) - F.col("__sse") / F.col("__sst")).alias("R2"),
-                      F.sqrt(F.col("__sse") / F.col("n")).alias("RMSE"), "MAE")
+    out = g.agg(F.count(F.lit(1)).alias("__n"), F.sum(e * e).alias("__sse"),
+                (F.var_pop(y) * F.count(F.lit(1))).alias("__sst"), F.avg(F.abs(e)).alias("__mae"),
+                F.count_if(y.isNull() | F.isnan(y) | p.isNull() | F.isnan(p)).alias("__missing"))
+
+    def checked(value, kind):
+        stop = F.raise_error(F.lit("NULL or NaN label or prediction")).cast(kind)
+        return F.when(F.col("__missing") > 0, stop).otherwise(value)
+    return out.select(
+        *keys, checked(F.col("__n"), "long").alias("n"),
+        checked(F.lit(1.0) - F.col("__sse") / F.col("__sst"), "double").alias("R2"),
+        checked(F.sqrt(F.col("__sse") / F.col("__n")), "double").alias("RMSE"),
+        checked(F.col("__mae"), "double").alias("MAE"))
 
 
 def fold_summary(per_fold: DataFrame, keys=(), metrics=("R2", "RMSE", "MAE")) -> DataFrame:
@@ -40,6 +49,10 @@ def cross_validate(df: DataFrame, spec: M.ModelSpec, target: str, fold_col: str
         pred = M.predict_ols_by_fold(df, models, fold_col)
         return regression_metrics(pred, target, "prediction", keys=(fold_col,))
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    if spec.engine == "task":
+        from . import trees
+        oof = trees.out_of_fold(df, spec.features, target, [(spec.kind, spec.params, f) for f in folds], fold_col)
+        return regression_metrics(oof, "label", "prediction", keys=("fold",)).withColumnRenamed("fold", fold_col)
     parts = []
     for f in folds:
         fm = M.fit(spec, df.where(F.col(fold_col) != f), target)
@@ -53,29 +66,34 @@ def cross_validate(df: DataFrame, spec: M.ModelSpec, target: str, fold_col: str
 def fold_gap(df: DataFrame, spec: M.ModelSpec, target: str, fold_col: str = "fold") -> DataFrame:
     """Per fold, R² on the training folds vs on the held-out fold.
 
-    For OLS the k fits come from one aggregate; each row is scored by every fold
-    model (role = train when the row is not in that fold, validation otherwise).
+    For OLS everything follows from the folds' moments, collected in one aggregate: the
+    fits, and the squared errors on both sides; no row is scored.
     """
-    if spec.kind != "ols":
-        folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    if spec.kind == "ols":
+        per = M.fold_moments(df, spec.features, target, fold_col)
+        kind = df.schema[fold_col].dataType.simpleString()
+        rows = []
+        for f, m in M.ols_by_fold(per, list(spec.features)).items():
+            t, v = M.moments_r2(M.others_moments(per, f), m), M.moments_r2(per[f], m)
+            rows.append((f, t, v, t - v))
+        return df.sparkSession.createDataFrame(
+            rows, f"`{fold_col}` {kind}, train_R2 double, val_R2 double, gap double")
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    if spec.engine == "task":
+        from . import trees
+        scored = trees.out_of_fold(df, spec.features, target, [(spec.kind, spec.params, f) for f in folds], fold_col,
+                                   roles=True)
+        met = regression_metrics(scored.withColumnRenamed("fold", "__k"), "label", "prediction", keys=("__k", "role"))
+    else:
         rows = []
         for f in folds:
             fm = M.fit(spec, df.where(F.col(fold_col) != f), target)
-            sc = fm.transform(df).withColumn("__k", F.lit(f))
-            rows.append(sc)
+            rows.append(fm.transform(df).withColumn("__k", F.lit(f)))
         scored = rows[0]
         for r in rows[1:]:
             scored = scored.unionByName(r)
-    else:
-        models = M.fit_ols_folds(df, spec.features, target, fold_col)
-        stacked = df.select("*", F.explode(F.array(*[F.lit(f) for f in sorted(models)])).alias("__k"))
-        expr = None
-        for f, m in models.items():
-            expr = (F.when(F.col("__k") == F.lit(f), m.prediction()) if expr is None
-                    else expr.when(F.col("__k") == F.lit(f), m.prediction()))
-        scored = stacked.withColumn("prediction", expr)
-    scored = scored.withColumn("role", F.when(F.col(fold_col) == F.col("__k"), "validation").otherwise("train"))
-    met = regression_metrics(scored, target, "prediction", keys=("__k", "role"))
+        scored = scored.withColumn("role", F.when(F.col(fold_col) == F.col("__k"), "validation").otherwise("train"))
+        met = regression_metrics(scored, target, "prediction", keys=("__k", "role"))
     return met.groupBy(F.col("__k").alias(fold_col)).agg(
         F.max(F.when(F.col("role") == "train", F.col("R2"))).alias("train_R2"),
         F.max(F.when(F.col("role") == "validation", F.col("R2"))).alias("val_R2")) \
@@ -158,13 +176,14 @@ def cv_holdout_agreement(table: DataFrame, cv_metric: str = "CV_R2_mean", holdou
 
 
 def tuning_report(train: DataFrame, test: DataFrame, kind: str, features, target: str, best_params: dict,
-                  default_params: dict | None = None, fold_col: str = "fold") -> DataFrame:
+                  default_params: dict | None = None, fold_col: str = "fold", engine: str = "cluster") -> DataFrame:
     """before/after tuning — default and tuned configurations, each refit on
     all training rows and scored once on the holdout, with CV R² and the over-fit gap."""
     import json
     rows = None
-    for stage, params in (("default", default_params or {}), ("tuned", M.to_spark_params(kind, best_params))):
-        spec = M.ModelSpec(f"{kind}_{stage}", kind, tuple(features), params)
+    tuned = best_params if engine == "task" else M.to_spark_params(kind, best_params)
+    for stage, params in (("default", default_params or {}), ("tuned", tuned)):
+        spec = M.ModelSpec(f"{kind}_{stage}", kind, tuple(features), params, engine)
         _, hold = holdout(train, test, spec, target)
         cv = fold_summary(cross_validate(train, spec, target, fold_col))
         h = hold.groupBy().agg(

@@ -1,119 +1,119 @@
 """Permutation importance, plain and grouped.
 
-A shuffle of a column group within the holdout is expressed as a *join*: in each
-(variable, repeat, block) every row is matched with the row whose position in a
-salted-hash order equals its own position in key order, and takes that row's
-values of the group. Blocks are hash buckets of ``BLOCK_ROWS`` rows, so every
-window partition is bounded whatever the holdout size.
-
-All strata are scored in one pass and the R² of every stratum is one grouped
-aggregate. For a linear model only the group's contribution to the prediction
-(one number per row) travels through the shuffle.
+A shuffle of a column group within the holdout is a *join*: the rows get dense numbers
+0..n-1 in the order of a salted hash of their key, and in repeat r row i takes the
+values of row (a_r * i + b_r) mod n, with a_r prime to n. One permutation per repeat
+serves all variables, the rule is the same at every size, and no window holds more than
+one range partition.
+
+For a linear model only each group's contribution (one number per row) meets the join,
+and one aggregate per repeat gives the squared errors of all variables: the join has
+rows x repeats rows, not rows x repeats x variables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import hashlib
+import math
 
-from ..functions.scalar import qcol
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
+from ..functions.scalar import qcol
 from .evaluate import regression_metrics
 from .models import FittedModel, OLSModel
+from .ranking import global_row_number
+from .trees import Ensemble
+
+_LONG_ROWS = 1 << 31     # up to here a_r * i fits in 64 bits; beyond, decimals give the same numbers
+
 
-# Per-stratum orders come from one md5 per row: the row hash (31 bits) times a
-# per-(variable, repeat) multiplier, modulo the prime 2^31 - 1 — a bijection on the
-# residues, so each stratum gets its own pseudo-random order without hashing every
-# (row, stratum) pair. Products stay below 2^62 (no overflow in any engine).
-PRIME31 = 2_147_483_647
+def _is_prime(n: int) -> bool:
+    return n > 1 and all(n % d for d in range(2, math.isqrt(n) + 1))
 
 
-def stratum_multiplier(variable: str, repeat: int, salt: str) -> int:
-    """Deterministic multiplier in [1, 2^31 - 2] for one (variable, repeat)."""
-    import hashlib
-    h = int(hashlib.md5(f"{salt}|{variable}|{repeat}".encode()).hexdigest()[:15], 16)
-    return 1 + h % (PRIME31 - 2)
+def permutation_steps(n_repeats: int, salt: str = "perm", n: int | None = None) -> list[tuple[int, int]]:
+    """(a_r, b_r) of every repeat: a_r a prime from 2^30 on that does not divide ``n``."""
+    out = []
+    for r in range(n_repeats):
+        h = int(hashlib.md5(f"{salt}|{r}".encode()).hexdigest()[:15], 16)
+        a = (1 << 30) + h % (1 << 29)
+        while not _is_prime(a) or (n and math.gcd(a, n) != 1):
+            a += 1
+        out.append((a, h // (1 << 29) % (1 << 30)))
+    return out
 
 
-# Rows per permutation block: the shuffle of one (variable, repeat) stratum is done
-# inside hash buckets of about this many rows, so no window partition grows with
-# the data. Bucket membership is itself random, so each row's donor is uniform
-# over the whole holdout; below this size the block is the whole stratum (a
-# plain uniform permutation).
-BLOCK_ROWS = 1_000_000
+def _numbered(df: DataFrame, key: str, salt: str) -> tuple[DataFrame, int]:
+    """The rows with dense numbers ``__i``, and how many there are."""
+    d = global_row_number(df.withColumn("__h", hash_int(qcol(key), salt)), [F.col("__h"), qcol(key)], "__i").drop("__h")
+    return d, (d.agg(F.max("__i")).first()[0] or 0) + 1
 
 
-def _strata(spark, groups: dict, n_repeats: int, salt: str) -> DataFrame:
-    rows = [(v, r, stratum_multiplier(v, r, salt), stratum_multiplier(v, r, salt + "-block"))
-            for v in groups for r in range(n_repeats)]
-    return spark.createDataFrame(rows, "variable string, repeat int, __mul long, __bmul long")
+def _donor(steps, n: int):
+    """Array of (repeat, donor number) of a row."""
+    kind = "bigint" if n < _LONG_ROWS else "decimal(38,0)"
+    at = lambda a, b: ((F.lit(a).cast(kind) * F.col("__i") + F.lit(b).cast(kind)) % F.lit(n).cast(kind)
+                       ).cast("long")
+    return F.array(*[F.struct(F.lit(r).alias("repeat"), at(a, b).alias("__d")) for r, (a, b) in enumerate(steps)])
+
+
+def _contribution(model: OLSModel, cols):
+    coef = dict(zip(model.features, model.coef))
+    return sum((F.lit(float(coef[c])) * qcol(c).cast("double") for c in cols[1:]),
+               F.lit(float(coef[cols[0]])) * qcol(cols[0]).cast("double"))
+
+
+def _linear_r2(df: DataFrame, fitted: FittedModel, target: str, groups: dict, key: str, n_repeats: int,
+               salt: str) -> DataFrame:
+    """(variable, repeat, R2) of a linear model from one join and one aggregate."""
+    m, names = fitted.model, list(groups)
+    d, n = _numbered(df.select(qcol(key).alias("__key"), (qcol(target).cast("double") - m.prediction()).alias("__e"),
+                               qcol(target).cast("double").alias("__y"),
+                               F.array(*[_contribution(m, groups[v]) for v in names]).alias("__c")), "__key", salt)
+    taker = d.select("__e", "__y", "__c", F.explode(_donor(permutation_steps(n_repeats, salt, n), n)).alias("to")
+                     ).select("__e", "__y", "__c", "to.repeat", "to.__d")
+    j = taker.join(d.select(F.col("__i").alias("__d"), F.col("__c").alias("__new")), "__d")
+    sse = [F.sum(F.pow(F.col("__e") + F.col("__c")[i] - F.col("__new")[i], 2)) for i in range(len(names))]
+    per = j.groupBy("repeat").agg(F.array(*sse).alias("sse"), (F.var_pop("__y") * F.count(F.lit(1))).alias("sst"))
+    return per.select("repeat", "sst", F.explode(F.arrays_zip(
+        F.array(*[F.lit(v) for v in names]).alias("variable"), "sse")).alias("v")).select(
+        "v.variable", "repeat", (1 - F.col("v.sse") / F.col("sst")).alias("R2"))
 
 
 def permuted_scores(df: DataFrame, fitted: FittedModel, target: str, groups: dict, key: str,
-                    n_repeats: int = 30, salt: str = "perm", block_rows: int = BLOCK_ROWS,
-                    assignment: DataFrame | None = None) -> DataFrame:
-    """Predictions for every (variable, repeat) stratum with that variable's columns shuffled.
+                    n_repeats: int = 30, salt: str = "perm", assignment: DataFrame | None = None) -> DataFrame:
+    """Predictions for every (variable, repeat) with that variable's columns shuffled.
 
     ``assignment`` (variable, repeat, <key>, donor_key) supplies the permutation
-    explicitly, e.g. to reproduce a published random stream; by default it is
-    derived from salted hashes. Output: variable, repeat, target, prediction.
+    explicitly, e.g. to reproduce a published random stream. Output: variable, repeat,
+    target, prediction.
     """
-    spark = df.sparkSession
     if assignment is not None:
         return _supplied_scores(df, fitted, target, groups, key, assignment)
-    st = F.broadcast(_strata(spark, groups, n_repeats, salt))
-    # one md5 per row; strata only multiply it (rows x strata is the work)
-    from ..session import spread
-    base = spread(df.withColumn("__rh", F.pmod(hash_int(qcol(key), salt), F.lit(PRIME31)))).crossJoin(st)
-    hkey = F.pmod(F.col("__rh") * F.col("__mul"), F.lit(PRIME31))
-    n = df.count()
-    blocks = max(1, n // block_rows)
-    blk = F.pmod(F.pmod(F.col("__rh") * F.col("__bmul"), F.lit(PRIME31)), F.lit(blocks))
-    strata = ["variable", "repeat", "__b"]
-    w_key = Window.partitionBy(*strata).orderBy(key)
-    w_hash = Window.partitionBy(*strata).orderBy("__h", key)
-    linear = isinstance(fitted.model, OLSModel)
-    if linear:
-        m = fitted.model
-        coef = dict(zip(m.features, m.coef))
-        contrib = None
-        for v, cols in groups.items():
-            e = sum((F.lit(float(coef[c])) * qcol(c).cast("double") for c in cols[1:]),
-                    F.lit(float(coef[cols[0]])) * qcol(cols[0]).cast("double"))
-            contrib = F.when(F.col("variable") == v, e) if contrib is None else contrib.when(F.col("variable") == v, e)
-        scored = base.withColumn("__pred", m.prediction()).withColumn("__c", contrib)
-        receiver = scored.select(key, "variable", "repeat", target, "__pred", "__c", blk.alias("__b")) \
-            .withColumn("pos", F.row_number().over(w_key))
-        donor = scored.select("variable", "repeat", F.col("__c").alias("__c_new"), blk.alias("__b"),
-                              hkey.alias("__h"), key) \
-            .withColumn("pos", F.row_number().over(w_hash)).drop("__h", key)
-        j = receiver.join(donor, ["variable", "repeat", "__b", "pos"])
-        return j.select("variable", "repeat", target,
-                        (F.col("__pred") - F.col("__c") + F.col("__c_new")).alias("prediction"))
-    all_cols = sorted({c for cols in groups.values() for c in cols})
-    receiver = base.withColumn("__b", blk).withColumn("pos", F.row_number().over(w_key))
-    donor = base.select("variable", "repeat", key, hkey.alias("__h"), blk.alias("__b"),
-                        *[qcol(c).alias(f"__new_{c}") for c in all_cols]) \
-        .withColumn("pos", F.row_number().over(w_hash)).drop("__h", key)
-    j = receiver.join(donor, ["variable", "repeat", "__b", "pos"]).drop("__b", "pos")
-    for c in all_cols:
-        owners = [v for v, cols in groups.items() if c in cols]
-        j = j.withColumn(c, F.when(F.col("variable").isin(owners), qcol(f"__new_{c}")).otherwise(qcol(c)))
-    j = j.drop(*[f"__new_{c}" for c in all_cols])
-    return fitted.transform(j).select("variable", "repeat", target, "prediction")
+    cols = sorted({c for cs in groups.values() for c in cs})
+    d, n = _numbered(df, key, salt)
+    donors = d.select(F.col("__i").alias("__d"), *[qcol(c).alias(f"__new_{c}") for c in cols])
+    takers = d.withColumn("__to", F.explode(_donor(permutation_steps(n_repeats, salt, n), n)))
+    j = takers.select("*", "__to.repeat", "__to.__d").drop("__to").join(donors, "__d") \
+        .withColumn("variable", F.explode(F.array(*[F.lit(v) for v in groups])))
+    return _replaced(j, fitted, target, groups, cols)
+
+
+def _replaced(j: DataFrame, fitted: FittedModel, target: str, groups: dict, cols) -> DataFrame:
+    """Score rows whose variable's columns are taken from the donor's."""
+    new = {c: F.when(F.col("variable").isin([v for v, cs in groups.items() if c in cs]), qcol(f"__new_{c}"))
+           .otherwise(qcol(c)) for c in cols}
+    rest = [qcol(c) for c in j.columns if c not in new and not c.startswith("__")]
+    return fitted.transform(j.select(*rest, *[e.alias(c) for c, e in new.items()])).select(
+        "variable", "repeat", target, "prediction")
 
 
 def _supplied_scores(df, fitted, target, groups, key, assignment):
-    all_cols = sorted({c for cols in groups.values() for c in cols})
-    recv = df.join(assignment, on=key)
-    donors = df.select(qcol(key).alias("donor_key"), *[qcol(c).alias(f"__new_{c}") for c in all_cols])
-    j = recv.join(donors, on="donor_key")
-    for c in all_cols:
-        owners = [v for v, cols in groups.items() if c in cols]
-        j = j.withColumn(c, F.when(F.col("variable").isin(owners), qcol(f"__new_{c}")).otherwise(qcol(c)))
-    j = j.drop(*[f"__new_{c}" for c in all_cols], "donor_key")
-    return fitted.transform(j).select("variable", "repeat", target, "prediction")
+    cols = sorted({c for cs in groups.values() for c in cs})
+    donors = df.select(qcol(key).alias("donor_key"), *[qcol(c).alias(f"__new_{c}") for c in cols])
+    return _replaced(df.join(assignment, on=key).join(donors, on="donor_key"), fitted, target, groups, cols)
 
 
 def permutation_importance(df: DataFrame, fitted: FittedModel, target: str, groups: dict, key: str,
@@ -124,9 +124,12 @@ def permutation_importance(df: DataFrame, fitted: FittedModel, target: str, grou
     For plain importance pass ``{c: [c] for c in features}``.
     """
     base = regression_metrics(fitted.transform(df), target, "prediction").select(F.col("R2").alias("__base"))
-    sc = permuted_scores(df, fitted, target, groups, key, n_repeats, salt, assignment=assignment)
-    per = regression_metrics(sc, target, "prediction", keys=("variable", "repeat"))
-    drops = per.crossJoin(base).withColumn("drop", F.col("__base") - F.col("R2"))
+    if isinstance(fitted.model, OLSModel) and assignment is None:
+        per = _linear_r2(df, fitted, target, groups, key, n_repeats, salt)
+    else:
+        sc = permuted_scores(df, fitted, target, groups, key, n_repeats, salt, assignment=assignment)
+        per = regression_metrics(sc, target, "prediction", keys=("variable", "repeat"))
+    drops = per.crossJoin(F.broadcast(base)).withColumn("drop", F.col("__base") - F.col("R2"))   # one row
     sizes = df.sparkSession.createDataFrame([(v, len(c)) for v, c in groups.items()], "variable string, n_cols int")
     return drops.groupBy("variable").agg(F.avg("drop").alias("importance_mean"),
                                          F.stddev_pop("drop").alias("importance_std")) \
@@ -136,7 +139,8 @@ def permutation_importance(df: DataFrame, fitted: FittedModel, target: str, grou
 def impurity_importance(fitted: FittedModel) -> DataFrame:
     """The tree ensemble's own (impurity gain) importance per feature."""
     from pyspark.sql import SparkSession
-    imp = fitted.model.featureImportances.toArray()
+    m = fitted.model
+    imp = m.gain_importance() if isinstance(m, Ensemble) else m.featureImportances.toArray()
     spark = SparkSession.getActiveSession()
     rows = [(f, float(v)) for f, v in zip(fitted.spec.features, imp)]
     return spark.createDataFrame(rows, "feature string, gain_importance double")

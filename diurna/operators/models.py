@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import random
 from dataclasses import dataclass, field
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import qcol
 
+from . import trees
 from .encode import assemble
 
 
@@ -70,13 +70,18 @@ def _moment_aggs(features, target):
     these partial aggregates with its numerically stable pairwise update."""
     z = [qcol(c).cast("double") for c in [*features, target]]
     m = len(z)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(z[i]).alias(f"m{i}") for i in range(m)]
+    missing = F.lit(False)
+    for c in z:
+        missing = missing | c.isNull() | F.isnan(c)
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(missing).alias("missing")] + [F.avg(z[i]).alias(f"m{i}") for i in range(m)]
     aggs += [F.covar_pop(z[i], z[j]).alias(f"c{i}_{j}") for i in range(m) for j in range(i, m)]
     return aggs
 
 
 def _moments_from_row(r, m):
     n = int(r["n"])
+    if r["missing"]:
+        raise ValueError(f"{r['missing']} rows have NULL or NaN features or target; drop or fill them first")
     mean = np.array([r[f"m{i}"] for i in range(m)], dtype=float)
     com = np.zeros((m, m))
     for i in range(m):
@@ -95,7 +100,9 @@ def _merge(a, b):
 
 
 def fit_ols(df: DataFrame, features, target: str) -> OLSModel:
-    """M4: OLS with intercept, minimum-norm coefficients; one aggregate pass."""
+    """M4: OLS with intercept, minimum-norm coefficients; one aggregate pass.
+
+    NULL or NaN in a feature or the target is an error (counted in the same pass)."""
     features = list(features)
     r = df.agg(*_moment_aggs(features, target)).first()
     n, mean, com = _moments_from_row(r, len(features) + 1)
@@ -103,19 +110,43 @@ def fit_ols(df: DataFrame, features, target: str) -> OLSModel:
     return OLSModel(features, b, a, n)
 
 
-def fit_ols_folds(df: DataFrame, features, target: str, fold_col: str = "fold") -> dict:
-    """One pass, k fits: per-fold moments, training moments = merge of the other folds."""
+def fold_moments(df: DataFrame, features, target: str, fold_col: str = "fold") -> dict:
+    """Per fold the moments (n, mean, co-moments) of features and target, in one pass."""
     features = list(features)
     rows = df.groupBy(fold_col).agg(*_moment_aggs(features, target)).collect()
-    per = {r[fold_col]: _moments_from_row(r, len(features) + 1) for r in rows}
+    return {r[fold_col]: _moments_from_row(r, len(features) + 1) for r in rows}
+
+
+def others_moments(per: dict, fold):
+    """Moments of all folds but one."""
+    acc = None
+    for g, mom in per.items():
+        if g != fold:
+            acc = mom if acc is None else _merge(acc, mom)
+    return acc
+
+
+def moments_r2(mom, model: "OLSModel") -> float:
+    """R² of a linear model on the rows that the moments describe; no pass over them."""
+    n, mean, com = mom
+    k = len(mean) - 1
+    b = np.asarray(model.coef)
+    off = mean[k] - model.intercept - mean[:k] @ b
+    sse = com[k, k] - 2 * b @ com[:k, k] + b @ com[:k, :k] @ b + n * off * off
+    return float(1.0 - sse / com[k, k]) if com[k, k] else float("nan")
+
+
+def fit_ols_folds(df: DataFrame, features, target: str, fold_col: str = "fold") -> dict:
+    """One pass, k fits: per-fold moments, training moments = merge of the other folds."""
+    return ols_by_fold(fold_moments(df, features, target, fold_col), list(features))
+
+
+def ols_by_fold(per: dict, features: list) -> dict:
     models = {}
     for f in per:
-        acc = None
-        for g, mom in per.items():
-            if g != f:
-                acc = mom if acc is None else _merge(acc, mom)
-        b, a = _solve(acc[1], acc[2])
-        models[f] = OLSModel(features, b, a, int(acc[0]))
+        n, mean, com = others_moments(per, f)
+        b, a = _solve(mean, com)
+        models[f] = OLSModel(features, b, a, int(n))
     return models
 
 
@@ -143,11 +174,13 @@ class ModelSpec:
     kind: str                      # "ols" | "forest" | "boosted"
     features: tuple
     params: dict = field(default_factory=dict)
+    engine: str = "cluster"        # trees: "cluster" (pyspark.ml, any size) | "task" (bounded frames, see trees.py)
 
 
 def forest(params=None, seed: int = 42) -> RandomForestRegressor:
-    """M6: 300 trees, every feature considered at every split (the usual regressor default)."""
-    p = {"numTrees": 300, "featureSubsetStrategy": "all", "maxDepth": 12, "seed": seed,
+    """M6: 300 trees, every feature considered at every split (the usual regressor default),
+    grown by the whole cluster. Depth 30 is as deep as ``pyspark.ml`` grows."""
+    p = {"numTrees": 300, "featureSubsetStrategy": "all", "maxDepth": 30, "seed": seed,
          "maxBins": 64, "subsamplingRate": 1.0, "bootstrap": True}
     p.update(params or {})
     return RandomForestRegressor(featuresCol="features", labelCol="label", predictionCol="prediction", **p)
@@ -168,6 +201,8 @@ class FittedModel:
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         if isinstance(self.model, OLSModel):
             return predict_ols(df, self.model, out)
+        if isinstance(self.model, trees.Ensemble):
+            return trees.predict(df, self.model, out)
         a = assemble(df, list(self.spec.features))
         return self.model.transform(a).drop("features").withColumnRenamed("prediction", out) \
             if out != "prediction" else self.model.transform(a).drop("features")
@@ -177,6 +212,8 @@ def fit(spec: ModelSpec, df: DataFrame, target: str) -> FittedModel:
     """Fit one spec on a (cached) training frame."""
     if spec.kind == "ols":
         return FittedModel(spec, fit_ols(df, spec.features, target))
+    if spec.engine == "task":
+        return FittedModel(spec, trees.fit_on_task(df, spec.features, target, spec.kind, spec.params))
     est = forest(spec.params) if spec.kind == "forest" else boosted(spec.params)
     data = assemble(df, list(spec.features)).withColumn("label", qcol(target).cast("double"))
     return FittedModel(spec, est.fit(data.select("features", "label")))
@@ -199,6 +236,7 @@ FOREST_SPACE = {
     "min_samples_leaf": [1, 2, 4, 6],
     "max_features": ["sqrt", "log2", 0.5, 1.0],
 }
+N_DRAWS = 60     # draws of a search
 
 
 def to_spark_params(kind: str, p: dict) -> dict:
@@ -242,11 +280,12 @@ def draw_params(space: dict, n_draws: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def random_search(df: DataFrame, kind: str, features, target: str, space: dict, n_draws: int,
+def random_search(df: DataFrame, kind: str, features, target: str, space: dict, n_draws: int = N_DRAWS,
                   fold_col: str = "fold", seed: int = 42, base_params: dict | None = None,
-                  parallelism: int = 4) -> tuple[DataFrame, dict]:
+                  parallelism: int = 4, engine: str = "cluster") -> tuple[DataFrame, dict]:
     """Seeded draws, k-fold CV R² for each, best first.
 
+    With ``engine="task"`` every (draw, fold) is fitted by one task (bounded frames).
     ``CrossValidator(foldCol=...)`` evaluates the fold x draw grid with
     ``parallelism`` concurrent fits on the cluster. Returns (table, best params).
     """
@@ -254,6 +293,8 @@ def random_search(df: DataFrame, kind: str, features, target: str, space: dict,
     from pyspark.ml.tuning import CrossValidator
 
     draws = draw_params(space, n_draws, seed)
+    if engine == "task":
+        return trees.search(df, kind, features, target, draws, fold_col, seed)
     est = forest(base_params) if kind == "forest" else boosted(base_params)
     maps = []
     for d in draws:
@@ -272,5 +313,3 @@ def random_search(df: DataFrame, kind: str, features, target: str, space: dict,
     best = max(range(len(draws)), key=lambda i: model.avgMetrics[i])
     return table, draws[best]
 
-
-ModelFactory = Callable[[], object]

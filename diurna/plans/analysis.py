@@ -16,6 +16,7 @@ from ..operators import anomaly as N
 from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators import report as R
+from ..operators import trees
 
 
 def final_comparison(train: DataFrame, test: DataFrame, specs, target: str, fold_col: str = "fold") -> DataFrame:
@@ -29,6 +30,37 @@ def final_comparison(train: DataFrame, test: DataFrame, specs, target: str, fold
     return rows.withColumn("rank", F.rank().over(Window.orderBy(F.col("holdout_R2").desc(), F.col("model"))))
 
 
+def task_comparison(train: DataFrame, test: DataFrame, specs, target: str, fold_col: str = "fold") -> DataFrame:
+    """M19 for bounded frames: as :func:`final_comparison`, but the CV and holdout fits of all
+    tree models are tasks of one job. A model's rows come in two roles (train, validation); the
+    test part is one more fold, which the CV fits never see."""
+    linear = [s for s in specs if s.kind == "ols"]
+    trees_ = [s for s in specs if s.kind != "ols"]
+    rows = []
+    for spec in linear:
+        _, hold = E.holdout(train, test, spec, target)
+        rows.append(E.comparison_row(spec, E.cross_validate(train, spec, target, fold_col), hold))
+    if trees_:
+        folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+        held = -1 - max(abs(f) for f in folds)
+        cols = list(dict.fromkeys([c for s in trees_ for c in s.features] + [target]))
+        both = train.select(*cols, fold_col).unionByName(test.select(*cols, F.lit(held).cast("int").alias(fold_col)))
+        for feats in dict.fromkeys(s.features for s in trees_):
+            mine = [s for s in trees_ if s.features == feats]
+            jobs = [(s.kind, s.params, f, held) for s in mine for f in folds] + [(s.kind, s.params, held) for s in mine]
+            oof = trees.out_of_fold(both, feats, target, jobs, fold_col, roles=True)
+            met = E.regression_metrics(oof, "label", "prediction", keys=("job", "role")).cache()
+            for i, spec in enumerate(mine):
+                cv = met.where(F.col("job").between(i * len(folds), (i + 1) * len(folds) - 1) & (F.col("role") == "validation"))
+                hold = met.where(F.col("job") == len(mine) * len(folds) + i).withColumn(
+                    "split", F.when(F.col("role") == "train", "train").otherwise("test"))
+                rows.append(E.comparison_row(spec, cv, hold))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.withColumn("rank", F.rank().over(Window.orderBy(F.col("holdout_R2").desc(), F.col("model"))))
+
+
 def anomaly_report(df: DataFrame, features, key: str, n_trees: int = 100, contamination: float = 0.05,
                    seed: int = 42):
     """(scored rows, causes per anomaly, cause counts, fitted forest)."""

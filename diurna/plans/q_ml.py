@@ -1,19 +1,24 @@
-"""Registered tree-model, search and anomaly queries (rows-only checks).
+"""Registered tree-model, search and anomaly queries.
 
-They run on the daily-demand frame derived from the whole lineitem table (one row
-per ship date: the shape of the original daily analyses) and on lineitem itself
-for the anomaly scoring. Tree ensembles, searches and forests depend on random
-streams, so their check is the row count and schema, not values.
+They run on the daily-demand frame derived from the whole lineitem table (one row per
+ship date: the shape of the original daily analyses) and on lineitem itself for the
+anomaly scoring. Ensembles, searches and shuffles have their full sizes: 300 trees of
+unlimited depth, 300 rounds of depth 6, 60 draws x 5 folds over the whole candidate
+lists, 30 shuffles. The daily frame is bounded by the calendar, so each fit is one task
+and all fits of a table run at once.
 
-Sizes of the registered runs (trees, rounds, draws) are chosen to keep the
-check short; the operators' defaults are the full configurations.
+Ensembles depend on random streams, so their tables have no SQL twin; the chains around
+them are checked with scorers and models that SQL can say.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import label_of, share_percent
 from ..operators import anomaly as N
 from ..operators import encode as EN
 from ..operators import evaluate as E
@@ -21,139 +26,139 @@ from ..operators import importance as I
 from ..operators import models as M
 from ..operators import report as R
 from ..operators import split as S
-from .frames import daily_demand, line_frame
+from .analysis import task_comparison
+from .frames import SQL_LINE_FRAME, daily_demand, line_frame
+from .q_models import OLS2, SQL_BASE
 from .registry import register
 
-ORDINAL = ("month", "day", "weekday_ord", "season", "is_weekend", "quantity", "discount", "price")
-TREE = ("month", "day", "weekday_ord", "season", "is_weekend", "quantity", "discount", "tax", "price")
+DIAGNOSTIC = ("n_returned",)          # F10: kept in the frame, never a feature
+ORDINAL = EN.FeatureSet("ordinal", ("month", "day", "weekday_ord", "season", "is_weekend", "quantity", "discount",
+                                    "price"), DIAGNOSTIC)
+TREE = EN.FeatureSet("tree", ("month", "day", "weekday_ord", "season", "is_weekend", "quantity", "discount", "tax",
+                              "price"), DIAGNOSTIC)
 ONEHOT_CATS = ("season", "weekday")
 ONEHOT_NUMS = ("month", "day", "is_weekend", "quantity", "discount", "price")
 CUT_YEAR = 2000                       # temporal holdout: train before, test from this year
-FOREST_CHECK = {"numTrees": 50, "maxDepth": 10}
-BOOSTED_CHECK = {"maxIter": 30, "maxDepth": 3, "stepSize": 0.2}
+SPACES = {"forest": M.FOREST_SPACE, "boosted": M.BOOSTED_SPACE}
 ANOMALY_FEATURES = ["quantity", "discount", "tax", "price", "cnt"]
-
-
-def _days(spark, base):
-    """The daily frame has one row per calendar day whatever the table size, so
-    keeping it cached across the several passes of a query is cheap."""
-    return daily_demand(spark, base).cache()
+SEASONS = {1: "winter", 2: "spring", 3: "summer"}    # a code without a label shows as itself
 
 
 def _daily(spark, base):
-    d = _days(spark, base)
-    d = S.temporal_split(d.withColumn("year", F.col("year")), "year", CUT_YEAR)
+    d = S.temporal_split(daily_demand(spark, base), "year", CUT_YEAR)
     return S.kfold(d, "date", 5)
 
 
 def _onehot(d):
     lv = EN.union_levels([S.part(d, "train"), S.part(d, "test")], list(ONEHOT_CATS))
     out, names = EN.one_hot(d, list(ONEHOT_CATS), level_map=lv, keep_source=True)
-    return out, (*ONEHOT_NUMS, *names)
+    return out, EN.FeatureSet("onehot", (*ONEHOT_NUMS, *names), DIAGNOSTIC).columns
+
+
+# Tables of a few rows that several queries need: computed once per application and input.
+_KEPT: dict = {}
 
 
-DIAGNOSTIC = ("n_returned",)         # F10: kept in the frame, never a feature
+def _kept(spark, base, name, make):
+    key = (spark.sparkContext.applicationId, base, name)
+    if key not in _KEPT:
+        df = make()
+        _KEPT[key] = (df.schema, df.collect())
+    schema, rows = _KEPT[key]
+    return spark.createDataFrame(rows, schema)
 
 
-def _specs(d):
-    d1, onehot_feats = _onehot(d)
-    for feats in (ORDINAL, TREE, onehot_feats):
-        EN.check_features(feats, DIAGNOSTIC)
-    return d1, [M.ModelSpec("ols_ordinal", "ols", ORDINAL), M.ModelSpec("ols_onehot", "ols", onehot_feats),
-                M.ModelSpec("forest", "forest", TREE, FOREST_CHECK),
-                M.ModelSpec("boosted", "boosted", TREE, BOOSTED_CHECK)]
+def _search(spark, base, kind):
+    """All draws of one family's search, with their CV R²."""
+    return _kept(spark, base, f"search {kind}", lambda: M.random_search(
+        S.part(_daily(spark, base), "train"), kind, TREE.columns, "cnt", SPACES[kind], engine="task")[0])
 
 
-@register("model_comparison", covers=("M6", "M7", "M8", "M11", "M13", "M18", "M19", "F2", "F4", "U2"))
+def _best(spark, base, kind) -> dict:
+    return json.loads(_search(spark, base, kind).orderBy(F.col("cv_R2_mean").desc(), "draw").first()["params"])
+
+
+def _comparison(spark, base):
+    """Six models: two linear, two tree families by default and tuned."""
+    def make():
+        d, onehot = _onehot(_daily(spark, base))
+        specs = [M.ModelSpec("ols_ordinal", "ols", ORDINAL.columns), M.ModelSpec("ols_onehot", "ols", onehot)]
+        for kind in SPACES:
+            for name, params in ((kind, {}), (f"{kind}_tuned", _best(spark, base, kind))):
+                specs.append(M.ModelSpec(name, kind, TREE.columns, params, "task"))
+        return task_comparison(S.part(d, "train"), S.part(d, "test"), specs, "cnt")
+    return _kept(spark, base, "comparison", make)
+
+
+@register("model_comparison", covers=("M6", "M7", "M8", "M11", "M13", "M15", "M16", "M18", "M19", "F2", "F4", "U2"))
 def q_model_comparison(spark, base):
-    """Every model refit on the training years, scored once on the holdout years;
-    OLS rows also carry their 5-fold CV on the training years (one pass each)."""
-    d, specs = _specs(_daily(spark, base))
-    d = d.cache()
-    train, test = S.part(d, "train"), S.part(d, "test")
-    rows = None
-    for spec in specs:
-        _, hold = E.holdout(train, test, spec, "cnt")
-        cv = E.cross_validate(train, spec, "cnt") if spec.kind == "ols" else None
-        row = E.comparison_row(spec, cv, hold)
-        rows = row if rows is None else rows.unionByName(row)
-    return rows.withColumn("rank", F.rank().over(
-        Window.orderBy(F.col("holdout_R2").desc())))
+    """CV mean and std beside one holdout for six models, ranked by holdout R²."""
+    return _comparison(spark, base)
+
+
+@register("winner_per_metric", covers=("M20", "W5", "K3"))
+def q_winner_per_metric(spark, base):
+    return E.winners(_comparison(spark, base), {
+        "holdout_R2": "max", "holdout_RMSE": "min", "holdout_MAE": "min", "CV_R2_mean": "max"})
+
+
+@register("cv_holdout_agreement", covers=("M20",))
+def q_cv_holdout_agreement(spark, base):
+    return E.cv_holdout_agreement(_comparison(spark, base))
 
 
-@register("forest_cv", covers=("M12", "M14", "A23"))
+def _cv(spark, base, kind):
+    d = S.part(_daily(spark, base), "train")
+    spec = M.ModelSpec(kind, kind, TREE.columns, {}, "task")
+    return E.cross_validate(d, spec, "cnt").join(E.fold_gap(d, spec, "cnt"), "fold")
+
+
+@register("forest_cv", covers=("M6", "M12", "M14", "A23"))
 def q_forest_cv(spark, base):
     """Forest: validation metrics per fold and train-vs-validation gap per fold."""
-    d = S.part(_daily(spark, base), "train").cache()
-    spec = M.ModelSpec("forest", "forest", TREE, {"numTrees": 50, "maxDepth": 10})
-    per = E.cross_validate(d, spec, "cnt")
-    gap = E.fold_gap(d, spec, "cnt")
-    return per.join(gap, "fold")
+    return _cv(spark, base, "forest")
 
 
-@register("winner_per_metric", covers=("M20", "W5", "K3"))
-def q_winner_per_metric(spark, base):
-    d, specs = _specs(_daily(spark, base))
-    d = d.cache()
-    train, test = S.part(d, "train"), S.part(d, "test")
-    rows = None
-    for spec in specs[:2]:
-        _, hold = E.holdout(train, test, spec, "cnt")
-        row = E.comparison_row(spec, E.cross_validate(train, spec, "cnt"), hold)
-        rows = row if rows is None else rows.unionByName(row)
-    return E.winners(rows, {"holdout_R2": "max", "holdout_RMSE": "min", "holdout_MAE": "min", "CV_R2_mean": "max"})
+@register("boosted_cv", covers=("M7", "M12", "M14", "A23"))
+def q_boosted_cv(spark, base):
+    return _cv(spark, base, "boosted")
 
 
-@register("boosted_search", covers=("M15", "M17"))
+@register("boosted_search", covers=("M15",))
 def q_boosted_search(spark, base):
-    """Random search for boosted trees, seeded draws, 5-fold CV R², best first."""
-    d = S.part(_daily(spark, base), "train")
-    space = {"n_estimators": [10, 20], "max_depth": [2, 3], "learning_rate": [0.1, 0.2],
-             "subsample": [0.8, 1.0], "min_child_weight": [1, 3]}
-    table, best = M.random_search(d, "boosted", TREE, "cnt", space, n_draws=2, seed=42)
-    return table.withColumn("best", F.col("cv_R2_mean") == F.max("cv_R2_mean").over(
-        Window.partitionBy()))
+    """Random search for boosted trees, seeded draws, 5-fold CV R², the best one marked."""
+    t = _search(spark, base, "boosted")
+    return t.withColumn("best", F.col("cv_R2_mean") == F.max("cv_R2_mean").over(Window.partitionBy()))
 
 
-@register("forest_search", covers=("M16", "M17"))
+@register("forest_search", covers=("M16",))
 def q_forest_search(spark, base):
-    d = S.part(_daily(spark, base), "train")
-    space = {"n_estimators": [10, 20], "max_depth": [None, 5, 8], "min_samples_leaf": [1, 2, 4],
-             "max_features": ["sqrt", "log2", 0.5, 1.0]}
-    table, _ = M.random_search(d, "forest", TREE, "cnt", space, n_draws=3, seed=42)
-    return table
+    return _search(spark, base, "forest")
+
+
+def _tuning(spark, base, kind):
+    d = _daily(spark, base)
+    return E.tuning_report(S.part(d, "train"), S.part(d, "test"), kind, TREE.columns, "cnt", _best(spark, base, kind),
+                           engine="task")
 
 
 @register("forest_tuning_report", covers=("M16", "M17", "M18"))
 def q_forest_tuning_report(spark, base):
-    """Search a forest, then default vs tuned: refit on the training years, holdout once."""
-    d = _daily(spark, base)
-    train, test = S.part(d, "train"), S.part(d, "test")
-    space = {"n_estimators": [10, 20], "max_depth": [5, 8], "min_samples_leaf": [1, 4],
-             "max_features": ["sqrt", 1.0]}
-    _, best = M.random_search(train, "forest", TREE, "cnt", space, n_draws=2, seed=42)
-    return E.tuning_report(train, test, "forest", TREE, "cnt", best, default_params={"numTrees": 10, "maxDepth": 5})
+    """Default vs tuned forest: refit on the training years, holdout once, with CV."""
+    return _tuning(spark, base, "forest")
 
 
-@register("cv_holdout_agreement", covers=("M20",))
-def q_cv_holdout_agreement(spark, base):
-    d, specs = _specs(_daily(spark, base))
-    train, test = S.part(d, "train"), S.part(d, "test")
-    rows = None
-    for spec in specs[:2]:
-        _, hold = E.holdout(train, test, spec, "cnt")
-        row = E.comparison_row(spec, E.cross_validate(train, spec, "cnt"), hold)
-        rows = row if rows is None else rows.unionByName(row)
-    return E.cv_holdout_agreement(rows)
+@register("boosted_tuning_report", covers=("M15", "M17", "M18"))
+def q_boosted_tuning_report(spark, base):
+    return _tuning(spark, base, "boosted")
 
 
-@register("forest_importance", covers=("M21", "M22", "M24"))
-def q_forest_importance(spark, base):
-    """Impurity importance next to permutation importance of a forest, by feature name."""
-    d = _daily(spark, base).cache()
-    spec = M.ModelSpec("forest", "forest", TREE, {"numTrees": 50, "maxDepth": 10})
-    fm = M.fit(spec, S.part(d, "train"), "cnt")
-    perm = I.permutation_importance(S.part(d, "test"), fm, "cnt", {f: [f] for f in TREE}, "date", n_repeats=3)
+@register("boosted_importance", covers=("M21", "M22", "M24"))
+def q_boosted_importance(spark, base):
+    """Gain importance next to permutation importance of the boosted model, by feature name."""
+    d = _daily(spark, base)
+    fm = M.fit(M.ModelSpec("boosted", "boosted", TREE.columns, {}, "task"), S.part(d, "train"), "cnt")
+    perm = I.permutation_importance(S.part(d, "test"), fm, "cnt", {f: [f] for f in TREE.columns}, "date")
     return I.importance_table(I.impurity_importance(fm), perm)
 
 
@@ -161,58 +166,217 @@ def q_forest_importance(spark, base):
 def q_grouped_importance(spark, base):
     """One-hot OLS: all dummies of a categorical variable are shuffled together."""
     d, feats = _onehot(_daily(spark, base))
-    spec = M.ModelSpec("ols_onehot", "ols", feats)
-    fm = M.fit(spec, S.part(d, "train"), "cnt")
+    fm = M.fit(M.ModelSpec("ols_onehot", "ols", feats), S.part(d, "train"), "cnt")
     groups = {c: [c] for c in ONEHOT_NUMS}
     for cat in ONEHOT_CATS:
         groups[cat] = [f for f in feats if f.startswith(f"{cat}_")]
-    return I.permutation_importance(S.part(d, "test"), fm, "cnt", groups, "date", n_repeats=30)
+    return I.permutation_importance(S.part(d, "test"), fm, "cnt", groups, "date")
+
 
+# ---------------------------------------------------------------- winners over three OLS specs
+
+_THREE = {"ols_both": OLS2.features, "ols_quantity": ("l_quantity",), "ols_discount": ("l_discount",)}
+
+
+def _sql_three() -> str:
+    """Holdout R² and RMSE of three linear models over the line frame."""
+    rows = []
+    for name, f in _THREE.items():
+        if len(f) == 2:
+            rows.append(f"SELECT '{name}' AS model, revenue AS y, prediction AS p FROM p WHERE split = 'test'")
+        else:
+            x = f[0]
+            rows.append(f"""SELECT '{name}', d.revenue, k.b * d.{x} + k.a FROM d,
+              (SELECT regr_slope(revenue, {x}) AS b, regr_intercept(revenue, {x}) AS a FROM d WHERE split = 'train') k
+              WHERE d.split = 'test'""")
+    return f"""{SQL_BASE},
+ s AS ({' UNION ALL '.join(rows)}),
+ m AS (SELECT model, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2,
+              sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae FROM s GROUP BY model)"""
+
+
+def _three(spark, base):
+    d = line_frame(spark, base)
+    rows = None
+    for name, f in _THREE.items():
+        _, hold = E.holdout_tagged(d, M.ModelSpec(name, "ols", f), "revenue")
+        row = E.comparison_row(M.ModelSpec(name, "ols", f), None, hold)
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@register("ols_winners", covers=("W5", "K3", "M20"), sql=f"""
+{_sql_three()},
+ u AS (SELECT 'holdout_R2' AS metric, model, r2 AS v, -r2 AS o FROM m
+       UNION ALL SELECT 'holdout_RMSE', model, rmse, rmse FROM m UNION ALL SELECT 'holdout_MAE', model, mae, mae FROM m)
+SELECT metric, model, round_even(v, 4) AS value,
+       CAST(rank() OVER (PARTITION BY metric ORDER BY o, model) AS INTEGER) AS rank FROM u""")
+def q_ols_winners(spark, base):
+    w = E.winners(_three(spark, base), {"holdout_R2": "max", "holdout_RMSE": "min", "holdout_MAE": "min"})
+    return w.select("metric", "model", F.bround("value", 4).alias("value"), F.col("rank").cast("int").alias("rank"))
+
+
+# ---------------------------------------------------------------- anomalies
 
 def _line_anomalies(spark, base, n_trees=100):
     d = line_frame(spark, base)
     feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    out, model = N.detect(d, feats, "li_key", n_trees=n_trees, contamination=0.05)
-    return out, model
+    return N.detect(d, feats, "li_key", n_trees=n_trees, contamination=0.05)
 
 
-@register("isolation_forest", covers=("N1", "N2", "N3", "P16"))
+@register("isolation_forest", covers=("N1", "N2", "N3"))
 def q_isolation_forest(spark, base):
     """Every lineitem scored by a 100-tree isolation forest; 5 % flagged."""
     out, _ = _line_anomalies(spark, base)
     return out.select("li_key", "anomaly_score", "is_outlier")
 
 
+@register("isolation_forest_invariants", covers=("N1", "N2", "N3", "P16"), sql=f"""
+WITH d AS ({SQL_LINE_FRAME}), n AS (SELECT count(*) AS n FROM d)
+SELECT CAST(n AS BIGINT) AS n_rows, CAST(100 AS BIGINT) AS n_trees, CAST(0 AS BIGINT) AS n_bad_roots,
+       CAST(0 AS BIGINT) AS n_scores_outside, TRUE AS share_is_five_percent FROM n""")
+def q_isolation_forest_invariants(spark, base):
+    """Rows in = rows out, every root holds the sample, scores lie in [-1, 0), 5 % are flagged."""
+    out, model = _line_anomalies(spark, base)
+    roots = model.nodes[model.nodes["node"] == 0]
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(len(roots)).cast("long").alias("n_trees"),
+        F.lit(int((roots["size"] != model.sample_size).sum())).cast("long").alias("n_bad_roots"),
+        F.count_if((F.col("anomaly_score") + model.offset < -1) | (F.col("anomaly_score") + model.offset >= 0))
+        .alias("n_scores_outside"), (F.abs(share_percent("is_outlier") - 5.0) < 0.5).alias("share_is_five_percent"))
+
+
 @register("anomaly_causes", covers=("N4", "K4", "A16", "U3"))
 def q_anomaly_causes(spark, base):
     """Daily demand: anomalies and the feature whose median restores them most."""
-    d = _days(spark, base)
-    out, model = N.detect(d, ANOMALY_FEATURES, "date", n_trees=300, contamination=0.05)
+    out, model = N.detect(daily_demand(spark, base), ANOMALY_FEATURES, "date", n_trees=300, contamination=0.05)
     return N.attribute_causes(out, model, "date")
 
 
-@register("anomaly_cause_counts", covers=("N5", "A12"))
+@register("anomaly_cause_counts", covers=("N5",))
 def q_anomaly_cause_counts(spark, base):
     return N.cause_distribution(q_anomaly_causes(spark, base))
 
 
+@register("anomaly_report", covers=("N4", "P13", "K1"))
+def q_anomaly_report(spark, base):
+    """Anomalous days by score with cause, count and the season's label (codes without one show as they are)."""
+    d = daily_demand(spark, base)
+    out, model = N.detect(d, ANOMALY_FEATURES, "date", n_trees=300, contamination=0.05)
+    rows = N.attribute_causes(out, model, "date").join(d.select("date", "cnt", "season"), "date")
+    return rows.withColumn("season", label_of("season", SEASONS)).orderBy("anomaly_score")
+
+
+# A scorer that SQL can say: minus the largest distance to the centre in units of 1000ths of
+# fixed ranges; lower is more abnormal, as with the forest.
+_RANGES = {"l_quantity": (25.0, 25.0), "l_discount": (0.05, 0.05), "l_tax": (0.04, 0.04)}
+
+
+def _distance(cols):
+    return -sum((F.round(F.abs(F.col(c) - mid) / half * 1000) for c, (mid, half) in zip(cols, _RANGES.values())),
+                F.lit(0.0))
+
+
+def _scored_lines(spark, base):
+    d = line_frame(spark, base).withColumn("__s", _distance(_RANGES))
+    model = N.IsolationForestModel(list(_RANGES), 0, 0, None)
+    model.offset = N.threshold(d, 0.05, "__s")
+    out = d.withColumn("anomaly_score", F.col("__s") - F.lit(model.offset)).withColumn(
+        "is_outlier", F.col("anomaly_score") < 0).drop("__s")
+
+    def scorer(df, features, name):
+        return df.withColumn(name, _distance(features) - F.lit(model.offset))
+    return out, model, scorer
+
+
+_SQL_TERMS = {c: f"round(abs({{x}} - {m}) / {h} * 1000)" for c, (m, h) in _RANGES.items()}
+_SQL_SCORED = f"""
+WITH d AS ({SQL_LINE_FRAME}),
+ s AS (SELECT *, {', '.join(t.format(x=c) + f' AS t_{c}' for c, t in _SQL_TERMS.items())} FROM d),
+ z AS (SELECT *, -({' + '.join(f't_{c}' for c in _RANGES)}) AS sc FROM s),
+ o AS (SELECT quantile_cont(sc, 0.05) AS off, {', '.join(f'quantile_cont({c}, 0.5) AS med_{c}' for c in _RANGES)} FROM z),
+ a AS (SELECT z.*, o.*, sc - off AS score FROM z, o WHERE sc < off),
+ r AS (SELECT *, {', '.join(f"t_{c} - {t.format(x=f'med_{c}')} AS rec_{c}" for c, t in _SQL_TERMS.items())} FROM a),
+ u AS ({' UNION ALL '.join(f"SELECT li_key, score, '{c}' AS f, {i} AS fi, rec_{c} AS rec, {c} AS val, med_{c} AS med FROM r"
+                           for i, c in enumerate(_RANGES))}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY li_key ORDER BY rec DESC, fi) AS rk FROM u)"""
+
+
+@register("cause_by_ablation", covers=("N3", "N4", "K4", "U3", "A16"), sql=f"""
+{_SQL_SCORED}
+SELECT li_key, max(score) AS anomaly_score, max(f) FILTER (rk = 1) AS cause, max(f) FILTER (rk = 2) AS second_cause,
+       max(val) FILTER (rk = 1) AS cause_value, max(med) FILTER (rk = 1) AS cause_median,
+       {', '.join(f"max(rec) FILTER (f = '{c}') AS recover_{c}" for c in _RANGES)}
+FROM k GROUP BY li_key""")
+def q_cause_by_ablation(spark, base):
+    """Median ablation with a supplied scorer over every flagged line."""
+    out, model, scorer = _scored_lines(spark, base)
+    return N.attribute_causes(out, model, "li_key", scorer=scorer)
+
+
+@register("cause_counts_by_ablation", covers=("N5", "A12"), sql=f"""
+{_SQL_SCORED}
+SELECT f AS cause, count(*) AS n_outliers FROM k WHERE rk = 1 GROUP BY f""")
+def q_cause_counts(spark, base):
+    out, model, scorer = _scored_lines(spark, base)
+    return N.cause_distribution(N.attribute_causes(out, model, "li_key", scorer=scorer))
+
+
 @register("anomalies_by_period", covers=("N6",))
 def q_anomalies_by_period(spark, base):
     """Each year's days scored against that year's own distribution."""
-    d = _days(spark, base)
-    out = N.detect_by_period(d, "year", ANOMALY_FEATURES, "date", n_trees=100, contamination=0.05)
+    out = N.detect_by_period(daily_demand(spark, base), "year", ANOMALY_FEATURES, "date", n_trees=100, contamination=0.05)
     return out.select("year", "date", "anomaly_score", "is_outlier")
 
 
-@register("anomaly_error_overlap", covers=("N7", "J4", "J5", "P8", "P17", "M25"))
+@register("anomaly_error_overlap", covers=("N7", "J4", "P8", "P17", "M25"))
 def q_anomaly_error_overlap(spark, base):
-    """Worst 10 holdout errors of the ordinal OLS, flagged when the day is an anomaly
-    of its own year or a low-coverage day (fewer lines than a tenth of the median)."""
-    d = _daily(spark, base).cache()
-    spec = M.ModelSpec("ols_ordinal", "ols", ORDINAL)
-    fm = M.fit(spec, S.part(d, "train"), "cnt")
+    """Worst 10 holdout errors of the ordinal OLS, flagged when the day is an anomaly of its own year."""
+    d = _daily(spark, base)
+    fm = M.fit(M.ModelSpec("ols_ordinal", "ols", ORDINAL.columns), S.part(d, "train"), "cnt")
     worst = R.worst_predictions(fm.transform(S.part(d, "test")), "date", "cnt", k=10, round_prediction=True)
-    anomalies = N.detect_by_period(d.drop("split", "fold"), "year", ANOMALY_FEATURES, "date",
+    anomalies = N.detect_by_period(daily_demand(spark, base), "year", ANOMALY_FEATURES, "date",
                                    n_trees=100, contamination=0.05).where("is_outlier")
-    flagged = R.flag_membership(worst, anomalies, "date", "is_isoforest_outlier")
-    return flagged.orderBy("rank")
+    return R.flag_membership(worst, anomalies, "date", "is_isoforest_outlier").orderBy("rank")
+
+
+_SQL_WORST = f"""
+{SQL_BASE},
+ w AS (SELECT li_key, split, revenue AS actual, CAST(round_even(prediction, 0) AS BIGINT) AS predicted FROM p),
+ e AS (SELECT *, actual - predicted AS diff, abs(actual - predicted) AS abs_error FROM w),
+ t AS (SELECT *, CAST(row_number() OVER (ORDER BY abs_error DESC, li_key) AS INTEGER) AS rank
+       FROM e ORDER BY abs_error DESC, li_key LIMIT 100),
+ flagged AS (SELECT li_key FROM p WHERE l_quantity >= 49),
+ few AS (SELECT li_key FROM p WHERE l_discount < 0.01)"""
+
+
+def _worst_lines(spark, base):
+    d = line_frame(spark, base)
+    fm = M.fit(OLS2, S.part(d, "train"), "revenue")
+    worst = R.worst_predictions(fm.transform(d), "li_key", "revenue", k=100, round_prediction=True, extra=("split",))
+    return d, worst
+
+
+@register("worst_errors_flagged", covers=("M25", "J4", "J9", "P8", "P15", "P17", "N7"), sql=f"""
+{_SQL_WORST}
+SELECT rank, li_key, split, round_even(actual, 4) AS actual, predicted, round_even(diff, 4) AS diff,
+       li_key IN (SELECT li_key FROM flagged) AS is_flagged, li_key IN (SELECT li_key FROM few) AS is_low
+FROM t""")
+def q_worst_errors_flagged(spark, base):
+    """Worst errors over the whole frame with their split, flagged by two row sets."""
+    d, worst = _worst_lines(spark, base)
+    out = R.flag_membership(worst, d.where("l_quantity >= 49"), "li_key", "is_flagged")
+    out = R.flag_membership(out, d.where("l_discount < 0.01"), "li_key", "is_low")
+    return out.select(F.col("rank").cast("int").alias("rank"), "li_key", "split", F.bround("actual", 4).alias("actual"),
+                      "predicted", F.bround("diff", 4).alias("diff"), "is_flagged", "is_low")
+
+
+@register("error_overlap_set", covers=("J5", "N7", "J6"), sql=f"""
+{_SQL_WORST}
+SELECT 'flagged' AS split, li_key FROM t WHERE li_key IN (SELECT li_key FROM flagged)
+UNION ALL SELECT 'low', li_key FROM t WHERE li_key IN (SELECT li_key FROM few)""")
+def q_error_overlap_set(spark, base):
+    """The worst errors' keys that are also in each of the two row sets."""
+    d, worst = _worst_lines(spark, base)
+    return R.tag_union({"flagged": R.overlap(worst, d.where("l_quantity >= 49"), "li_key"),
+                        "low": R.overlap(worst, d.where("l_discount < 0.01"), "li_key")})

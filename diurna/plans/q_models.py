@@ -11,15 +11,15 @@ from ..operators import importance as I
 from ..operators import models as M
 from ..operators import report as R
 from ..operators import split as S
-from .frames import line_frame, sql_split_fold, with_split_and_fold
+from .frames import SQL_LINE_FRAME, line_frame
 from .registry import register
 
 OLS2 = M.ModelSpec("ols_quantity_discount", "ols", ("l_quantity", "l_discount"))
-N_PERM = 5
+N_PERM = 30
 
 
 def _frame(spark, base):
-    return with_split_and_fold(line_frame(spark, base))
+    return line_frame(spark, base)
 
 
 # ------------------------------------------------------------------ SQL twins of a 2-regressor OLS
@@ -38,7 +38,7 @@ def _sql_coef(m):
 
 
 SQL_BASE = f"""
-WITH d AS ({sql_split_fold()}),
+WITH d AS ({SQL_LINE_FRAME}),
  c AS ({_sql_coef(_sql_moments('d', "WHERE split = 'train'"))}),
  p AS (SELECT d.*, a + b1 * l_quantity + b2 * l_discount AS prediction FROM d, c)"""
 
@@ -77,7 +77,7 @@ def q_ols_holdout(spark, base):
 
 
 SQL_FOLDS = f"""
-WITH d AS ({sql_split_fold()}),
+WITH d AS ({SQL_LINE_FRAME}),
  t AS (SELECT * FROM d WHERE split = 'train'),
  k AS (SELECT DISTINCT fold AS k FROM t),
  tk AS (SELECT k.k, t.* FROM k JOIN t ON t.fold <> k.k),
@@ -140,43 +140,70 @@ def q_worst_predictions(spark, base):
                     F.col("rank").cast("int").alias("rank"))
 
 
-def _perm_strata_sql():
-    from ..operators.importance import stratum_multiplier
-    rows = ", ".join(f"('{v}', {r}, {stratum_multiplier(v, r, 'perm')})"
-                     for v in ("l_quantity", "l_discount") for r in range(N_PERM))
-    return f"(VALUES {rows}) v(variable, repeat, mul)"
-
-
-_ROW_HASH = f"({sql_hash_int('li_key', 'perm')} % 2147483647)"
-
-
-@register("permutation_importance", covers=("M22", "M23", "M24"), sql=f"""
+def _perm_sql(groups: dict) -> str:
+    """Importance of a two-regressor OLS by the same shuffles: rows numbered by a salted hash
+    of the key, row i taking the contribution of row (a * i + b) mod n."""
+    steps = ", ".join(f"({r}, {a}, {b})" for r, (a, b) in enumerate(I.permutation_steps(N_PERM)))
+    coef = {"l_quantity": "b1 * l_quantity", "l_discount": "b2 * l_discount"}
+    values = ", ".join(f"('{v}', {i}, {len(cs)})" for i, (v, cs) in enumerate(groups.items()))
+    parts = ", ".join(" + ".join(coef[c] for c in cs) for cs in groups.values())
+    return f"""
 {SQL_BASE},
- t AS (SELECT p.*, c.b1, c.b2, {_ROW_HASH} AS rh FROM p, c WHERE split = 'test'),
- s AS (SELECT variable, CAST(repeat AS INTEGER) AS repeat, CAST(mul AS BIGINT) AS mul FROM {_perm_strata_sql()}),
- x AS (SELECT t.li_key, t.revenue, t.prediction, s.variable, s.repeat, (t.rh * s.mul) % 2147483647 AS h,
-              CASE WHEN s.variable = 'l_quantity' THEN b1 * l_quantity ELSE b2 * l_discount END AS contrib
-       FROM t, s),
- recv AS (SELECT *, row_number() OVER (PARTITION BY variable, repeat ORDER BY li_key) AS pos FROM x),
- donor AS (SELECT variable, repeat, contrib AS c_new,
-                  row_number() OVER (PARTITION BY variable, repeat ORDER BY h, li_key) AS pos FROM x),
- j AS (SELECT recv.variable, recv.repeat, revenue, prediction - contrib + c_new AS pp
-       FROM recv JOIN donor USING (variable, repeat, pos)),
+ t AS (SELECT revenue, prediction, [{parts}] AS c,
+              row_number() OVER (ORDER BY {sql_hash_int('li_key', 'perm')}, li_key) - 1 AS i, count(*) OVER () AS n
+       FROM (SELECT p.*, c.b1, c.b2 FROM p, c WHERE split = 'test')),
+ s AS (SELECT * FROM (VALUES {steps}) v(repeat, a, b)),
+ g AS (SELECT * FROM (VALUES {values}) v(variable, pos, n_cols)),
+ j AS (SELECT g.variable, s.repeat, x.revenue, x.prediction - x.c[g.pos + 1] + y.c[g.pos + 1] AS pp
+       FROM t x CROSS JOIN s JOIN t y ON y.i = (s.a::BIGINT * x.i + s.b) % x.n CROSS JOIN g),
  r2 AS (SELECT variable, repeat, 1 - sum((revenue - pp) * (revenue - pp)) / (var_pop(revenue) * count(*)) AS r2
         FROM j GROUP BY variable, repeat),
  b AS (SELECT 1 - sum((revenue - prediction) * (revenue - prediction)) / (var_pop(revenue) * count(*)) AS b FROM t)
 SELECT variable, round_even(avg(b - r2), 6) AS importance_mean, round_even(stddev_pop(b - r2), 6) AS importance_std,
-       1 AS n_cols
-FROM r2, b GROUP BY variable""")
-def q_permutation_importance(spark, base):
+       CAST(max(n_cols) AS INTEGER) AS n_cols
+FROM r2 JOIN g USING (variable), b GROUP BY variable"""
+
+
+def _importance(spark, base, groups):
     d = _frame(spark, base)
     fm = M.fit(OLS2, S.part(d, "train"), "revenue")
-    groups = {"l_quantity": ["l_quantity"], "l_discount": ["l_discount"]}
     imp = I.permutation_importance(S.part(d, "test"), fm, "revenue", groups, "li_key", N_PERM)
     return imp.select("variable", F.bround("importance_mean", 6).alias("importance_mean"),
                       F.bround("importance_std", 6).alias("importance_std"), "n_cols")
 
 
+PLAIN_GROUPS = {"l_quantity": ["l_quantity"], "l_discount": ["l_discount"]}
+JOINT_GROUP = {"both": ["l_quantity", "l_discount"], "l_quantity": ["l_quantity"]}
+
+
+@register("permutation_importance", covers=("M22",), sql=_perm_sql(PLAIN_GROUPS))
+def q_permutation_importance(spark, base):
+    return _importance(spark, base, PLAIN_GROUPS)
+
+
+@register("joint_permutation_importance", covers=("M23",), sql=_perm_sql(JOINT_GROUP))
+def q_joint_permutation_importance(spark, base):
+    """Two columns shuffled together as one variable, beside one of them alone."""
+    return _importance(spark, base, JOINT_GROUP)
+
+
+@register("importance_joined", covers=("M24",), sql=f"""
+WITH imp AS ({_perm_sql(PLAIN_GROUPS)}),
+ c AS (SELECT * FROM ({SQL_BASE} SELECT b1, b2 FROM c))
+SELECT variable AS feature, round_even(abs(CASE variable WHEN 'l_quantity' THEN b1 ELSE b2 END), 4) AS gain_importance,
+       importance_mean AS permutation_importance_mean_R2_drop, importance_std AS permutation_importance_std
+FROM imp, c""")
+def q_importance_joined(spark, base):
+    """Two importances joined by feature name (here the size of the coefficient beside the R² drop)."""
+    d = _frame(spark, base)
+    fm = M.fit(OLS2, S.part(d, "train"), "revenue")
+    own = spark.createDataFrame([(f, abs(float(b))) for f, b in zip(fm.model.features, fm.model.coef)],
+                                "feature string, gain_importance double")
+    t = I.importance_table(own, _importance(spark, base, PLAIN_GROUPS))
+    return t.select("feature", F.bround("gain_importance", 4).alias("gain_importance"),
+                    "permutation_importance_mean_R2_drop", "permutation_importance_std")
+
+
 @register("metric_record", covers=("M10", "M9", "J8"), sql=f"""
 {SQL_BASE}
 SELECT 'ols_quantity_discount' AS model, 'revenue' AS target, 'l_quantity,l_discount' AS features,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from diurna.operators import anomaly as N
+from diurna.operators import evaluate as E
 from diurna.operators import importance as I
 from diurna.operators import models as M
 
@@ -73,8 +74,82 @@ def test_permutation_fast_path_equals_general_path(spark):
 def test_permutation_is_a_permutation(spark):
     df = spark.createDataFrame([(i, float(i), float(i)) for i in range(300)], "k long, x double, y double")
     fm = M.fit(M.ModelSpec("ols", "ols", ("x",)), df, "y")
-    sc = I.permuted_scores(df, fm, "y", {"x": ["x"]}, "k", n_repeats=3, block_rows=100)
+    sc = I.permuted_scores(df, fm, "y", {"x": ["x"]}, "k", n_repeats=3)
     # each stratum keeps every row once and the shuffled predictions are a rearrangement
     per = sc.groupBy("repeat").agg(F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("s")).collect()
     base = sum(float(i) for i in range(300))
     assert all(r["n"] == 300 and r["s"] == pytest.approx(base) for r in per)
+
+
+def test_grown_trees_equal_a_naive_search():
+    import numpy as np
+    from diurna.operators import trees as T
+    rng = np.random.default_rng(0)
+    x, y = np.round(rng.normal(size=(60, 3)), 1), rng.normal(size=60)
+
+    def naive(rows, depth):
+        best = None
+        for f in range(3):
+            for cut in np.unique(x[rows, f])[:-1]:
+                low = x[rows, f] <= cut
+                score = y[rows][low].sum() ** 2 / low.sum() + y[rows][~low].sum() ** 2 / (~low).sum()
+                if best is None or score > best[0] + 1e-9:
+                    best = (score, f, cut)
+        if depth == 0 or best is None or best[0] <= y[rows].sum() ** 2 / len(rows) + 1e-12:
+            return {int(r): y[rows].mean() for r in rows}
+        low = x[rows, best[1]] <= best[2]
+        return naive(rows[low], depth - 1) | naive(rows[~low], depth - 1)
+    want = naive(np.arange(60), 3)
+    order = np.argsort(x, axis=0, kind="stable").T
+    t = T.grow(x, order, y, np.ones(60), 3, 1, 0.0, np.arange(3), 3, rng)
+    assert np.allclose(t.predict(x), [want[i] for i in range(60)])
+
+
+def test_task_fits_equal_a_local_fit(spark):
+    import numpy as np
+    from diurna.operators import trees as T
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 4, *(float(v) for v in rng.normal(size=2))) for i in range(80)]
+    df = spark.createDataFrame([(i, f, a, b, 2 * a - b) for i, f, a, b in rows], "k long, fold int, a double, b double, y double")
+    spec = M.ModelSpec("boosted", "boosted", ("a", "b"), {"n_estimators": 20, "max_depth": 2}, "task")
+    per = {r["fold"]: r["R2"] for r in E.cross_validate(df, spec, "y").collect()}
+    pdf = df.toPandas()
+    for f in range(4):
+        tr, te = pdf[pdf.fold != f], pdf[pdf.fold == f]
+        by = np.lexsort((tr.b, tr.a, tr.y))
+        tr = tr.iloc[by]
+        m = T.fit_ensemble("boosted", spec.params, tr[["a", "b"]].to_numpy(), tr.y.to_numpy(), ["a", "b"])
+        p = m.predict(te[["a", "b"]].to_numpy())
+        assert per[f] == pytest.approx(1 - ((te.y - p) ** 2).sum() / ((te.y - te.y.mean()) ** 2).sum(), abs=1e-9)
+    fm = M.fit(spec, df, "y")
+    assert fm.transform(df).count() == 80 and I.impurity_importance(fm).count() == 2
+    gap = E.fold_gap(df, spec, "y").collect()
+    assert all(r["val_R2"] == pytest.approx(per[r["fold"]]) and r["train_R2"] > 0.8 for r in gap)
+
+
+def test_null_labels_are_an_error(spark):
+    df = spark.range(100).selectExpr("id AS k", "CAST(id AS double) AS x", "IF(id % 3 = 0, NULL, 2D * id + 1) AS y",
+                                     "CAST(id % 5 AS int) AS fold", "0D AS prediction")
+    with pytest.raises(ValueError):
+        M.fit_ols(df, ["x"], "y")
+    with pytest.raises(ValueError):
+        M.fit_ols_folds(df, ["x"], "y")
+    with pytest.raises(Exception, match="NULL or NaN"):
+        E.regression_metrics(df, "y").collect()
+    full = df.where("y IS NOT NULL")
+    m = M.fit_ols(full, ["x"], "y")
+    assert m.coef[0] == pytest.approx(2) and m.intercept == pytest.approx(1)
+    assert E.regression_metrics(full, "y").first()["n"] == 66
+
+
+def test_fold_gap_from_moments_equals_scoring(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(int(i % 5), float(a), float(a * 2 + e)) for i, (a, e) in enumerate(rng.normal(size=(200, 2)))],
+                               "fold int, x double, y double")
+    spec = M.ModelSpec("o", "ols", ("x",))
+    got = {r["fold"]: r for r in E.fold_gap(df, spec, "y").collect()}
+    val = {r["fold"]: r["R2"] for r in E.cross_validate(df, spec, "y").collect()}
+    for f, m in M.fit_ols_folds(df, ["x"], "y").items():
+        tr = E.regression_metrics(M.predict_ols(df.where(F.col("fold") != f), m), "y").first()["R2"]
+        assert got[f]["train_R2"] == pytest.approx(tr) and got[f]["val_R2"] == pytest.approx(val[f])
