@@ -221,7 +221,7 @@ def fit(spec: ModelSpec, df: DataFrame, target: str) -> FittedModel:
 
 # ---------------------------------------------------------------- random search
 
-# Search spaces (lists of candidate values per parameter).
+# Search spaces (lists of candidate values per parameter), for each of the two analyses.
 BOOSTED_SPACE = {
     "n_estimators": [100, 200, 300, 400, 500],
     "max_depth": [2, 3, 4, 5, 6, 8],
@@ -229,18 +229,39 @@ BOOSTED_SPACE = {
     "subsample": [0.6, 0.7, 0.8, 0.9, 1.0],
     "colsample_bytree": [0.6, 0.7, 0.8, 0.9, 1.0],
     "min_child_weight": [1, 3, 5, 7],
+    "reg_alpha": [0, 0.01, 0.1, 1],
+    "reg_lambda": [0.5, 1, 1.5, 2],
+}
+BOOSTED_SPACE_TWO_YEARS = {
+    "n_estimators": [50, 100, 150, 200, 300],
+    "max_depth": [2, 3, 4, 5, 6],
+    "learning_rate": [0.01, 0.03, 0.05, 0.1, 0.2],
+    "subsample": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "colsample_bytree": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "min_child_weight": [1, 3, 5, 7],
+    "reg_alpha": [0, 0.01, 0.1, 1],
+    "reg_lambda": [1, 1.5, 2, 3],
 }
 FOREST_SPACE = {
     "n_estimators": [100, 200, 300, 400, 500],
     "max_depth": [None, 3, 5, 8, 12, 16],
+    "min_samples_split": [2, 4, 6, 10],
     "min_samples_leaf": [1, 2, 4, 6],
     "max_features": ["sqrt", "log2", 0.5, 1.0],
 }
+FOREST_SPACE_TWO_YEARS = {
+    "n_estimators": [100, 200, 300, 400, 500],
+    "max_depth": [3, 5, 7, 10, 15, None],
+    "min_samples_split": [2, 5, 10, 15],
+    "min_samples_leaf": [1, 2, 4, 8],
+    "max_features": ["sqrt", "log2", 0.5, 0.7, 1.0],
+}
 N_DRAWS = 60     # draws of a search
 
 
 def to_spark_params(kind: str, p: dict) -> dict:
-    """Map search-space names to pyspark.ml parameters."""
+    """Map search-space names to pyspark.ml parameters (leaf penalties and the least size of a
+    split node have no counterpart there; fits on tasks use them, see trees.py)."""
     out = {}
     if "n_estimators" in p:
         out["maxIter" if kind == "boosted" else "numTrees"] = int(p["n_estimators"])

@@ -9,7 +9,7 @@ over them. For training tables that one task can't hold, ``models.forest`` and
 
 Growing is exact greedy, level by level over all nodes at once: rows sorted by feature are
 regrouped by node with a stable sort and scored by prefix sums. Boosting follows the usual
-second-order form for squared error: leaf = rate * G / (H + lambda).
+second-order form for squared error: leaf = rate * G / (H + lambda), with G shrunk by alpha.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import qcol
 
 # The usual defaults of the two regressors.
-FOREST_DEFAULTS = {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 1, "max_features": 1.0}
+FOREST_DEFAULTS = {"n_estimators": 300, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1,
+                   "max_features": 1.0}
 BOOSTED_DEFAULTS = {"n_estimators": 300, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0,
-                    "colsample_bytree": 1.0, "min_child_weight": 1, "reg_lambda": 1.0}
+                    "colsample_bytree": 1.0, "min_child_weight": 1, "reg_alpha": 0.0, "reg_lambda": 1.0}
 
 
 @dataclass
@@ -72,9 +73,15 @@ class Ensemble:
         return out / out.sum() if out.sum() > 0 else out
 
 
+def _shrunk(G: np.ndarray, alpha: float) -> np.ndarray:
+    return np.sign(G) * np.maximum(np.abs(G) - alpha, 0.0) if alpha else G
+
+
 def grow(x: np.ndarray, order: np.ndarray, g: np.ndarray, w: np.ndarray, max_depth: int, min_child: float,
-         lam: float, columns: np.ndarray, per_split: int, rng: np.random.Generator) -> Tree:
+         lam: float, columns: np.ndarray, per_split: int, rng: np.random.Generator, alpha: float = 0.0,
+         min_split: float = 2) -> Tree:
     """One tree on the rows with weight; ``order`` holds the rows sorted by each feature.
+    ``lam`` and ``alpha`` are the squared and absolute leaf penalties.
 
     All features and nodes of a level are scored together: each feature's rows stand by
     (node, value), so the nodes' places are the same for every feature.
@@ -94,7 +101,7 @@ def grow(x: np.ndarray, order: np.ndarray, g: np.ndarray, w: np.ndarray, max_dep
         first = np.searchsorted(k, np.arange(m))
         G = np.add.reduceat(gw[o[0]], first)
         H = np.add.reduceat(w[o[0]], first)
-        value[ids] = G / (H + lam)
+        value[ids] = _shrunk(G, alpha) / (H + lam)
         if depth == max_depth or o.shape[1] < 2:
             break
         v = x[o, by_feature]
@@ -104,15 +111,16 @@ def grow(x: np.ndarray, order: np.ndarray, g: np.ndarray, w: np.ndarray, max_dep
         HR = H[k] - HL
         good = np.zeros(o.shape, bool)
         good[:, :-1] = (k[:-1] == k[1:]) & (v[:, :-1] < v[:, 1:])
-        good &= (HL >= min_child) & (HR >= min_child)
+        good &= (HL >= min_child) & (HR >= min_child) & (H >= min_split)[k]
         if per_split < len(columns):
             some = rng.random((m, len(columns))).argsort(axis=1).argsort(axis=1) < per_split
             good &= some.T[:, k]
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(good, GL * GL / (HL + lam) + (G[k] - GL) ** 2 / (HR + lam), -np.inf)
+            score = np.where(good, _shrunk(GL, alpha) ** 2 / (HL + lam) + _shrunk(G[k] - GL, alpha) ** 2 / (HR + lam),
+                             -np.inf)
         top = np.maximum.reduceat(score, first, axis=1)
         at = top.argmax(axis=0)
-        best, parent = top[at, np.arange(m)], G * G / (H + lam)
+        best, parent = top[at, np.arange(m)], _shrunk(G, alpha) ** 2 / (H + lam)
         split = np.flatnonzero(best - parent > 1e-12 * np.maximum(np.abs(parent), 1.0))
         if not len(split):
             break
@@ -159,7 +167,7 @@ def fit_ensemble(kind: str, params: dict, x: np.ndarray, y: np.ndarray, features
         for _ in range(int(p["n_estimators"])):
             w = np.bincount(rng.integers(0, n, n), minlength=n).astype(float)
             out.trees.append(grow(x, order, y, w, depth, p["min_samples_leaf"], 0.0, every,
-                                  _share(p["max_features"], many), rng))
+                                  _share(p["max_features"], many), rng, min_split=p["min_samples_split"]))
         return out
     out = Ensemble(features, float(y.mean()))
     now = np.full(n, out.base)
@@ -170,7 +178,8 @@ def fit_ensemble(kind: str, params: dict, x: np.ndarray, y: np.ndarray, features
         some = every
         if p["colsample_bytree"] < 1:
             some = np.sort(rng.permutation(many)[:max(1, int(p["colsample_bytree"] * many))])
-        t = grow(x, order, y - now, w, depth, p["min_child_weight"], p["reg_lambda"], some, len(some), rng)
+        t = grow(x, order, y - now, w, depth, p["min_child_weight"], p["reg_lambda"], some, len(some), rng,
+                 p["reg_alpha"])
         t.value *= p["learning_rate"]
         now += t.predict(x)
         out.trees.append(t)
