@@ -76,3 +76,19 @@ def test_severity_native_equals_pandas_double(spark):
     native = daily_rollup(h, EVENTS_SPEC).select("series", "date", "code")
     diff = native.exceptAll(double).count() + double.exceptAll(native).count()
     assert diff == 0 and native.count() > 0
+
+
+def test_diagnostics_are_never_features():
+    import pytest
+
+    from diurna.operators import encode
+    with pytest.raises(ValueError):
+        encode.FeatureSet("tree", ("a", "n_hours"), diagnostics=("n_hours",))
+
+
+def test_label_of_an_unknown_code(spark):
+    from diurna.functions.scalar import label_of, sentinel_to_null
+    df = spark.createDataFrame([(1,), (26,), (None,)], "c int")
+    got = [r["l"] for r in df.select(label_of("c", {1: "clear"}).alias("l")).collect()]
+    assert got == ["clear", "26", None]
+    assert df.where(sentinel_to_null("c", 26).isNull()).count() == 2

@@ -167,3 +167,15 @@ def test_worst_error_and_anomaly_overlap_2016(spark, daily_tables):
     w = error_anomaly_overlap(fm, te2, scored, "date", "cnt").orderBy("rank").collect()
     assert w[0]["date"] == "2016-12-25" and w[0]["abs_error"] == pytest.approx(24245.43033396462, abs=1e-6)
     assert len(w) == 10 and scored.where("is_outlier").count() == 19
+
+
+def test_tree_bands(daily_tables):
+    """Default forest and boosted trees near the published holdout R² (0.739, 0.691), whatever the seed."""
+    tr, te = daily_tables
+    feats = ("month", "day", "weekday_ord", "season", "is_holiday", "is_weekend", "weather_code", "t1", "t2", "hum",
+             "wind_speed")
+    both = tr.withColumn("fold", F.lit(0)).unionByName(te.withColumn("fold", F.lit(1)))
+    from diurna.operators import trees
+    oof = trees.out_of_fold(_prep(both), feats, "cnt", [("forest", {}, 1), ("boosted", {}, 1)])
+    r2 = {r["job"]: r["R2"] for r in E.regression_metrics(oof, "label", "prediction", keys=("job",)).collect()}
+    assert r2[0] == pytest.approx(0.739, abs=0.03) and r2[1] == pytest.approx(0.691, abs=0.03)
