@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sentinel_to_null
+from ..session import cut_lineage
 
 
 def interpolate_linear(df: DataFrame, col: str, order_by: str, keys=(), sentinel=None,
@@ -16,32 +17,17 @@ def interpolate_linear(df: DataFrame, col: str, order_by: str, keys=(), sentinel
     gap is filled on the straight line between its two neighbours. ``sentinel``
     (e.g. 0 for an impossible humidity) is turned into NULL first (P5).
 
-    Each series is one window partition ordered by ``order_by``: supply a series
-    key so the work spreads over tasks. For a series too long for one task pass
-    ``bucket`` (a column non-decreasing in ``order_by``, e.g. the day): see
-    :func:`interpolate_linear_bucketed`.
+    No window holds a whole series: rows are cut into buckets, and only one small row per
+    bucket is carried across a series (:func:`interpolate_linear_bucketed`). ``bucket`` is a
+    column non-decreasing in ``order_by`` (e.g. the day); without one, the parts of a range
+    partitioning by (keys, order_by) are the buckets, checkpointed so that every pass sees
+    the same ones.
     """
     if bucket is not None:
         return interpolate_linear_bucketed(df, col, order_by, bucket, keys, sentinel, out_col)
-    out_col = out_col or col
-    v = sentinel_to_null(col, sentinel) if sentinel is not None else F.col(col)
-    d = df.withColumn("__v", v)
-    w = Window.partitionBy(*keys).orderBy(order_by) if keys else Window.orderBy(order_by)
-    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fwd = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    d = d.withColumn("__pos", F.row_number().over(w))
-    known_pos = F.when(F.col("__v").isNotNull(), F.col("__pos"))
-    d = (d.withColumn("__p0", F.last(known_pos, ignorenulls=True).over(back))
-         .withColumn("__v0", F.last("__v", ignorenulls=True).over(back))
-         .withColumn("__p1", F.first(known_pos, ignorenulls=True).over(fwd))
-         .withColumn("__v1", F.first("__v", ignorenulls=True).over(fwd)))
-    filled = (F.when(F.col("__v").isNotNull(), F.col("__v"))
-              .when(F.col("__p0").isNull(), F.lit(None))
-              .when(F.col("__p1").isNull(), F.col("__v0"))
-              .otherwise(F.col("__v0") + (F.col("__v1") - F.col("__v0"))
-                         * (F.col("__pos") - F.col("__p0")) / (F.col("__p1") - F.col("__p0"))))
-    d = d.withColumn(out_col, filled.cast("double"))
-    return d.drop("__v", "__pos", "__p0", "__v0", "__p1", "__v1")
+    parts = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], F.col(order_by)).withColumn(
+        "__part", F.spark_partition_id()))
+    return interpolate_linear_bucketed(parts, col, order_by, "__part", keys, sentinel, out_col).drop("__part")
 
 
 def interpolate_linear_bucketed(df: DataFrame, col: str, order_by: str, bucket, keys=(), sentinel=None,
@@ -82,7 +68,11 @@ def interpolate_linear_bucketed(df: DataFrame, col: str, order_by: str, bucket,
           .withColumn("__cv0", F.last("__lvk", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)))
           .withColumn("__cp1", F.first(first_g, ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)))
           .withColumn("__cv1", F.first("__fv", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))))
-    d = d.join(bk.select(*g, "__off", "__cp0", "__cv0", "__cp1", "__cv1"), on=g, how="left")
+    same = F.lit(True)
+    for i, c in enumerate(g):      # a NULL series is a series
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    d = d.join(bk.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(g)], "__off", "__cp0", "__cv0", "__cp1",
+                         "__cv1"), same, "left").drop(*[f"__g{i}" for i in range(len(g))])
     pos = F.col("__off") + F.col("__lp")
     p0 = F.coalesce(F.col("__off") + F.col("__lp0"), F.col("__cp0"))
     v0 = F.when(F.col("__lp0").isNotNull(), F.col("__lv0")).otherwise(F.col("__cv0"))

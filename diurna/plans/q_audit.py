@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import label_of, sentinel_to_null
 from ..operators import audit, encode, report, split
 from ..sources.tables import read_table
 from .frames import SQL_LINE_FRAME, line_frame
@@ -87,7 +88,7 @@ def _onehot_sql():
     return f"SELECT o_orderkey, o_totalprice,\n  {pr},\n  {st}\nFROM orders"
 
 
-@register("one_hot_design", covers=("F1", "F4", "P1", "P2"), sql=_onehot_sql())
+@register("one_hot_design", covers=("F1", "P1", "P2"), sql=_onehot_sql())
 def q_one_hot(spark, base):
     o = read_table(spark, base, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     out, _ = encode.one_hot(o, ["o_orderpriority", "o_orderstatus"])
@@ -210,3 +211,53 @@ def q_calendar_keys(spark, base):
     return o.select("o_orderkey", iso_date("y", "m", "d").alias("iso_date"), "weekday",
                     weekday_name_to_ordinal("weekday").cast("int").alias("weekday_ord"),
                     F.col("o_totalprice").cast("long").alias("price_floor"))
+
+
+PRIORITY_LABELS = {"1-URGENT": "urgent", "2-HIGH": "high"}
+
+
+@register("code_labels", covers=("P13",), sql="""
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high'
+       ELSE o_orderpriority END AS label FROM orders""")
+def q_code_labels(spark, base):
+    """Codes to labels; a code without one shows as itself."""
+    o = read_table(spark, base, "orders")
+    return o.select("o_orderkey", label_of("o_orderpriority", PRIORITY_LABELS).alias("label"))
+
+
+@register("sentinel_to_null", covers=("P5", "A3"), sql=f"""
+SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (l_discount = 0) AS BIGINT) AS n_missing,
+       round_even(avg(nullif(l_discount, 0)), 6) AS mean_known
+FROM ({SQL_LINE_FRAME}) GROUP BY l_returnflag""")
+def q_sentinel(spark, base):
+    """Zero discounts read as missing, then counted and left out of the mean."""
+    d = line_frame(spark, base).withColumn("v", sentinel_to_null("l_discount", 0.0))
+    return d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").isNull()).alias("n_missing"),
+                                         F.bround(F.avg("v"), 6).alias("mean_known"))
+
+
+FAMILIES = {"linear": ("l_quantity", "l_discount"), "tree": ("l_quantity", "l_discount", "l_tax")}
+
+
+@register("feature_sets", covers=("F4", "F10"), sql="""
+SELECT 'linear' AS family, 0 AS position, 'l_quantity' AS feature, CAST(count(l_quantity) AS BIGINT) AS n FROM lineitem
+UNION ALL SELECT 'linear', 1, 'l_discount', count(l_discount) FROM lineitem
+UNION ALL SELECT 'tree', 0, 'l_quantity', count(l_quantity) FROM lineitem
+UNION ALL SELECT 'tree', 1, 'l_discount', count(l_discount) FROM lineitem
+UNION ALL SELECT 'tree', 2, 'l_tax', count(l_tax) FROM lineitem
+UNION ALL SELECT 'refused', 0, 'l_linestatus', count(l_linestatus) FROM lineitem""")
+def q_feature_sets(spark, base):
+    """One feature set per model family with its known values; a diagnostic column is refused."""
+    diagnostics = ("l_linestatus",)
+    rows = [(f, i, c) for f, cols in FAMILIES.items()
+            for i, c in enumerate(encode.FeatureSet(f, cols, diagnostics).columns)]
+    try:
+        encode.FeatureSet("bad", ("l_tax", "l_linestatus"), diagnostics)
+    except ValueError:
+        rows.append(("refused", 0, "l_linestatus"))
+    li = read_table(spark, base, "lineitem")
+    cols = sorted({c for _, _, c in rows})
+    known = li.agg(*[F.count(c).alias(c) for c in cols]).select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in cols])).alias("v")).select("v.*")
+    return spark.createDataFrame(rows, "family string, position int, feature string").join(known, "feature").select(
+        "family", "position", "feature", "n")

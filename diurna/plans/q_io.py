@@ -12,12 +12,15 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import models as M
+from ..operators import split
 from ..session import scratch_path
 from ..sources.tables import read_csv, read_table, write_table
 from .daily import hourly_log
-from .frames import daily_demand
+from .frames import daily_demand, line_frame
+from .q_models import OLS2
 from .q_rollup import SQL_HOURLY
-from .registry import register
+from .registry import REGISTRY, register
 
 KEEP_YEARS = (1996, 1997)
 
@@ -47,3 +50,40 @@ def q_year_partitioned_sink(spark, base):
     write_table(d, path, partition_by=("year",), source_paths=[f"{base}/lineitem.parquet"])
     back = spark.read.parquet(path).where(F.col("year").isin(*KEEP_YEARS))
     return back.select("date", "cnt", F.col("year").cast("int").alias("year"))
+
+
+@register("csv_bom_roundtrip", covers=("S3",), sql=f"""
+SELECT series, '시간 ' || CAST(hour(timestamp) AS VARCHAR) AS label, CAST(cnt AS BIGINT) AS cnt FROM ({SQL_HOURLY})""")
+def q_csv_bom(spark, base):
+    """A file with a byte-order mark before its header and non-Latin text, read as written."""
+    path = scratch_path(spark, f"hourly-bom-{uuid.uuid4().hex}")
+    h = hourly_log(read_table(spark, base, "events")).select(
+        F.col("series").alias("\ufeffseries"), F.concat(F.lit("시간 "), F.hour("timestamp").cast("string")).alias("label"),
+        "cnt")
+    write_table(h, path, fmt="csv", source_paths=[f"{base}/events.parquet"])
+    back = read_csv(spark, path)
+    return back.select(F.col("series").cast("int").alias("series"), "label", F.col("cnt").cast("long").alias("cnt"))
+
+
+@register("model_roundtrip", covers=("S5",), sql=REGISTRY["ols_coefficients"].sql)
+def q_model_roundtrip(spark, base):
+    """A fitted model written as JSON, read back, and its coefficients."""
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    m = M.fit_ols(split.part(line_frame(spark, base), "train"), OLS2.features, "revenue")
+    spark.createDataFrame([(m.to_json(),)], "value string").write.text(path)
+    back = M.OLSModel.from_json(spark.read.text(path).first()["value"])
+    return back.coefficients(spark).select("position", "feature", F.bround("coef", 4).alias("coef"))
+
+
+@register("overwrite_refused", covers=("S8",), sql="""
+SELECT TRUE AS refused, CAST(count(*) AS BIGINT) AS n_rows_left FROM region""")
+def q_overwrite_refused(spark, base):
+    """Writing to an input's own path is refused and leaves the input as it is."""
+    path = f"{base}/region.parquet"
+    region = read_table(spark, base, "region")
+    try:
+        write_table(region, path, source_paths=[path])
+        refused = False
+    except ValueError:
+        refused = True
+    return region.agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n_rows_left"))

@@ -63,7 +63,7 @@ def q_hourly_log(spark, base):
                     "is_weekend", "is_holiday")
 
 
-@register("daily_rollup", covers=("A10", "A15", "W2", "W4", "P7", "P9", "P10", "P12", "S6", "F10", "U1"),
+@register("daily_rollup", covers=("A10", "A15", "W2", "W4", "P7", "P9", "P10", "P12", "S6", "U1"),
           sql=SQL_DAILY)
 def q_daily_rollup(spark, base):
     return events_daily(_events(spark, base))
@@ -208,7 +208,7 @@ WITH h AS (SELECT series, timestamp, reading FROM ({SQL_HOURLY})),
          ON grid.series = h.series AND grid.timestamp = h.timestamp)"""
 
 
-@register("interpolate_hours", covers=("W1", "P5"), sql=f"""
+@register("interpolate_hours", covers=("W1",), sql=f"""
 {SQL_GRID},
  p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY timestamp) AS pos FROM g),
  q AS (SELECT *,
