@@ -40,3 +40,30 @@ def test_scans_read_only_needed_columns(static):
 def test_iqr_bounds_are_broadcast_not_shuffled(static):
     p = _plan(se.queries()["iqr_outliers"](static, BASE))
     assert "BroadcastNestedLoopJoin" in p or "BroadcastExchange" in p
+
+
+def test_day_constant_check_is_one_aggregate_without_expansion(static):
+    p = _plan(se.queries()["day_constant_check"](static, BASE))
+    assert "Expand" not in p
+
+
+def test_value_ranks_have_no_global_window_over_values(static):
+    for name in ("value_counts", "distinct_sorted"):
+        p = _plan(se.queries()[name](static, BASE))
+        windows = [l for l in p.splitlines() if "row_number()" in l and "Window" in l]
+        assert windows and all("__part" in l for l in windows)
+
+
+def test_interpolation_windows_hold_a_bucket(static):
+    p = _plan(se.queries()["interpolate_hours"](static, BASE))
+    rows = [l for l in p.splitlines() if "row_number()" in l and "Window" in l]
+    assert rows and all("__bk" in l for l in rows)
+
+
+def test_no_registered_module_keeps_a_size_switch():
+    import inspect
+
+    from diurna.operators import encode, importance, profile
+    for fn in (profile.exact_quantiles, profile.gaussian_kde, importance.permuted_scores, encode.levels):
+        assert not {"max_rows", "max_targets", "max_bins", "block_rows", "max_levels"} & set(
+            inspect.signature(fn).parameters)
