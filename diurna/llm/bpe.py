@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Texts are split into words at white space (which the tokenizer drops between its
-pre-tokens) and before punctuation after a letter (where it always begins a pre-token), each distinct word of the corpus is encoded once, its ids are joined back by
-position, and the ids are decoded through the id-to-piece table of the vocabulary.
+pre-tokens) and before punctuation after a letter (where it always begins a pre-token).
+Each distinct word of the corpus is encoded once, its ids are joined back by position,
+and the ids are decoded through the id-to-piece table of the vocabulary.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated
 rows are encoded each; texts of any length are encoded whole; an empty table gives an
