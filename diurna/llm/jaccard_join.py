@@ -198,8 +198,12 @@ def open_sets(docs: DataFrame, classes: DataFrame, cfg: JaccardJoin) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g[0] for g in good], pa.string()), pa.array([len(g[1]) for g in good], pa.int64()),
                      pa.array([g[1] for g in good], pa.list_(pa.int64()))], names=["key", "n", "shingles"])
-    one = rows.mapInArrow(run, "key string, n bigint, shingles array<bigint>").dropDuplicates(["key"])
-    return written(one.withColumn("node", F.monotonically_increasing_id()), "jaccard-sets")
+    sets = written(rows.mapInArrow(run, "key string, n bigint, shingles array<bigint>")
+                   .withColumn("node", F.monotonically_increasing_id()), "jaccard-sets")
+    # only repeated rows (one id, one text) bring a class twice; the sets move for them alone
+    if not sets.groupBy("key").count().where("count > 1").isEmpty():
+        sets = written(sets.dropDuplicates(["key"]), "jaccard-sets")
+    return sets
 
 
 # ---- steps 2 and 3 --------------------------------------------------------------------
