@@ -221,7 +221,8 @@ def out_of_fold(df: DataFrame, features, target: str, jobs: list[tuple], fold_co
         rows = (f == fold) | (train & roles)
         return pd.DataFrame({"job": job, "fold": fold, "role": np.where(train[rows], "train", "validation"),
                              "label": y[rows], "prediction": model.predict(x[rows])})
-    return (_copies(df, features, target, fold_col, len(jobs)).groupBy("job")
+    # many small partitions: fits differ in cost, so cores take the next one as they are free
+    return (_copies(df, features, target, fold_col, len(jobs)).repartition(len(jobs), "job").groupBy("job")
             .applyInPandas(run, "job int, fold int, role string, label double, prediction double"))
 
 
