@@ -16,13 +16,18 @@ one class, and only classes are joined. Steps:
 4. *T-occurrence search* (DivideSkip) inside families: families are packed into blocks of
    bounded size, and a large family into several, searched block against block. A
    query merges its short lists and counts, keeps sets with the count that the long lists
-   can still lift to T, and probes the long lists by binary search. Sets that are connected
-   already are passed over, so a dense group costs counting only, not a probe for each pair, and
-   a task returns at most one link per set.
-5. *Components* over the links, joined back to classes and documents.
+   can still lift to T, and probes the long lists by binary search, or counts them too where
+   that is less work, as in a dense group. Every link is found. ``class_pairs`` returns each;
+   elsewhere a task returns one row per linked set: how many documents it links with, each
+   class by its size so that copies are never expanded, and a set that it is connected with.
+5. *Components* over the connections, joined back to classes and documents.
+
+The join's own output is ``class_pairs`` with ``membership``: the links between classes, and the
+class of each document. ``link_counts`` has each document's number of links, copies included.
 
 Defined results: a null text or one without words has no shingles and is linked with
-nothing; fewer than five words are one shingle; repeated rows are copies; a null doc_id
+nothing; fewer than five words are one shingle; repeated rows are copies (each links with the
+others); a null doc_id
 never names a component that has another id; extra columns are ignored; an empty table
 gives an empty result.
 """
@@ -183,10 +188,10 @@ def keyed(docs: DataFrame, cfg: JaccardJoin) -> DataFrame:
 
 
 def open_sets(docs: DataFrame, classes: DataFrame, cfg: JaccardJoin) -> DataFrame:
-    """(node, key, n, shingles) of the classes that can have links, each read from one document."""
-    wanted = classes.where("open").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+    """(node, key, size, n, shingles) of the classes that can have links, each read from one document."""
+    wanted = classes.where("open").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "size")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("_k", "text")
+        wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("_k", "size", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,11 +199,13 @@ def open_sets(docs: DataFrame, classes: DataFrame, cfg: JaccardJoin) -> DataFram
                 ptr, flat = shingle_sets(text, cfg.k)
                 sets = [flat[a:z] for a, z in zip(ptr[:-1], ptr[1:])]
                 # an id may stand before several texts; each class wants its own
-                good = [(k, s.view(np.int64)) for k, s in zip(part.column(0).to_pylist(), sets) if set_key(s) == k]
+                good = [(k, z, s.view(np.int64)) for k, z, s in
+                        zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets) if set_key(s) == k]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g[0] for g in good], pa.string()), pa.array([len(g[1]) for g in good], pa.int64()),
-                     pa.array([g[1] for g in good], pa.list_(pa.int64()))], names=["key", "n", "shingles"])
-    sets = written(rows.mapInArrow(run, "key string, n bigint, shingles array<bigint>")
+                    [pa.array([g[0] for g in good], pa.string()), pa.array([g[1] for g in good], pa.int64()),
+                     pa.array([len(g[2]) for g in good], pa.int64()),
+                     pa.array([g[2] for g in good], pa.list_(pa.int64()))], names=["key", "size", "n", "shingles"])
+    sets = written(rows.mapInArrow(run, "key string, size bigint, n bigint, shingles array<bigint>")
                    .withColumn("node", F.monotonically_increasing_id()), "jaccard-sets")
     # only repeated rows (one id, one text) bring a class twice; the sets move for them alone
     if not sets.groupBy("key").count().where("count > 1").isEmpty():
@@ -233,7 +240,7 @@ def families(lists: DataFrame) -> DataFrame:
 
 def blocks(sets: DataFrame, family: DataFrame, cfg: JaccardJoin) -> DataFrame:
     """Sets with family and block; families stand together, a block is bounded."""
-    joined = sets.select("node", "n", "shingles").join(family, "node")
+    joined = sets.select("node", "n", "shingles", "size").join(family, "node")
     ordered = joined.repartitionByRange("family", "n", "node").sortWithinPartitions("family", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,9 +253,10 @@ def blocks(sets: DataFrame, family: DataFrame, cfg: JaccardJoin) -> DataFrame:
                 many, size = many + 1, size + 8 * n
                 out.append(block)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())],
-                                             names=["node", "n", "shingles", "family", "block"])
-    return written(ordered.select("node", "n", "shingles", "family").mapInArrow(
-        run, "node bigint, n bigint, shingles array<bigint>, family bigint, block bigint"), "jaccard-blocks")
+                                             names=["node", "n", "shingles", "size", "family", "block"])
+    return written(ordered.select("node", "n", "shingles", "size", "family").mapInArrow(
+        run, "node bigint, n bigint, shingles array<bigint>, size bigint, family bigint, block bigint"),
+        "jaccard-blocks")
 
 
 def block_pairs(blocked: DataFrame) -> DataFrame:
@@ -260,6 +268,9 @@ def block_pairs(blocked: DataFrame) -> DataFrame:
                         F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
 
 
+PROBE_COST = 8   # a binary search in entries counted
+
+
 class OccurrenceIndex:
     """Inverted lists of one block and the DivideSkip search in them."""
 
@@ -291,18 +302,24 @@ class OccurrenceIndex:
         longest = max(int(self.length[lists[-1]]), 1)
         long = min(int(least / (0.0085 * np.log2(longest) + 1)), least - 1, len(lists))
         short, probe = lists[:len(lists) - long], lists[len(lists) - long:]
-        took = self.length[short]
-        ends = np.cumsum(took)
-        total = int(ends[-1]) if len(ends) else 0
-        merged = self.owner[np.repeat(self.start[short] - (ends - took), took) + np.arange(total)]
-        count = np.bincount(merged, minlength=len(self.size))
+        count = self.merge(short)
         fits = (100 * np.minimum(n, self.size) >= self.percent * np.maximum(n, self.size))
         found = np.flatnonzero((count >= least - long) & fits & ~skip & (count > 0))
         if not len(found):
             return found
-        both = count[found] + self.probe(probe, found)
+        # many candidates (a dense group): counting the long lists too is less work than probing them
+        dense = PROBE_COST * len(found) * len(probe) > self.length[probe].sum()
+        both = count[found] + (self.merge(probe)[found] if dense else self.probe(probe, found))
         return found[100 * both >= self.percent * (n + self.size[found] - both)]
 
+    def merge(self, lists: np.ndarray) -> np.ndarray:
+        """How many of ``lists`` hold each set, by counting over all their entries."""
+        took = self.length[lists]
+        ends = np.cumsum(took)
+        total = int(ends[-1]) if len(ends) else 0
+        merged = self.owner[np.repeat(self.start[lists] - (ends - took), took) + np.arange(total)]
+        return np.bincount(merged, minlength=len(self.size))
+
     def probe(self, lists: np.ndarray, found: np.ndarray) -> np.ndarray:
         """How many of ``lists`` hold each set of ``found``, by binary search."""
         want = (lists[:, None] * np.int64(len(self.size)) + found).ravel()
@@ -310,62 +327,122 @@ class OccurrenceIndex:
         return (self.cells[at] == want).reshape(len(lists), len(found)).sum(axis=0)
 
 
-def search_pair(block: np.ndarray, node: np.ndarray, sets: list, percent: int) -> list:
-    """Links (node, node) that connect the sets of one block, or of two, across and within families;
-    of sets that are connected already, no further link."""
+def search_pair(block: np.ndarray, sets: list, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """All links between the sets of one block, or of one block with those of another, each once:
+    (a set, the sets that it links with), by position."""
     which = np.unique(block)
     inner, outer = np.flatnonzero(block == which[0]), np.flatnonzero(block == which[-1])
     index = OccurrenceIndex([sets[i] for i in inner], percent)
-    group = np.arange(len(sets))
-    out = []
     for q in outer:
-        for y in inner[index.search(sets[q], group[inner] == group[q])]:
-            if group[y] != group[q]:
-                out.append((int(node[q]), int(node[y])))
-                group[group == group[y]] = group[q]
-    return out
+        # within one block a link shows from its later set
+        found = inner[index.search(sets[q], inner >= q if len(which) == 1 else np.zeros(len(inner), bool))]
+        if len(found):
+            yield int(q), found
 
 
-def links(blocked: DataFrame, cfg: JaccardJoin) -> DataFrame:
-    """(a, b): links that connect what all links connect."""
+def _searched(blocked: DataFrame, cfg: JaccardJoin, result, schema: str) -> DataFrame:
+    """``result(node, size, links of search_pair)`` of every block and pair of blocks."""
     def run(rows: pa.Table) -> pa.Table:
         flat = rows.column("shingles").combine_chunks()
         ptr, body = flat.offsets.to_numpy(), flat.values.to_numpy()
         sets = [body[a:z] for a, z in zip(ptr[:-1], ptr[1:])]
-        found = search_pair(rows.column("block").to_numpy(), rows.column("node").to_numpy(), sets, cfg.percent)
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()),
-                         "b": pa.array([f[1] for f in found], pa.int64())})
-    tasks = block_pairs(blocked).join(blocked.select("block", "node", "shingles"), "block")
-    return tasks.groupBy("pair").applyInArrow(run, "a bigint, b bigint")
+        return result(rows.column("node").to_numpy(), rows.column("size").to_numpy(),
+                      search_pair(rows.column("block").to_numpy(), sets, cfg.percent))
+    tasks = block_pairs(blocked).join(blocked.select("block", "node", "size", "shingles"), "block")
+    return tasks.groupBy("pair").applyInArrow(run, schema)
+
+
+def links(blocked: DataFrame, cfg: JaccardJoin) -> DataFrame:
+    """(a, b): every link, once."""
+    def result(node, size, found) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for q, ys in found:
+            a.append(np.full(len(ys), node[q]))
+            b.append(node[ys])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+    return _searched(blocked, cfg, result, "a bigint, b bigint")
+
+
+def linked(blocked: DataFrame, cfg: JaccardJoin) -> DataFrame:
+    """(node, lead, n_links) over all links, a row per task and linked set: a set that it is connected
+    with, and the number of documents that it links with there."""
+    def result(node, size, found) -> pa.Table:
+        group, count = np.arange(len(node)), np.zeros(len(node), np.int64)
+        for q, ys in found:
+            count[q] += size[ys].sum()
+            count[ys] += size[q]
+            other = group[ys] != group[q]
+            if other.any():
+                group[np.isin(group, group[ys[other]])] = group[q]
+        at = np.flatnonzero(count)
+        return pa.table({"node": pa.array(node[at]), "lead": pa.array(node[group[at]]), "n_links": pa.array(count[at])})
+    return _searched(blocked, cfg, result, "node bigint, lead bigint, n_links bigint")
 
 
 # ---- the whole ------------------------------------------------------------------------
 
-def class_components(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> tuple[DataFrame, DataFrame]:
-    """(documents (doc_id, n, key), classes (key, component_id, first)); the key of an empty text
-    is null; ``first`` marks the class of each component that has its smallest id."""
+def _blocked(docs: DataFrame, cfg: JaccardJoin) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, open sets, blocks): steps 1 to 3."""
     rows = keyed(docs, cfg)
     classes = written(rows.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.max("open").alias("open")), "jaccard-classes")
+        F.min("doc_id").alias("doc_id"), F.max("open").alias("open"), F.count(F.lit(1)).alias("size")),
+        "jaccard-classes")
     sets = open_sets(docs, classes, cfg)
-    blocked = blocks(sets, families(short_lists(sets, cfg)), cfg)
-    group = connected(links(blocked, cfg))
-    member = group.join(sets.select("node", "key"), "node").join(classes.select("key", "doc_id"), "key")
+    return rows, classes, sets, blocks(sets, families(short_lists(sets, cfg)), cfg)
+
+
+def class_components(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> tuple[DataFrame, DataFrame]:
+    """(documents (doc_id, n, key), classes (key, class_id, component_id, first, n_links)); the key of an
+    empty text is null; ``class_id`` is the smallest document id of the class; ``first`` marks the class
+    of each component that has its smallest id; ``n_links`` counts the links of each document of a class."""
+    rows, classes, sets, blocked = _blocked(docs, cfg)
+    found = written(linked(blocked, cfg), "jaccard-linked")
+    group = connected(found.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    count = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    member = (group.join(count, "node").join(sets.select("node", "key"), "node")
+              .join(classes.select("key", "doc_id"), "key"))
     # of each component, the smallest document id and the class that has it (null ids last)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     named = member.groupBy("component").agg(F.min("doc_id").alias("smallest"), first.alias("f"))
-    linked = member.join(named, "component").select("key", "smallest", (F.col("key") == F.col("f.key")).alias("first"))
-    out = classes.join(linked, "key", "left").select(
-        "key", F.coalesce("smallest", "doc_id").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    joined = member.join(named, "component").select(
+        "key", "smallest", "n_links", (F.col("key") == F.col("f.key")).alias("first"))
+    out = classes.join(joined, "key", "left").select(
+        "key", F.col("doc_id").alias("class_id"), F.coalesce("smallest", "doc_id").alias("component_id"),
+        F.coalesce("first", F.lit(True)).alias("first"),
+        (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     return rows.select("doc_id", "n", "key"), written(out, "jaccard-components")
 
 
+def class_pairs(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> tuple[DataFrame, DataFrame]:
+    """(pairs (key_a, key_b, id_a, id_b), membership (doc_id, key)): every link between two classes, once,
+    with the smallest document id of each; and the class of every document. Documents of one class all
+    link with each other and with every document of a paired class."""
+    rows, classes, sets, blocked = _blocked(docs, cfg)
+    named = written(sets.select("node", "key").join(classes.select("key", "doc_id"), "key"), "jaccard-named")
+    side = lambda c: named.select(F.col("node").alias(c), F.col("key").alias(f"key_{c}"),
+                                  F.col("doc_id").alias(f"id_{c}"))
+    pairs = links(blocked, cfg).join(side("a"), "a").join(side("b"), "b")
+    # named in order of the ids, null ids first
+    a, b = F.struct("id_a", "key_a"), F.struct("id_b", "key_b")
+    lo, hi = F.when(a <= b, a).otherwise(F.struct(F.col("id_b").alias("id_a"), F.col("key_b").alias("key_a"))), \
+        F.when(a <= b, b).otherwise(F.struct(F.col("id_a").alias("id_b"), F.col("key_a").alias("key_b")))
+    pairs = pairs.select(lo.alias("lo"), hi.alias("hi")).select("lo.key_a", "hi.key_b", "lo.id_a", "hi.id_b")
+    return pairs, rows.where("key is not null").select("doc_id", "key")
+
+
 def components(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    return link_counts(docs, cfg).select("doc_id", "n_shingles", "component_id")
+
+
+def link_counts(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_links, component_id) of every document; a text without
+    words is a class of its own."""
     rows, classes = class_components(docs, cfg)
+    own = lambda c: F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
     return rows.join(classes, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), own("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), own("component_id"))
 
 
 def one_of_each(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> DataFrame:

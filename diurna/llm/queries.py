@@ -37,6 +37,19 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set size, its class (membership), its number of links and its component."""
+    return jaccard_join.link_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_jaccard_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link between two classes of texts, by the classes' smallest ids."""
+    pairs, _ = jaccard_join.class_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pairs.select("id_a", "id_b")
+
+
 @query
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL by rules, else by the model fitted on the URLs that rules decide."""
@@ -202,3 +215,33 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.lowe
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
 LEFT JOIN (SELECT x, min(y) AS lowest FROM reach GROUP BY x) r ON d.doc_id = r.x
 """
+
+# A class of copies, named by its smallest id: documents that share all shingles of both.
+_LINKS_SQL = f"""
+s AS MATERIALIZED ({SHINGLE_SQL.format(id='doc_id', table='documents')}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x, y, c = nx.n AND c = ny.n AS same FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (sh)
+    WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) p
+  JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), class AS (
+  SELECT d.doc_id, least(d.doc_id, coalesce(min(y) FILTER (same), d.doc_id)) AS class_id, count(y) AS n_links
+  FROM documents d LEFT JOIN links ON d.doc_id = x GROUP BY d.doc_id
+)"""
+
+ORACLES["op1_jaccard_links"] = f"""
+WITH RECURSIVE {_LINKS_SQL}, reach AS (
+  SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.class_id, d.n_links,
+       least(d.doc_id, coalesce(r.lowest, d.doc_id)) AS component_id
+FROM class d LEFT JOIN n ON d.doc_id = n.doc_id
+LEFT JOIN (SELECT x, min(y) AS lowest FROM reach GROUP BY x) r ON d.doc_id = r.x
+"""
+
+ORACLES["op1_jaccard_class_pairs"] = f"""
+WITH {_LINKS_SQL}
+SELECT DISTINCT a.class_id AS id_a, b.class_id AS id_b
+FROM links JOIN class a ON a.doc_id = x JOIN class b ON b.doc_id = y WHERE a.class_id < b.class_id
+"""

@@ -86,6 +86,48 @@ def test_dense_group_over_many_blocks(spark):
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(df, cfg).collect()) == want
 
 
+def _links(rows):
+    """(links of each row, class pairs) by all pairs; a class is its set."""
+    sets = [_set(t) for _, t in rows]
+    count, pairs = [0] * len(rows), set()
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+            count[i] += 1
+            count[j] += 1
+            if sets[i] != sets[j]:
+                pairs.add(frozenset((sets[i], sets[j])))
+    return count, pairs
+
+
+def test_every_link_of_a_dense_group_with_copies(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = _corpus(4, 6) + [(None, "alone in the world of all texts")]
+    for i in range(60):
+        near = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            near[rng.randrange(200)] = f"x{rng.randrange(50)}"
+        rows += [(10_000 + 3 * i + c, " ".join(near)) for c in range(rng.choice([1, 1, 3]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cfg = jaccard_join.JaccardJoin(block_sets=25)      # several blocks
+    count, pairs = _links(rows)
+    assert len(pairs) > 900                        # far more than one link per set
+    want = [(d, n, k, c) for (d, n, c), k in zip(_components(rows), count)]
+    null_last = lambda r: (r[0] is None, r[0] or 0)
+    got = [(r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in jaccard_join.link_counts(df, cfg).collect()]
+    assert sorted(got, key=null_last) == sorted(want, key=null_last)
+    found, member = jaccard_join.class_pairs(df, cfg)
+    text = dict(rows)
+    of = {r.key: _set(text[r.doc_id]) for r in member.collect()}
+    found = found.collect()
+    assert member.count() == sum(bool(_set(t)) for _, t in rows)
+    assert len(found) == len(pairs)                # each once
+    assert {frozenset((of[r.key_a], of[r.key_b])) for r in found} == pairs
+    assert {(r.id_a, r.id_b) for r in found} == {
+        tuple(sorted(min(d for d, t in rows if d is not None and _set(t) == s) for s in p)) for p in pairs}
+
+
 def test_join_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert jaccard_join.components(spark.createDataFrame([], schema)).count() == 0
