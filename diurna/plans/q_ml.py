@@ -25,10 +25,14 @@ from ..operators import evaluate as E
 from ..operators import importance as I
 from ..operators import models as M
 from ..operators import report as R
+from ..operators import rollup
 from ..operators import split as S
+from ..sources.tables import read_table
 from .analysis import task_comparison
+from .daily import EVENTS_SPEC, daily_table, hourly_log
 from .frames import SQL_LINE_FRAME, daily_demand, line_frame
 from .q_models import OLS2, SQL_BASE
+from .q_rollup import SQL_COVERAGE, SQL_DAILY
 from .registry import register
 
 DIAGNOSTIC = ("n_returned",)          # F10: kept in the frame, never a feature
@@ -357,7 +361,7 @@ def _worst_lines(spark, base):
     return d, worst
 
 
-@register("worst_errors_flagged", covers=("M25", "J4", "J9", "P8", "P15", "P17", "N7"), sql=f"""
+@register("worst_errors_flagged", covers=("M25", "J4", "J9", "P8", "P15", "P17"), sql=f"""
 {_SQL_WORST}
 SELECT rank, li_key, split, round_even(actual, 4) AS actual, predicted, round_even(diff, 4) AS diff,
        li_key IN (SELECT li_key FROM flagged) AS is_flagged, li_key IN (SELECT li_key FROM few) AS is_low
@@ -371,7 +375,7 @@ def q_worst_errors_flagged(spark, base):
                       "predicted", F.bround("diff", 4).alias("diff"), "is_flagged", "is_low")
 
 
-@register("error_overlap_set", covers=("J5", "N7", "J6"), sql=f"""
+@register("error_overlap_set", covers=("J5", "J6"), sql=f"""
 {_SQL_WORST}
 SELECT 'flagged' AS split, li_key FROM t WHERE li_key IN (SELECT li_key FROM flagged)
 UNION ALL SELECT 'low', li_key FROM t WHERE li_key IN (SELECT li_key FROM few)""")
@@ -380,3 +384,43 @@ def q_error_overlap_set(spark, base):
     d, worst = _worst_lines(spark, base)
     return R.tag_union({"flagged": R.overlap(worst, d.where("l_quantity >= 49"), "li_key"),
                         "low": R.overlap(worst, d.where("l_discount < 0.01"), "li_key")})
+
+
+TRAIN_DAYS = 24                       # of each series, the days after are its holdout
+
+
+def low_coverage_overlap(worst, anomalies, cov, key: str):
+    """Every worst error or anomaly, flagged as each and by missing hours of its day."""
+    days = worst.select(key).union(anomalies.select(key)).distinct()
+    days = R.flag_membership(days, worst, key, "is_worst_error")
+    days = R.flag_membership(days, anomalies, key, "is_anomaly")
+    days = R.flag_membership(days, cov.where("hours_missing > 0"), key, "is_low_coverage")
+    return days.join(cov, key)
+
+
+@register("low_coverage_overlap", covers=("N7", "J4", "P8", "P17"), sql=f"""
+WITH d AS ({SQL_DAILY}),
+ m AS (SELECT regr_slope(cnt, reading) AS b, regr_intercept(cnt, reading) AS a FROM d WHERE instant <= {TRAIN_DAYS}),
+ e AS (SELECT series, date, abs(cnt - CAST(round_even(a + b * reading, 0) AS BIGINT)) AS err FROM d, m
+       WHERE instant > {TRAIN_DAYS}),
+ t AS (SELECT series, date FROM e ORDER BY err DESC, series, date LIMIT 10),
+ s AS (SELECT series, date, -round(abs(cnt - avg(cnt) OVER (PARTITION BY series)) * 1000) AS sc FROM d),
+ o AS (SELECT series, date FROM s WHERE sc < (SELECT quantile_cont(sc, 0.05) FROM s)),
+ c AS ({SQL_COVERAGE})
+SELECT c.series, c.date, t.date IS NOT NULL AS is_worst_error, o.date IS NOT NULL AS is_anomaly,
+       c.hours_missing > 0 AS is_low_coverage, c.hours_missing
+FROM c LEFT JOIN t ON t.series = c.series AND t.date = c.date LEFT JOIN o ON o.series = c.series AND o.date = c.date
+WHERE t.date IS NOT NULL OR o.date IS NOT NULL""")
+def q_low_coverage_overlap(spark, base):
+    """Worst 10 holdout errors of the daily count, and its anomalous days, beside the hours missing then."""
+    hourly = hourly_log(read_table(spark, base, "events"))
+    keyed = lambda df: df.withColumn("series_day", F.concat_ws("|", "series", "date"))
+    d = keyed(daily_table(hourly))
+    fm = M.fit(M.ModelSpec("ols_reading", "ols", ("reading",)), d.where(F.col("instant") <= TRAIN_DAYS), "cnt")
+    worst = R.worst_predictions(fm.transform(d.where(F.col("instant") > TRAIN_DAYS)), "series_day", "cnt", k=10,
+                                round_prediction=True)
+    mean = F.avg("cnt").over(Window.partitionBy("series"))
+    scored = d.withColumn("__s", -F.round(F.abs(F.col("cnt") - mean) * 1000))
+    anomalies = scored.where(F.col("__s") < F.lit(N.threshold(scored, 0.05, "__s")))
+    out = low_coverage_overlap(worst, anomalies, keyed(rollup.coverage(hourly, EVENTS_SPEC)), "series_day")
+    return out.select("series", "date", "is_worst_error", "is_anomaly", "is_low_coverage", "hours_missing")

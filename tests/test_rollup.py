@@ -94,3 +94,17 @@ def test_events_daily_matches_flagship(spark):
     df = se.entry(spark)
     assert df.count() > 0
     assert df.columns[:3] == ["series", "instant", "date"]
+
+
+def test_low_coverage_days_among_errors_and_anomalies(spark):
+    from diurna.plans.q_ml import low_coverage_overlap
+    from diurna.plans.registry import REGISTRY
+    days = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    cov = spark.createDataFrame([("a", 0), ("b", 3), ("c", 24), ("d", 1)], "k string, hours_missing int")
+    got = low_coverage_overlap(days("a", "b"), days("b", "c"), cov, "k").collect()
+    assert {(r.k, r.is_worst_error, r.is_anomaly, r.is_low_coverage, r.hours_missing) for r in got} == {
+        ("a", True, False, False, 0), ("b", True, True, True, 3), ("c", False, True, True, 24)}
+    assert "N7" in REGISTRY["low_coverage_overlap"].covers
+    assert not any("N7" in REGISTRY[q].covers for q in ("worst_errors_flagged", "error_overlap_set"))
+    out = REGISTRY["low_coverage_overlap"].build(spark, "/root/testdata/sf0.01").collect()
+    assert any(r.is_low_coverage for r in out) and any(not r.is_low_coverage for r in out)
