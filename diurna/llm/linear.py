@@ -56,13 +56,15 @@ def sample_vectors(docs: DataFrame, labels: DataFrame, targets: list[str], featu
                    salt: int, extra: list[str] = ()) -> DataFrame:
     """Vectors of at most ``max_rows`` labelled documents, first in hash order of the id.
 
-    The label rows are cut before the join, so the broadcast side is bounded by
-    ``max_rows``; the result is cut again because ids may repeat in ``docs``.
+    Labels of other documents don't count towards the bound. The label rows are cut before
+    the join, so the broadcast side is bounded by ``max_rows``; the result is cut again
+    because ids may repeat in ``docs``.
     """
     order = [F.xxhash64("doc_id", F.lit(salt)), F.col("doc_id")]
     known = labels.where(F.col("doc_id").isNotNull())
     for t in targets:
         known = known.where(F.col(t).isNotNull())
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     known = known.select("doc_id", *targets).orderBy(*order, *targets).limit(max_rows)
     joined = docs.select("doc_id", "text", *extra).join(F.broadcast(known), "doc_id")
     keep = ["doc_id", *targets, *extra]

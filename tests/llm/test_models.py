@@ -84,3 +84,14 @@ def test_pipeline_stages_keep_columns_and_filter(spark, tables):
         ids = {r.doc_id for r in out.select("doc_id").collect()}
         assert 0 < len(ids) < 300 and ids <= {r.doc_id for r in extra.select("doc_id").collect()}, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "toxicity", "jaccard_join", "decontamination", "bpe"]
+
+
+def test_labels_of_other_documents_leave_the_bound_to_those_at_hand(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in [*range(20), 3]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+
+    def features(text):
+        n = len(text)
+        return np.arange(n + 1), np.zeros(n, np.int32), np.ones(n, np.float32)
+    made = lambda n: [r.doc_id for r in linear.sample_vectors(docs, labels, ["toxic"], features, n, 1).collect()]
+    assert len(made(10)) == 10 and sorted(made(30)) == sorted([*range(20), 3])
