@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -20,7 +21,14 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 
 
+# Bound of the Arrow batches that carry texts between Spark and its Python workers (Spark's own is 64 MB, of
+# which every running task holds several).
+BATCH_BYTES = "4m"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the input folder; sets the session's bound of Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -73,6 +81,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4_
         at = to
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that has done a large chunk may idle beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc's
+    if trim:
+        trim(0)
+
+
 def words_of(text: pa.Array):
     """Words of each text: (document index of each word, flat array of the words)."""
     parts = pc.ascii_split_whitespace(text)

@@ -41,11 +41,12 @@ from pyspark.sql import functions as F
 
 from diurna.session import checkpoint_dir
 
-from .common import text_slices, words_of, written
+from .common import release, text_slices, words_of, written
 
 # Bytes of terms lower-cased, all others to a space; bytes of non-ASCII characters are kept.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
                     for b in range(256))
+_ROWS = 20_000       # of an Arrow batch of postings
 _IS_TERM = np.array([b != 32 for b in _TERM_BYTES])
 
 
@@ -53,7 +54,7 @@ _IS_TERM = np.array([b != 32 for b in _TERM_BYTES])
 class LexicalSearch:
     k: int = 10
     slope: int = 75                     # percent of the normaliser that grows with length
-    block_bytes: int = 8_000_000        # of a block's texts, or one longer text
+    block_bytes: int = 4_000_000        # of a block's texts, or one longer text
     terms_per_round: int = 200_000      # bound of the queries' terms held at once
 
 
@@ -177,16 +178,21 @@ def build(docs: DataFrame, cfg: LexicalSearch = LexicalSearch()) -> Index:
 
         def flush():
             ids, m = (pa.concat_arrays([h[0].column(i) for h in held]) for i in (0, 2))
-            return _block_rows(block, m.to_numpy(), ids, pa.concat_arrays([h[1] for h in held]))
+            rows = _block_rows(block, m.to_numpy(), ids, pa.concat_arrays([h[1] for h in held]))
+            held.clear()
+            for a in range(0, rows.num_rows, _ROWS):
+                yield rows.slice(a, _ROWS)
+            del rows
+            release()
         for batch in batches:
             for part, text in text_slices(batch):
                 if held and size + text.nbytes > cfg.block_bytes:
-                    yield flush()
-                    block, held, size = block + 1, [], 0
+                    yield from flush()
+                    block, size = block + 1, 0
                 held.append((part, text))
                 size += text.nbytes
         if held:
-            yield flush()
+            yield from flush()
     table = f"lexical_index_{uuid.uuid4().hex}"
     (placed.mapInArrow(run, POSTINGS).write
      .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")

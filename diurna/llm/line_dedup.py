@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from diurna.session import checkpoint_dir
 
-from .common import WHITE, text_slices, with_fields, without
+from .common import WHITE, release, text_slices, with_fields, without
 from .wordtable import Packer
 
 CHUNK, AT, LINES = "__chunk", "__at", "__lines"
@@ -127,6 +127,7 @@ def chunked(docs: DataFrame, keep: list[str], cfg: LineDedup) -> tuple[DataFrame
                 if held and size + text.nbytes > cfg.chunk_bytes:
                     yield flush()
                     held, size, chunk = [], 0, chunk + 1
+                    release()
                 held.append((part, text))
                 size += text.nbytes
         if held:
