@@ -49,9 +49,10 @@ def cross_validate(df: DataFrame, spec: M.ModelSpec, target: str, fold_col: str
         pred = M.predict_ols_by_fold(df, models, fold_col)
         return regression_metrics(pred, target, "prediction", keys=(fold_col,))
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    if spec.engine == "task":
+    if spec.engine == "trees":
         from . import trees
-        oof = trees.out_of_fold(df, spec.features, target, [(spec.kind, spec.params, f) for f in folds], fold_col)
+        oof = trees.out_of_fold(df, spec.features, target, [(spec.kind, spec.params, f) for f in folds], fold_col,
+                                local_rows=spec.local_rows)
         return regression_metrics(oof, "label", "prediction", keys=("fold",)).withColumnRenamed("fold", fold_col)
     parts = []
     for f in folds:
@@ -79,10 +80,10 @@ def fold_gap(df: DataFrame, spec: M.ModelSpec, target: str, fold_col: str = "fol
         return df.sparkSession.createDataFrame(
             rows, f"`{fold_col}` {kind}, train_R2 double, val_R2 double, gap double")
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    if spec.engine == "task":
+    if spec.engine == "trees":
         from . import trees
         scored = trees.out_of_fold(df, spec.features, target, [(spec.kind, spec.params, f) for f in folds], fold_col,
-                                   roles=True)
+                                   roles=True, local_rows=spec.local_rows)
         met = regression_metrics(scored.withColumnRenamed("fold", "__k"), "label", "prediction", keys=("__k", "role"))
     else:
         rows = []
@@ -176,14 +177,13 @@ def cv_holdout_agreement(table: DataFrame, cv_metric: str = "CV_R2_mean", holdou
 
 
 def tuning_report(train: DataFrame, test: DataFrame, kind: str, features, target: str, best_params: dict,
-                  default_params: dict | None = None, fold_col: str = "fold", engine: str = "cluster") -> DataFrame:
+                  default_params: dict | None = None, fold_col: str = "fold") -> DataFrame:
     """before/after tuning — default and tuned configurations, each refit on
     all training rows and scored once on the holdout, with CV R² and the over-fit gap."""
     import json
     rows = None
-    tuned = best_params if engine == "task" else M.to_spark_params(kind, best_params)
-    for stage, params in (("default", default_params or {}), ("tuned", tuned)):
-        spec = M.ModelSpec(f"{kind}_{stage}", kind, tuple(features), params, engine)
+    for stage, params in (("default", default_params or {}), ("tuned", best_params)):
+        spec = M.ModelSpec(f"{kind}_{stage}", kind, tuple(features), params)
         _, hold = holdout(train, test, spec, target)
         cv = fold_summary(cross_validate(train, spec, target, fold_col))
         h = hold.groupBy().agg(

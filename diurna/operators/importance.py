@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
 from ..functions.scalar import qcol
+from . import trees
 from .evaluate import regression_metrics
 from .models import FittedModel, OLSModel
 from .ranking import global_row_number
-from .trees import Ensemble
 
 _LONG_ROWS = 1 << 31     # up to here a_r * i fits in 64 bits; beyond, decimals give the same numbers
 
@@ -140,8 +140,10 @@ def impurity_importance(fitted: FittedModel) -> DataFrame:
     """The tree ensemble's own (impurity gain) importance per feature."""
     from pyspark.sql import SparkSession
     m = fitted.model
-    imp = m.gain_importance() if isinstance(m, Ensemble) else m.featureImportances.toArray()
     spark = SparkSession.getActiveSession()
+    if isinstance(m, trees.Ensemble):
+        return trees.gain_importance(trees.split_table(m, spark), fitted.spec.features, fitted.spec.kind)
+    imp = m.featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(fitted.spec.features, imp)]
     return spark.createDataFrame(rows, "feature string, gain_importance double")
 

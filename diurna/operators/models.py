@@ -7,8 +7,8 @@ prediction is a column expression — no Python on the executors. Cross-validati
 folds come out of the *same* single pass: per-fold sums are aggregated once and
 each fold's training sums are "all minus the fold".
 
-Forest and boosted trees use ``pyspark.ml`` (their split search is already a
-distributed histogram aggregation).
+Forest and boosted trees are grown by ``trees`` from exact partial sums; the factories of the
+``pyspark.ml`` estimators serve pipelines that want those (``engine="ml"``).
 """
 
 from __future__ import annotations
@@ -174,12 +174,12 @@ class ModelSpec:
     kind: str                      # "ols" | "forest" | "boosted"
     features: tuple
     params: dict = field(default_factory=dict)
-    engine: str = "cluster"        # trees: "cluster" (pyspark.ml, any size) | "task" (bounded frames, see trees.py)
+    engine: str = "trees"          # of ensembles: "trees" (see trees.py) | "ml" (pyspark.ml, its own parameter names)
+    local_rows: int = trees.LOCAL_ROWS
 
 
 def forest(params=None, seed: int = 42) -> RandomForestRegressor:
-    """M6: 300 trees, every feature considered at every split (the usual regressor default),
-    grown by the whole cluster. Depth 30 is as deep as ``pyspark.ml`` grows."""
+    """A ``pyspark.ml`` forest of 300 trees, every feature considered at every split, depth 30 (its deepest)."""
     p = {"numTrees": 300, "featureSubsetStrategy": "all", "maxDepth": 30, "seed": seed,
          "maxBins": 64, "subsamplingRate": 1.0, "bootstrap": True}
     p.update(params or {})
@@ -187,7 +187,7 @@ def forest(params=None, seed: int = 42) -> RandomForestRegressor:
 
 
 def boosted(params=None, seed: int = 42) -> GBTRegressor:
-    """M7: 300 rounds, depth 6, rate 0.3 (L1/L2 leaf penalties have no counterpart)."""
+    """``pyspark.ml`` boosting: 300 rounds, depth 6, rate 0.3 (leaf penalties have no counterpart there)."""
     p = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.3, "seed": seed, "maxBins": 64}
     p.update(params or {})
     return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="prediction", **p)
@@ -196,7 +196,7 @@ def boosted(params=None, seed: int = 42) -> GBTRegressor:
 @dataclass
 class FittedModel:
     spec: ModelSpec
-    model: object                  # OLSModel or a pyspark.ml model
+    model: object                  # OLSModel, trees.Ensemble or a pyspark.ml model
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         if isinstance(self.model, OLSModel):
@@ -212,8 +212,9 @@ def fit(spec: ModelSpec, df: DataFrame, target: str) -> FittedModel:
     """Fit one spec on a (cached) training frame."""
     if spec.kind == "ols":
         return FittedModel(spec, fit_ols(df, spec.features, target))
-    if spec.engine == "task":
-        return FittedModel(spec, trees.fit_on_task(df, spec.features, target, spec.kind, spec.params))
+    if spec.engine == "trees":
+        return FittedModel(spec, trees.fit_ensemble(df, spec.features, target, spec.kind, spec.params,
+                                                    local_rows=spec.local_rows))
     est = forest(spec.params) if spec.kind == "forest" else boosted(spec.params)
     data = assemble(df, list(spec.features)).withColumn("label", qcol(target).cast("double"))
     return FittedModel(spec, est.fit(data.select("features", "label")))
@@ -259,30 +260,6 @@ FOREST_SPACE_TWO_YEARS = {
 N_DRAWS = 60     # draws of a search
 
 
-def to_spark_params(kind: str, p: dict) -> dict:
-    """Map search-space names to pyspark.ml parameters (leaf penalties and the least size of a
-    split node have no counterpart there; fits on tasks use them, see trees.py)."""
-    out = {}
-    if "n_estimators" in p:
-        out["maxIter" if kind == "boosted" else "numTrees"] = int(p["n_estimators"])
-    if "max_depth" in p:
-        out["maxDepth"] = 30 if p["max_depth"] is None else int(p["max_depth"])
-    if "learning_rate" in p:
-        out["stepSize"] = float(p["learning_rate"])
-    if "subsample" in p:
-        out["subsamplingRate"] = float(p["subsample"])
-    if "colsample_bytree" in p:
-        out["featureSubsetStrategy"] = str(float(p["colsample_bytree"])) if p["colsample_bytree"] < 1 else "all"
-    if "min_child_weight" in p:
-        out["minInstancesPerNode"] = int(p["min_child_weight"])
-    if "min_samples_leaf" in p:
-        out["minInstancesPerNode"] = int(p["min_samples_leaf"])
-    if "max_features" in p:
-        v = p["max_features"]
-        out["featureSubsetStrategy"] = v if isinstance(v, str) else ("all" if v >= 1.0 else str(float(v)))
-    return out
-
-
 def draw_params(space: dict, n_draws: int, seed: int = 42) -> list[dict]:
     """Distinct random draws from the grid (without replacement), seeded, on the driver."""
     keys = list(space)
@@ -302,35 +279,6 @@ def draw_params(space: dict, n_draws: int, seed: int = 42) -> list[dict]:
 
 
 def random_search(df: DataFrame, kind: str, features, target: str, space: dict, n_draws: int = N_DRAWS,
-                  fold_col: str = "fold", seed: int = 42, base_params: dict | None = None,
-                  parallelism: int = 4, engine: str = "cluster") -> tuple[DataFrame, dict]:
-    """Seeded draws, k-fold CV R² for each, best first.
-
-    With ``engine="task"`` every (draw, fold) is fitted by one task (bounded frames).
-    ``CrossValidator(foldCol=...)`` evaluates the fold x draw grid with
-    ``parallelism`` concurrent fits on the cluster. Returns (table, best params).
-    """
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
-
-    draws = draw_params(space, n_draws, seed)
-    if engine == "task":
-        return trees.search(df, kind, features, target, draws, fold_col, seed)
-    est = forest(base_params) if kind == "forest" else boosted(base_params)
-    maps = []
-    for d in draws:
-        sp = to_spark_params(kind, d)
-        maps.append({est.getParam(k): v for k, v in sp.items()})
-    data = assemble(df, list(features)).withColumn("label", qcol(target).cast("double")) \
-        .select("features", "label", F.col(fold_col).cast("int").alias("__fold")).cache()
-    n_folds = data.agg(F.max("__fold")).first()[0] + 1
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="r2"),
-                        foldCol="__fold", numFolds=n_folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(data)
-    rows = [(i, json.dumps(d, sort_keys=True), float(m), float(s))
-            for i, (d, m, s) in enumerate(zip(draws, model.avgMetrics, model.stdMetrics))]
-    data.unpersist()
-    table = df.sparkSession.createDataFrame(rows, "draw int, params string, cv_R2_mean double, cv_R2_std double")
-    best = max(range(len(draws)), key=lambda i: model.avgMetrics[i])
-    return table, draws[best]
-
+                  fold_col: str = "fold", seed: int = 42) -> tuple[DataFrame, dict]:
+    """Seeded draws, mean and std of the folds' R² for each, and the best one."""
+    return trees.search(df, kind, features, target, draw_params(space, n_draws, seed), fold_col, seed)

@@ -9,6 +9,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators import report as R
 from ..operators import trees
+from ..session import cut_lineage, finished, scratch_path
 
 
 def final_comparison(train: DataFrame, test: DataFrame, specs, target: str, fold_col: str = "fold") -> DataFrame:
@@ -30,34 +34,82 @@ def final_comparison(train: DataFrame, test: DataFrame, specs, target: str, fold
     return rows.withColumn("rank", F.rank().over(Window.orderBy(F.col("holdout_R2").desc(), F.col("model"))))
 
 
-def task_comparison(train: DataFrame, test: DataFrame, specs, target: str, fold_col: str = "fold") -> DataFrame:
-    """M19 for bounded frames: as :func:`final_comparison`, but the CV and holdout fits of all
-    tree models are tasks of one job. A model's rows come in two roles (train, validation); the
-    test part is one more fold, which the CV fits never see."""
-    linear = [s for s in specs if s.kind == "ols"]
-    trees_ = [s for s in specs if s.kind != "ols"]
-    rows = []
-    for spec in linear:
+METRICS = "model string, fold int, role string, n bigint, R2 double, RMSE double, MAE double"
+
+
+def _frame_digest(df: DataFrame) -> str:
+    """Digest of a frame's rows, whatever their order."""
+    h = F.xxhash64(*df.columns)
+    r = df.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()
+    return hashlib.md5(repr([df.columns, *r]).encode()).hexdigest()
+
+
+def fitted_metrics(train: DataFrame, test: DataFrame, specs, target: str, fold_col: str = "fold",
+                   store: str = "fitted") -> DataFrame:
+    """(model, fold, role, n, R2, RMSE, MAE) of every model fitted without each fold (role
+    validation), and on the whole training part (fold null; roles train and test).
+
+    The rows of a model are a table of their own in the shared checkpoint folder, named by the digest of
+    the frames and of the model. A later run, also after a crash or of another application, fits
+    only the models that have none. All missing tree fits are one job: the test part is one more fold,
+    which the CV fits never see."""
+    spark = train.sparkSession
+    data = hashlib.md5((_frame_digest(train) + _frame_digest(test) + target + fold_col).encode()).hexdigest()
+    at = lambda s: scratch_path(spark, f"{store}-{data}/" + hashlib.md5(
+        json.dumps([s.name, s.kind, list(s.features), s.params, s.engine], sort_keys=True).encode()).hexdigest())
+    missing = [s for s in specs if not finished(spark, at(s))]
+    for spec in (s for s in missing if s.kind == "ols"):
         _, hold = E.holdout(train, test, spec, target)
-        rows.append(E.comparison_row(spec, E.cross_validate(train, spec, target, fold_col), hold))
-    if trees_:
-        folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
-        held = -1 - max(abs(f) for f in folds)
-        cols = list(dict.fromkeys([c for s in trees_ for c in s.features] + [target]))
-        both = train.select(*cols, fold_col).unionByName(test.select(*cols, F.lit(held).cast("int").alias(fold_col)))
-        for feats in dict.fromkeys(s.features for s in trees_):
-            mine = [s for s in trees_ if s.features == feats]
-            jobs = [(s.kind, s.params, f, held) for s in mine for f in folds] + [(s.kind, s.params, held) for s in mine]
-            oof = trees.out_of_fold(both, feats, target, jobs, fold_col, roles=True)
-            met = E.regression_metrics(oof, "label", "prediction", keys=("job", "role")).cache()
-            for i, spec in enumerate(mine):
-                cv = met.where(F.col("job").between(i * len(folds), (i + 1) * len(folds) - 1) & (F.col("role") == "validation"))
-                hold = met.where(F.col("job") == len(mine) * len(folds) + i).withColumn(
-                    "split", F.when(F.col("role") == "train", "train").otherwise("test"))
-                rows.append(E.comparison_row(spec, cv, hold))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        cv = E.cross_validate(train, spec, target, fold_col)
+        rows = cv.select(F.lit(spec.name).alias("model"), F.col(fold_col).cast("int").alias("fold"),
+                         F.lit("validation").alias("role"), "n", "R2", "RMSE", "MAE").unionByName(hold.select(
+                             F.lit(spec.name).alias("model"), F.lit(None).cast("int").alias("fold"),
+                             F.col("split").alias("role"), "n", "R2", "RMSE", "MAE"))
+        rows.write.mode("overwrite").parquet(at(spec))
+    grown = [s for s in missing if s.kind != "ols"]
+    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect()) if grown else []
+    held = -1 - max((abs(f) for f in folds), default=0)
+    for feats in dict.fromkeys(s.features for s in grown):
+        mine = [s for s in grown if s.features == feats]
+        both = train.select(*feats, target, fold_col).unionByName(
+            test.select(*feats, target, F.lit(held).cast("int").alias(fold_col)))
+        jobs = [(s.kind, s.params, f, held) for s in mine for f in folds] + [(s.kind, s.params, held) for s in mine]
+        scored = trees.out_of_fold(both, feats, target, jobs, fold_col, roles=True)
+        # the CV fits' training rows are not asked for
+        met = cut_lineage(E.regression_metrics(scored.where(
+            (F.col("role") == "validation") | (F.col("job") >= len(mine) * len(folds))), "label", "prediction",
+            keys=("job", "role")))
+        for i, spec in enumerate(mine):
+            job = F.col("job")
+            whole = job == len(mine) * len(folds) + i
+            cv = job.between(i * len(folds), (i + 1) * len(folds) - 1)
+            fold = F.when(cv, F.element_at(F.array(*[F.lit(int(f)) for f in folds]), job - i * len(folds) + 1))
+            role = F.when(whole & (F.col("role") == "validation"), "test").otherwise(F.col("role"))
+            met.where(whole | cv).select(F.lit(spec.name).alias("model"), fold.cast("int").alias("fold"),
+                                         role.alias("role"), "n", "R2", "RMSE", "MAE").write.mode("overwrite").parquet(at(spec))
+    return spark.read.schema(METRICS).parquet(*[at(s) for s in specs])
+
+
+def stored_search(train: DataFrame, kind: str, features, target: str, space: dict, n_draws: int = M.N_DRAWS,
+                  fold_col: str = "fold", seed: int = 42) -> DataFrame:
+    """The table of :func:`models.random_search`, kept as :func:`fitted_metrics` keeps its rows."""
+    spark = train.sparkSession
+    what = json.dumps([_frame_digest(train), kind, list(features), target, space, n_draws, fold_col, seed], sort_keys=True)
+    path = scratch_path(spark, f"searched-{hashlib.md5(what.encode()).hexdigest()}")
+    if not finished(spark, path):
+        M.random_search(train, kind, features, target, space, n_draws, fold_col, seed)[0].write.mode("overwrite").parquet(path)
+    return spark.read.schema("draw int, params string, cv_R2_mean double, cv_R2_std double").parquet(path)
+
+
+def comparison(train: DataFrame, test: DataFrame, specs, target: str, fold_col: str = "fold") -> DataFrame:
+    """As :func:`final_comparison`, over the stored table of fitted models."""
+    met = fitted_metrics(train, test, specs, target, fold_col)
+    cv = E.fold_summary(met.where("role = 'validation'"), keys=("model",))
+    of = lambda role, m: F.max(F.when(F.col("role") == role, F.col(m)))
+    hold = met.groupBy("model").agg(*[of("test", m).alias(f"holdout_{m}") for m in ("R2", "RMSE", "MAE")],
+                                    of("train", "R2").alias("train_R2"))
+    sizes = train.sparkSession.createDataFrame([(s.name, len(s.features)) for s in specs], "model string, n_features int")
+    out = sizes.join(cv, "model").join(hold, "model").withColumn("overfit_gap", F.col("train_R2") - F.col("holdout_R2"))
     return out.withColumn("rank", F.rank().over(Window.orderBy(F.col("holdout_R2").desc(), F.col("model"))))
 
 

@@ -28,7 +28,7 @@ from ..operators import report as R
 from ..operators import rollup
 from ..operators import split as S
 from ..sources.tables import read_table
-from .analysis import task_comparison
+from .analysis import comparison, stored_search
 from .daily import EVENTS_SPEC, daily_table, hourly_log
 from .frames import SQL_LINE_FRAME, daily_demand, line_frame
 from .q_models import OLS2, SQL_BASE
@@ -59,23 +59,10 @@ def _onehot(d):
     return out, EN.FeatureSet("onehot", (*ONEHOT_NUMS, *names), DIAGNOSTIC).columns
 
 
-# Tables of a few rows that several queries need: computed once per application and input.
-_KEPT: dict = {}
-
-
-def _kept(spark, base, name, make):
-    key = (spark.sparkContext.applicationId, base, name)
-    if key not in _KEPT:
-        df = make()
-        _KEPT[key] = (df.schema, df.collect())
-    schema, rows = _KEPT[key]
-    return spark.createDataFrame(rows, schema)
-
-
-def _search(spark, base, kind):
-    """All draws of one family's search, with their CV R²."""
-    return _kept(spark, base, f"search {kind}", lambda: M.random_search(
-        S.part(_daily(spark, base), "train"), kind, TREE.columns, "cnt", SPACES[kind], engine="task")[0])
+def _search(spark, base, kind, space=None):
+    """All draws of one family's search, with their CV R²; kept in the shared folder by what it was made from."""
+    train = S.part(_daily(spark, base), "train")
+    return stored_search(train, kind, TREE.columns, "cnt", space or SPACES[kind])
 
 
 def _best(spark, base, kind) -> dict:
@@ -84,14 +71,17 @@ def _best(spark, base, kind) -> dict:
 
 def _comparison(spark, base):
     """Six models: two linear, two tree families by default and tuned."""
-    def make():
-        d, onehot = _onehot(_daily(spark, base))
-        specs = [M.ModelSpec("ols_ordinal", "ols", ORDINAL.columns), M.ModelSpec("ols_onehot", "ols", onehot)]
-        for kind in SPACES:
-            for name, params in ((kind, {}), (f"{kind}_tuned", _best(spark, base, kind))):
-                specs.append(M.ModelSpec(name, kind, TREE.columns, params, "task"))
-        return task_comparison(S.part(d, "train"), S.part(d, "test"), specs, "cnt")
-    return _kept(spark, base, "comparison", make)
+    d, specs = _specs(spark, base)
+    return comparison(S.part(d, "train"), S.part(d, "test"), specs, "cnt")
+
+
+def _specs(spark, base):
+    d, onehot = _onehot(_daily(spark, base))
+    specs = [M.ModelSpec("ols_ordinal", "ols", ORDINAL.columns), M.ModelSpec("ols_onehot", "ols", onehot)]
+    for kind in SPACES:
+        for name, params in ((kind, {}), (f"{kind}_tuned", _best(spark, base, kind))):
+            specs.append(M.ModelSpec(name, kind, TREE.columns, params))
+    return d, specs
 
 
 @register("model_comparison", covers=("M6", "M7", "M8", "M11", "M13", "M15", "M16", "M18", "M19", "F2", "F4", "U2"))
@@ -113,7 +103,7 @@ def q_cv_holdout_agreement(spark, base):
 
 def _cv(spark, base, kind):
     d = S.part(_daily(spark, base), "train")
-    spec = M.ModelSpec(kind, kind, TREE.columns, {}, "task")
+    spec = M.ModelSpec(kind, kind, TREE.columns)
     return E.cross_validate(d, spec, "cnt").join(E.fold_gap(d, spec, "cnt"), "fold")
 
 
@@ -142,8 +132,7 @@ def q_forest_search(spark, base):
 
 def _tuning(spark, base, kind):
     d = _daily(spark, base)
-    return E.tuning_report(S.part(d, "train"), S.part(d, "test"), kind, TREE.columns, "cnt", _best(spark, base, kind),
-                           engine="task")
+    return E.tuning_report(S.part(d, "train"), S.part(d, "test"), kind, TREE.columns, "cnt", _best(spark, base, kind))
 
 
 @register("forest_tuning_report", covers=("M16", "M17", "M18"))
@@ -159,9 +148,9 @@ def q_boosted_tuning_report(spark, base):
 
 @register("boosted_importance", covers=("M21", "M22", "M24"))
 def q_boosted_importance(spark, base):
-    """Gain importance next to permutation importance of the boosted model, by feature name."""
+    """Gain importance next to permutation importance of the tuned boosted model, by feature name."""
     d = _daily(spark, base)
-    fm = M.fit(M.ModelSpec("boosted", "boosted", TREE.columns, {}, "task"), S.part(d, "train"), "cnt")
+    fm = M.fit(M.ModelSpec("boosted_tuned", "boosted", TREE.columns, _best(spark, base, "boosted")), S.part(d, "train"), "cnt")
     perm = I.permutation_importance(S.part(d, "test"), fm, "cnt", {f: [f] for f in TREE.columns}, "date")
     return I.importance_table(I.impurity_importance(fm), perm)
 

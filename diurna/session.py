@@ -84,3 +84,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, name)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` and its write has ended."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

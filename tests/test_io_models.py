@@ -46,7 +46,7 @@ def test_model_persistence(spark):
     ols = M.fit_ols(df, ["a", "b"], "y")
     back = M.OLSModel.from_json(ols.to_json())
     assert back.intercept == pytest.approx(1.0) and back.coef[0] == pytest.approx(2.0)
-    fm = M.fit(M.ModelSpec("f", "forest", ("a", "b"), {"numTrees": 5, "maxDepth": 3}), df, "y")
+    fm = M.fit(M.ModelSpec("f", "forest", ("a", "b"), {"numTrees": 5, "maxDepth": 3}, "ml"), df, "y")
     p = scratch_path(spark, "test-forest-model")
     from diurna.sources.tables import load_model, save_model
     from pyspark.ml.regression import RandomForestRegressionModel
