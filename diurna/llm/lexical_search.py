@@ -6,10 +6,10 @@ normaliser is m = 100 - slope + ((slope * n * N) div L), a term of frequency tf
 (10^9 * tf) div (1000 * tf + 8 * m), and a query term has the weight
 floor(1000 * ln((2N + 2) / (2 df + 1))). The score is the sum over the query's terms, repeats included.
 
-*Index* (``build``): a first pass counts terms. Documents are range-partitioned by m, so
-that those of equal m stand together as a stratum; a part is cut into blocks of bounded text, a
-stratum of many documents lies in several blocks. For each block, stratum and term the
-postings are ordered by tf, highest first. In a stratum an impact depends on tf alone, so it is
+*Index* (``build``): a first pass counts documents and terms by length. Documents of like length are
+brought together in parts of like numbers of terms, sorted by m, so that those of equal m stand
+together as a stratum; a part is cut into blocks of bounded text, a stratum of many documents
+lies in several blocks. For each block and term the postings stand by stratum, then by tf, highest first. In a stratum an impact depends on tf alone, so it is
 computed once per tf, not per document, and the highest tf bounds what the term can give there.
 The index is one table, bucketed by block. Every document is in it, none is sampled.
 
@@ -46,6 +46,7 @@ from .common import release, text_slices, words_of, written
 # Bytes of terms lower-cased, all others to a space; bytes of non-ASCII characters are kept.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
                     for b in range(256))
+LENGTHS = 16         # buckets of lengths for each doubling
 _ROWS = 20_000       # of an Arrow batch of postings
 _IS_TERM = np.array([b != 32 for b in _TERM_BYTES])
 
@@ -54,6 +55,7 @@ _IS_TERM = np.array([b != 32 for b in _TERM_BYTES])
 class LexicalSearch:
     k: int = 10
     slope: int = 75                     # percent of the normaliser that grows with length
+    part_terms: int = 2_000_000         # of the parts that documents of like length are brought to
     block_bytes: int = 4_000_000        # of a block's texts, or one longer text
     terms_per_round: int = 200_000      # bound of the queries' terms held at once
 
@@ -105,73 +107,88 @@ def term_counts(text: pa.Array):
 
 # ---- index --------------------------------------------------------------------------
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n) of the documents with terms."""
+def lengths(docs: DataFrame) -> list:
+    """(bucket of lengths, documents, terms) of the documents with terms; at most LENGTHS rows for each doubling."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in text_slices(batch):
+            for _, text in text_slices(batch):
                 n = count_terms(text)
-                yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(n)], names=["doc_id", "text", "n"]) \
-                    .filter(pa.array(n > 0))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, text string, n bigint")
+                n = n[n > 0]
+                bucket, of = np.unique(_bucket(n), return_inverse=True)
+                sums = np.zeros(len(bucket), np.int64)
+                np.add.at(sums, of, n)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.bincount(of, minlength=len(bucket))),
+                                                  pa.array(sums)], names=["bucket", "d", "t"])
+    got = docs.select("text").mapInArrow(run, "bucket bigint, d bigint, t bigint").groupBy("bucket").agg(F.sum("d"), F.sum("t"))
+    return sorted(map(tuple, got.collect()))
 
 
-def totals(docs: DataFrame) -> tuple[int, int]:
-    """(N, L): the documents with terms, and their terms."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = all_terms = 0
-        for batch in batches:
-            for _, text in text_slices(batch):
-                n = count_terms(text)
-                have, all_terms = have + int((n > 0).sum()), all_terms + int(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([have]), pa.array([all_terms])], names=["d", "t"])
-    r = docs.select("text").mapInArrow(run, "d bigint, t bigint").agg(F.sum("d"), F.sum("t")).first()
-    return r[0] or 0, r[1] or 0
+def _bucket(n: np.ndarray) -> np.ndarray:
+    """Lengths in buckets of nearly equal ones."""
+    return np.floor(np.log2(np.maximum(n, 1)) * LENGTHS).astype(np.int64)
 
 
 def _block_rows(block: int, m: np.ndarray, ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
-    """One row with the block's document ids, then a row for each stratum and term.
+    """One row with the block's document ids, then a row for each term.
 
-    ``tfs`` are a row's term frequencies, highest first, ``ends`` where the documents of each end in
-    ``docs``, numbers of documents in the block."""
+    A row has a run for each stratum and term frequency, strata ascending and frequencies falling: ``ms``, ``tfs``,
+    and in ``ends`` where the run's documents end in ``docs``, numbers of documents in the block."""
     owner, number, times, hashed = term_counts(text)
-    order = np.lexsort((owner, -times, number, m[owner]))
+    order = np.lexsort((owner, -times, m[owner], number))
     owner, number, times = owner[order], number[order], times[order]
     stratum = m[owner]
     row = np.ones(len(owner), bool)
-    row[1:] = (number[1:] != number[:-1]) | (stratum[1:] != stratum[:-1])
+    row[1:] = number[1:] != number[:-1]
     run = row.copy()
-    run[1:] |= times[1:] != times[:-1]
+    run[1:] |= (times[1:] != times[:-1]) | (stratum[1:] != stratum[:-1])
     first, runs = np.flatnonzero(row), np.flatnonzero(run)
     ptr = np.append(first, len(owner)).astype(np.int32)
     run_ptr = np.searchsorted(runs, ptr).astype(np.int32)
     ends = np.append(runs[1:], len(owner)) - np.repeat(first, np.diff(run_ptr))
     n = len(first)
     lists = lambda p, v: pa.concat_arrays([
-        pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(p), pa.array(v.astype(np.int32)))])
+        pa.nulls(1, pa.list_(pa.from_numpy_dtype(v.dtype))), pa.ListArray.from_arrays(pa.array(p), pa.array(v))])
     whole = pa.ListArray.from_arrays(pa.array(np.array([0, len(ids)], np.int32)), ids)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(n + 1, block, np.int64)),
-         pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(stratum[first])]),
          pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(hashed[number[first]])]),
-         lists(run_ptr, times[runs]), lists(run_ptr, ends), lists(ptr, owner),
-         pa.concat_arrays([whole, pa.nulls(n, whole.type)])],
-        names=["block", "m", "term", "tfs", "ends", "docs", "ids"])
+         lists(run_ptr, stratum[runs]), lists(run_ptr, times[runs].astype(np.int32)), lists(run_ptr, ends.astype(np.int32)),
+         lists(ptr, owner.astype(np.int32)), pa.concat_arrays([whole, pa.nulls(n, whole.type)])],
+        names=["block", "term", "ms", "tfs", "ends", "docs", "ids"])
 
 
-POSTINGS = ("block bigint, m bigint, term bigint, tfs array<int>, ends array<int>, docs array<int>, "
+POSTINGS = ("block bigint, term bigint, ms array<bigint>, tfs array<int>, ends array<int>, docs array<int>, "
             "ids array<bigint>")
 
 
 def build(docs: DataFrame, cfg: LexicalSearch = LexicalSearch()) -> Index:
     """The index of all documents, written to a table in the shared folder."""
     spark = docs.sparkSession
-    documents, terms = totals(docs)
-    m = F.lit(100 - cfg.slope) + F.expr(f"(n * {cfg.slope * documents}L) div {max(terms, 1)}L")
-    # the text's hash parts documents of one length, and rows of one id, into several tasks
-    placed = _sized(docs).select("doc_id", "text", m.alias("m"), F.xxhash64("doc_id", "text").alias("__h"))
-    placed = placed.repartitionByRange("m", "__h").sortWithinPartitions("m", "__h").drop("__h")
+    found = lengths(docs)
+    documents, terms = sum(d for _, d, _ in found), sum(t for _, _, t in found)
+    # parts of like numbers of terms: several buckets of lengths, or one bucket in several parts by hash
+    part_of, at, full = {}, 0, 0
+    for bucket, _, t in found:
+        if full and full + t > cfg.part_terms:
+            at, full = at + 1, 0
+        many = max(-(-t // cfg.part_terms), 1)
+        part_of[bucket] = (at, many)
+        at, full = (at + many, 0) if many > 1 else (at, full + t)
+    shared = spark.sparkContext.broadcast(part_of)
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text in text_slices(batch):
+                n = count_terms(text)
+                start, many = (np.array([shared.value.get(b, (0, 1))[i] for b in _bucket(n).tolist()], np.int64) for i in (0, 1))
+                m = 100 - cfg.slope + (cfg.slope * n * documents) // max(terms, 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), text, part.column(2), pa.array(m), pa.array(start),
+                                                  pa.array(many)], names=["doc_id", "text", "h", "m", "part", "many"]
+                                                 ).filter(pa.array(n > 0))
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h")) \
+        .mapInArrow(sized, "doc_id bigint, text string, h bigint, m bigint, part bigint, many bigint") \
+        .select("doc_id", "text", "m", (F.col("part") + F.pmod("h", "many")).alias("part"), "h")
+    placed = placed.repartition("part").sortWithinPartitions("part", "m", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -213,20 +230,24 @@ class Block:
         known = rows.filter(pc.is_null(rows.column("term"))).column("ids")
         self.ids = pc.list_flatten(known.combine_chunks()) if len(known) else pa.array([], pa.int64())
         rows = rows.filter(pc.is_valid(rows.column("term"))).sort_by("term").combine_chunks()
-        self.term, m = rows.column("term").to_numpy(), rows.column("m").to_numpy()
-        self.m, self.stratum = np.unique(m, return_inverse=True)
         get = lambda c: pc.list_flatten(rows.column(c)).to_numpy().astype(np.int64)
-        tfs, ends, self.docs = get("tfs"), get("ends"), get("docs")
-        runs = pc.list_value_length(rows.column("tfs")).to_numpy().astype(np.int64)
-        size = pc.list_value_length(rows.column("docs")).to_numpy().astype(np.int64)
-        self.run_at, at = np.cumsum(runs) - runs, np.cumsum(size) - size
-        self.runs, self.start, self.size = runs, at, size
+        size = lambda c: pc.list_value_length(rows.column(c)).to_numpy().astype(np.int64)
+        m, tfs, ends, self.docs = get("ms"), get("tfs"), get("ends"), get("docs")
+        runs, row_at = size("tfs"), np.cumsum(size("docs")) - size("docs")
+        of = np.repeat(np.arange(len(runs)), runs)                      # the row of each run
+        new = np.ones(len(of), bool)
+        new[1:] = of[1:] != of[:-1]
+        length = ends - np.where(new, 0, np.append(0, ends[:-1]))
         # once per stratum, term and tf
-        self.impact = (1_000_000_000 * tfs) // (1000 * tfs + 8 * np.repeat(m, runs))
-        length = np.diff(ends, prepend=0)
-        length[self.run_at] = ends[self.run_at]
-        self.each = np.repeat(self.impact, length)          # by posting
-        self.most = self.impact[self.run_at] if len(runs) else np.zeros(0, np.int64)
+        impact = (1_000_000_000 * tfs) // (1000 * tfs + 8 * m)
+        self.each = np.repeat(impact, length)                           # by posting
+        # a term's postings in one stratum; the first of its runs has the highest tf, and so the highest impact
+        new[1:] |= m[1:] != m[:-1]
+        seg = np.flatnonzero(new)
+        self.term, self.most = rows.column("term").to_numpy()[of[seg]], impact[seg]
+        self.m, self.stratum = np.unique(m[seg], return_inverse=True)
+        self.start = (row_at[of] + ends - length)[seg]
+        self.size = np.add.reduceat(length, seg) if len(seg) else np.zeros(0, np.int64)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int):
         """(documents' numbers, scores) of the block's k best for a query's distinct terms, and their
