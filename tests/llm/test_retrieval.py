@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from diurna.llm import hard_negatives as H
 from diurna.llm import lexical_search as X
@@ -52,7 +53,7 @@ def _search(spark, docs, items, cfg):
     return _ordered([tuple(r) for r in X.search(X.build(d, cfg), q, cfg).collect()])
 
 
-@pytest.mark.parametrize("cfg", [X.LexicalSearch(), X.LexicalSearch(k=3, block_bytes=2000, terms_per_round=20)])
+@pytest.mark.parametrize("cfg", [X.LexicalSearch(), X.LexicalSearch(k=3, part_terms=500, block_bytes=2000, terms_per_round=20)])
 def test_search_equals_scoring_every_document(spark, cfg):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)] + ["é", "İx", "日本", "W7"]
@@ -77,8 +78,9 @@ def test_strata_hold_one_normaliser_and_each_tf_once(spark):
     docs = spark.createDataFrame([(i, "x " * (i % 3 + 1) + "y") for i in range(30)], "doc_id long, text string")
     rows = spark.table(X.build(docs).table).where("term is not null").collect()
     for r in rows:
-        assert r.tfs == sorted(set(r.tfs), reverse=True) and len(r.ends) == len(r.tfs) and r.ends[-1] == len(r.docs)
-    assert len({r.m for r in rows}) == 3 and sum(len(r.docs) for r in rows) == 60
+        assert len(r.ends) == len(r.tfs) == len(r.ms) == len(set(zip(r.ms, r.tfs))) and r.ends[-1] == len(r.docs)
+        assert list(zip(r.ms, r.tfs)) == sorted(zip(r.ms, r.tfs), key=lambda x: (x[0], -x[1]))
+    assert len({m for r in rows for m in r.ms}) == 3 and sum(len(r.docs) for r in rows) == 60
 
 
 # ---- hard negatives -------------------------------------------------------------------
@@ -143,7 +145,7 @@ def test_null_and_infinite_vectors_take_no_part(spark):
     assert {r.vec_id: r.vector for r in H.quantised(df).collect()} == {1: [256, 512], 7: [-1, 128], 8: []}
     with pytest.raises(ArithmeticError):
         H.hard_negatives(spark.createDataFrame([(1, 1, [1 << 40])], "vec_id long, label int, vector array<long>"),
-                         df.vec_id == 1)
+                         F.col("vec_id") == 1)
 
 
 # ---- line deduplication ---------------------------------------------------------------
