@@ -55,7 +55,7 @@ _IS_TERM = np.array([b != 32 for b in _TERM_BYTES])
 class LexicalSearch:
     k: int = 10
     slope: int = 75                     # percent of the normaliser that grows with length
-    part_terms: int = 2_000_000         # of the parts that documents of like length are brought to
+    part_terms: int = 200_000         # of the parts that documents of like length are brought to
     block_bytes: int = 4_000_000        # of a block's texts, or one longer text
     terms_per_round: int = 200_000      # bound of the queries' terms held at once
 
