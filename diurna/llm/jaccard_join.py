@@ -44,10 +44,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, with_fields, written
+from .common import release, text_slices, with_fields, written
 from .components import connected
 from .shingles import shingle_sets
-from .wordtable import BUCKETS_PER_PARTITION, CHUNK_BYTES, Packer
+from .wordtable import BUCKETS_PER_PARTITION, Packer
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,7 @@ class JaccardJoin:
     k: int = 5
     percent: int = 75
     evidence_percent: int = 15   # of a set, compared beyond what one certain shared hash needs
+    chunk_bytes: int = 8_000_000  # of texts whose hashes are sent together
     block_sets: int = 512        # sets of a block, at most
     block_bytes: int = 4_000_000  # of its shingles, or one larger set
 
@@ -117,9 +118,10 @@ def _send(docs: DataFrame, cfg: JaccardJoin) -> DataFrame:
         ids, sets, size = [], [], 0
         for batch in batches:
             for part, text in text_slices(batch):
-                if sets and size + text.nbytes > CHUNK_BYTES:
+                if sets and size + text.nbytes > cfg.chunk_bytes:
                     yield rows(chunk, ids, sets, packer)
                     ids, sets, size, chunk = [], [], 0, chunk + 1
+                    release()
                 ptr, flat = shingle_sets(text, cfg.k)
                 sets += [flat[a:z] for a, z in zip(ptr[:-1], ptr[1:])]
                 ids += part.column(0).to_pylist()
@@ -461,10 +463,10 @@ def one_of_each(docs: DataFrame, cfg: JaccardJoin = JaccardJoin()) -> DataFrame:
                 ptr, flat = shingle_sets(text, cfg.k)
                 keys = [set_key(flat[a:z]) if z > a else None for a, z in zip(ptr[:-1], ptr[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.string())], names=[*cols, "__key"])
-    keyed_docs = docs.mapInArrow(run, schema)
+    # a text without words is a class of its own
+    own = F.coalesce("__key", F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
     first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("text"))
-    one = (keyed_docs.where("__key is not null").groupBy("__key")
-           .agg(F.min_by(F.struct(*cols), first).alias("row")))
+    one = docs.mapInArrow(run, schema).withColumn("__key", own).groupBy("__key").agg(
+        F.min_by(F.struct(*cols), first).alias("row"))
     gone = classes.where("not first").select(F.col("key").alias("__key"))
-    return one.join(gone, "__key", "left_anti").select("row.*").unionByName(
-        keyed_docs.where("__key is null").select(*cols))
+    return one.join(gone, "__key", "left_anti").select("row.*")
