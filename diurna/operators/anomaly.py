@@ -1,21 +1,21 @@
-"""Isolation forest with a cause per anomaly.
-
-* Sampling (N1): every tree sees ``sample_size`` rows. Each row joins tree ``t``
-  when a per-(row, tree) hash falls under a rate sized to give a few times
-  ``sample_size`` candidates; the tree keeps its ``sample_size`` smallest hashes.
-  One pass over the data with one hash per row (a gate); only the gated pool is
-  hashed per tree, and no rows x trees explode happens (the tree list is filtered
-  per row). If some tree got too few candidates the rate is raised and the pass
-  repeated, so every tree gets exactly ``min(sample_size, n)`` rows.
-* Building (N1): ``groupBy(tree).applyInPandas`` — each tree is built from its
-  small sample on an executor, in parallel over trees, seeded by (seed, tree) so a
-  retried task rebuilds the same tree.
-* Nodes (N1): a table (tree, node, feature, threshold, left, right, size, depth).
-  Its size is bounded by ``n_trees x (2 sample_size - 1)`` rows — a function of
-  the parameters, never of the data — so it is collected and broadcast.
-* Scoring (N2): an Arrow ``pandas_udf`` walks all trees level by level over a
-  whole batch with numpy.
-* Threshold (N3): the contamination quantile of the scores.
+"""Isolation forests with a cause per anomaly.
+
+Every random choice is an md5 of the seed, the tree and the row or node, so a forest is a function of the
+data: the same under any partitioning and after a lost executor, and other engines can grow it
+again (``plans.sql_forest`` does in SQL).
+
+* Sampling (N1): of each period the ``pool_rows`` rows with the smallest hashes, and of
+  these for each tree the ``sample_size`` with the smallest hashes of (tree, row). The first is a top-k
+  per period, the second works on the bounded pool.
+* Building (N1, N6): ``groupBy(period, tree).applyInPandas`` - one job grows the trees of all
+  periods, each from its small sample. Nodes are numbered as in a heap (children 2i and 2i + 1). A node
+  picks one of its features with more than one value, and a place between its least and largest value.
+* Nodes (N1): a table (period, tree, node, feature, threshold, size, depth) of at most
+  ``n_trees x (2 sample_size - 1)`` rows per period: a function of the parameters, not of the data.
+* Scoring (N2): an Arrow ``pandas_udf`` walks all trees of a row's period, whole batches at a time. Periods
+  are scored in blocks, so that the broadcast nodes are bounded. Path lengths are summed in whole
+  billionths, so equal rows have equal scores whatever the order of trees.
+* Threshold (N3): the contamination quantile of each period's scores, exact.
 * Causes (N4): outliers x features are exploded, each copy gets one feature set
   to its median, all copies are scored in one pass, the largest recovery wins
   (ties: feature order), runner-up kept.
@@ -23,8 +23,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,10 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import hash_int
 from ..session import cut_lineage
 
 EULER_GAMMA = 0.5772156649015329
-_MASK53 = (1 << 53) - 1
+BILLION = 1_000_000_000
+SPACE = float(16 ** 15)
+POOL = 64                    # rows of the pool for each row of a sample
+PERIODS_AT_ONCE = 64         # periods whose nodes are broadcast together
 
 
 def avg_path_length(n) -> np.ndarray:
@@ -48,38 +53,37 @@ def avg_path_length(n) -> np.ndarray:
     return out
 
 
-NODE_SCHEMA = T.StructType([
-    T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
-    T.StructField("feature", T.IntegerType()), T.StructField("threshold", T.DoubleType()),
-    T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
-    T.StructField("size", T.LongType()), T.StructField("depth", T.IntegerType())])
-
-
-def _build_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """Grow one isolation tree; returns lists of node fields (leaf: feature -1)."""
-    feat, thr, left, right, size, depth = [], [], [], [], [], []
-    stack = [(np.arange(len(x)), 0, -1, 0)]  # rows, depth, parent, side
-    while stack:
-        rows, d, parent, side = stack.pop()
-        nid = len(feat)
-        if parent >= 0:
-            (left if side == 0 else right)[parent] = nid
-        feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1)
-        size.append(len(rows)); depth.append(d)
-        if d >= max_depth or len(rows) <= 1:
-            continue
-        sub = x[rows]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
+NODE_FIELDS = "tree int, node int, feature int, threshold double, size bigint, depth int"
+
+
+def node_numbers(seed: int, tree: int, node: int) -> tuple[float, int]:
+    """A node's place between 0 and 1, and the number that picks its feature."""
+    h = hashlib.md5(f"{seed}|{tree}|{node}".encode()).hexdigest()
+    return int(h[:15], 16) / SPACE, int(h[15:30], 16)
+
+
+def _build_tree(x: np.ndarray, seed: int, tree: int, max_depth: int) -> list:
+    """(node, feature, threshold, size, depth) of one tree; a leaf's feature is -1."""
+    out, open_ = [], [(1, np.arange(len(x)))]
+    while open_:
+        node, rows = open_.pop()
+        depth = node.bit_length() - 1
+        lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
         usable = np.flatnonzero(hi > lo)
-        if len(usable) == 0:
+        if depth >= max_depth or not len(usable):
+            out.append((node, -1, 0.0, len(rows), depth))
             continue
-        f = int(rng.choice(usable))
-        t = float(rng.uniform(lo[f], hi[f]))
-        feat[nid], thr[nid] = f, t
-        go_left = sub[:, f] < t
-        stack.append((rows[~go_left], d + 1, nid, 1))
-        stack.append((rows[go_left], d + 1, nid, 0))
-    return feat, thr, left, right, size, depth
+        place, pick = node_numbers(seed, tree, node)
+        f = int(usable[pick % len(usable)])
+        at = float(lo[f] + (hi[f] - lo[f]) * place)
+        out.append((node, f, at, len(rows), depth))
+        left = x[rows, f] < at
+        open_ += [(2 * node + side, part) for side, part in ((0, rows[left]), (1, rows[~left])) if len(part)]
+    return out
+
+
+def max_depth(sample_size: int) -> int:
+    return int(math.ceil(math.log2(max(sample_size, 2))))
 
 
 @dataclass
@@ -87,116 +91,95 @@ class IsolationForestModel:
     features: list
     n_trees: int
     sample_size: int
-    nodes: pd.DataFrame            # NODE_SCHEMA rows
-    offset: float | None = None    # score threshold at the contamination quantile
-
-    def arrays(self):
-        """Dense per-tree arrays [tree, node] for vectorised traversal."""
-        nd = self.nodes
-        width = int(nd["node"].max()) + 1
-        shape = (self.n_trees, width)
-        feat = np.full(shape, -1, dtype=np.int32)
-        thr = np.zeros(shape)
-        left = np.zeros(shape, dtype=np.int32)
-        right = np.zeros(shape, dtype=np.int32)
-        leaf_len = np.zeros(shape)
+    nodes: pd.DataFrame            # __period, tree, node, feature, threshold, size, depth
+    offset: float | None = None    # score threshold at the contamination quantile (one period)
+    sizes: dict = field(default_factory=dict)     # rows of a sample, by period
+
+    def arrays(self, period=None):
+        """Arrays [tree, node] for the walk: feature (-1 at a leaf), threshold, path length in billionths."""
+        nd = self.nodes if period is None else self.nodes[self.nodes["__period"] == period]
+        shape = (self.n_trees, 2 << max_depth(self.sample_size))
+        feature, threshold, length = np.full(shape, -1, np.int32), np.zeros(shape), np.zeros(shape, np.int64)
         t, n = nd["tree"].to_numpy(), nd["node"].to_numpy()
-        feat[t, n] = nd["feature"].to_numpy()
-        thr[t, n] = nd["threshold"].to_numpy()
-        left[t, n] = nd["left"].to_numpy()
-        right[t, n] = nd["right"].to_numpy()
-        leaf_len[t, n] = nd["depth"].to_numpy() + avg_path_length(nd["size"].to_numpy())
-        return feat, thr, left, right, leaf_len
+        feature[t, n], threshold[t, n] = nd["feature"].to_numpy(), nd["threshold"].to_numpy()
+        length[t, n] = nd["depth"].to_numpy(np.int64) * BILLION + np.rint(avg_path_length(nd["size"].to_numpy()) * BILLION).astype(np.int64)
+        return feature, threshold, length
 
 
 def path_lengths(arrays, x: np.ndarray) -> np.ndarray:
-    """Mean path length over trees for each row of ``x`` (numpy, level by level)."""
-    feat, thr, left, right, leaf_len = arrays
-    n_trees = feat.shape[0]
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for t in range(n_trees):
-        node = np.zeros(len(x), dtype=np.int32)
-        active = feat[t, node] >= 0
-        while active.any():
-            a = rows[active]
-            f = feat[t, node[a]]
-            go_left = x[a, f] < thr[t, node[a]]
-            node[a] = np.where(go_left, left[t, node[a]], right[t, node[a]])
-            active = feat[t, node] >= 0
-        total += leaf_len[t, node]
-    return total / n_trees
+    """Sum over the trees of each row's path length, in billionths."""
+    feature, threshold, length = arrays
+    total = np.zeros(len(x), np.int64)
+    for t in range(len(feature)):
+        node = np.ones(len(x), np.int64)
+        rows = np.flatnonzero(feature[t, node] >= 0)
+        while len(rows):
+            at = node[rows]
+            node[rows] = 2 * at + (x[rows, feature[t, at]] >= threshold[t, at])
+            rows = rows[feature[t, node[rows]] >= 0]
+        total += length[t, node]
+    return total
 
 
 def sample_for_trees(df: DataFrame, features, key, n_trees: int, sample_size: int, seed: int,
-                     oversample: float = 4.0) -> tuple[DataFrame, int]:
-    """Per-tree samples (tree, features...) of exactly min(sample_size, n) rows each."""
-    n = df.count()
-    psi = min(sample_size, n)
-    rate = min(1.0, oversample * psi / max(n, 1))
+                     period=None) -> DataFrame:
+    """(__period, tree, __key, features...): every tree's sample of min(sample_size, n) rows of each period."""
     keyc = F.col(key) if isinstance(key, str) else key
-    base = df.select(keyc.alias("__key"), *[F.col(c).cast("double").alias(c) for c in features])
-    while True:
-        # A row first passes a gate with probability min(1, trees x rate) (one hash per
-        # row), then joins each tree with probability rate / gate: each tree still
-        # samples every row with probability ``rate``, but only the small gated pool
-        # pays the per-tree hashes.
-        gate = min(1.0, n_trees * rate)
-        g_thr = int(gate * _MASK53)
-        t_thr = int(min(1.0, rate / gate) * _MASK53)
-        pool = base.where(F.xxhash64(F.col("__key"), F.lit(seed), F.lit(-1)).bitwiseAND(F.lit(_MASK53))
-                          < F.lit(g_thr))
-        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: F.xxhash64(F.col("__key"), t, F.lit(seed)).bitwiseAND(F.lit(_MASK53))
-                         < F.lit(t_thr))
-        cand = pool.select("*", F.explode(trees).alias("tree")) \
-            .withColumn("__h", F.xxhash64(F.col("__key"), F.col("tree"), F.lit(seed + 1)))
-        w = Window.partitionBy("tree").orderBy("__h", "__key")
-        # the sample is small (trees x sample_size rows): keep it for the build step
-        s = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi).drop("__r", "__h").cache()
-        got = {r["tree"]: r["count"] for r in s.groupBy("tree").count().collect()}
-        short = sum(1 for t in range(n_trees) if got.get(t, 0) < psi)
-        if short == 0 or rate >= 1.0:
-            return s, psi
-        s.unpersist()
-        rate = min(1.0, rate * 2)
+    base = df.select((F.col(period) if period else F.lit(0)).alias("__period"), keyc.alias("__key"),
+                     *[F.col(c).cast("double").alias(c) for c in features])
+    w = Window.partitionBy("__period").orderBy(hash_int("__key", f"pool|{seed}"), "__key")
+    pool = base.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= POOL * sample_size).drop("__r")
+    each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    own = hash_int(F.concat_ws("|", F.col("tree").cast("string"), F.col("__key").cast("string")), f"tree|{seed}")
+    w = Window.partitionBy("__period", "tree").orderBy(own, "__key")
+    return each.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample_size).drop("__r")
 
 
 def fit_isolation_forest(df: DataFrame, features, key, n_trees: int = 100, sample_size: int = 256,
-                         seed: int = 42) -> IsolationForestModel:
-    """Build ``n_trees`` isolation trees on executors; collect the bounded node table."""
+                         seed: int = 42, period: str | None = None) -> IsolationForestModel:
+    """``n_trees`` isolation trees for every period, in one job; the bounded node table is collected."""
     features = list(features)
-    sample, psi = sample_for_trees(df, features, key, n_trees, sample_size, seed)
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    sample = sample_for_trees(df, features, key, n_trees, sample_size, seed, period)
+    kind = sample.schema["__period"].dataType.simpleString()
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("__key", kind="stable")
-        rng = np.random.default_rng([seed, tree])
-        f, t, l, r, s, d = _build_tree(pdf[features].to_numpy(dtype=float), rng, max_depth)
-        return pd.DataFrame({"tree": tree, "node": np.arange(len(f), dtype=np.int32), "feature": f,
-                             "threshold": t, "left": l, "right": r, "size": s, "depth": d})
-
-    nodes = sample.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
-    sample.unpersist()
-    return IsolationForestModel(features, n_trees, psi, nodes)
+        x = pdf.sort_values("__key", kind="stable")[features].to_numpy(dtype=float)
+        rows = _build_tree(x, seed, tree, max_depth(len(x)))
+        out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "size", "depth"])
+        out.insert(0, "tree", tree)
+        out.insert(0, "__period", pdf["__period"].iloc[0])
+        return out
+    nodes = sample.groupBy("__period", "tree").applyInPandas(build, f"__period {kind}, {NODE_FIELDS}").toPandas()
+    sizes = nodes[nodes["node"] == 1].groupby("__period", dropna=False)["size"].max().to_dict()
+    return IsolationForestModel(features, n_trees, max(sizes.values(), default=sample_size), nodes, None, sizes)
 
 
 def score(df: DataFrame, model: IsolationForestModel, out: str = "score_samples",
-          features=None) -> DataFrame:
-    """Sklearn-style ``score_samples`` = -2^(-E[h]/c(psi)); lower is more abnormal."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(model.arrays())
-    cpsi = float(avg_path_length([model.sample_size])[0])
+          features=None, period: str | None = None) -> DataFrame:
+    """``score_samples`` = -2^(-E[h]/c(psi)); lower is more abnormal. With ``period`` each row meets
+    the forest of its own period."""
     feats = list(features or model.features)
-
-    @F.pandas_udf(T.DoubleType())
-    def _score(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        e = path_lengths(bc.value, x)
-        return pd.Series(-np.power(2.0, -e / cpsi))
-
-    return df.withColumn(out, _score(*[F.col(c).cast("double") for c in feats]))
+    every = sorted(model.sizes)
+    done = None
+    for a in range(0, max(len(every), 1), PERIODS_AT_ONCE):
+        some = every[a:a + PERIODS_AT_ONCE]
+        shared = df.sparkSession.sparkContext.broadcast(
+            {p: (model.arrays(p), float(avg_path_length([model.sizes[p]])[0])) for p in some})
+
+        @F.pandas_udf(T.DoubleType())
+        def _score(which: pd.Series, *cols: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+            result = np.zeros(len(x))
+            for p, rows in which.groupby(which).indices.items():
+                arrays, c = shared.value[p]
+                result[rows] = -np.power(2.0, -(path_lengths(arrays, x[rows]) / (BILLION * float(len(arrays[0])))) / max(c, 1e-300))
+            return pd.Series(result)
+        part = df if len(every) <= PERIODS_AT_ONCE else df.where(F.col(period).isin(some))
+        which = F.col(period) if period else F.lit(0)
+        part = part.withColumn(out, _score(which, *[F.col(c).cast("double") for c in feats]))
+        done = part if done is None else done.unionByName(part)
+    return done
 
 
 def threshold(scored: DataFrame, contamination: float = 0.05, col: str = "score_samples") -> float:
@@ -212,15 +195,18 @@ def detect(df: DataFrame, features, key, n_trees: int = 100, contamination: floa
     # read twice (threshold, result): written once to the shared checkpoint folder
     scored = cut_lineage(score(df, model))
     model.offset = threshold(scored, contamination)
-    out = scored.withColumn("anomaly_score", F.col("score_samples") - F.lit(model.offset)) \
-        .withColumn("is_outlier", F.col("anomaly_score") < 0).drop("score_samples")
-    return out, model
+    return _decided(scored.withColumn("__offset", F.lit(model.offset))), model
+
+
+def _decided(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("anomaly_score", F.col("score_samples") - F.col("__offset")).withColumn(
+        "is_outlier", F.col("anomaly_score") < 0).drop("score_samples", "__offset")
 
 
 def medians(df: DataFrame, features) -> dict:
     """Per-feature median (linear interpolation), exact at any size."""
-    from .profile import exact_quantiles, long_format
-    rows = exact_quantiles(long_format(df, features), "value", [0.5], keys=["column"]).collect()
+    from .profile import wide_quantiles
+    rows = wide_quantiles(df, features, [0.5]).collect()
     return {r["column"]: float(r["value"]) for r in rows}
 
 
@@ -278,17 +264,14 @@ def cause_distribution(causes: DataFrame) -> DataFrame:
     return causes.groupBy("cause").agg(F.count(F.lit(1)).alias("n_outliers"))
 
 
-def detect_by_period(df: DataFrame, period_col: str, features, key, **kw) -> DataFrame:
-    """Each period scored on its own distribution (one forest per period).
-
-    The period list is small (years); each fit is itself distributed.
-    """
-    periods = [r[0] for r in df.select(period_col).distinct().collect()]
-    parts = []
-    for p in sorted(periods):
-        d, _ = detect(df.where(F.col(period_col) == p), features, key, **kw)
-        parts.append(d)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def detect_by_period(df: DataFrame, period_col: str, features, key, n_trees: int = 100,
+                     contamination: float = 0.05, sample_size: int = 256, seed: int = 42) -> DataFrame:
+    """Each period's rows scored on their own distribution: one job grows the forests of all periods, one
+    pass scores all rows, one finds all thresholds. Rows without a period take no part."""
+    from .profile import exact_quantiles
+    have = df.where(F.col(period_col).isNotNull())
+    model = fit_isolation_forest(have, features, key, n_trees, sample_size, seed, period_col)
+    scored = cut_lineage(score(have, model, period=period_col))
+    cut = exact_quantiles(scored, "score_samples", [contamination], keys=[period_col]).select(
+        F.col(period_col).alias("__p"), F.col("value").alias("__offset"))
+    return _decided(scored.join(cut, F.col(period_col) == F.col("__p")).drop("__p"))

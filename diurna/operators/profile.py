@@ -5,7 +5,7 @@ computed in a single ``agg`` (partial aggregation on every executor, one small
 final merge) and unpivoted afterwards, instead of one job per column.
 
 Quantiles are exact (linear interpolation, pandas' default) with bounded memory for any
-number of rows, ties and groups (:func:`exact_quantiles`); ``accuracy=`` asks for
+number of rows, ties and groups (:func:`wide_quantiles`); ``accuracy=`` asks for
 ``percentile_approx`` instead.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import qcol
+from ..session import cut_lineage
 from .ranking import global_row_number
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -299,18 +300,11 @@ def order_statistic(df: DataFrame, col: str, k: int) -> float:
 
 
 def exact_quantile(df: DataFrame, col: str, p: float) -> float | None:
-    """One exact quantile of one column (see :func:`exact_quantiles`)."""
+    """One exact quantile of one column (see :func:`wide_quantiles`)."""
     r = exact_quantiles(df, col, [p]).first()
     return None if r is None else float(r["value"])
 
 
-def long_format(df: DataFrame, cols, key: str = "column", value: str = "value") -> DataFrame:
-    """Stack columns into (column, value) rows so one grouped pass serves them all."""
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias(key), F.col(c).cast("double").alias(value)) for c in cols])).alias("__s")) \
-        .select(f"__s.{key}", f"__s.{value}")
-
-
 def _quartile_table(df: DataFrame, cols, probs, accuracy):
     """(column, q<pct>...) for several columns: exact (bounded memory) or sketch."""
     names = {p: f"q{int(round(p * 100))}" for p in probs}
@@ -318,91 +312,170 @@ def _quartile_table(df: DataFrame, cols, probs, accuracy):
         wide = df.agg(*[F.percentile_approx(F.col(c), F.lit(p), accuracy).alias(f"{c}__{names[p]}")
                         for c in cols for p in probs])
         return _unpivot(wide, cols, [names[p] for p in probs])
-    q = exact_quantiles(long_format(df, cols), "value", probs, keys=["column"])
+    q = wide_quantiles(df, cols, probs)
     return q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(names[p])
                                      for p in probs])
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, keys=(), ranks=None, bins: int = 1024) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group: (keys, p, value).
+def exact_quantiles(df: DataFrame, col: str, probs, keys=(), ranks=None, **kw) -> DataFrame:
+    """Exact quantiles of one column per group: (keys, p, value); see :func:`wide_quantiles`.
+
+    With ``ranks`` (0-based, global only) order statistics are returned, ``p`` holding the rank."""
+    if ranks is None:
+        return wide_quantiles(df, [col], probs, keys, **kw).drop("column")
+    if keys:
+        raise ValueError("ranks are supported for a global order statistic only")
+    x = qcol(col).cast("double")
+    n = df.where(x.isNotNull() & ~F.isnan(x)).count()
+    bad = [k for k in ranks if not 0 <= k < n]
+    if bad:
+        raise ValueError(f"ranks {bad} outside [0, {n})")
+    return wide_quantiles(df, [col], ranks, (), order_of=n, **kw).drop("column")
+
+
+# column, probability, rank, bracket, and whether the bracket is as narrow as sketches make it
+_TARGET = "array<struct<c:int,p:double,k:bigint,lo:double,hi:double,f:boolean>>"
 
-    Every wanted order statistic starts with its group's [min, max] as the bracket. A
-    round cuts each open bracket into ``bins`` equal steps, counts the rows of each with
-    their smallest and largest value (combined in the tasks before the shuffle, so ties
-    and hot groups cost one row per task), and goes on with the step that holds the
-    rank. A bracket is done when its smallest and largest value agree; no rows are ever
-    sorted. Brackets live in a table, so the number of groups has no limit; rounds grow
-    with the logarithm of the range over the gap at the rank. The rule is the same at
-    every size. With ``ranks`` (0-based, global only) order statistics are returned,
-    ``p`` holding the rank. Values must be finite; NULL and NaN are left out.
+
+def wide_quantiles(df: DataFrame, cols, probs, keys=(), accuracy: int = 10_000, few: int = 10_000,
+                   most: int = 1_000_000, order_of: int | None = None) -> DataFrame:
+    """Exact quantiles (linear interpolation) of several columns per group: (keys, column, p, value).
+
+    1. One aggregate over all columns: count, least, largest, and a mergeable sketch's values a little below
+       and above each probability. They bracket the wanted order statistics (a group of at most ``few``
+       rows is its own bracket).
+    2. One aggregate counts the rows below and inside each bracket. A bracket that the sketch
+       missed, or with more than ``most`` rows, is cut by a sketch of its own rows and counted again.
+    3. Distinct values inside the brackets are counted (in the tasks first, so ties and hot groups
+       cost a row per task) and the wanted ranks read off.
+
+    Three scans, whatever the range of values; further ones only where n is beyond
+    ``accuracy * most / 6``. No rows are sorted and nothing about groups is on the driver.
+    Values must be finite; NULL and NaN are left out.
     """
-    from ..session import cut_lineage
-    keys = list(keys)
+    keys, cols, probs = list(keys), list(cols), list(probs)
+    if not probs or not cols:
+        raise ValueError("no columns or no probabilities")
     gk = [f"__k{i}" for i in range(len(keys))]
-    d = df.select(*[qcol(k).alias(g) for k, g in zip(keys, gk)], qcol(col).cast("double").alias("__q")).where(
-        F.col("__q").isNotNull() & ~F.isnan("__q"))
-    span = d.groupBy(*gk).agg(F.count(F.lit(1)).alias("__n"), F.min("__q").alias("__lo"),
-                              F.max("__q").alias("__hi")).where("__n > 0")
-    span = cut_lineage(span)
-    if ranks is not None:
-        if keys:
-            raise ValueError("ranks are supported for a global order statistic only")
-        n = (span.first() or {"__n": 0})["__n"]
-        bad = [k for k in ranks if not 0 <= k < n]
-        if bad:
-            raise ValueError(f"ranks {bad} outside [0, {n})")
-        wanted = [F.struct(F.lit(float(k)).alias("p"), F.lit(int(k)).cast("long").alias("__a"),
-                           F.lit(int(k)).cast("long").alias("__b"), F.lit(0.0).alias("__f")) for k in ranks]
+    value = lambda c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double"))
+    d = df.select(*[qcol(k).alias(g) for k, g in zip(keys, gk)], F.array(*[value(c) for c in cols]).alias("__x"))
+    if order_of is not None:
+        share = [(r + 0.5) / order_of for r in probs]
     else:
-        def at(p):
-            pos = F.lit(float(p)) * (F.col("__n") - 1)
-            return F.struct(F.lit(float(p)).alias("p"), F.floor(pos).alias("__a"), F.ceil(pos).alias("__b"),
-                            (pos - F.floor(pos)).alias("__f"))
-        wanted = [at(p) for p in probs]
-    targets = span.select(*gk, "__lo", "__hi", F.explode(F.array(*wanted)).alias("t")).select(
-        *gk, "__lo", "__hi", "t.*")
-    state = targets.select(*gk, F.explode(F.array("__a", "__b")).alias("__k"), "__lo", "__hi",
-                           F.lit(0).cast("long").alias("__below")).distinct()
-
-    bracket = [*gk, "__lo", "__hi", "__below"]
-    half = lambda c: F.col(c) / 2   # noqa: E731  so that no range overflows
-    step = F.least(F.floor((half("__q") - half("__lo")) / (half("__hi") - half("__lo")) * bins), F.lit(bins - 1))
-    state = cut_lineage(state)
-    while not state.where("__lo < __hi").isEmpty():
-        open_ = state.where("__lo < __hi")
-        named = open_.select(bracket).distinct()
-        for g in gk:
-            named = named.withColumnRenamed(g, g + "_")
-        if keys:
-            on = F.lit(True)
-            for g in gk:
-                on = on & d[g].eqNullSafe(named[g + "_"])
-            rows = d.join(named, on & (F.col("__q") >= F.col("__lo")) & (F.col("__q") <= F.col("__hi")))
-        else:   # at most two brackets for each wanted value
-            rows = d.join(F.broadcast(named), (F.col("__q") >= F.col("__lo")) & (F.col("__q") <= F.col("__hi")))
-        hist = rows.groupBy(*bracket, step.alias("__s")).agg(
-            F.count(F.lit(1)).alias("__c"), F.min("__q").alias("__min"), F.max("__q").alias("__max"))
-        before = F.sum("__c").over(Window.partitionBy(*bracket).orderBy("__s")) - F.col("__c") + F.col("__below")
-        hist = hist.withColumn("__from", before)
-        h, o = hist.alias("h"), open_.alias("o")
-        on = (F.col("o.__k") >= F.col("h.__from")) & (F.col("o.__k") < F.col("h.__from") + F.col("h.__c"))
-        for c in bracket:
-            on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"h.{c}"))
-        closer = o.join(h, on).select(*[F.col(f"o.{g}").alias(g) for g in gk], F.col("o.__k").alias("__k"),
-                                      F.col("h.__min").alias("__lo"), F.col("h.__max").alias("__hi"),
-                                      F.col("h.__from").alias("__below"))
-        state = cut_lineage(state.where("__lo = __hi").unionByName(closer))
-    t, a, b = targets.alias("t"), state.alias("a"), state.alias("b")
-
-    def joined(left, side, place):
-        on = F.col(f"t.{place}") == F.col(f"{side}.__k")
-        for g in gk:
-            on = on & F.col(f"t.{g}").eqNullSafe(F.col(f"{side}.{g}"))
-        return left.join(a if side == "a" else b, on)
-    both = joined(joined(t, "a", "__a"), "b", "__b")
-    value = F.col("a.__lo") + (F.col("b.__lo") - F.col("a.__lo")) * F.col("t.__f")
-    return both.select(*[F.col(f"t.{g}").alias(k) for k, g in zip(keys, gk)], F.col("t.p").alias("p"),
-                       value.alias("value"))
+        share = probs
+    near = [min(max(s + e, 0.0), 1.0) for s in share for e in (-3 / accuracy, 3 / accuracy)]
+    x = [F.element_at("__x", i + 1) for i in range(len(cols))]
+    first = d.groupBy(*gk).agg(*[e for i, c in enumerate(x) for e in (
+        F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
+        F.percentile_approx(c, near, accuracy).alias(f"q{i}"))])
+
+    def target(i, j):
+        """Both order statistics of column i at probability j, in the bracket around them."""
+        n, q = F.col(f"n{i}"), F.col(f"q{i}")
+        at = F.lit(float(probs[j])) * (n - 1) if order_of is None else F.lit(float(probs[j]))
+        small = n <= few
+        lo = F.when(small, F.col(f"lo{i}")).otherwise(F.element_at(q, 2 * j + 1))
+        hi = F.when(small, F.col(f"hi{i}")).otherwise(F.element_at(q, 2 * j + 2))
+        return F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(probs[j])).alias("p"), k.cast("long").alias("k"),
+                                  lo.alias("lo"), hi.alias("hi"), F.lit(False).alias("f")) for k in (F.floor(at), F.ceil(at))])
+    ends = F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+                     for i in range(len(cols))])
+    wanted = first.select(*gk, ends.alias("ends"), F.flatten(F.array(*[
+        F.when(F.col(f"n{i}") > 0, target(i, j)).otherwise(F.array().cast(_TARGET))
+        for i in range(len(cols)) for j in range(len(probs))])).cast(_TARGET).alias("t"))
+    state = cut_lineage(wanted)
+    few_rows = lambda s: [f"{g}_" for g in s]
+
+    def beside(rows, table):
+        """Rows with their group's targets."""
+        if not gk:
+            return rows.crossJoin(F.broadcast(table))        # one row
+        t = table
+        for g, g_ in zip(gk, few_rows(gk)):
+            t = t.withColumnRenamed(g, g_)
+        on = F.lit(True)
+        for g, g_ in zip(gk, few_rows(gk)):
+            on = on & rows[g].eqNullSafe(t[g_])
+        return rows.join(t, on).drop(*few_rows(gk))
+    m = 2 * len(cols) * len(probs)
+    while True:
+        at = lambda j: F.try_element_at("t", F.lit(j + 1))
+        v = lambda j: F.element_at("__x", at(j)["c"] + 1)
+        counted = beside(d, state).groupBy(*gk).agg(
+            F.first("t").alias("t"), F.first("ends").alias("ends"),
+            F.array(*[F.count_if(v(j) < at(j)["lo"]) for j in range(m)]).alias("below"),
+            F.array(*[F.count_if((v(j) >= at(j)["lo"]) & (v(j) <= at(j)["hi"])) for j in range(m)]).alias("inside"))
+        counted = cut_lineage(counted.select(*gk, "ends", F.expr(
+            "transform(t, (x, i) -> struct(x.c, x.p, x.k, x.lo, x.hi, x.f, below[i] AS below, inside[i] AS inside))").alias("t")))
+        missed = "x.k < x.below OR x.k >= x.below + x.inside"
+        if counted.where(F.expr(f"exists(t, x -> {missed} OR (x.inside > {most} AND x.lo < x.hi AND NOT x.f))")).isEmpty():
+            break
+        # brackets that the sketch missed go on with the rest on their side, large ones with a sketch of their own
+        moved = counted.withColumn("t", F.expr(f"""transform(t, x -> struct(x.c, x.p, x.k,
+            CASE WHEN x.k < x.below THEN ends[x.c].lo WHEN {missed} THEN x.hi ELSE x.lo END AS lo,
+            CASE WHEN x.k < x.below THEN x.lo WHEN {missed} THEN ends[x.c].hi ELSE x.hi END AS hi, x.f,
+            CASE WHEN {missed} THEN -1L ELSE x.below END AS below, x.inside))"""))
+        state = cut_lineage(_narrowed(d, moved, gk, beside, accuracy, most))
+    inside = beside(d, counted.select(*gk, F.expr(
+        "array_distinct(transform(t, x -> struct(x.c, x.lo, x.hi, x.below)))").alias("t"))).select(
+        *gk, F.expr("explode(transform(filter(t, b -> __x[b.c] >= b.lo AND __x[b.c] <= b.hi), "
+                    "b -> struct(b.c, b.lo, b.hi, b.below, __x[b.c] AS v)))").alias("b")).select(*gk, "b.*")
+    bracket = [*gk, "c", "lo", "hi", "below"]
+    values = inside.groupBy(*bracket, "v").agg(F.count(F.lit(1)).alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(*bracket).orderBy("v")) + F.col("below")
+    values = values.withColumn("upto", upto).withColumn("after", F.col("upto") - F.col("times"))
+    one = counted.select(*gk, F.explode("t").alias("t")).select(*gk, "t.*").distinct()
+    o, w = one.alias("o"), values.alias("w")
+    on = (F.col("o.k") >= F.col("w.after")) & (F.col("o.k") < F.col("w.upto"))
+    for c in bracket:
+        on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"w.{c}"))
+    found = o.join(w, on).select(*[F.col(f"o.{g}").alias(g) for g in gk], F.col("o.c").alias("c"), F.col("o.p").alias("p"),
+                                 F.col("o.k").alias("k"), F.col("w.v").alias("v"))
+    ns = state.select(*gk, F.posexplode(F.col("ends")).alias("c", "e")).select(*gk, "c", F.col("e.n").alias("n"))
+    g = found.groupBy(*gk, "c", "p").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.min("k").alias("k"))
+    a, b = g.alias("a"), ns.alias("b")
+    on = F.col("a.c") == F.col("b.c")
+    for k in gk:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    part = F.lit(0.0) if order_of is not None else F.col("a.p") * (F.col("b.n") - 1) - F.col("a.k")
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("a.c") + 1)
+    return a.join(b, on).select(*[F.col(f"a.{k}").alias(n) for n, k in zip(keys, gk)], name.alias("column"),
+                                F.col("a.p").alias("p"), (F.col("a.a") + (F.col("a.b") - F.col("a.a")) * part).alias("value"))
+
+
+def _narrowed(d: DataFrame, moved: DataFrame, gk, beside, accuracy: int, most: int) -> DataFrame:
+    """Targets whose brackets still need it are cut at a grid of the values that a sketch of their rows gives."""
+    grid = 1000
+    wide = moved.select(*gk, F.expr(
+        f"array_distinct(filter(t, x -> x.below < 0 OR (x.inside > {most} AND NOT x.f)))").alias("t"))
+    rows = beside(d, wide).select(*gk, F.expr(
+        "explode(transform(filter(t, b -> __x[b.c] >= b.lo AND __x[b.c] <= b.hi), "
+        "b -> struct(b.c, b.p, b.k, b.lo, b.hi, b.below, __x[b.c] AS v)))").alias("b")).select(*gk, "b.*")
+    per = rows.groupBy(*gk, "c", "p", "k", "lo", "hi", "below").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", [i / grid for i in range(grid + 1)], accuracy).alias("q"))
+    # a missed bracket does not know how many rows are below it: it keeps its ends for the next count
+    place = F.floor((F.col("k") - F.col("below")) / F.col("n") * grid).cast("int")
+    cut = lambda step: F.element_at("q", F.greatest(F.lit(1), F.least(F.lit(grid + 1), place + 1 + step)))
+    known = F.col("below") >= 0
+    per = per.select(*gk, "c", "p", "k", F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"),
+                     F.when(known, cut(-2)).otherwise(F.col("lo")).alias("lo"),
+                     F.when(known, cut(3)).otherwise(F.col("hi")).alias("hi"), known.alias("known"))
+    same = F.col("known") & (F.col("lo") == F.col("old_lo")) & (F.col("hi") == F.col("old_hi"))
+    new = per.groupBy(*gk).agg(F.collect_list(F.struct("c", "p", "k", "old_lo", "old_hi", "lo", "hi", same.alias("f"))).alias("u"))
+    joined = beside(moved, new) if not gk else moved.join(
+        new.select(*[F.col(g).alias(g + "_") for g in gk], "u"),
+        _same(gk), "left").drop(*[g + "_" for g in gk])
+    return joined.select(*gk, "ends", F.expr("""transform(t, x -> coalesce(
+        try_element_at(transform(filter(coalesce(u, array()), y -> y.c = x.c AND y.p = x.p AND y.k = x.k AND y.old_lo = x.lo
+                             AND y.old_hi = x.hi), y -> struct(y.c, y.p, y.k, y.lo, y.hi, y.f)), 1),
+        struct(x.c, x.p, x.k, x.lo, x.hi, x.f)))""").cast(_TARGET).alias("t"))
+
+
+def _same(gk) -> Column:
+    on = F.lit(True)
+    for g in gk:
+        on = on & F.col(g).eqNullSafe(F.col(g + "_"))
+    return on
 
 
 def _betacf(a, b, x, iters: int = 300, eps: float = 1e-15):

@@ -80,18 +80,27 @@ SELECT {_sql_digits(1)} AS li_key, l_quantity, l_discount, l_tax, l_extendedpric
 FROM (SELECT *, md5('li|' || {SQL_KEY_TEXT}) AS __d FROM lineitem)"""
 
 
+# Two-digit measures of a day: their means come from sums of whole hundredths, the same in any order.
+_HUNDREDTHS = (("discount", "discount"), ("tax", "tax"), ("extendedprice", "price"))
+
+
 def daily_demand(spark, base: str) -> DataFrame:
     li = read_table(spark, base, "lineitem")
     d = li.groupBy(F.to_date("l_shipdate").alias("date")).agg(
         F.count(F.lit(1)).alias("cnt"),
-        F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"),
-        F.avg("l_tax").alias("tax"), F.avg("l_extendedprice").alias("price"),
+        F.sum("l_quantity").alias("quantity"), *[F.sum(F.round(F.col(f"l_{c}") * 100)).alias(a) for c, a in _HUNDREDTHS],
         F.count_if(F.col("l_returnflag") == "R").alias("n_returned"))
     return d.select(
         F.year("date").alias("year"), F.month("date").alias("month"), F.dayofmonth("date").alias("day"),
         F.weekday("date").alias("weekday_ord"), F.date_format("date", "EEEE").alias("weekday"),
         F.quarter("date").alias("season"),
         F.when(F.dayofweek("date").isin(1, 7), 1.0).otherwise(0.0).alias("is_weekend"),
-        F.bround("quantity", 6).alias("quantity"), F.bround("discount", 6).alias("discount"),
-        F.bround("tax", 6).alias("tax"), F.bround("price", 2).alias("price"),
-        "date", "cnt", "n_returned")
+        (F.col("quantity") / F.col("cnt")).alias("quantity"),
+        *[(F.col(a) / (F.lit(100.0) * F.col("cnt"))).alias(a) for _, a in _HUNDREDTHS], "date", "cnt", "n_returned")
+
+
+SQL_DAILY_DEMAND = f"""
+SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS cnt, CAST(year(CAST(l_shipdate AS DATE)) AS INTEGER) AS year,
+       CAST(quarter(CAST(l_shipdate AS DATE)) AS INTEGER) AS season, sum(l_quantity) / count(*) AS quantity,
+       {', '.join(f'sum(round(l_{c} * 100)) / (100.0::DOUBLE * count(*)) AS {a}' for c, a in _HUNDREDTHS)}
+FROM lineitem GROUP BY ALL"""

@@ -30,7 +30,8 @@ from ..operators import split as S
 from ..sources.tables import read_table
 from .analysis import comparison, stored_search
 from .daily import EVENTS_SPEC, daily_table, hourly_log
-from .frames import SQL_LINE_FRAME, daily_demand, line_frame
+from . import sql_forest
+from .frames import SQL_DAILY_DEMAND, SQL_LINE_FRAME, daily_demand, line_frame
 from .q_models import OLS2, SQL_BASE
 from .q_rollup import SQL_COVERAGE, SQL_DAILY
 from .registry import register
@@ -211,17 +212,23 @@ def q_ols_winners(spark, base):
 
 # ---------------------------------------------------------------- anomalies
 
+LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 def _line_anomalies(spark, base, n_trees=100):
-    d = line_frame(spark, base)
-    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return N.detect(d, feats, "li_key", n_trees=n_trees, contamination=0.05)
+    return N.detect(line_frame(spark, base), LINE_FEATURES, "li_key", n_trees=n_trees, contamination=0.05)
 
 
-@register("isolation_forest", covers=("N1", "N2", "N3"))
+@register("isolation_forest", covers=("N1", "N2", "N3"), sql=f"""
+WITH d AS MATERIALIZED ({SQL_LINE_FRAME}),
+ {sql_forest.ctes('d', 'li_key', LINE_FEATURES, 100)},
+ {sql_forest.walk('iso', 'd', 'li_key', LINE_FEATURES, 100)},
+ o AS (SELECT quantile_cont(score, 0.05) AS off FROM iso)
+SELECT k AS li_key, round(score - off, 6) + 0.0 AS anomaly_score, score < off AS is_outlier FROM iso, o""")
 def q_isolation_forest(spark, base):
     """Every lineitem scored by a 100-tree isolation forest; 5 % flagged."""
     out, _ = _line_anomalies(spark, base)
-    return out.select("li_key", "anomaly_score", "is_outlier")
+    return out.select("li_key", F.round("anomaly_score", 6).alias("anomaly_score"), "is_outlier")
 
 
 @register("isolation_forest_invariants", covers=("N1", "N2", "N3", "P16"), sql=f"""
@@ -231,7 +238,7 @@ SELECT CAST(n AS BIGINT) AS n_rows, CAST(100 AS BIGINT) AS n_trees, CAST(0 AS BI
 def q_isolation_forest_invariants(spark, base):
     """Rows in = rows out, every root holds the sample, scores lie in [-1, 0), 5 % are flagged."""
     out, model = _line_anomalies(spark, base)
-    roots = model.nodes[model.nodes["node"] == 0]
+    roots = model.nodes[model.nodes["node"] == 1]
     return out.agg(
         F.count(F.lit(1)).alias("n_rows"), F.lit(len(roots)).cast("long").alias("n_trees"),
         F.lit(int((roots["size"] != model.sample_size).sum())).cast("long").alias("n_bad_roots"),
@@ -239,24 +246,56 @@ def q_isolation_forest_invariants(spark, base):
         .alias("n_scores_outside"), (F.abs(share_percent("is_outlier") - 5.0) < 0.5).alias("share_is_five_percent"))
 
 
-@register("anomaly_causes", covers=("N4", "K4", "A16", "U3"))
+def _sql_causes() -> str:
+    """The daily anomalies and, feature by feature, what their score gains at the feature's median (``k``: ranked)."""
+    fs = ANOMALY_FEATURES
+    copies = " UNION ALL ".join(
+        f"SELECT CAST(date AS VARCHAR) || '|{i}' AS ak, date, s, {i} AS fi, '{f}' AS f, {f} AS val, med_{f} AS med, "
+        + ", ".join(f"med_{g} AS a_{g}" if g == f else f"CAST({g} AS DOUBLE) AS a_{g}" for g in fs) + " FROM a, med"
+        for i, f in enumerate(fs))
+    return f"""
+WITH d AS MATERIALIZED ({SQL_DAILY_DEMAND}),
+ {sql_forest.ctes('d', 'date', fs, 300)},
+ {sql_forest.walk('iso', 'd', 'date', fs, 300)},
+ o AS (SELECT quantile_cont(score, 0.05) AS off FROM iso),
+ med AS (SELECT {', '.join(f'quantile_cont(CAST({f} AS DOUBLE), 0.5) AS med_{f}' for f in fs)} FROM d),
+ a AS MATERIALIZED (SELECT d.*, score - off AS s FROM d JOIN iso ON iso.k = d.date, o WHERE score < off),
+ copies AS MATERIALIZED ({copies}),
+ {sql_forest.walk('abl', 'copies', 'ak', [f'a_{f}' for f in fs], 300)},
+ r AS (SELECT copies.*, abl.score - off - s AS delta FROM copies JOIN abl ON abl.k = copies.ak, o),
+ k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY delta DESC, fi) AS rk FROM r)"""
+
+
+_SQL_CAUSE_ROWS = f"""SELECT date, round(max(s), 6) + 0.0 AS anomaly_score, max(f) FILTER (rk = 1) AS cause, max(f) FILTER (rk = 2) AS second_cause,
+       round(max(val) FILTER (rk = 1), 6) AS cause_value, round(max(med) FILTER (rk = 1), 6) AS cause_median,
+       {', '.join(f"round(max(delta) FILTER (f = '{f}'), 6) + 0.0 AS recover_{f}" for f in ANOMALY_FEATURES)}
+FROM k GROUP BY date"""
+
+
+def _causes(spark, base):
+    out, model = N.detect(daily_demand(spark, base), ANOMALY_FEATURES, "date", n_trees=300, contamination=0.05)
+    rows = N.attribute_causes(out, model, "date")
+    return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+@register("anomaly_causes", covers=("N4", "K4", "A16", "U3"), sql=_sql_causes() + _SQL_CAUSE_ROWS)
 def q_anomaly_causes(spark, base):
     """Daily demand: anomalies and the feature whose median restores them most."""
-    out, model = N.detect(daily_demand(spark, base), ANOMALY_FEATURES, "date", n_trees=300, contamination=0.05)
-    return N.attribute_causes(out, model, "date")
+    return _causes(spark, base)
 
 
-@register("anomaly_cause_counts", covers=("N5",))
+@register("anomaly_cause_counts", covers=("N5",), sql=_sql_causes()
+          + "SELECT f AS cause, count(*) AS n_outliers FROM k WHERE rk = 1 GROUP BY f")
 def q_anomaly_cause_counts(spark, base):
-    return N.cause_distribution(q_anomaly_causes(spark, base))
+    return N.cause_distribution(_causes(spark, base))
 
 
-@register("anomaly_report", covers=("N4", "P13", "K1"))
+@register("anomaly_report", covers=("N4", "P13", "K1"), sql=f"""{_sql_causes()}
+SELECT c.*, d.cnt, CASE d.season {' '.join(f"WHEN {c} THEN '{n}'" for c, n in SEASONS.items())} ELSE CAST(d.season AS VARCHAR) END AS season
+FROM ({_SQL_CAUSE_ROWS}) c JOIN d ON d.date = c.date""")
 def q_anomaly_report(spark, base):
     """Anomalous days by score with cause, count and the season's label (codes without one show as they are)."""
-    d = daily_demand(spark, base)
-    out, model = N.detect(d, ANOMALY_FEATURES, "date", n_trees=300, contamination=0.05)
-    rows = N.attribute_causes(out, model, "date").join(d.select("date", "cnt", "season"), "date")
+    rows = _causes(spark, base).join(daily_demand(spark, base).select("date", "cnt", "season"), "date")
     return rows.withColumn("season", label_of("season", SEASONS)).orderBy("anomaly_score")
 
 
@@ -315,11 +354,17 @@ def q_cause_counts(spark, base):
     return N.cause_distribution(N.attribute_causes(out, model, "li_key", scorer=scorer))
 
 
-@register("anomalies_by_period", covers=("N6",))
+@register("anomalies_by_period", covers=("N6",), sql=f"""
+WITH d AS MATERIALIZED ({SQL_DAILY_DEMAND}),
+ {sql_forest.ctes('d', 'date', ANOMALY_FEATURES, 100, 'year')},
+ {sql_forest.walk('iso', 'd', 'date', ANOMALY_FEATURES, 100, 'year')},
+ o AS (SELECT period, quantile_cont(score, 0.05) AS off FROM iso GROUP BY period)
+SELECT iso.period AS year, k AS date, round(score - off, 6) + 0.0 AS anomaly_score, score < off AS is_outlier
+FROM iso JOIN o ON o.period = iso.period""")
 def q_anomalies_by_period(spark, base):
     """Each year's days scored against that year's own distribution."""
     out = N.detect_by_period(daily_demand(spark, base), "year", ANOMALY_FEATURES, "date", n_trees=100, contamination=0.05)
-    return out.select("year", "date", "anomaly_score", "is_outlier")
+    return out.select("year", "date", F.round("anomaly_score", 6).alias("anomaly_score"), "is_outlier")
 
 
 @register("anomaly_error_overlap", covers=("N7", "J4", "P8", "P17", "M25"))

@@ -11,17 +11,16 @@ from diurna.operators import models as M
 
 
 def _naive_path(model, x):
-    arrays = model.arrays()
-    feat, thr, left, right, leaf_len = arrays
+    feat, thr, leaf_len = model.arrays()
     out = []
     for row in x:
-        tot = 0.0
+        tot = 0
         for t in range(feat.shape[0]):
-            node = 0
+            node = 1
             while feat[t, node] >= 0:
-                node = left[t, node] if row[feat[t, node]] < thr[t, node] else right[t, node]
-            tot += leaf_len[t, node]
-        out.append(tot / feat.shape[0])
+                node = 2 * node + (row[feat[t, node]] >= thr[t, node])
+            tot += int(leaf_len[t, node])
+        out.append(tot / feat.shape[0] / 1e9)
     return np.array(out)
 
 
