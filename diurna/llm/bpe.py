@@ -2,8 +2,8 @@
 
 Texts are split into words at white space (which the tokenizer drops between its
 pre-tokens) and before punctuation after a letter (where it always begins a pre-token).
-Each distinct word of the corpus is encoded once, its ids are joined back by position,
-and the ids are decoded through the id-to-piece table of the vocabulary.
+Each distinct word of the corpus is encoded once and its ids are joined back by position
+(``ids``). ``decode`` turns ids of any origin into text through the id-to-piece table of the vocabulary.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated
 rows are encoded each; texts of any length are encoded whole; an empty table gives an
@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import wordtable
+from .common import with_fields, without
 from .wordtable import gathered
 
 # Unicode white space, which the tokenizer's own patterns call \s.
@@ -71,13 +73,13 @@ def encoder(definition: str):
     return ask
 
 
-def pieces(definition: str) -> list[bytes]:
+def pieces(definition: str) -> list[str]:
     """The id-to-piece table; unused ids hold nothing."""
     tok = load(definition)
     vocabulary = tok.get_vocab(with_added_tokens=True)
-    table = [b""] * (max(vocabulary.values()) + 1)
+    table = [""] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
-        table[i] = piece.encode()
+        table[i] = piece
     return table
 
 
@@ -103,26 +105,59 @@ def ids(docs: DataFrame, definition: str, keep: list[str]) -> DataFrame:
     return wordtable.rejoin(rows, answers, keep, "ids array<int>", assemble)
 
 
-def round_trip(docs: DataFrame, definition: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256.
+def decode(coded: DataFrame, definition: str, keep: list[str], column: str = "ids", name: str = "decoded") -> DataFrame:
+    """Columns ``keep`` and the text of the ids in ``column``: the ids are joined with the id-to-piece table, whose
+    size is the vocabulary's, and each row's pieces put together. Ids that the vocabulary lacks, and null, give nothing.
 
     The vocabulary has no decoder of its own, so the library joins pieces by a space.
     """
     if load(definition).decoder is not None:
         raise ValueError("this tokenizer has a decoder of its own; pieces alone don't give its text")
-    rows, answers = encode(docs, definition, keep)
-    table = docs.sparkSession.sparkContext.broadcast(pieces(definition))
-
-    def assemble(payloads, starts, sizes, flat):
-        piece = table.value
-        # each word's decoded pieces, joined once per chunk
-        listed = flat.tolist()
-        word = [b" ".join([piece[i] for i in listed[a:a + n]]) for a, n in zip(starts.tolist(), sizes.tolist())]
-        count, hashed, text = [], [], []
-        for p, got in zip(payloads, _joined(payloads, starts, sizes, flat)):
-            count.append(len(got))
-            hashed.append(hashlib.sha256(got.astype("<u4").tobytes()).hexdigest())
-            text.append(hashlib.sha256(b" ".join([word[i] for i in p[sizes[p] > 0].tolist()])).hexdigest())
-        return [np.array(count, np.int64), pa.array(hashed, pa.string()), pa.array(text, pa.string())]
-    return wordtable.rejoin(rows, answers, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-                            assemble)
+    keep = without(keep, f"`{name}` string")
+    schema = with_fields(coded, keep, f"`{name}` string")
+    shared = coded.sparkSession.sparkContext.broadcast(pieces(definition))
+
+    def run(batches):
+        table = pa.array(shared.value, pa.string())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(batch.schema.get_field_index(column))
+            flat, size = pc.list_flatten(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+            word = table.take(pc.if_else(pc.fill_null(known, False), flat, None))
+            ends = np.cumsum(size)
+            if word.null_count:
+                have = np.concatenate([[0], np.cumsum(pc.is_valid(word).to_numpy(zero_copy_only=False))])
+                word, ends = word.drop_null(), have[ends]
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), word), " ")
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, text], names=schema.fieldNames())
+    return coded.select(*dict.fromkeys([*keep, column])).mapInArrow(run, schema)
+
+
+def digests(coded: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 from the columns ids and decoded."""
+    new = "n_tokens bigint, ids_sha256 string"
+    keep = without(keep, new + ", decoded_sha256 string")
+    schema = with_fields(coded, [*keep, "decoded"], new)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            flat, size = pc.list_flatten(lists).to_numpy().astype("<u4"), pc.list_value_length(lists).to_numpy()
+            ends = np.cumsum(size)
+            hashed = [hashlib.sha256(flat[e - n:e].tobytes()).hexdigest() for e, n in zip(ends, size)]
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in [*keep, "decoded"]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(size.astype(np.int64)), pa.array(hashed, pa.string())],
+                                             names=schema.fieldNames())
+    made = coded.select(*dict.fromkeys([*keep, "decoded", "ids"])).mapInArrow(run, schema)
+    return made.select(*keep, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def round_trip(docs: DataFrame, definition: str, keep: list[str], with_ids: bool = False) -> DataFrame:
+    """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256, and with ``with_ids`` the ids themselves: every
+    text is encoded, and its ids are decoded again."""
+    keep = without(keep, "ids array<int>, decoded string")
+    coded = decode(ids(docs, definition, keep), definition, [*keep, "ids"])
+    return digests(coded, [*keep, "ids"] if with_ids else keep)

@@ -33,41 +33,51 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, the value computed once however often the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _merge(turns: Column) -> Column:
-    """Adjacent turns of one role become one block of (role, texts)."""
-    def step(acc, t):
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (last["role"] == t["role"])
-        grown = F.array(F.struct(last["role"].alias("role"),
-                                 F.concat(last["texts"], F.array(t["text"])).alias("texts")))
-        fresh = F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, fresh))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    return F.aggregate(turns, empty, step)
-
-
-def _render(blocks: Column) -> Column:
-    return F.array_join(F.transform(blocks, lambda b: F.concat(
-        F.lit(TURN), b["role"], F.lit(TEXT), F.array_join(b["texts"], MORE), F.lit(END))), "")
-
-
-def _spans(blocks: Column, roles: list[str]) -> Column:
-    """Spans of the texts of ``roles``, by a running position over the blocks."""
-    def within(acc, text):
-        n = F.length(text)
-        return F.struct((acc["pos"] + n + len(MORE)).alias("pos"),
-                        F.concat(acc["spans"], F.array(F.struct(acc["pos"].alias("start"), n.alias("length")))
-                                 ).alias("spans"))
-
-    def step(acc, b):
-        first = acc["pos"] + len(TURN) + F.length(b["role"]) + len(TEXT)
-        inner = F.aggregate(b["texts"], F.struct(first.alias("pos"), acc["spans"].alias("spans")), within)
-        pos = inner["pos"] - len(MORE) + len(END)
-        return F.struct(pos.alias("pos"), F.when(b["role"].isin(roles), inner["spans"])
-                        .otherwise(acc["spans"]).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("spans"))
-    return F.aggregate(blocks, start, step, lambda acc: acc["spans"])
+    """Turns as pieces (head, text, role) of the formatted text: adjacent turns of one role share a block, so only the
+    first of them opens it and closes the one before. Each turn is compared with the one before it."""
+    def piece(turns):
+        def one(t, i):
+            same = (i > 0) & F.coalesce(F.get(turns, i - 1)["role"] == t["role"], F.lit(False))
+            opened = F.concat(F.when(i > 0, F.lit(END)).otherwise(""), F.lit(TURN), t["role"], F.lit(TEXT))
+            return F.struct(F.when(same, F.lit(MORE)).otherwise(opened).alias("head"), t["text"].alias("text"),
+                            t["role"].alias("role"))
+        return F.transform(turns, one)
+    return _let(turns, piece)
+
+
+def _render(pieces: Column) -> Column:
+    return F.concat(F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["text"])), ""), F.lit(END))
+
+
+def _spans(pieces: Column, roles: list[str]) -> Column:
+    """Spans of the texts of ``roles``. Positions are running sums over stretches of root-n pieces, then over the
+    stretches, so that no array of the whole conversation is copied at every turn."""
+    size = lambda p: F.length(p["head"]) + F.length(p["text"])
+
+    def step(acc, p):
+        own = F.struct((acc["pos"] + F.length(p["head"])).alias("start"), F.length(p["text"]).alias("length"))
+        return F.struct((acc["pos"] + size(p)).alias("pos"), F.when(
+            p["role"].isin(roles), F.concat(acc["spans"], F.array(own))).otherwise(acc["spans"]).alias("spans"))
+
+    def inside(stretches):
+        total = F.transform(stretches, lambda s: F.aggregate(s, F.lit(0), lambda a, p: a + size(p)))
+        before = F.aggregate(total, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
+                             lambda a, n: F.struct((a["pos"] + n).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")),
+                             lambda a: a["out"])
+        return F.flatten(_let(before, lambda at: F.transform(stretches, lambda s, i: F.aggregate(
+            s, F.struct(F.get(at, i).alias("pos"), F.array().cast(_SPANS).alias("spans")), step, lambda a: a["spans"]))))
+
+    def stretched(pieces):
+        k = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        return _let(F.transform(F.sequence(F.lit(0), F.ceil(F.size(pieces) / k).cast("int") - 1),
+                                lambda c: F.slice(pieces, c * k + 1, k)), inside)
+    return _let(pieces, stretched)
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -77,10 +87,9 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
         F.col(turn).alias("turn"), escape(F.coalesce(role, F.lit(""))).alias("role"),
         escape(F.coalesce(text, F.lit(""))).alias("text")).alias("t"))
     turns = rows.groupBy("c").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    blocks = turns.select("c", _merge(F.col("turns")).alias("blocks"))
     learn = [r.replace("&", "&amp;").replace("<", "&lt;") for r in loss_roles]
-    return blocks.select(F.col("c").alias(conv), _render(F.col("blocks")).alias("formatted"),
-                         _spans(F.col("blocks"), learn).alias("loss_spans"))
+    both = _let(_merge(F.col("turns")), lambda p: F.struct(_render(p).alias("formatted"), _spans(p, learn).alias("loss_spans")))
+    return turns.select(F.col("c").alias(conv), both.alias("b")).select(conv, "b.formatted", "b.loss_spans")
 
 
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -88,11 +97,12 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     blocks = F.filter(F.split("formatted", r"<\|end\|>"), lambda b: b != "")
 
     def parse(b):
-        role = F.split(F.substring(b, len(TURN) + 1, 1 << 30), r"<\|text\|>", -1)
-        return F.transform(F.split(role[1], r"<\|more\|>", -1),
-                           lambda t: F.struct(unescape(role[0]).alias("role"), unescape(t).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: F.substr(
-        F.col("formatted"), s["start"] + 1, s["length"])), "")
+        two = F.split(F.substring(b, len(TURN) + 1, 1 << 30), r"<\|text\|>", -1)
+        return _let(two, lambda two: F.transform(F.split(two[1], r"<\|more\|>", -1), lambda t: F.struct(
+            unescape(two[0]).alias("role"), unescape(t).alias("text"))))
+    # four bytes a code point, so that a span is cut out without counting through the text before it
+    loss = _let(F.encode("formatted", "UTF-32"), lambda whole: F.array_join(F.transform("loss_spans", lambda s: F.decode(
+        F.substr(whole, s["start"] * 4 + 1, s["length"] * 4), "UTF-32")), ""))
     return formatted.select(conv, F.flatten(F.transform(blocks, parse)).alias("turns"),
                             unescape(loss).alias("loss_text"), "formatted")
 

@@ -53,9 +53,12 @@ def fit_ftrl(vectors: list, labels: np.ndarray, size: int, cfg: Ftrl) -> np.ndar
 
 
 def sample_vectors(docs: DataFrame, labels: DataFrame, targets: list[str], features: Callable, max_rows: int,
-                   salt: int, extra: list[str] = ()) -> DataFrame:
+                   salt: int, extra: list[str] = (), most_parts: int = 1) -> DataFrame:
     """Vectors of at most ``max_rows`` labelled documents, first in hash order of the id.
 
+    ``features(texts)`` gives (owner, part, pointers, slots, values): one vector for each part of a document,
+    at most ``most_parts`` of them.
+
     Labels of other documents don't count towards the bound. The label rows are cut before
     the join, so the broadcast side is bounded by ``max_rows``; the result is cut again
     because ids may repeat in ``docs``.
@@ -68,20 +71,20 @@ def sample_vectors(docs: DataFrame, labels: DataFrame, targets: list[str], featu
     known = known.select("doc_id", *targets).orderBy(*order, *targets).limit(max_rows)
     joined = docs.select("doc_id", "text", *extra).join(F.broadcast(known), "doc_id")
     keep = ["doc_id", *targets, *extra]
-    schema = with_fields(joined, keep, "idx binary, val binary")
+    schema = with_fields(joined, keep, "part int, idx binary, val binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in text_slices(batch):
-                ptr, idx, val = features(text)
+                owner, number, ptr, idx, val = features(text)
                 cut = [(idx[a:b].astype("<i4").tobytes(), val[a:b].astype("<f4").tobytes())
                        for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
-                cols = [part.column(part.schema.get_field_index(c)) for c in keep]
+                cols = [part.column(part.schema.get_field_index(c)).take(pa.array(owner)) for c in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())],
-                    names=[*keep, "idx", "val"])
+                    [*cols, pa.array(np.asarray(number, np.int32)), pa.array([c[0] for c in cut], pa.binary()),
+                     pa.array([c[1] for c in cut], pa.binary())], names=[*keep, "part", "idx", "val"])
     made = joined.mapInArrow(run, schema)
-    return made.orderBy(*order, *targets, "idx").limit(max_rows)
+    return made.orderBy(*order, *targets, "part", "idx").limit(max_rows * most_parts)
 
 
 def unpack(table: pa.Table) -> list:
@@ -100,7 +103,15 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], np.ndarray], shape:
     return np.frombuffer(rows[0].w, "<f4").reshape(shape) if rows else np.zeros(shape, "<f4")
 
 
-def score_texts(docs: DataFrame, keep: list[str], schema: str, score: Callable) -> DataFrame:
+def whole(vectors: Callable) -> Callable:
+    """Features for ``sample_vectors`` from a function that gives one vector for each text."""
+    def features(text):
+        n = np.arange(len(text))
+        return n, np.zeros(len(text), np.int32), *vectors(text)
+    return features
+
+
+def score_texts(docs: DataFrame, keep: list[str], schema: str, score: Callable, max_bytes: int = 4_000_000) -> DataFrame:
     """``score(texts) -> list of numpy columns`` over all rows, beside the columns ``keep``."""
     keep = without(keep, schema)
     full = with_fields(docs, keep, schema)
@@ -108,7 +119,7 @@ def score_texts(docs: DataFrame, keep: list[str], schema: str, score: Callable)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in text_slices(batch):
+            for part, text in text_slices(batch, max_bytes=max_bytes):
                 cols = [part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x) for x in score(text))], names=names)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, full)

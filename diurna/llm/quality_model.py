@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityModelConfig = Quality
         target: str = "quality") -> np.ndarray:
     """Weights from at most ``max_rows`` labelled documents that are not held out."""
     sample = linear.sample_vectors(docs, labels.where(~held_out()), [target],
-                                   lambda text: vectors(text, config), config.max_rows, salt=10)
+                                   linear.whole(lambda text: vectors(text, config)), config.max_rows, salt=10)
 
     def train(t: pa.Table) -> np.ndarray:
         return fit_ftrl(unpack(t), np.asarray(t.column(target).to_pylist(), float),

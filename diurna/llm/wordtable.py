@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from diurna.session import checkpoint_dir
 
-from .common import text_slices, with_fields, without
+from .common import release, text_slices, with_fields, without
 
 CHUNK_BYTES = 16_000_000
 BUCKETS_PER_PARTITION = 8
@@ -139,6 +139,7 @@ def split_docs(docs: DataFrame, keep: list[str], split: Callable, payload: Calla
                 if held and size + text.nbytes > CHUNK_BYTES:
                     yield flush()
                     held, size, number = [], 0, number + 1
+                    release()
                 held.append((part.select([*keep]) if keep else part, text))
                 size += text.nbytes
         if held:
