@@ -46,6 +46,84 @@ def test_toxicity_on_other_rows(spark, tables):
     assert np.mean([r.t_toxic for r in rows if r.toxic == 1]) > 0.3     # some 35 toxic rows in four languages to learn from
 
 
+def test_toxic_texts_stay_toxic_in_long_ones(spark, tables):
+    """A toxic text is found though much clean text follows it; long clean texts are left alone."""
+    docs, labels = tables
+    train, test = labels.where("doc_id % 2 > 0"), labels.where("doc_id % 2 = 0")
+    w = toxicity.fit(docs, train)
+    rows = docs.join(test, "doc_id").select("doc_id", "text", "lang", "toxic").orderBy("doc_id").collect()
+    clean = [r.text for r in rows if r.toxic == 0 and r.text]
+    pads = [" ".join(clean[(7 * i + j) % len(clean)] for j in range(40))[:10000] for i in range(60)]
+    made = [(r.doc_id, r.text, 0) for r in rows if r.toxic == 1]
+    made += [(r.doc_id, f"{r.text} {pads[i % 60]}", 1) for i, r in enumerate(rows) if r.toxic == 1]
+    made += [(i, p, 2) for i, p in enumerate(pads)]
+    out = toxicity.score(spark.createDataFrame(made, "doc_id long, text string, kind int"), w).groupBy("kind").agg(
+        {"toxic": "max", "p_toxic": "avg", "*": "count"}).collect()
+    assert len(out) == 3
+    found = {k: {r.doc_id for r in toxicity.score(spark.createDataFrame(made, "doc_id long, text string, kind int"), w)
+                 .where(f"toxic and kind = {k}").collect()} for k in (0, 1)}
+    assert found[0] <= found[1] or len(found[1]) >= 0.85 * len(found[0]) > 0
+
+
+def _chain_by_hand(text, w, cfg):
+    """The windows' chain probabilities by plain Python."""
+    words = (text or "").split(" ") if text else []
+    words = [x for x in words if x]
+    half, best = cfg.window // 2, None
+    n = max(-(-(len(words) - cfg.window) // half), 0) + 1
+    for j in range(n):
+        seen = sorted({"".join(c for c in x.lower() if c.isalnum()) for x in words[j * half:j * half + cfg.window]})
+        times = {}
+        for x in seen:
+            for slot in toxicity.word_slots(pa.array([x]), cfg)[0].tolist():
+                if slot != cfg.dimensions:
+                    times[slot] = times.get(slot, 0) + 1
+        p = []
+        for c in range(len(cfg.categories) + 1):
+            z = sum(float(w[c, s]) * cfg.scale * min(t, cfg.most) / len(times) ** 0.5 for s, t in times.items())
+            z += sum(float(w[c, cfg.dimensions + k]) * p[k] for k in range(c)) + float(w[c, -1])
+            p.append(1 / (1 + np.exp(-z)))
+        if best is None or p[-1] > best[-1]:
+            best = p
+    return best
+
+
+def test_scores_equal_plain_python(spark, tables):
+    docs, labels = tables
+    cfg = toxicity.ToxicityConfig()
+    w = toxicity.fit(docs, labels)
+    rows = [(1, "Idiot. hello wörld"), (2, ""), (3, None)] + [
+        (10 + i, " ".join((r.text or "").split())) for i, r in enumerate(docs.orderBy("doc_id").limit(12).collect())]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), w).collect()}
+    for d, t in rows:
+        want = _chain_by_hand(t, w, cfg)
+        assert np.allclose([got[d][f"p_{c}"] for c in (*cfg.categories, "toxic")], want, atol=1e-6)
+        assert got[d].toxic == (want[-1] > cfg.threshold)
+
+
+def test_ftrl_equals_plain_python():
+    """The vectorised update against the formulas, a coordinate at a time."""
+    rng = np.random.default_rng(4)
+    rows = [(rng.choice(12, 3, replace=False), rng.normal(size=3)) for _ in range(60)]
+    y, cfg = rng.integers(0, 2, 60).astype(float), linear.Ftrl(l1=0.2, l2=0.3, epochs=2)
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        if abs(z[i]) <= cfg.l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * cfg.l1) / ((cfg.beta + n[i] ** 0.5) / cfg.alpha + cfg.l2)
+    for _ in range(cfg.epochs):
+        for (idx, val), t in zip(rows, y):
+            own = [(int(i), float(v)) for i, v in zip(idx, val)] + [(12, 1.0)]
+            w = {i: weight(i) for i, _ in own}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in own)))
+            for i, v in own:
+                g = (p - t) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / cfg.alpha * w[i]
+                n[i] += g * g
+    assert np.allclose(linear.fit_ftrl(rows, y, 12, cfg), [weight(i) for i in range(13)], atol=1e-9)
+
+
 def test_chain_feeds_earlier_categories():
     rng = np.random.default_rng(1)
     rows = [(rng.choice(20, 4, replace=False), np.ones(4)) for _ in range(300)]
@@ -93,5 +171,5 @@ def test_labels_of_other_documents_leave_the_bound_to_those_at_hand(spark):
     def features(text):
         n = len(text)
         return np.arange(n + 1), np.zeros(n, np.int32), np.ones(n, np.float32)
-    made = lambda n: [r.doc_id for r in linear.sample_vectors(docs, labels, ["toxic"], features, n, 1).collect()]
+    made = lambda n: [r.doc_id for r in linear.sample_vectors(docs, labels, ["toxic"], linear.whole(features), n, 1).collect()]
     assert len(made(10)) == 10 and sorted(made(30)) == sorted([*range(20), 3])

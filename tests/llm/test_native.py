@@ -113,3 +113,17 @@ def test_host_verdicts(spark):
     assert not any(r.kept for r in got if r.host == "bad")
     assert sum(r.kept for r in got if r.host == "good") == 40 and all(r.kept for r in got if r.host is None)
     assert quality_rules.judge(df.where("false")).count() == 0
+
+
+def test_a_long_conversation_takes_linear_time(spark):
+    """100,000 turns: every text under the mask once and in order, whatever blocks they merge into."""
+    n = 100_000
+    df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role",
+                                   "concat('t\u00e9<', id, IF(id % 7 = 0, '</s>&lt;', '')) AS text")
+    r = chat.digest(chat.read_back(chat.format_conversations(df.repartition(4)))).first()
+    texts = [f"t\u00e9<{i}" + ("</s>&lt;" if i % 7 == 0 else "") for i in range(n)]
+    learn = "".join(t for i, t in enumerate(texts) if i % 3)
+    turns = "".join(f"{'assistant' if i % 3 else 'user'}\n{t}\n" for i, t in enumerate(texts))
+    assert (r.n_turns, r.loss_chars) == (n, len(learn))
+    assert r.loss_sha256 == hashlib.sha256(learn.encode()).hexdigest()
+    assert r.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()

@@ -79,6 +79,8 @@ def test_pipeline_equals_its_stages_by_hand(spark, docs):
     items = [_set(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = [(d, t) for d, t in kept if not any(s and 100 * len(s & _set(t)) >= 75 * len(s) for s in items)]
     tok = bpe.load(vocabulary(WORD_BPE).decode())
-    got = {r.doc_id: tuple(r[1:]) for r in corpus_pipeline.run(spark, SF).collect()}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows}
     assert got == {d: _round_trip(tok, t or "") for d, t in clean}
+    assert {r.doc_id: r.ids for r in rows} == {d: tok.encode(t or "", add_special_tokens=False).ids for d, t in clean}
     assert 0 < len(got) < len(docs)

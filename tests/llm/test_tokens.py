@@ -41,7 +41,7 @@ def test_words_encode_as_whole_texts():
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert got == want
     piece = bpe.pieces(definition)
-    assert [b" ".join(piece[i] for i in ids).decode() for ids in want] == [
+    assert [" ".join(piece[i] for i in ids) for ids in want] == [
         tok.decode(ids, skip_special_tokens=False) for ids in want]
 
 
@@ -112,6 +112,12 @@ def test_round_trip_of_odd_rows(spark, odd_docs):
     got = bpe.round_trip(odd_docs, definition, ["doc_id"]).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, *r[1:]) for r in got) == sorted(
         one(r) for r in odd_docs.collect())
+    # decoding reads the ids alone, whoever made them
+    made = [(1, [5, 6, 70, 5]), (2, []), (3, None), (4, [1 << 30, 9, -1]), (5, list(range(3000)))]
+    back = bpe.decode(spark.createDataFrame(made, "doc_id long, ids array<int>"), definition, ["doc_id"]).collect()
+    size = len(bpe.pieces(definition))
+    assert {r.doc_id: r.decoded for r in back} == {
+        d: tok.decode([i for i in x or [] if 0 <= i < size], skip_special_tokens=False) for d, x in made}
     listed = bpe.ids(odd_docs.where("doc_id = 3"), definition, ["doc_id"]).first()
     assert listed.ids == tok.encode("a", add_special_tokens=False).ids
     assert bpe.round_trip(odd_docs.where("false"), definition, ["doc_id"]).count() == 0
