@@ -42,8 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document, with digests of its ids and of the text they decode to."""
-    return bpe.round_trip(docs, vocabulary(WORD_BPE).decode(), ["doc_id"])
+    """Tokens of every document: their ids, with digests of these and of the text they decode to."""
+    return bpe.round_trip(docs, vocabulary(WORD_BPE).decode(), ["doc_id"], with_ids=True)
 
 
 STAGES = [("quality_classifier", quality), ("toxicity", toxic), ("jaccard_join", near_duplicates),
