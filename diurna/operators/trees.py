@@ -203,13 +203,18 @@ class Ensemble:
         return self.predict_codes(self.codes(x))
 
     def node_rows(self) -> pd.DataFrame:
-        """The split table: a row per node, thresholds as values."""
+        """The split table: a row per node with its way from the root (L, R), thresholds as values."""
         rows = []
         for i, t in enumerate(self.trees):
+            path = [""] * len(t.feature)
+            for j in np.flatnonzero(t.feature >= 0).tolist():         # parents stand before their children
+                path[t.left[j]], path[t.right[j]] = path[j] + "L", path[j] + "R"
+            walk = Walk([t])
             cut = [float(self.cuts[f][b]) if f >= 0 else None for f, b in zip(t.feature, t.bin)]
             name = [self.features[f] if f >= 0 else None for f in t.feature]
-            rows.append(pd.DataFrame({"tree": i, "node": np.arange(len(t.feature)), "feature": name, "threshold": cut,
-                                      "left": t.left, "right": t.right, "depth": t.depth, "weight": t.weight,
+            rows.append(pd.DataFrame({"tree": i, "node": np.arange(len(t.feature)), "path": path, "feature": name,
+                                      "threshold": cut, "left": t.left, "right": t.right, "depth": t.depth,
+                                      "weight": t.weight, "value": self.leaf_values(walk) * self.unit,
                                       "gain": t.gain * self.unit * self.unit}))
         return pd.concat(rows, ignore_index=True)
 
@@ -516,7 +521,7 @@ def _level(rows: DataFrame, growing: list, nodes: list, columns, many: int, unit
     best = scored.groupBy("node").agg(F.max_by(F.struct("feature", "bin", "HL", "GL", "score"),
                                                F.struct("score", -F.col("feature"), -F.col("bin"))).alias("s"))
     found = best.select("node", "s.*").toArrow().to_pydict()
-    for node, f, b, hl, gl, s in zip(*(found[c] for c in ("node", "feature", "bin", "HL", "GL", "score"))):
+    for node, f, b, hl, gl, s in sorted(zip(*(found[c] for c in ("node", "feature", "bin", "HL", "GL", "score")))):
         t, i = index[node]
         lam, alpha = t.fit.penalties(unit)
         gain = s - float(_parent(t.rows[i][6], t.rows[i][5], lam, alpha))
@@ -549,7 +554,7 @@ def _finish(rows: DataFrame, growing: list, nodes: list, columns, many: int, uni
     ddl = ", ".join(f"{f} array<{'double' if f == 'gain' else 'bigint'}>" for f in Tree.FIELDS)
     found = rows.mapInArrow(send, "node int, w int, g bigint, codes binary").groupBy("node").applyInArrow(
         subtree, f"node int, {ddl}").toArrow().to_pydict()
-    for node, *sub in zip(found["node"], *(found[f] for f in Tree.FIELDS)):
+    for node, *sub in sorted(zip(found["node"], *(found[f] for f in Tree.FIELDS))):
         t, i = index[node]
         t.graft(i, sub)
 
@@ -748,9 +753,9 @@ def predict(df: DataFrame, model: Ensemble, out: str = "prediction") -> DataFram
 
 
 def split_table(model: Ensemble, spark) -> DataFrame:
-    """Nodes as a relation: (tree, node, feature, threshold, left, right, depth, weight, gain)."""
-    return spark.createDataFrame(model.node_rows(), "tree int, node int, feature string, threshold double, left int, "
-                                 "right int, depth int, weight bigint, gain double")
+    """Nodes as a relation: where each stands, how it splits, its weight, value and gain."""
+    return spark.createDataFrame(model.node_rows(), "tree int, node int, path string, feature string, threshold double, "
+                                 "left int, right int, depth int, weight bigint, value double, gain double")
 
 
 def gain_importance(splits: DataFrame, features, kind: str) -> DataFrame:

@@ -27,6 +27,7 @@ from ..operators import models as M
 from ..operators import report as R
 from ..operators import rollup
 from ..operators import split as S
+from ..operators import trees
 from ..sources.tables import read_table
 from .analysis import comparison, stored_search
 from .daily import EVENTS_SPEC, daily_table, hourly_log
@@ -156,6 +157,38 @@ def q_boosted_importance(spark, base):
     return I.importance_table(I.impurity_importance(fm), perm)
 
 
+# Boosted trees over every line, grown level by level on Spark; its features have few values, so SQL can grow them too.
+LINE_BOOSTED = M.ModelSpec("boosted_lines", "boosted", ("l_quantity", "l_discount", "l_tax", "ship_month"),
+                           {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.5, "reg_lambda": 1.5, "reg_alpha": 1000.0,
+                            "min_child_weight": 200})
+_SQL_BOOSTED = f"""
+WITH d AS MATERIALIZED ({SQL_LINE_FRAME}), tr AS MATERIALIZED (SELECT * FROM d WHERE split = 'train'),
+ {sql_forest.boosted('tr', LINE_BOOSTED.features, 'revenue', 4, 3, 0.5, 1.5, 1000.0, 200)}"""
+
+
+def _line_splits(spark, base):
+    fm = M.fit(LINE_BOOSTED, S.part(line_frame(spark, base), "train"), "revenue")
+    return trees.split_table(fm.model, spark)
+
+
+@register("boosted_line_splits", covers=("M7", "M8", "M21"), sql=_SQL_BOOSTED + """
+SELECT tree, path, feature, round(threshold, 4) AS threshold, weight, round(value, 3) + 0.0 AS value FROM splits""")
+def q_boosted_line_splits(spark, base):
+    """Every node of boosted trees over all training lines: its split, its weight and its value."""
+    return _line_splits(spark, base).select("tree", "path", "feature", F.round("threshold", 4).alias("threshold"), "weight",
+                                            F.round("value", 3).alias("value"))
+
+
+@register("boosted_line_importance", covers=("M21",), sql=f"""{_SQL_BOOSTED},
+ g AS (SELECT feature, avg(gain) AS part FROM splits WHERE feature IS NOT NULL GROUP BY feature)
+SELECT n.feature, round(coalesce(part / (SELECT sum(part) FROM g), 0), 6) AS gain_importance
+FROM (SELECT unnest([{', '.join(f"'{c}'" for c in LINE_BOOSTED.features)}]) AS feature) n LEFT JOIN g ON g.feature = n.feature""")
+def q_boosted_line_importance(spark, base):
+    """Gain importance from the split table."""
+    imp = trees.gain_importance(_line_splits(spark, base), LINE_BOOSTED.features, "boosted")
+    return imp.select("feature", F.round("gain_importance", 6).alias("gain_importance"))
+
+
 @register("grouped_permutation_importance", covers=("M23", "F2"))
 def q_grouped_importance(spark, base):
     """One-hot OLS: all dummies of a categorical variable are shuffled together."""

@@ -1,5 +1,6 @@
-"""SQL twin of the isolation forest: sampling, growing, scoring and thresholds from the same portable hashes.
+"""SQL twins of the isolation forest (from the same portable hashes) and of boosted trees.
 
+``boosted`` grows boosted trees from whole sums over (node, feature, value), as ``operators.trees`` does.
 ``ctes`` grows a forest level by level (a level's nodes are an aggregate over the sample rows in them), and
 ``walk`` scores rows by walking the node table, a join a level.
 """
@@ -69,3 +70,50 @@ def walk(name: str, rows: str, key: str, features, n_trees: int, period: str = "
    FROM {name}_{deepest} w JOIN nodes n ON n.period = w.period AND n.tree = w.tree AND n.node = w.node
    JOIN psi p ON p.period = w.period GROUP BY w.period, w.k)""")
     return ",".join(out)
+
+
+def boosted(rows: str, features, target: str, rounds: int, depth: int, rate: float, lam: float, alpha: float,
+            child: int) -> str:
+    """CTEs ending in ``splits`` (tree, path, f, threshold, weight, value, gain): a row per node. Features need few values."""
+    k = len(features)
+    shrunk = lambda g: f"(sign({g}) * greatest(abs({g}) - a, 0.0::DOUBLE))"
+    cells = " UNION ALL ".join(f"SELECT path, {i} AS f, x{i} AS v, g FROM {{rows}}" for i in range(k))
+    out = [f"""u AS (SELECT max(abs({target})) / {1 << 30}::DOUBLE AS unit, {alpha!r}::DOUBLE / (max(abs({target})) / {1 << 30}::DOUBLE) AS a FROM {rows}),
+ z0 AS MATERIALIZED (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS x{i}' for i, c in enumerate(features))},
+     CAST(round_even({target} / unit, 0) AS BIGINT) AS y FROM {rows}, u),
+ r0 AS MATERIALIZED (SELECT *, CAST((SELECT round_even(sum(y) / count(*), 0) FROM z0) AS BIGINT) AS p FROM z0)"""]
+    found = []
+    for t in range(rounds):
+        out.append(f"\n t{t}_0 AS MATERIALIZED (SELECT *, y - p AS g, '' AS path, TRUE AS live FROM r{t})")
+        for d in range(depth):
+            here = f"t{t}_{d}"
+            out.append(f"""
+ b{t}_{d} AS MATERIALIZED (
+   SELECT c.path, f, (v + nv) / 2 AS cut, score - s * s / (HT + {lam!r}::DOUBLE) AS gain
+   FROM (SELECT *, {shrunk('GL::DOUBLE')} * {shrunk('GL::DOUBLE')} / (HL + {lam!r}::DOUBLE)
+           + {shrunk('(GT - GL)::DOUBLE')} * {shrunk('(GT - GL)::DOUBLE')} / (HT - HL + {lam!r}::DOUBLE) AS score, {shrunk('GT::DOUBLE')} AS s
+         FROM (SELECT *, sum(hw) OVER w AS HL, sum(gw) OVER w AS GL,
+                      sum(hw) OVER (PARTITION BY path, f) AS HT, sum(gw) OVER (PARTITION BY path, f) AS GT
+               FROM (SELECT path, f, v, count(*) AS hw, sum(g) AS gw FROM ({cells.format(rows=here + ' WHERE live')}) GROUP BY path, f, v)
+               WINDOW w AS (PARTITION BY path, f ORDER BY v ROWS UNBOUNDED PRECEDING)), u) c
+   JOIN (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS nv FROM (
+           SELECT DISTINCT f, v FROM ({' UNION ALL '.join(f'SELECT {i} AS f, x{i} AS v FROM z0' for i in range(k))}))) e USING (f, v)
+   WHERE HL >= {child} AND HT - HL >= {child}
+   QUALIFY row_number() OVER (PARTITION BY c.path ORDER BY score DESC, f, v) = 1),
+ t{t}_{d + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (path, live), CASE WHEN b.f IS NULL THEN r.path
+     WHEN [{', '.join(f'x{i}' for i in range(k))}][b.f + 1] <= b.cut THEN r.path || 'L' ELSE r.path || 'R' END AS path, b.f IS NOT NULL AS live
+   FROM {here} r LEFT JOIN b{t}_{d} b ON r.live AND r.path = b.path AND b.gain > 0)""")
+            found.append(f"SELECT {t} AS tree, t.path, b.f, b.cut, b.gain, t.n, t.g FROM (SELECT path, count(*) AS n, sum(g) AS g "
+                         f"FROM {here} WHERE live GROUP BY path) t LEFT JOIN b{t}_{d} b ON b.path = t.path AND b.gain > 0")
+        last = f"t{t}_{depth}"
+        found.append(f"SELECT {t}, path, NULL, NULL, NULL, count(*), sum(g) FROM {last} WHERE live GROUP BY path")
+        value = f"round_even({rate!r}::DOUBLE * ({shrunk('g::DOUBLE')} / (n + {lam!r}::DOUBLE)), 0)"
+        out.append(f"""
+ r{t + 1} AS MATERIALIZED (SELECT {', '.join(f'x{i}' for i in range(k))}, y, p + CAST(v AS BIGINT) AS p FROM {last} JOIN (
+     SELECT path, {value} AS v FROM (SELECT path, count(*) AS n, sum(g) AS g FROM {last} GROUP BY path), u) USING (path))""")
+    names = "[" + ", ".join(f"'{c}'" for c in features) + "]"
+    out.append(f"""
+ splits AS MATERIALIZED (SELECT tree, path, {names}[f + 1] AS feature, cut AS threshold, CAST(n AS BIGINT) AS weight,
+     round_even({rate!r}::DOUBLE * ({shrunk('g::DOUBLE')} / (n + {lam!r}::DOUBLE)), 0) * unit AS value, coalesce(gain, 0) * unit * unit AS gain
+   FROM ({' UNION ALL '.join(found)}), u)""")
+    return ",".join(out)
