@@ -76,14 +76,18 @@ def q_model_roundtrip(spark, base):
 
 
 @register("overwrite_refused", covers=("S8",), sql="""
-SELECT TRUE AS refused, CAST(count(*) AS BIGINT) AS n_rows_left FROM region""")
+SELECT TRUE AS refused, count(*) AS n_rows_left, sum(l_orderkey * 31 + l_linenumber)::BIGINT AS checksum FROM lineitem""")
 def q_overwrite_refused(spark, base):
-    """Writing to an input's own path is refused and leaves the input as it is."""
-    path = f"{base}/region.parquet"
-    region = read_table(spark, base, "region")
+    """Writing to an input's own path is refused and leaves it as it is; the input is a copy of all lines made for this."""
+    path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+    write_table(read_table(spark, base, "lineitem").select("l_orderkey", "l_linenumber"), path,
+                source_paths=[f"{base}/lineitem.parquet"])
+    copy = spark.read.parquet(path)
     try:
-        write_table(region, path, source_paths=[path])
+        write_table(copy.where("false"), path, source_paths=[path])
         refused = False
     except ValueError:
         refused = True
-    return region.agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n_rows_left"))
+    left = spark.read.schema(copy.schema).parquet(path)
+    return left.agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n_rows_left"),
+                    F.sum(F.col("l_orderkey") * 31 + F.col("l_linenumber")).cast("long").alias("checksum"))

@@ -189,6 +189,77 @@ def q_boosted_line_importance(spark, base):
     return imp.select("feature", F.round("gain_importance", 6).alias("gain_importance"))
 
 
+def _winner(spark, base):
+    """The comparison's best model by holdout R², fitted on the whole training part, and the frame."""
+    d, specs = _specs(spark, base)
+    name = _comparison(spark, base).orderBy("rank").first()["model"]
+    spec = next(s for s in specs if s.name == name)
+    return d, spec, M.fit(spec, S.part(d, "train"), "cnt")
+
+
+@register("winner_importance", covers=("M21", "M22", "M23", "M24"))
+def q_winner_importance(spark, base):
+    """Permutation importance of the winning model by variable (dummies together), beside gain importance of trees."""
+    d, spec, fm = _winner(spark, base)
+    groups = {c: [c] for c in spec.features if not any(c.startswith(f"{g}_") for g in ONEHOT_CATS)}
+    groups |= {g: m for g in ONEHOT_CATS if (m := [c for c in spec.features if c.startswith(f"{g}_")])}
+    perm = I.permutation_importance(S.part(d, "test"), fm, "cnt", groups, "date")
+    if spec.kind == "ols":
+        return perm.orderBy(F.col("importance_mean").desc())
+    return I.importance_table(I.impurity_importance(fm), perm)
+
+
+@register("winner_worst_errors", covers=("M18", "M25", "J4", "N6", "N7"))
+def q_winner_worst_errors(spark, base):
+    """The winning model's 10 worst holdout errors, flagged when the day is an anomaly of its own year."""
+    d, spec, fm = _winner(spark, base)
+    worst = R.worst_predictions(fm.transform(S.part(d, "test")), "date", "cnt", k=10, round_prediction=True)
+    anomalies = N.detect_by_period(daily_demand(spark, base), "year", ANOMALY_FEATURES, "date").where("is_outlier")
+    return R.flag_membership(worst, anomalies, "date", "is_isoforest_outlier").orderBy("rank")
+
+
+@register("search_invariants", covers=("M15", "M16"), sql="""
+SELECT kind, CAST(60 AS BIGINT) AS n_draws, CAST(60 AS BIGINT) AS n_distinct, TRUE AS best_is_max, CAST(0 AS BIGINT) AS n_null
+FROM (VALUES ('boosted'), ('forest')) t(kind)""")
+def q_search_invariants(spark, base):
+    """60 different draws a family, each with its CV R², and the best one is the one that is refitted."""
+    rows = None
+    for kind in sorted(SPACES):
+        t = _search(spark, base, kind)
+        best = F.lit(json.dumps(_best(spark, base, kind), sort_keys=True))
+        row = t.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_draws"), F.count_distinct("params").alias("n_distinct"),
+                    (F.max(F.when(F.col("params") == best, F.col("cv_R2_mean"))) == F.max("cv_R2_mean")).alias("best_is_max"),
+                    F.count_if(F.col("cv_R2_mean").isNull() | F.col("cv_R2_std").isNull()).alias("n_null"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@register("comparison_invariants", covers=("M19", "M20"), sql="""
+SELECT CAST(6 AS BIGINT) AS n_models, CAST(0 AS BIGINT) AS n_null, TRUE AS ranked, TRUE AS gap_adds_up""")
+def q_comparison_invariants(spark, base):
+    """Six models, none without CV or holdout figures, ranked by holdout R²."""
+    t = _comparison(spark, base)
+    missing = F.lit(False)
+    for c in t.columns:
+        missing = missing | F.col(c).isNull()
+    better = F.rank().over(Window.orderBy(F.col("holdout_R2").desc(), "model"))      # six rows
+    return t.withColumn("__r", better).agg(
+        F.count(F.lit(1)).alias("n_models"), F.count_if(missing).alias("n_null"),
+        F.every(F.col("__r") == F.col("rank")).alias("ranked"),
+        F.every(F.abs(F.col("overfit_gap") - (F.col("train_R2") - F.col("holdout_R2"))) < 1e-12).alias("gap_adds_up"))
+
+
+@register("boosted_search_two_years", covers=("M15",))
+def q_boosted_search_two_years(spark, base):
+    """The search over the second analysis' lists."""
+    return _search(spark, base, "boosted", M.BOOSTED_SPACE_TWO_YEARS)
+
+
+@register("forest_search_two_years", covers=("M16",))
+def q_forest_search_two_years(spark, base):
+    return _search(spark, base, "forest", M.FOREST_SPACE_TWO_YEARS)
+
+
 @register("grouped_permutation_importance", covers=("M23", "F2"))
 def q_grouped_importance(spark, base):
     """One-hot OLS: all dummies of a categorical variable are shuffled together."""

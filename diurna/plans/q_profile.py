@@ -206,6 +206,20 @@ def q_box_stats(spark, base):
                     "whisker_low", "whisker_high", "n_fliers")
 
 
+@register("box_fliers", covers=("A21",), sql="""
+WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice / l_quantity, 0.25) AS q1,
+                  quantile_cont(l_extendedprice / l_quantity, 0.75) AS q3 FROM lineitem GROUP BY 1),
+ f AS (SELECT l_returnflag, q1 - 0.45 * (q3 - q1) AS lo, q3 + 0.45 * (q3 - q1) AS hi FROM q)
+SELECT l.l_returnflag, l_orderkey, l_linenumber, round_even(l_extendedprice / l_quantity, 6) AS unit_price
+FROM lineitem l JOIN f ON l.l_returnflag = f.l_returnflag
+WHERE NOT (l_extendedprice / l_quantity BETWEEN lo AND hi)""")
+def q_box_fliers(spark, base):
+    """The rows beyond the whiskers of unit prices by return flag (short whiskers, so that there are some)."""
+    d = _t(spark, base, "lineitem").withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity"))
+    out = profile.box_fliers(d, "l_returnflag", "unit_price", whis=0.45)
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", F.bround("unit_price", 6).alias("unit_price"))
+
+
 @register("kde_density", covers=("A22",), sql="""
 WITH s AS (SELECT l_linestatus, count(l_quantity) AS n, stddev_samp(l_quantity) AS sd,
                   min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1),
