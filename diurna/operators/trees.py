@@ -39,6 +39,7 @@ FOREST_DEFAULTS = {"n_estimators": 300, "max_depth": None, "min_samples_split":
 BOOSTED_DEFAULTS = {"n_estimators": 300, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0,
                     "colsample_bytree": 1.0, "min_child_weight": 1, "reg_alpha": 0.0, "reg_lambda": 1.0}
 MAX_BINS = 256
+RULES = 1                  # to be raised when the same fit would give other trees; part of the name of stored results
 LOCAL_ROWS = 20_000        # bound of what one task finishes, and of a frame that is broadcast
 _UNIT_BITS = 30
 _CELLS = 1_000_000         # rows x trees walked at once

@@ -56,7 +56,7 @@ def fitted_metrics(train: DataFrame, test: DataFrame, specs, target: str, fold_c
     spark = train.sparkSession
     data = hashlib.md5((_frame_digest(train) + _frame_digest(test) + target + fold_col).encode()).hexdigest()
     at = lambda s: scratch_path(spark, f"{store}-{data}/" + hashlib.md5(
-        json.dumps([s.name, s.kind, list(s.features), s.params, s.engine], sort_keys=True).encode()).hexdigest())
+        json.dumps([s.name, s.kind, list(s.features), s.params, s.engine, trees.RULES], sort_keys=True).encode()).hexdigest())
     missing = [s for s in specs if not finished(spark, at(s))]
     for spec in (s for s in missing if s.kind == "ols"):
         _, hold = E.holdout(train, test, spec, target)
@@ -94,16 +94,17 @@ def stored_search(train: DataFrame, kind: str, features, target: str, space: dic
                   fold_col: str = "fold", seed: int = 42) -> DataFrame:
     """The table of :func:`models.random_search`, kept as :func:`fitted_metrics` keeps its rows."""
     spark = train.sparkSession
-    what = json.dumps([_frame_digest(train), kind, list(features), target, space, n_draws, fold_col, seed], sort_keys=True)
+    what = json.dumps([_frame_digest(train), kind, list(features), target, space, n_draws, fold_col, seed, trees.RULES], sort_keys=True)
     path = scratch_path(spark, f"searched-{hashlib.md5(what.encode()).hexdigest()}")
     if not finished(spark, path):
         M.random_search(train, kind, features, target, space, n_draws, fold_col, seed)[0].write.mode("overwrite").parquet(path)
     return spark.read.schema("draw int, params string, cv_R2_mean double, cv_R2_std double").parquet(path)
 
 
-def comparison(train: DataFrame, test: DataFrame, specs, target: str, fold_col: str = "fold") -> DataFrame:
+def comparison(train: DataFrame, test: DataFrame, specs, target: str, fold_col: str = "fold",
+               store: str = "fitted") -> DataFrame:
     """As :func:`final_comparison`, over the stored table of fitted models."""
-    met = fitted_metrics(train, test, specs, target, fold_col)
+    met = fitted_metrics(train, test, specs, target, fold_col, store)
     cv = E.fold_summary(met.where("role = 'validation'"), keys=("model",))
     of = lambda role, m: F.max(F.when(F.col("role") == role, F.col(m)))
     hold = met.groupBy("model").agg(*[of("test", m).alias(f"holdout_{m}") for m in ("R2", "RMSE", "MAE")],

@@ -1,5 +1,7 @@
 """Rows-only operators checked against brute force on small fixtures."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -208,10 +210,12 @@ def test_gain_importance_is_the_split_table_summed(spark):
             assert (w.loc[inner.left].to_numpy() + w.loc[inner.right].to_numpy() == inner.weight.to_numpy()).all()
 
 
-def test_stored_comparison_resumes(spark, tmp_path):
+def test_stored_comparison_resumes(spark):
     """A second run reads the stored rows; a further model fits alone; other data are other tables."""
     from diurna.operators import trees as T
-    from diurna.plans.analysis import comparison, fitted_metrics
+    from diurna.plans import analysis
+    store = f"fitted-{uuid.uuid4().hex}"       # the folder may outlive a session
+    comparison = lambda *a: analysis.comparison(*a, store=store)
     df = _regression(spark, 200)
     train, test = df.where("k < 150"), df.where("k >= 150")
     specs = [M.ModelSpec("o", "ols", ("a", "b")), M.ModelSpec("f", "forest", ("a", "b", "c"), {"n_estimators": 4})]
@@ -223,7 +227,7 @@ def test_stored_comparison_resumes(spark, tmp_path):
         more = [*specs, M.ModelSpec("b", "boosted", ("a", "b", "c"), {"n_estimators": 3})]
         assert comparison(train, test, more, "y").count() == 3 and len(calls) == 1
         assert {j[0] for j in calls[0][3]} == {"boosted"}
-        assert fitted_metrics(train.where("k > 3"), test, specs, "y").count() == 2 * (4 + 2) and len(calls) == 2
+        assert analysis.fitted_metrics(train.where("k > 3"), test, specs, "y", store=store).count() == 2 * (4 + 2) and len(calls) == 2
     finally:
         T.out_of_fold = before
     r = {x.model: x for x in comparison(train, test, specs, "y").collect()}
