@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import wordtable
 from .common import with_fields, without
@@ -105,59 +104,58 @@ def ids(docs: DataFrame, definition: str, keep: list[str]) -> DataFrame:
     return wordtable.rejoin(rows, answers, keep, "ids array<int>", assemble)
 
 
-def decode(coded: DataFrame, definition: str, keep: list[str], column: str = "ids", name: str = "decoded") -> DataFrame:
-    """Columns ``keep`` and the text of the ids in ``column``: the ids are joined with the id-to-piece table, whose
-    size is the vocabulary's, and each row's pieces put together. Ids that the vocabulary lacks, and null, give nothing.
+def texts_of(flat: pa.Array, sizes: np.ndarray, table: pa.Array) -> pa.Array:
+    """The text of each run of ids: every id is joined with its piece, the pieces by a space, as the library does where a
+    vocabulary has no decoder of its own. Ids that the vocabulary lacks give nothing."""
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), False)
+    word, ends = table.take(pc.if_else(known, flat, None)), np.cumsum(sizes)
+    if word.null_count:
+        have = np.concatenate([[0], np.cumsum(pc.is_valid(word).to_numpy(zero_copy_only=False))])
+        word, ends = word.drop_null(), have[ends]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), word), " ")
+
 
-    The vocabulary has no decoder of its own, so the library joins pieces by a space.
-    """
+def _table(docs: DataFrame, definition: str):
     if load(definition).decoder is not None:
         raise ValueError("this tokenizer has a decoder of its own; pieces alone don't give its text")
+    return docs.sparkSession.sparkContext.broadcast(pieces(definition))
+
+
+def decode(coded: DataFrame, definition: str, keep: list[str], column: str = "ids", name: str = "decoded") -> DataFrame:
+    """Columns ``keep`` and the text of the ids in ``column``, through the id-to-piece table (the vocabulary's size);
+    null has no ids."""
     keep = without(keep, f"`{name}` string")
     schema = with_fields(coded, keep, f"`{name}` string")
-    shared = coded.sparkSession.sparkContext.broadcast(pieces(definition))
+    shared = _table(coded, definition)
 
     def run(batches):
         table = pa.array(shared.value, pa.string())
         for batch in batches:
-            if not batch.num_rows:
-                continue
             lists = batch.column(batch.schema.get_field_index(column))
-            flat, size = pc.list_flatten(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
-            word = table.take(pc.if_else(pc.fill_null(known, False), flat, None))
-            ends = np.cumsum(size)
-            if word.null_count:
-                have = np.concatenate([[0], np.cumsum(pc.is_valid(word).to_numpy(zero_copy_only=False))])
-                word, ends = word.drop_null(), have[ends]
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), word), " ")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, text], names=schema.fieldNames())
-    return coded.select(*dict.fromkeys([*keep, column])).mapInArrow(run, schema)
-
-
-def digests(coded: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 from the columns ids and decoded."""
-    new = "n_tokens bigint, ids_sha256 string"
-    keep = without(keep, new + ", decoded_sha256 string")
-    schema = with_fields(coded, [*keep, "decoded"], new)
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            flat, size = pc.list_flatten(lists).to_numpy().astype("<u4"), pc.list_value_length(lists).to_numpy()
-            ends = np.cumsum(size)
-            hashed = [hashlib.sha256(flat[e - n:e].tobytes()).hexdigest() for e, n in zip(ends, size)]
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in [*keep, "decoded"]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(size.astype(np.int64)), pa.array(hashed, pa.string())],
+            yield pa.RecordBatch.from_arrays([*cols, texts_of(pc.list_flatten(lists), sizes, table)],
                                              names=schema.fieldNames())
-    made = coded.select(*dict.fromkeys([*keep, "decoded", "ids"])).mapInArrow(run, schema)
-    return made.select(*keep, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select(*dict.fromkeys([*keep, column])).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, definition: str, keep: list[str], with_ids: bool = False) -> DataFrame:
-    """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256, and with ``with_ids`` the ids themselves: every
-    text is encoded, and its ids are decoded again."""
-    keep = without(keep, "ids array<int>, decoded string")
-    coded = decode(ids(docs, definition, keep), definition, [*keep, "ids"])
-    return digests(coded, [*keep, "ids"] if with_ids else keep)
+    """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256, and with ``with_ids`` the ids themselves. Both
+    digests are of a document's joined ids: of these, and of the text that they decode to."""
+    rows, answers = encode(docs, definition, keep)
+    shared = _table(docs, definition)
+
+    def assemble(payloads, starts, sizes, flat):
+        table = pa.array(shared.value, pa.string())
+        count, hashed, text, kept = [], [], [], []
+        for got in _joined(payloads, starts, sizes, flat):
+            count.append(len(got))
+            hashed.append(hashlib.sha256(got.astype("<u4").tobytes()).hexdigest())
+            decoded = texts_of(pa.array(got.astype(np.int32)), np.array([len(got)]), table)
+            text.append(hashlib.sha256(decoded[0].as_buffer()).hexdigest())
+            if with_ids:
+                kept.append(got.astype(np.int32))
+        out = [np.array(count, np.int64), pa.array(hashed, pa.string()), pa.array(text, pa.string())]
+        return [*out, pa.array(kept, pa.list_(pa.int32()))] if with_ids else out
+    return wordtable.rejoin(rows, answers, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+                            + (", ids array<int>" if with_ids else ""), assemble)
