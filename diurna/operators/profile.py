@@ -445,7 +445,7 @@ def wide_quantiles(df: DataFrame, cols, probs, keys=(), accuracy: int = 10_000,
 
 def _narrowed(d: DataFrame, moved: DataFrame, gk, beside, accuracy: int, most: int) -> DataFrame:
     """Targets whose brackets still need it are cut at a grid of the values that a sketch of their rows gives."""
-    grid = 1000
+    grid = max(min(1000, accuracy // 10), 4)       # coarser than the sketch errs
     wide = moved.select(*gk, F.expr(
         f"array_distinct(filter(t, x -> x.below < 0 OR (x.inside > {most} AND NOT x.f)))").alias("t"))
     rows = beside(d, wide).select(*gk, F.expr(
