@@ -201,8 +201,11 @@ def _winner(spark, base):
 def q_winner_importance(spark, base):
     """Permutation importance of the winning model by variable (dummies together), beside gain importance of trees."""
     d, spec, fm = _winner(spark, base)
-    groups = {c: [c] for c in spec.features if not any(c.startswith(f"{g}_") for g in ONEHOT_CATS)}
-    groups |= {g: m for g in ONEHOT_CATS if (m := [c for c in spec.features if c.startswith(f"{g}_")])}
+    dummies = {c: g for c in spec.features if c not in (*ORDINAL.columns, *TREE.columns)
+               for g in ONEHOT_CATS if c.startswith(f"{g}_")}
+    groups: dict = {}
+    for c in spec.features:
+        groups.setdefault(dummies.get(c, c), []).append(c)
     perm = I.permutation_importance(S.part(d, "test"), fm, "cnt", groups, "date")
     if spec.kind == "ols":
         return perm.orderBy(F.col("importance_mean").desc())
