@@ -5,8 +5,8 @@ data: the same under any partitioning and after a lost executor, and other engin
 again (``plans.sql_forest`` does in SQL).
 
 * Sampling (N1): of each period the ``pool_rows`` rows with the smallest hashes, and of
-  these for each tree the ``sample_size`` with the smallest hashes of (tree, row). The first is a top-k
-  per period, the second works on the bounded pool.
+  these for each tree the ``sample_size`` with the smallest hashes of (tree, row). Counts by leading bits of the
+  hash say which rows can be in the pool, so only about as many as it holds are shuffled and ranked.
 * Building (N1, N6): ``groupBy(period, tree).applyInPandas`` - one job grows the trees of all
   periods, each from its small sample. Nodes are numbered as in a heap (children 2i and 2i + 1). A node
   picks one of its features with more than one value, and a place between its least and largest value.
@@ -41,6 +41,7 @@ BILLION = 1_000_000_000
 SPACE = float(16 ** 15)
 POOL = 64                    # rows of the pool for each row of a sample
 PERIODS_AT_ONCE = 64         # periods whose nodes are broadcast together
+SLOT_BITS = 44               # of the 60 bits of a hash: those below the 65,536 slots it is counted in
 
 
 def avg_path_length(n) -> np.ndarray:
@@ -121,14 +122,29 @@ def path_lengths(arrays, x: np.ndarray) -> np.ndarray:
     return total
 
 
+def pool_candidates(base: DataFrame, rows: int) -> DataFrame:
+    """Rows of (__period, __key, __h, ...) among which are each period's ``rows`` smallest by (__h, __key): those in
+    the slots of the hash up to the one that fills the pool. Of a key that repeats in a slot, a task keeps ``rows``."""
+    slot = F.coalesce(F.shiftright("__h", SLOT_BITS), F.lit(-1))           # a NULL key sorts first
+    counts = base.groupBy("__period", slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__period").orderBy("__slot")) - F.col("__n")
+    last = counts.withColumn("__before", before).where(F.col("__before") < rows).groupBy(
+        F.col("__period").alias("__of")).agg(F.max("__slot").alias("__last"))
+    near = base.join(F.broadcast(last), F.col("__period").eqNullSafe(F.col("__of"))).where(slot <= F.col("__last")).drop("__of", "__last")
+    w = Window.partitionBy("__period", "__task").orderBy("__h", "__key")
+    return near.withColumn("__task", F.spark_partition_id()).withColumn("__r", F.row_number().over(w)).where(
+        F.col("__r") <= rows).drop("__r", "__task")
+
+
 def sample_for_trees(df: DataFrame, features, key, n_trees: int, sample_size: int, seed: int,
                      period=None) -> DataFrame:
     """(__period, tree, __key, features...): every tree's sample of min(sample_size, n) rows of each period."""
     keyc = F.col(key) if isinstance(key, str) else key
     base = df.select((F.col(period) if period else F.lit(0)).alias("__period"), keyc.alias("__key"),
                      *[F.col(c).cast("double").alias(c) for c in features])
-    w = Window.partitionBy("__period").orderBy(hash_int("__key", f"pool|{seed}"), "__key")
-    pool = base.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= POOL * sample_size).drop("__r")
+    near = pool_candidates(base.withColumn("__h", hash_int("__key", f"pool|{seed}")), POOL * sample_size)
+    w = Window.partitionBy("__period").orderBy("__h", "__key")
+    pool = near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= POOL * sample_size).drop("__r", "__h")
     each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
     own = hash_int(F.concat_ws("|", F.col("tree").cast("string"), F.col("__key").cast("string")), f"tree|{seed}")
     w = Window.partitionBy("__period", "tree").orderBy(own, "__key")
