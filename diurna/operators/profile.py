@@ -203,22 +203,21 @@ def _group_quartiles(df: DataFrame, group: str, measure: str, accuracy):
         e = exact_quantiles(df, measure, QUARTILES, keys=[group])
         q = e.groupBy(group).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(a)
                                    for p, a in zip(QUARTILES, ("q1", "median", "q3"))])
-    return q.join(n, group)
+    return cut_lineage(q.join(n, group))                     # read twice: at the rows and in the result
 
 
 def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
               accuracy: int | None = None) -> DataFrame:
     """Quartiles, whiskers at the last data point within whis·IQR, flier count.
 
-    Pass 1: quartiles per group. Pass 2: join them back (one row per group, a
-    one row per group) and take conditional min/max/counts.
+    Pass 1: quartiles per group. Pass 2: join them back (one row per group, those of large
+    groups broadcast) and take conditional min/max/counts.
     """
     q = _group_quartiles(df, group, measure, accuracy)
     q = (q.withColumn("lo_fence", F.col("q1") - whis * (F.col("q3") - F.col("q1")))
           .withColumn("hi_fence", F.col("q3") + whis * (F.col("q3") - F.col("q1"))))
     v = F.col(measure)
-    # one row per group; adaptive planning broadcasts it when small and else splits a hot group
-    j = df.select(group, measure).join(q, on=group)
+    j = with_groups(df.select(group, measure), q, [group], "n")
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
     w = j.groupBy(group).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
@@ -228,8 +227,8 @@ def box_stats(df: DataFrame, group: str, measure: str, whis: float = 1.5,
 
 def box_fliers(df: DataFrame, group: str, measure: str, whis: float = 1.5) -> DataFrame:
     """The flier rows themselves (outside the whiskers' fences)."""
-    q = _group_quartiles(df, group, measure, None).select(group, "q1", "q3")
-    j = df.join(q, on=group)
+    q = _group_quartiles(df, group, measure, None).select(group, "q1", "q3", F.col("n").alias("__n"))
+    j = with_groups(df, q, [group], "__n").drop("__n")
     iqr = F.col("q3") - F.col("q1")
     v = F.col(measure)
     return j.where((v < F.col("q1") - whis * iqr) | (v > F.col("q3") + whis * iqr)).drop("q1", "q3")
@@ -335,6 +334,32 @@ def exact_quantiles(df: DataFrame, col: str, probs, keys=(), ranks=None, **kw) -
 
 # column, probability, rank, bracket, and whether the bracket is as narrow as sketches make it
 _TARGET = "array<struct<c:int,p:double,k:bigint,lo:double,hi:double,f:boolean>>"
+HOT_GROUPS = 4096          # groups whose row is broadcast to the rows
+
+
+def with_groups(rows: DataFrame, table: DataFrame, keys, size: str, hot: int = HOT_GROUPS) -> DataFrame:
+    """Rows with their group's row of ``table``, one per ``keys``. The ``hot`` groups of the largest ``size`` are
+    broadcast, so theirs stay where they are; of the others none has more than 1/hot of all, and they are shuffled."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(table))            # one row
+    own = [f"__g{i}" for i in range(len(keys))]
+    t = table.select(*[qcol(k).alias(g) for k, g in zip(keys, own)], *[qcol(c) for c in table.columns if c not in keys])
+
+    def on(left, right, pairs):
+        cond = F.lit(True)
+        for a, b in pairs:
+            cond = cond & left[f"`{a}`"].eqNullSafe(right[f"`{b}`"])
+        return cond
+    mine = list(zip(keys, own))
+    if t.limit(hot + 1).count() <= hot:
+        few = F.broadcast(t)
+        return rows.join(few, on(rows, few, mine)).drop(*own)
+    top = t.orderBy(F.col(size).desc(), *own).limit(hot)
+    names = top.select(*[F.col(g).alias(f"{g}_") for g in own])
+    theirs = [f"{g}_" for g in own]
+    rest = t.join(F.broadcast(names), on(t, names, zip(own, theirs)), "left_anti")
+    others = rows.join(F.broadcast(names), on(rows, names, zip(keys, theirs)), "left_anti")
+    return rows.join(F.broadcast(top), on(rows, top, mine)).unionByName(others.join(rest, on(others, rest, mine))).drop(*own)
 
 
 def wide_quantiles(df: DataFrame, cols, probs, keys=(), accuracy: int = 10_000, few: int = 10_000,
@@ -346,66 +371,56 @@ def wide_quantiles(df: DataFrame, cols, probs, keys=(), accuracy: int = 10_000,
        rows is its own bracket).
     2. One aggregate counts the rows below and inside each bracket. A bracket that the sketch
        missed, or with more than ``most`` rows, is cut by a sketch of its own rows and counted again.
-    3. Distinct values inside the brackets are counted (in the tasks first, so ties and hot groups
-       cost a row per task) and the wanted ranks read off.
+    3. A bracket of one value is that value. Of the others the distinct values inside are counted (in the
+       tasks first, so ties and hot groups cost a row per task) and the wanted ranks read off.
 
     Three scans, whatever the range of values; further ones only where n is beyond
-    ``accuracy * most / 6``. No rows are sorted and nothing about groups is on the driver.
-    Values must be finite; NULL and NaN are left out.
+    ``accuracy * most / 6``. No rows are sorted, large groups' rows are not shuffled (:func:`with_groups`)
+    and nothing about groups is on the driver. Values must be finite; NULL and NaN are left out.
     """
     keys, cols, probs = list(keys), list(cols), list(probs)
     if not probs or not cols:
         raise ValueError("no columns or no probabilities")
     gk = [f"__k{i}" for i in range(len(keys))]
     value = lambda c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double"))
-    d = df.select(*[qcol(k).alias(g) for k, g in zip(keys, gk)], F.array(*[value(c) for c in cols]).alias("__x"))
+    d = df.select(*[qcol(k).alias(g) for k, g in zip(keys, gk)], *[value(c).alias(f"__x{i}") for i, c in enumerate(cols)])
+    x = [F.col(f"__x{i}") for i in range(len(cols))]
     if order_of is not None:
         share = [(r + 0.5) / order_of for r in probs]
     else:
         share = probs
     near = [min(max(s + e, 0.0), 1.0) for s in share for e in (-3 / accuracy, 3 / accuracy)]
-    x = [F.element_at("__x", i + 1) for i in range(len(cols))]
-    first = d.groupBy(*gk).agg(*[e for i, c in enumerate(x) for e in (
+    first = d.groupBy(*gk).agg(F.count(F.lit(1)).alias("size"), *[e for i, c in enumerate(x) for e in (
         F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
         F.percentile_approx(c, near, accuracy).alias(f"q{i}"))])
 
     def target(i, j):
-        """Both order statistics of column i at probability j, in the bracket around them."""
+        """Both order statistics of column i at probability j, in the bracket around them; no rank without values."""
         n, q = F.col(f"n{i}"), F.col(f"q{i}")
         at = F.lit(float(probs[j])) * (n - 1) if order_of is None else F.lit(float(probs[j]))
         small = n <= few
         lo = F.when(small, F.col(f"lo{i}")).otherwise(F.element_at(q, 2 * j + 1))
         hi = F.when(small, F.col(f"hi{i}")).otherwise(F.element_at(q, 2 * j + 2))
-        return F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(probs[j])).alias("p"), k.cast("long").alias("k"),
+        return F.array(*[F.struct(F.lit(i).alias("c"), F.lit(float(probs[j])).alias("p"), F.when(n > 0, k.cast("long")).alias("k"),
                                   lo.alias("lo"), hi.alias("hi"), F.lit(False).alias("f")) for k in (F.floor(at), F.ceil(at))])
     ends = F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
                      for i in range(len(cols))])
-    wanted = first.select(*gk, ends.alias("ends"), F.flatten(F.array(*[
-        F.when(F.col(f"n{i}") > 0, target(i, j)).otherwise(F.array().cast(_TARGET))
-        for i in range(len(cols)) for j in range(len(probs))])).cast(_TARGET).alias("t"))
+    wanted = first.select(*gk, "size", ends.alias("ends"), F.flatten(F.array(*[
+        target(i, j) for i in range(len(cols)) for j in range(len(probs))])).cast(_TARGET).alias("t"))
     state = cut_lineage(wanted)
-    few_rows = lambda s: [f"{g}_" for g in s]
-
-    def beside(rows, table):
-        """Rows with their group's targets."""
-        if not gk:
-            return rows.crossJoin(F.broadcast(table))        # one row
-        t = table
-        for g, g_ in zip(gk, few_rows(gk)):
-            t = t.withColumnRenamed(g, g_)
-        on = F.lit(True)
-        for g, g_ in zip(gk, few_rows(gk)):
-            on = on & rows[g].eqNullSafe(t[g_])
-        return rows.join(t, on).drop(*few_rows(gk))
     m = 2 * len(cols) * len(probs)
+    of = [x[j // (2 * len(probs))] for j in range(m)]        # the column of each target
+    bounds = lambda t, only=F.lit(True): [F.when(only(j) if callable(only) else only, t[j][e]).alias(f"{e}{j}")
+                                          for j in range(m) for e in ("lo", "hi")]
+    within = [(v >= F.col(f"lo{j}")) & (v <= F.col(f"hi{j}")) for j, v in enumerate(of)]
     while True:
-        at = lambda j: F.try_element_at("t", F.lit(j + 1))
-        v = lambda j: F.element_at("__x", at(j)["c"] + 1)
-        counted = beside(d, state).groupBy(*gk).agg(
-            F.first("t").alias("t"), F.first("ends").alias("ends"),
-            F.array(*[F.count_if(v(j) < at(j)["lo"]) for j in range(m)]).alias("below"),
-            F.array(*[F.count_if((v(j) >= at(j)["lo"]) & (v(j) <= at(j)["hi"])) for j in range(m)]).alias("inside"))
-        counted = cut_lineage(counted.select(*gk, "ends", F.expr(
+        counts = with_groups(d, state.select(*gk, "size", *bounds(F.col("t"))), gk, "size").groupBy(*gk).agg(
+            *[F.count_if(v < F.col(f"lo{j}")).alias(f"b{j}") for j, v in enumerate(of)],
+            *[F.count_if(v).alias(f"i{j}") for j, v in enumerate(within)])
+        counts = counts.select(*[F.col(g).alias(f"{g}_") for g in gk], F.array(*[f"b{j}" for j in range(m)]).alias("below"),
+                               F.array(*[f"i{j}" for j in range(m)]).alias("inside"))
+        joined = state.join(counts, _same(gk)) if gk else state.crossJoin(F.broadcast(counts))
+        counted = cut_lineage(joined.select(*gk, "size", "ends", F.expr(
             "transform(t, (x, i) -> struct(x.c, x.p, x.k, x.lo, x.hi, x.f, below[i] AS below, inside[i] AS inside))").alias("t")))
         missed = "x.k < x.below OR x.k >= x.below + x.inside"
         if counted.where(F.expr(f"exists(t, x -> {missed} OR (x.inside > {most} AND x.lo < x.hi AND NOT x.f))")).isEmpty():
@@ -415,22 +430,28 @@ def wide_quantiles(df: DataFrame, cols, probs, keys=(), accuracy: int = 10_000,
             CASE WHEN x.k < x.below THEN ends[x.c].lo WHEN {missed} THEN x.hi ELSE x.lo END AS lo,
             CASE WHEN x.k < x.below THEN x.lo WHEN {missed} THEN ends[x.c].hi ELSE x.hi END AS hi, x.f,
             CASE WHEN {missed} THEN -1L ELSE x.below END AS below, x.inside))"""))
-        state = cut_lineage(_narrowed(d, moved, gk, beside, accuracy, most))
-    inside = beside(d, counted.select(*gk, F.expr(
-        "array_distinct(transform(t, x -> struct(x.c, x.lo, x.hi, x.below)))").alias("t"))).select(
+        state = cut_lineage(_narrowed(d, x, moved, gk, accuracy, most))
+    wide = lambda j: F.col("t")[j]["lo"] < F.col("t")[j]["hi"]
+    some = F.lit(False)
+    for v in within:
+        some = some | F.coalesce(v, F.lit(False))
+    inside = with_groups(d, counted.select(*gk, "size", *bounds(F.col("t"), wide), F.expr(
+        "array_distinct(transform(filter(t, x -> x.lo < x.hi), x -> struct(x.c, x.lo, x.hi, x.below)))").alias("t")),
+        gk, "size").where(some).select(*gk, "t", F.array(*x).alias("__x")).select(
         *gk, F.expr("explode(transform(filter(t, b -> __x[b.c] >= b.lo AND __x[b.c] <= b.hi), "
                     "b -> struct(b.c, b.lo, b.hi, b.below, __x[b.c] AS v)))").alias("b")).select(*gk, "b.*")
     bracket = [*gk, "c", "lo", "hi", "below"]
     values = inside.groupBy(*bracket, "v").agg(F.count(F.lit(1)).alias("times"))
     upto = F.sum("times").over(Window.partitionBy(*bracket).orderBy("v")) + F.col("below")
     values = values.withColumn("upto", upto).withColumn("after", F.col("upto") - F.col("times"))
-    one = counted.select(*gk, F.explode("t").alias("t")).select(*gk, "t.*").distinct()
-    o, w = one.alias("o"), values.alias("w")
+    one = counted.select(*gk, F.explode("t").alias("t")).select(*gk, "t.*").where("k IS NOT NULL").distinct()
+    o, w = one.where("lo < hi").alias("o"), values.alias("w")
     on = (F.col("o.k") >= F.col("w.after")) & (F.col("o.k") < F.col("w.upto"))
     for c in bracket:
         on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"w.{c}"))
     found = o.join(w, on).select(*[F.col(f"o.{g}").alias(g) for g in gk], F.col("o.c").alias("c"), F.col("o.p").alias("p"),
                                  F.col("o.k").alias("k"), F.col("w.v").alias("v"))
+    found = found.unionByName(one.where("lo = hi").select(*gk, "c", "p", "k", (F.col("lo") + F.lit(0.0)).alias("v")))
     ns = state.select(*gk, F.posexplode(F.col("ends")).alias("c", "e")).select(*gk, "c", F.col("e.n").alias("n"))
     g = found.groupBy(*gk, "c", "p").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.min("k").alias("k"))
     a, b = g.alias("a"), ns.alias("b")
@@ -443,12 +464,12 @@ def wide_quantiles(df: DataFrame, cols, probs, keys=(), accuracy: int = 10_000,
                                 F.col("a.p").alias("p"), (F.col("a.a") + (F.col("a.b") - F.col("a.a")) * part).alias("value"))
 
 
-def _narrowed(d: DataFrame, moved: DataFrame, gk, beside, accuracy: int, most: int) -> DataFrame:
+def _narrowed(d: DataFrame, x: list, moved: DataFrame, gk, accuracy: int, most: int) -> DataFrame:
     """Targets whose brackets still need it are cut at a grid of the values that a sketch of their rows gives."""
     grid = max(min(1000, accuracy // 10), 4)       # coarser than the sketch errs
-    wide = moved.select(*gk, F.expr(
+    wide = moved.select(*gk, "size", F.expr(
         f"array_distinct(filter(t, x -> x.below < 0 OR (x.inside > {most} AND NOT x.f)))").alias("t"))
-    rows = beside(d, wide).select(*gk, F.expr(
+    rows = with_groups(d, wide, gk, "size").select(*gk, "t", F.array(*x).alias("__x")).select(*gk, F.expr(
         "explode(transform(filter(t, b -> __x[b.c] >= b.lo AND __x[b.c] <= b.hi), "
         "b -> struct(b.c, b.p, b.k, b.lo, b.hi, b.below, __x[b.c] AS v)))").alias("b")).select(*gk, "b.*")
     per = rows.groupBy(*gk, "c", "p", "k", "lo", "hi", "below").agg(
@@ -462,10 +483,10 @@ def _narrowed(d: DataFrame, moved: DataFrame, gk, beside, accuracy: int, most: i
                      F.when(known, cut(3)).otherwise(F.col("hi")).alias("hi"), known.alias("known"))
     same = F.col("known") & (F.col("lo") == F.col("old_lo")) & (F.col("hi") == F.col("old_hi"))
     new = per.groupBy(*gk).agg(F.collect_list(F.struct("c", "p", "k", "old_lo", "old_hi", "lo", "hi", same.alias("f"))).alias("u"))
-    joined = beside(moved, new) if not gk else moved.join(
+    joined = moved.crossJoin(F.broadcast(new)) if not gk else moved.join(
         new.select(*[F.col(g).alias(g + "_") for g in gk], "u"),
         _same(gk), "left").drop(*[g + "_" for g in gk])
-    return joined.select(*gk, "ends", F.expr("""transform(t, x -> coalesce(
+    return joined.select(*gk, "size", "ends", F.expr("""transform(t, x -> coalesce(
         try_element_at(transform(filter(coalesce(u, array()), y -> y.c = x.c AND y.p = x.p AND y.k = x.k AND y.old_lo = x.lo
                              AND y.old_hi = x.hi), y -> struct(y.c, y.p, y.k, y.lo, y.hi, y.f)), 1),
         struct(x.c, x.p, x.k, x.lo, x.hi, x.f)))""").cast(_TARGET).alias("t"))
